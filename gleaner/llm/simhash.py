@@ -8,8 +8,9 @@ with more segments than allowed differences that first segment is equal, so
 equal segments give the buckets and the chain prunes pairs within them.
 
 Defined results: a null, empty or blank text has fingerprint zero and links
-like any other; repeated rows and exact copies share one fingerprint; an empty
-table gives no rows; further columns of `docs` are ignored.
+like any other; repeated rows and exact copies share one fingerprint; a row
+without doc_id founds no group and takes the component of its fingerprint, or
+null; an empty table gives no rows; further columns of `docs` are ignored.
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ def simhash_dedup(docs: DataFrame, distance: int = 4, segments: int = 5, shingle
     """(doc_id, fp, component_id) for every row of docs (doc_id, text)."""
     stages = Stages(docs.sparkSession, "simhash")
     fps = stages.put(fingerprints(docs, shingle), "fps")
-    return fps.join(near_groups(fps, stages, distance, segments).hint("merge"), "fp")
+    return fps.join(near_groups(fps.where("doc_id is not null"), stages, distance, segments).hint("merge"), "fp", "left")
 
 
 def op10_simhash_dedup(spark, sf_dir) -> DataFrame:
