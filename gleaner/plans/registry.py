@@ -2,5 +2,457 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gleaner.functions import responses
+from gleaner.functions.text import content_key, render_card
+from gleaner.operators import checks, export, intake, preparation, requests, retrieval
+from gleaner.plans.fixtures import CARD_DUCKDB, cards, view, with_views
+
+PREFIX = "doc:"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+DUCK = with_views(False).rstrip()
+CUES = {"usage": preparation.USAGE_CUES, "boundary": preparation.BOUNDARY_CUES}
+
+
+def query(sql: str | None = None):
+    """Register a query, with SQL that follows the views (or starts with WITH or SELECT of its own)."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def on_views(body: str) -> str:
+    """SQL on the views: body may add views of its own ("name as (...), ... select")."""
+    body = body.strip()
+    return f"{DUCK}\n{body}" if body.lower().startswith("select") else f"{DUCK},\n{body}"
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+# The parts of the preparation in SQL.
+STRIPPED = r"regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')"
+FORMULA_SQL = ", ".join(
+    f"case when regexp_matches({STRIPPED}, '{p}') then concat('missing_formula: ', regexp_extract({STRIPPED}, '{p}')) end" for p in preparation.LOST_FORMULA
+)
+ISSUES_SQL = f"""case when length(text) > 12000 then ['too_long'] else list_filter([case when length({STRIPPED}) < 80 then 'too_short' end,
+  case when regexp_matches({STRIPPED}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{{FFFD}}]') then 'damaged_encoding' end,
+  case when contains(lower(title), '(disambiguation)') then 'disambiguation' end, {FORMULA_SQL}], lambda x: x is not null) end"""
+
+
+def cue_sql(kind: str) -> str:
+    words = r"regexp_split_to_array(lower(substr(text, 1, 12000)), '[^\p{L}\p{N}_]+')"
+    return f"len(list_intersect(list_distinct({words}), {_list(CUES[kind])}))"
+
+
+CANDIDATES_SQL = f"""
+corpus as (select doc_id, passage_id, source_id, title, text, row_number() over (partition by doc_id order by passage_id) as n from fx_passages),
+near as (select distinct g.group_id, c.source_id, c.passage_id, c.title, c.text from (select distinct group_id, group_order from fx_groups) g join corpus c on c.doc_id = g.group_order where c.n <= 64),
+cand as (select group_id, source_id, passage_id, title, text, true as is_seed from fx_groups union all
+  select group_id, source_id, passage_id, title, text, false from near where (group_id, passage_id) not in (select (group_id, passage_id) from fx_groups)),
+scored as (select *, {ISSUES_SQL} as issues, {cue_sql('usage')} as usage_cues, {cue_sql('boundary')} as boundary_cues from cand),
+ranked as (select *, row_number() over (partition by group_id order by case when is_seed then 0 else 1 end, -(usage_cues + 2*boundary_cues), passage_id, source_id) as rank from scored where len(issues) = 0)"""
+SELECTED_SQL = (
+    CANDIDATES_SQL
+    + """,
+lists as (select group_id, list(struct_pack(p := passage_id, t := text) order by rank) as xs from ranked group by group_id),
+folded as (select group_id, xs, list_reduce(xs, lambda acc, x: case
+   when list_contains(acc.kept, x.t) then struct_pack(kept := acc.kept, total := acc.total, notes := list_append(acc.notes, 'duplicate_text'))
+   when len(acc.kept) >= 5 or acc.total + length(x.t) > 30000 then struct_pack(kept := acc.kept, total := acc.total, notes := list_append(acc.notes, 'evidence_budget'))
+   else struct_pack(kept := list_append(acc.kept, x.t), total := acc.total + length(x.t), notes := list_append(acc.notes, 'selected')) end,
+   struct_pack(kept := cast([] as varchar[]), total := cast(0 as bigint), notes := cast([] as varchar[]))) as f from lists),
+notes as (select group_id, unnest(list_transform(xs, lambda x: x.p)) as passage_id, unnest(f.notes) as picked from folded),
+sel as (select s.*, coalesce(n.picked = 'selected', false) as selected, case when n.picked <> 'selected' then n.picked end as note from scored s left join notes n using (group_id, passage_id))"""
+)
+
+
+def _seeds(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, "fx_groups")
+
+
+def _corpus(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, "fx_passages").withColumn("article_id", F.col("doc_id").cast("string"))
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    return preparation.scored(preparation.article_candidates(_seeds(spark, sf_dir), _corpus(spark, sf_dir), PREFIX, 64))
+
+
+def _selected(spark, sf_dir) -> DataFrame:
+    return preparation.selection(_candidates(spark, sf_dir))
+
+
+@query(on_views(r"""j as (select doc_id, try_cast(value as json) as v from fx_lines_json),
+p as (select doc_id, unnest(json_extract(v, '$.passages[*]')) as p from j where v is not null),
+ptext as (select doc_id, len(list_filter(json_keys(p), lambda k: k not in ('source_id', 'passage_id', 'title', 'text'))) = 0 and json_type(p, '$.source_id') = 'VARCHAR' and json_type(p, '$.passage_id') = 'VARCHAR' and json_type(p, '$.text') = 'VARCHAR'
+   and coalesce(json_type(p, '$.title'), 'VARCHAR') = 'VARCHAR' as typed, p->>'$.source_id' as s, p->>'$.passage_id' as i, regexp_replace(regexp_replace(p->>'$.text', '^\s+', ''), '\s+$', '') as t from p),
+pa as (select doc_id, bool_and(coalesce(typed and trim(s) <> '' and trim(i) <> '' and length(t) between 1 and 12000, false)) as fine, sum(length(t)) as chars, count(*) as n, count(distinct concat(s, '|', i)) as k from ptext group by doc_id)
+select j.doc_id, coalesce(list_sort(json_keys(v)) = ['corpus', 'group_id', 'language', 'passages', 'subject'] and json_type(v, '$.group_id') = 'VARCHAR' and json_type(v, '$.subject') = 'VARCHAR' and trim(v->>'$.subject') <> ''
+   and v->>'$.corpus' = 'documents' and json_type(v, '$.language') = 'VARCHAR' and v->>'$.language' in ('en', 'de', 'fr', 'es') and json_type(v, '$.passages') = 'ARRAY' and pa.n between 1 and 5 and pa.fine and pa.chars <= 30000 and pa.k = pa.n, false) as valid
+from j left join pa using (doc_id)"""))
+def intake_strictness(spark, sf_dir):
+    """Strict reading of group JSON with every kind of defect: which lines are valid."""
+    lines = view(spark, sf_dir, "fx_lines_json")
+    return intake.parsed_groups(lines, ("documents",), ("en", "de", "fr", "es")).select("doc_id", F.col("problem").isNull().alias("valid"))
+
+
+@query(on_views(f"select source_id, array_to_string({ISSUES_SQL}, ',') as issues, len({ISSUES_SQL}) = 0 as usable from fx_passages"))
+def passage_quality_flags(spark, sf_dir):
+    rows = view(spark, sf_dir, "fx_passages").withColumn("issues", preparation.quality_issues(F.col("text"), F.col("title")))
+    return rows.select("source_id", F.array_join("issues", ",").alias("issues"), (F.size("issues") == 0).alias("usable"))
+
+
+@query(on_views(f"select source_id, cast({cue_sql('usage')} as bigint) as usage_cues, cast({cue_sql('boundary')} as bigint) as boundary_cues from fx_passages"))
+def passage_cue_scores(spark, sf_dir):
+    text = F.col("text")
+    return view(spark, sf_dir, "fx_passages").select(
+        "source_id", preparation.cue_count(text, preparation.USAGE_CUES).cast("bigint").alias("usage_cues"), preparation.cue_count(text, preparation.BOUNDARY_CUES).cast("bigint").alias("boundary_cues")
+    )
+
+
+@query(on_views(CANDIDATES_SQL + """,
+stats as (select doc_id, count(*) as available from fx_passages group by doc_id)
+select c.group_id, c.passage_id, c.is_seed, s.available, least(s.available, 64) as fetched, s.available > 64 as truncated from cand c join stats s on concat('g', s.doc_id) = c.group_id"""))
+def article_candidate_cap(spark, sf_dir):
+    corpus = _corpus(spark, sf_dir)
+    found = preparation.article_candidates(_seeds(spark, sf_dir), corpus, PREFIX, 64)
+    stats = preparation.article_stats(corpus, 64)
+    return found.withColumn("article_id", F.split("passage_id", "#")[0]).join(stats, "article_id").select("group_id", "passage_id", "is_seed", "available", "fetched", "truncated")
+
+
+BROKEN_SEEDS = """select group_id, group_order, pos, case when group_order%23=0 then concat('doc:', passage_id, 'x') else source_id end as source_id,
+  case when group_order%19=0 then concat('x', passage_id) when group_order%31=0 then concat(passage_id, '99999') else passage_id end as passage_id,
+  case when group_order%29=0 then 'Other title' else title end as title, case when group_order%17=0 then concat(text, ' changed') else text end as text from fx_groups"""
+
+
+@query(on_views(f"""seeds as (select * replace (case when group_order%31=0 and group_order%23<>0 and group_order%19<>0 then concat('doc:', passage_id) else source_id end as source_id) from ({BROKEN_SEEDS}))
+select s.group_id, s.pos, case when not regexp_full_match(s.passage_id, '[0-9]+#[0-9]+') then 'passage_id is not article#passage'
+  when s.source_id <> concat('doc:', s.passage_id) then 'source_id does not match the corpus prefix' when c.text is null then 'passage not found in the corpus'
+  when c.text <> s.text or (s.title <> '' and c.title <> s.title) then 'passage differs from the corpus' else 'ok' end as result
+from seeds s left join fx_passages c on c.passage_id = s.passage_id"""))
+def seed_corpus_check(spark, sf_dir):
+    seeds = spark.sql(BROKEN_SEEDS.replace("fx_groups", "{fx_groups}"), fx_groups=_seeds(spark, sf_dir))
+    order = F.col("group_order")
+    moved = (order % 31 == 0) & (order % 23 != 0) & (order % 19 != 0)
+    seeds = seeds.withColumn("source_id", F.when(moved, F.concat(F.lit(PREFIX), "passage_id")).otherwise(F.col("source_id")))
+    return preparation.seed_errors(seeds, _corpus(spark, sf_dir), PREFIX).select("group_id", "pos", F.coalesce("error", F.lit("ok")).alias("result"))
+
+
+@query(on_views(CANDIDATES_SQL + " select group_id, passage_id, rank from ranked"))
+def candidate_priority(spark, sf_dir):
+    return preparation.ranked(_candidates(spark, sf_dir)).select("group_id", "passage_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(on_views(SELECTED_SQL + " select group_id, passage_id, is_seed, selected, coalesce(note, '') as note from sel"))
+def evidence_selection(spark, sf_dir):
+    return _selected(spark, sf_dir).select("group_id", "passage_id", "is_seed", "selected", F.coalesce("note", F.lit("")).alias("note"))
+
+
+@query(on_views(SELECTED_SQL + """ select group_id, count(*) as candidates, count(*) filter (is_seed and len(issues) > 0) as filtered_seeds, count(*) filter (len(issues) > 0) as filtered_candidates,
+  count(*) filter (selected) as selected_passages, count(*) filter (selected and not is_seed) as supplementary_passages from sel group by group_id"""))
+def preparation_summary(spark, sf_dir):
+    return preparation.preparation_summary(_selected(spark, sf_dir))
+
+
+VIOLATING = """select group_id, 0 as group_row, pos, source_id, passage_id, text from fx_groups
+  union all select group_id, 0, pos + 10, source_id, passage_id, text from fx_groups where group_order%37=0
+  union all select group_id, 1, pos, source_id, passage_id, text from fx_groups where group_order%43=0
+  union all select concat(group_id, 'b'), 0, pos, source_id, passage_id, concat(text, ' edited') from fx_groups where group_order%41=0
+  union all select group_id, 0, pos + 20 + k.k, concat(source_id, '/', k.k), passage_id, repeat('words ', 2500) from fx_groups cross join (select 1 as k union all select 2) k where group_order%47=0"""
+
+
+@query(on_views(f"""p as ({VIOLATING}),
+totals as (select group_id, group_row, sum(length(text)) as chars, count(*) as n from p group by all)
+select 'duplicate group_id' as violation, group_id as key from p group by group_id having count(distinct group_row) > 1
+union all select distinct 'duplicate passage in group', concat(group_id, '|', source_id, '|', passage_id) from (select group_id, source_id, passage_id from p group by group_id, group_row, source_id, passage_id having count(*) > 1)
+union all select 'conflicting texts', concat(source_id, '|', passage_id) from p group by source_id, passage_id having count(distinct text) > 1
+union all select distinct 'too many characters', group_id from totals where chars > 30000
+union all select distinct 'too many passages', group_id from totals where n > 5
+union all select distinct 'passage too long', concat(group_id, '|', source_id, '|', passage_id) from p where length({STRIPPED}) > 12000
+union all select distinct 'blank text', concat(group_id, '|', source_id, '|', passage_id) from p where length({STRIPPED}) = 0"""))
+def group_violations(spark, sf_dir):
+    rows = spark.sql(VIOLATING.replace("fx_groups", "{fx_groups}"), fx_groups=_seeds(spark, sf_dir))
+    return intake.group_violations(rows)
+
+
+CITED = "c.group_id, c.cite_ix, coalesce(contains(p.text, c.quote), false) as ok"
+
+
+@query(on_views(f"""select {CITED}, case when coalesce(contains(p.text, c.quote), false) then '' else concat('no exact quotation: source_id=', c.source_id, ', passage_id=', c.passage_id, ', quote=', substr(c.quote, 1, 240)) end as error
+from fx_citations c left join fx_groups p on p.group_id = c.group_id and p.source_id = c.source_id and p.passage_id = c.passage_id"""))
+def citation_check(spark, sf_dir):
+    found = checks.citation_check(view(spark, sf_dir, "fx_citations"), _seeds(spark, sf_dir))
+    return found.select("group_id", "cite_ix", "ok", F.coalesce("error", F.lit("")).alias("error"))
+
+
+LABELS_SQL = f"""c as ({CARD_DUCKDB}),
+e as (select *, list_concat(['concept_name[null]', 'definition[null]'], list_transform(range(0, n_trigger), lambda i: concat('trigger[', i, ']')), list_transform(range(0, n_decision), lambda i: concat('decision[', i, ']')),
+   list_transform(range(0, n_pitfall), lambda i: concat('pitfall[', i, ']'))) as expected from c),
+a as (select *, list_concat(list_filter(expected, lambda x: not (group_order%7=0 and x = 'definition[null]')), case when group_order%5=0 then ['trigger[0]', 'trigger[0]'] else [] end, case when group_order%11=0 then [concat('pitfall[', n_pitfall, ']')] else [] end) as actual from e)"""
+
+
+@query(on_views(LABELS_SQL + """ select group_id, card_index, array_to_string(list_sort(list_filter(expected, lambda x: not list_contains(actual, x))), ',') as missing,
+  array_to_string(list_sort(list_distinct(list_filter(actual, lambda x: not list_contains(expected, x)))), ',') as extra,
+  array_to_string(list_sort(list_distinct(list_filter(actual, lambda x: len(list_filter(actual, lambda y: y = x)) > 1))), ',') as repeated from a"""))
+def grounding_coverage(spark, sf_dir):
+    rows = cards(spark, sf_dir)
+    order = F.col("group_order")
+    none = F.expr(checks.NONE)
+    expected = checks.expected_labels(F.col("card"))
+    actual = F.concat(
+        F.filter(expected, lambda x: ~((order % 7 == 0) & (x == "definition[null]"))), F.when(order % 5 == 0, F.array(F.lit("trigger[0]"), F.lit("trigger[0]"))).otherwise(none),
+        F.when(order % 11 == 0, F.array(F.concat(F.lit("pitfall["), F.col("n_pitfall").cast("string"), F.lit("]")))).otherwise(none),
+    )
+    found = rows.withColumn("c", checks.coverage(F.col("card"), actual))
+    return found.select("group_id", "card_index", *[F.array_join(f"c.{x}", ",").alias(x) for x in ("missing", "extra", "repeated")])
+
+
+@query(on_views("""n as (select group_id, count(*) as candidates from fx_cards group by group_id), j as (select group_id, list_sort(list(card_index)) as ix from fx_judgments group by group_id)
+select group_id, coalesce(candidates, 0) as candidates, cast(coalesce(len(ix), 0) as bigint) as judged, coalesce(ix, []) = range(0, coalesce(candidates, 0)) as covered from n full join j using (group_id)"""))
+def review_coverage(spark, sf_dir):
+    return checks.review_coverage(view(spark, sf_dir, "fx_cards"), view(spark, sf_dir, "fx_judgments"))
+
+
+def _gated(spark, sf_dir) -> DataFrame:
+    issues = F.when(F.col("n_issues") > 0, F.array(F.lit("issue"))).otherwise(F.expr(checks.NONE))
+    return view(spark, sf_dir, "fx_judgments").withColumn("accepted", checks.gate([F.col("source_supported"), F.col("reusable")], issues))
+
+
+ACCEPTED = "(source_supported and reusable and n_issues = 0)"
+
+
+@query(on_views(f"select group_id, count(*) as judged, count(*) filter {ACCEPTED.replace('(', '(where ', 1)} as passed, bool_or{ACCEPTED} as accepted from fx_judgments group by group_id"))
+def card_gate(spark, sf_dir):
+    return _gated(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("judged"), F.count_if("accepted").alias("passed"), F.bool_or("accepted").alias("accepted"))
+
+
+@query(on_views("""select distinct group_id, group_order%6<>0 and group_order%10<>0 and group_order%4<>0 as accepted from fx_groups"""))
+def self_check_gate(spark, sf_dir):
+    order = F.col("group_order")
+    issues = F.when(order % 4 == 0, F.array(F.lit("issue"))).otherwise(F.expr(checks.NONE))
+    return _seeds(spark, sf_dir).select("group_id", checks.gate([order % 6 != 0, order % 10 != 0], issues).alias("accepted")).distinct()
+
+
+REPAIRED_SQL = """fixed as (select c.*, r.group_id is not null as named, r.replacement_definition from fx_cards c left join fx_repairs r on r.group_id = c.group_id and r.card_index = c.card_index),
+revised as (select group_id, group_order, card_index as original_index, case when named then replacement_definition else definition end as definition from fixed),
+kept as (select group_id, group_order, original_index, definition, row_number() over (partition by group_id order by original_index) - 1 as card_index from revised where definition is not null)"""
+
+
+def _repaired(spark, sf_dir) -> DataFrame:
+    fixes = view(spark, sf_dir, "fx_repairs").withColumnRenamed("replacement_definition", "definition")
+    return checks.repaired(view(spark, sf_dir, "fx_cards"), fixes, "definition")
+
+
+@query(on_views(REPAIRED_SQL + " select group_id, original_index, card_index, definition from kept"))
+def repair_merge(spark, sf_dir):
+    return _repaired(spark, sf_dir).select("group_id", "original_index", F.col("card_index").cast("bigint").alias("card_index"), "definition")
+
+
+@query(on_views(f"""bad as (select group_id, card_index from fx_judgments where not {ACCEPTED}), fix as (select group_id, card_index + case when hash_row then 1 else 0 end as card_index from (select *, substr(group_id, length(group_id)) = '7' as hash_row from fx_repairs)),
+f as (select group_id, card_index, count(*) as n from fix group by all)
+select group_id, card_index, case when f.n is null then 'no repair' when b.x is null then 'not rejected' else 'repaired twice' end as problem from (select *, 1 as x from bad) b full join f using (group_id, card_index) where f.n is null or b.x is null or f.n > 1"""))
+def repair_cover(spark, sf_dir):
+    shifted = view(spark, sf_dir, "fx_repairs").withColumn("card_index", F.col("card_index") + F.col("group_id").endswith("7").cast("bigint"))
+    return checks.repair_mismatch(_gated(spark, sf_dir).where("not accepted"), shifted)
+
+
+@query(on_views(f"""select group_id, stage, card_index from fx_judgments where not {ACCEPTED}
+union all select group_id, 'repair_review', card_index from fx_judgments where not {ACCEPTED} and card_index%2=0"""))
+def card_rejections(spark, sf_dir):
+    first = _gated(spark, sf_dir).where("not accepted").select("group_id", "stage", "card_index")
+    again = first.where("card_index % 2 = 0").withColumn("stage", F.lit("repair_review"))
+    return first.unionByName(again)
+
+
+@query(on_views(SELECTED_SQL + "," + REPAIRED_SQL + f""",
+prep as (select group_id, bool_or(selected) as prepared from sel group by group_id),
+chk as (select distinct group_id, group_order, group_order%6<>0 and group_order%10<>0 and group_order%4<>0 as ok from fx_groups),
+n as (select group_id, count(*) as n from fx_cards group by group_id), k as (select group_id, count(*) as k from kept group by group_id),
+rep as (select group_id, count(*) as r from fx_repairs group by group_id),
+fin as (select k.group_id, bool_or((k.group_order+k.original_index)%3<>0) as ok from kept k group by k.group_id),
+cites as (select c.group_id, bool_and(coalesce(contains(p.text, c.quote), false)) as ok from fx_citations c left join fx_groups p on p.group_id = c.group_id and p.source_id = c.source_id and p.passage_id = c.passage_id group by c.group_id)
+select chk.group_id, case when not cites.ok then 'error' when not coalesce(prep.prepared, false) or not chk.ok or coalesce(n.n, 0) = 0 or (rep.r is not null and coalesce(k.k, 0) = 0) then 'rejected'
+   when rep.r is not null then case when coalesce(fin.ok, false) then 'accepted' else 'rejected' end when coalesce(fin.ok, false) then 'accepted' else 'rejected' end as status,
+  coalesce(case when not cites.ok then null when not coalesce(prep.prepared, false) then 'source_preparation' when not chk.ok then 'self_check' when coalesce(n.n, 0) = 0 then 'empty_extraction'
+   when rep.r is not null and coalesce(k.k, 0) = 0 then 'card_repair' when coalesce(fin.ok, false) then null when rep.r is not null then 'repair_review' else 'card_review' end, '') as rejection_stage
+from chk left join cites using (group_id) left join prep using (group_id) left join n using (group_id) left join k using (group_id) left join rep using (group_id) left join fin using (group_id)"""))
+def group_outcomes(spark, sf_dir):
+    return _outcomes(spark, sf_dir).select("group_id", "status", F.coalesce("rejection_stage", F.lit("")).alias("rejection_stage"))
+
+
+def _outcomes(spark, sf_dir) -> DataFrame:
+    """Every group with its status, from what each stage left behind."""
+    seeds = _seeds(spark, sf_dir)
+    order = F.col("group_order")
+    base = seeds.select("group_id", ((order % 6 != 0) & (order % 10 != 0) & (order % 4 != 0)).alias("checked")).distinct()
+    prep = _selected(spark, sf_dir).groupBy("group_id").agg(F.bool_or("selected").alias("prepared"))
+    n = view(spark, sf_dir, "fx_cards").groupBy("group_id").agg(F.count("*").alias("n_cards"))
+    kept = _repaired(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("n_revised"), F.bool_or((order + F.col("original_index")) % 3 != 0).alias("final"))
+    rep = view(spark, sf_dir, "fx_repairs").groupBy("group_id").agg(F.lit(True).alias("with_repair"))
+    bad = checks.citation_check(view(spark, sf_dir, "fx_citations"), seeds).groupBy("group_id").agg(F.min("error").alias("error"))
+    rows = base
+    for part in (prep, n, kept, rep, bad):
+        rows = rows.join(part, "group_id", "left")
+    found = export.outcome(F.col("prepared"), F.col("checked"), F.col("n_cards"), F.col("n_revised"), F.col("final"), F.coalesce("with_repair", F.lit(False)), F.col("error"))
+    return rows.withColumn("o", found).select("group_id", "o.status", "o.rejection_stage", F.coalesce("with_repair", F.lit(False)).alias("with_repair"))
+
+
+@query(on_views(f"""c as ({CARD_DUCKDB})
+select group_id, card_index, array_to_string(list_concat([concat('Description: ', definition), 'Trigger:'], list_transform(trigger, lambda x: concat('- ', x)), ['Decision:'], list_transform(decision, lambda x: concat('- ', x)), ['Pitfall:'],
+  list_transform(pitfall, lambda x: concat('- ', x))), chr(10)) as description from c"""))
+def card_rendering(spark, sf_dir):
+    return cards(spark, sf_dir).select("group_id", "card_index", render_card(F.col("card")).alias("description"))
+
+
+@query(on_views(f"""c as ({CARD_DUCKDB})
+select group_id, card_index, array_to_string(list_concat(['Trigger:'], list_transform(trigger, lambda x: concat('- ', x)), ['Decision:'], list_transform(decision, lambda x: concat('- ', x)), ['Pitfall:'],
+  list_transform(pitfall, lambda x: concat('- ', x))), chr(10)) as without_definition, concat('Description: ', definition) as definition_only from c"""))
+def field_ablation(spark, sf_dir):
+    card = F.col("card")
+    return cards(spark, sf_dir).select(
+        "group_id", "card_index", render_card(card, ("trigger", "decision", "pitfall")).alias("without_definition"), render_card(card, ("definition",)).alias("definition_only")
+    )
+
+
+def json_text(x: str) -> str:
+    return f"""concat('"', replace(replace({x}, '\\', '\\\\'), '"', '\\"'), '"')"""
+
+
+def normal(x: str) -> str:
+    return rf"trim(regexp_replace(nfc_normalize({x}), '[\s\x{{00A0}}]+', ' ', 'g'))"
+
+
+def json_list(x: str) -> str:
+    return f"concat('[', array_to_string(list_transform({x}, lambda x: {json_text(normal('x'))}), ','), ']')"
+
+
+BANK_SQL = f"""c as ({CARD_DUCKDB}),
+ok as (select c.* from c join fx_judgments j on j.group_id = c.group_id and j.card_index = c.card_index where {ACCEPTED}),
+keyed as (select *, sha256(concat('{{"card":{{"concept_name":', {json_text(normal('concept_name'))}, ',"decision":', {json_list('decision')}, ',"definition":', {json_text(normal('definition'))}, ',"pitfall":', {json_list('pitfall')},
+   ',"trigger":', {json_list('trigger')}, '}},"subject":"', subject, '"}}')) as key from ok),
+bank as (select concat('mem_', key) as memory_id, min(struct_pack(o := group_order, i := card_index)) as first, count(*) as n, array_to_string(list(concat(group_id, ':', card_index) order by group_order, card_index), ',') as origins from keyed group by key)"""
+
+
+@query(on_views(BANK_SQL + " select memory_id, first.o as group_order, first.i as card_index, n as n_origins, origins, row_number() over (order by first.o, first.i) - 1 as \"index\" from bank"))
+def bank_dedup(spark, sf_dir):
+    judged = _gated(spark, sf_dir).where("accepted").select("group_id", "card_index")
+    accepted = cards(spark, sf_dir).join(judged, ["group_id", "card_index"]).withColumn("origin", F.concat_ws(":", "group_id", "card_index"))
+    found = export.bank(accepted)
+    rows = export.dense_index(found, ["group_order", "card_index"])
+    return rows.select("memory_id", "group_order", "card_index", F.size("origins").cast("bigint").alias("n_origins"), F.array_join("origins", ",").alias("origins"), F.col("index").cast("bigint").alias("index"))
+
+
+@query(on_views("""seen as (select distinct group_id, subject, group_order from fx_groups) select group_id, sha256(concat(group_id, '|', subject)) as request_sha256, case when group_order%3=0 then 'pending' when group_order%7=0 then 'pending' else 'done' end as state from seen"""))
+def resume_pending(spark, sf_dir):
+    """Two thirds of the groups have results, some of them with a wrong checksum: what has to run again."""
+    seen = _seeds(spark, sf_dir).select("group_id", "subject", "group_order").distinct()
+    asked = seen.withColumn("request_sha256", F.sha2(F.concat_ws("|", "group_id", "subject"), 256))
+    payload = F.concat(F.lit('{"group":"'), "group_id", F.lit('"}'))
+    done = asked.where("group_order % 3 <> 0").select("request_sha256", payload.alias("payload"), F.when(F.col("group_order") % 7 == 0, F.lit("0")).otherwise(F.sha2(payload, 256)).alias("payload_sha256"))
+    todo = requests.pending(asked, done).select("group_id", "request_sha256", F.lit("pending").alias("state"))
+    return todo.unionByName(requests.reusable(asked, done).select("group_id", "request_sha256", F.lit("done").alias("state")))
+
+
+def _talk(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+@query(r"""select conv_id, turn, 'm' as model, text as content, role, 6144 as max_tokens, 'none' as effort from conversations where text is not null and role is not null""")
+def request_build(spark, sf_dir):
+    """Bodies for one turn each, read back field by field."""
+    turns = _talk(spark, sf_dir).where("text is not null and role is not null")
+    messages = F.array(F.struct("role", F.col("text").alias("content")))
+    body = F.parse_json(requests.request_body(messages, requests.ModelOptions(name="m")))
+    get = lambda path, kind: F.try_variant_get(body, path, kind)
+    return turns.select(
+        "conv_id", "turn", get("$.model", "string").alias("model"), get("$.messages[0].content", "string").alias("content"), get("$.messages[0].role", "string").alias("role"),
+        get("$.max_tokens", "int").alias("max_tokens"), get("$.reasoning_effort", "string").alias("effort"),
+    )
+
+
+RAW = """concat('{"model":"m",', case when (conv_id+turn)%11=0 then concat('"status":"incomplete","output_text":"cut"') when (conv_id+turn)%7=0 then concat('"output":[{"type":"message","content":[{"type":"output_text","text":"{\\"a\\":', turn, '}"}]}]')
+  when (conv_id+turn)%5=0 then '"error":{"type":"busy"}' else concat('"choices":[{"finish_reason":', case when (conv_id+turn)%13=0 then '"length"' when (conv_id+turn)%3=0 then 'null' else '"stop"' end,
+  ',"message":{"content":"', case (conv_id+turn)%4 when 0 then '<think>open' when 1 then '<think>x</think> ' when 2 then '```json ' else 'so: ' end, '{\\"a\\":', turn, '}', case (conv_id+turn)%4 when 2 then ' ```' when 3 then ' done' else '' end, '"}}]') end,
+  ',"usage":{"prompt_tokens":', conv_id%50, ',"input_tokens":7,"completion_tokens":', turn, case when conv_id%4=0 then concat(',"total_tokens":', conv_id%50+turn+1) else '' end, '}}')"""
+
+
+def _replies(spark, sf_dir) -> DataFrame:
+    rows = _talk(spark, sf_dir).where("conv_id is not null and turn is not null")
+    raw = RAW.replace("\\\\", "\\").replace("\\", "\\\\")
+    return rows.selectExpr("conv_id", "turn", f"{raw} as raw", "case when (conv_id+turn)%17=0 then 503 else 200 end as status_code", "conv_id%6=0 as cached")
+
+
+@query(r"""with t as (select conv_id, turn, conv_id + turn as k from conversations where conv_id is not null and turn is not null),
+s as (select *, case when k%11=0 then 'cut' when k%7=0 then concat('{"a":', turn, '}') when k%5=0 then '' else concat(case k%4 when 0 then '<think>open' when 1 then '<think>x</think> ' when 2 then '```json ' else 'so: ' end, '{"a":', turn, '}', case k%4 when 2 then ' ```' when 3 then ' done' else '' end) end as content,
+   k%11<>0 and (k%7=0 or k%5=0 or k%13<>0) as done, k%17=0 as down from t)
+select conv_id, turn, content, not down and done and content <> '' as ok,
+  coalesce(case when not down and done and content <> '' then null when not done then 'incomplete_model_output' when k%7<>0 and k%5=0 then 'busy' else 'empty_content' end, '') as error,
+  coalesce(case when k%11=0 then 'no JSON' when k%7=0 then null when k%5=0 then 'no JSON' when k%4=0 then 'unfinished thinking block' end, '') as json_error,
+  case when k%11=0 then null when k%7=0 then turn when k%5=0 or k%4=0 then null else turn end as a from s""")
+def response_parse(spark, sf_dir):
+    said = responses.usable(_replies(spark, sf_dir)).withColumn("j", responses.json_object(F.col("content")))
+    return said.select(
+        "conv_id", "turn", "content", "ok", F.coalesce("error", F.lit("")).alias("error"), F.coalesce("j.error", F.lit("")).alias("json_error"), F.try_variant_get("j.value", "$.a", "bigint").alias("a")
+    )
+
+
+@query(r"""select count(*) as calls, cast(coalesce(sum(p), 0) as bigint) as prompt_tokens, cast(coalesce(sum(turn), 0) as bigint) as completion_tokens, cast(coalesce(sum(case when conv_id%4=0 then conv_id%50+turn+1 else p + turn end), 0) as bigint) as total_tokens
+from (select *, case when conv_id%50=0 then 7 else conv_id%50 end as p from conversations where conv_id is not null and turn is not null and conv_id%6<>0)""")
+def token_usage(spark, sf_dir):
+    return responses.token_usage(_replies(spark, sf_dir))
+
+
+@query(ORACLE_SQL["group_outcomes"].rsplit("\nselect chk.group_id", 1)[0] + ",\no as (select chk.group_id" + ORACLE_SQL["group_outcomes"].rsplit("\nselect chk.group_id", 1)[1] + f""")
+select count(*) as groups, count(*) filter (status = 'accepted') as accepted_groups, count(*) filter (status = 'rejected') as rejected_groups, count(*) filter (status = 'error') as error_groups,
+  (select count(distinct group_id) from fx_repairs) as groups_with_repair, (select count(*) from fx_judgments where not {ACCEPTED}) as rejected_card_reviews,
+  cast((select coalesce(count(*) filter (is_seed and len(issues) > 0), 0) from sel) as bigint) as filtered_seed_passages, (select count(*) filter (selected and not is_seed) from sel) as supplementary_passages, count(*) filter (status = 'error') = 0 as complete from o""")
+def run_summary(spark, sf_dir):
+    o = _outcomes(spark, sf_dir)
+    totals = export.progress(o).select("groups", F.col("accepted").alias("accepted_groups"), F.col("rejected").alias("rejected_groups"), F.col("errors").alias("error_groups"))
+    repairs = view(spark, sf_dir, "fx_repairs").agg(F.countDistinct("group_id").alias("groups_with_repair"))
+    reviews = _gated(spark, sf_dir).agg(F.count_if(~F.col("accepted")).alias("rejected_card_reviews"))
+    prep = preparation.preparation_summary(_selected(spark, sf_dir)).agg(F.coalesce(F.sum("filtered_seeds"), F.lit(0)).alias("filtered_seed_passages"), F.coalesce(F.sum("supplementary_passages"), F.lit(0)).alias("supplementary_passages"))
+    one = F.lit(1).alias("one")
+    out = totals.select("*", one)
+    for part in (repairs, reviews, prep):
+        out = out.join(part.select("*", one), "one")
+    return out.withColumn("complete", F.col("error_groups") == 0).drop("one")
+
+
+@query("""with q as (select vec_id, label, cast(embedding as double[]) as e from embeddings where vec_id % 100 = 0 and label is not null and embedding is not null),
+c as (select vec_id, label, cast(embedding as double[]) as e from embeddings where label is not null and embedding is not null),
+s as (select q.vec_id as query_id, c.vec_id as card_id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) as cosine from q join c using (label))
+select query_id, card_id, rank from (select *, row_number() over (partition by query_id order by cosine desc, card_id) as rank from s) where rank <= 5""")
+def subject_topk(spark, sf_dir):
+    """The stated queries (vec_id divisible by 100) against all cards of their subject."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label is not null and embedding is not null")
+    cards_ = rows.select(F.col("vec_id").alias("card_id"), F.col("label").alias("subject"), F.col("embedding").alias("vector"))
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("subject"), F.col("embedding").alias("vector"))
+    return retrieval.nearest(asked, cards_, 5).select("query_id", "card_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("""with q as (select vec_id, cast(embedding as double[]) as e from embeddings where vec_id % 100 = 0 and embedding is not null), c as (select vec_id, cast(embedding as double[]) as e from embeddings where embedding is not null),
+s as (select q.vec_id as query_id, c.vec_id as card_id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) as cosine from q cross join c)
+select query_id, card_id, rank from (select *, row_number() over (partition by query_id order by cosine desc, card_id) as rank from s) where rank <= 10""")
+def global_topk(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null")
+    cards_ = rows.select(F.col("vec_id").alias("card_id"), F.col("embedding").alias("vector"))
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("subject"), F.col("embedding").alias("vector"))
+    return retrieval.nearest(asked, cards_.withColumn("subject", F.lit(None).cast("int")), 10, by_subject=False).select("query_id", "card_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("""select lang, source, count(*) as items, cast(sum(case when quality = toxic + 1 then 1 else 0 end) as bigint) as correct, sum(case when quality = toxic + 1 then 1 else 0 end) / count(*) as accuracy, cast(grouping(lang, source) as bigint) as grouping
+from documents join labels using (doc_id) group by cube (lang, source)""")
+def accuracy_rollup(spark, sf_dir):
+    """Quality labels as answers, one more than the toxic label as the expected ones: a missing answer is wrong."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    return retrieval.accuracy(rows.select("lang", "source", F.col("quality").alias("answer"), (F.col("toxic") + 1).alias("expected")), "lang", "source")
