@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from gleaner.functions import responses
 from gleaner.functions.text import content_key, render_card
 from gleaner.operators import checks, export, intake, preparation, requests, retrieval
+from gleaner.plans.build import Build, Options, same_article
 from gleaner.plans.fixtures import CARD_DUCKDB, cards, view, with_views
+from gleaner.plans.scripted import scripted_model
+from gleaner.sources.scratch import new_folder
 
 PREFIX = "doc:"
 QUERIES: dict = {}
@@ -456,3 +459,18 @@ def accuracy_rollup(spark, sf_dir):
     """Quality labels as answers, one more than the toxic label as the expected ones: a missing answer is wrong."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
     return retrieval.accuracy(rows.select("lang", "source", F.col("quality").alias("answer"), (F.col("toxic") + 1).alias("expected")), "lang", "source")
+
+
+@query()
+def synthesis_end_to_end(spark, sf_dir):
+    """All stages on every group, with the scripted model: the outcome of each group and its cards in the bank."""
+    groups = spark.sql(
+        """select group_id, first(group_order) as group_order, first(subject) as subject, 'documents' as corpus, 'en' as language,
+        transform(array_sort(collect_list(struct(pos, source_id, passage_id, title, text))), x -> struct(x.source_id, x.passage_id, x.title, x.text)) as passages from {g} group by group_id""",
+        g=_seeds(spark, sf_dir),
+    )
+    limits = preparation.Limits()
+    build = Build(spark, new_folder(spark, "build"), scripted_model, Options(limits=limits), same_article(_corpus(spark, sf_dir), PREFIX, limits))
+    outcomes = build.run(groups)
+    origins = build.bank().select(F.explode("origins").alias("o")).groupBy(F.col("o.group_id").alias("group_id")).agg(F.count("*").alias("n_cards"))
+    return outcomes.join(origins, "group_id", "left").select("group_id", "status", "rejection_stage", F.coalesce("n_cards", F.lit(0)).alias("n_cards"), F.col("error").isNotNull().alias("failed"))
