@@ -254,7 +254,10 @@ def repeated_spans(docs: DataFrame, units: Units, matcher: Matcher, stages: Stag
     dealt = differing.where(F.col("kinds") > hot).select("doc_id", "start", "passage").mapInArrow(windows, "key binary, doc_id long, start long")
     first = dealt.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
     frequent = dealt.join(first.hint("merge"), "key").where(late).select("doc_id", "start", (F.col("start") + window).alias("end"))
-    return stages.put(whole.unionByName(shared).unionByName(frequent), "spans")
+    spans = stages.put(whole.unionByName(shared).unionByName(frequent), "spans")
+    for name in ("passages", "firsts", "several", "differing"):
+        stages.drop(name)
+    return spans
 
 
 def _passages(out: list[list]) -> pa.RecordBatch:

@@ -29,20 +29,30 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import Stages, table
 from gleaner.llm.repeats import Block, Units, earlier, merged, repeated_spans, rows_of, with_spans
+from gleaner.llm.words import BYTE_VALUES, prefix_hash, span_hash
+
+#: Bits for the length of a passage, of at most a window and 255 more.
+LENGTH_BITS = 12
 
 
 class Column:
-    """One file of the collection, replaced by its successor once a round."""
+    """One file of the collection; each round reads it from start to end and writes its successor."""
 
     def __init__(self, folder: str, name: str, kind: type):
-        self.path, self.kind = os.path.join(folder, name), kind
+        self.folder, self.name, self.kind, self.round = folder, name, kind, 0
+
+    def path(self) -> str:
+        return os.path.join(self.folder, f"{self.name}.{self.round}")
 
     def read(self) -> np.ndarray:
-        return np.fromfile(self.path, self.kind)
+        return np.fromfile(self.path(), self.kind)
 
     def write(self, values: np.ndarray) -> None:
-        values.astype(self.kind, copy=False).tofile(self.path + ".new")
-        os.replace(self.path + ".new", self.path)
+        # a new name each round: replacing a file in place would make the file system flush it
+        if self.round:
+            os.remove(self.path())
+        self.round += 1
+        values.astype(self.kind, copy=False).tofile(self.path())
 
 
 def range_minimum(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -59,19 +69,21 @@ def range_minimum(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndar
 def collection_order(passages: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every suffix of the passages in sorted order: its passage, its start, and its common prefix with the one before it.
 
-    Bytes stand as values 1 to 256; 0 in the transform marks a passage's start.
+    Bytes stand as their rank among the bytes in use, from 1; 0 in the transform marks a passage's start.
     """
     n = len(passages)
     lengths = np.fromiter(map(len, passages), np.int64, n)
     data = np.frombuffer(b"".join(passages), np.uint8)
+    used = np.flatnonzero(np.bincount(data, minlength=256))
+    rank_of = np.zeros(256, np.int64)
+    rank_of[used] = np.arange(1, len(used) + 1)
+    data = rank_of[data].astype(np.uint8 if len(used) < 256 else np.uint16)
     ends = np.cumsum(lengths)
     with tempfile.TemporaryDirectory() as folder:
-        bwt, lcp = Column(folder, "bwt", np.uint16), Column(folder, "lcp", np.uint16)
-        own, left = Column(folder, "own", np.int32), Column(folder, "left", np.uint16)
-        bwt.write(data[ends - 1].astype(np.uint16) + 1)
+        bwt, lcp, ids = Column(folder, "bwt", data.dtype.type), Column(folder, "lcp", np.uint16), Column(folder, "ids", np.int64)
+        bwt.write(data[ends - 1])
         lcp.write(np.zeros(n))
-        own.write(np.arange(n))
-        left.write(lengths)
+        ids.write((np.arange(n) << LENGTH_BITS) | lengths)
         latest = np.arange(n)  # where each passage's longest suffix so far stands
         active = np.arange(n)
         for j in range(1, int(lengths.max()) + 1):
@@ -82,8 +94,8 @@ def collection_order(passages: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.
             rank[order] = np.arange(len(order))
             done = int(np.count_nonzero(symbols == 0))
             p = latest[active]
-            to = n + rank[p] - done
             r = rank[p]
+            to = n + r - done
             before = order[np.maximum(r - 1, 0)]
             has_before = (r > 0) & (symbols[before] == symbols[p])
             after = order[np.minimum(r + 1, len(order) - 1)]
@@ -91,44 +103,71 @@ def collection_order(passages: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.
             up = np.zeros(len(p), np.int64)
             up[has_before] = range_minimum(shared, before[has_before] + 1, p[has_before] + 1).astype(np.int64) + 1
             down = range_minimum(shared, p[has_after] + 1, after[has_after] + 1).astype(np.int64) + 1
-            size = len(symbols) + len(active)
-            fresh = np.zeros(size, bool)
+            fresh = np.zeros(len(symbols) + len(active), bool)
             fresh[to] = True
             old = ~fresh
 
             def grown(values: np.ndarray, new: np.ndarray) -> np.ndarray:
-                out = np.empty(size, values.dtype)
+                out = np.empty(len(fresh), values.dtype)
                 out[old] = values
                 out[to] = new
                 return out
 
             at = ends[active] - j
-            first = lengths[active] == j
-            symbol = np.where(first, 0, data[np.maximum(at - 1, 0)].astype(np.int64) + 1)
-            bwt.write(grown(symbols, symbol))
+            bwt.write(grown(symbols, np.where(lengths[active] == j, 0, data[np.maximum(at - 1, 0)])))
             shared = grown(shared, up)
-            shared[(n + rank[after[has_after]] - done)] = down
+            shared[n + rank[after[has_after]] - done] = down
             lcp.write(shared)
-            own.write(grown(own.read(), active))
-            left.write(grown(left.read(), lengths[active] - j))
+            ids.write(grown(ids.read(), (active << LENGTH_BITS) | (lengths[active] - j)))
             latest[active] = to
-        return own.read().astype(np.int64), left.read().astype(np.int64), lcp.read().astype(np.int64)
+        found = ids.read()
+        return found >> LENGTH_BITS, found & ((1 << LENGTH_BITS) - 1), lcp.read().astype(np.int64)
+
+
+def segments(block: Block, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows whose hash occurs twice in the block, the only ones that can repeat in it: passage, first offset, number of windows."""
+    lengths = np.fromiter(map(len, block.passages), np.int64, len(block.passages))
+    at = np.cumsum(lengths) - lengths
+    n = np.maximum(lengths - window + 1, 0)
+    passage = np.repeat(np.arange(len(n)), n)
+    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = at[passage] + offset
+    prefix = prefix_hash(BYTE_VALUES[np.frombuffer(b"".join(block.passages), np.uint8)])
+    _, kind, count = np.unique(span_hash(prefix, start, start + window), return_inverse=True, return_counts=True)
+    likely = np.flatnonzero(count[kind] > 1)
+    new = np.ones(len(likely), bool)
+    new[1:] = (likely[1:] != likely[:-1] + 1) | (passage[likely[1:]] != passage[likely[:-1]])
+    first = np.flatnonzero(new)
+    return passage[likely[first]], offset[likely[first]], np.diff(np.append(first, len(likely)))
 
 
 def shared_windows(window: int):
-    """The matcher of repeats.py that sorts a block's suffixes."""
+    """The matcher of repeats.py that sorts a block's suffixes.
+
+    Passages are first cut to the runs of windows that can repeat, and equal
+    runs are sorted once: all but the earliest of them repeat as a whole.
+    """
 
     def match(block: Block) -> tuple[np.ndarray, np.ndarray]:
-        owner, start, shared = collection_order(block.passages)
-        lengths = np.fromiter(map(len, block.passages), np.int64, len(block.passages))
-        group = np.cumsum(shared < window)
-        long = lengths[owner] - start >= window
-        owner, start, group = owner[long], start[long], group[long]
-        _, where, size = np.unique(group, return_inverse=True, return_counts=True)
-        many = size[where] > 1
-        owner, start, group = owner[many], start[many], group[many]
-        late = earlier(group, block.docs[owner], block.starts[owner] + start, True)
-        return owner[late], start[late]
+        passage, offset, n = segments(block, window)
+        if not len(passage):
+            return passage, offset
+        docs, places = block.docs[passage], block.starts[passage] + offset
+        number: dict[bytes, int] = {}
+        kind = np.fromiter((number.setdefault(block.passages[i][o : o + k + window - 1], len(number)) for i, o, k in zip(passage.tolist(), offset.tolist(), n.tolist())), np.int64)
+        order = np.lexsort((places, docs, kind))
+        lead = order[np.flatnonzero(np.diff(kind[order], prepend=-1))]  # the earliest of each kind
+        again = np.ones(len(kind), bool)
+        again[lead] = False
+        owner, start, shared = collection_order(list(number))
+        long = n[lead][owner] - start > 0
+        group = np.cumsum(shared < window)[long]
+        owner, start = owner[long], start[long]
+        late = earlier(group, docs[lead][owner], places[lead][owner] + start, True)
+        rest = np.flatnonzero(again)
+        whole = np.repeat(rest, n[rest])
+        inside = np.arange(len(whole)) - np.repeat(np.cumsum(n[rest]) - n[rest], n[rest])
+        return np.concatenate([passage[lead][owner[late]], passage[whole]]), np.concatenate([offset[lead][owner[late]] + start[late], offset[whole] + inside])
 
     return match
 
