@@ -9,11 +9,12 @@ Training takes labelled sentences: distinct sentences of a bounded sample of
 documents, toxic only if no other document says the same. Which word of a
 toxic sentence makes it so is not labelled, so the words are chosen that stand
 in toxic sentences far more often than their share (multiple-instance SVM);
-landmarks come from both classes, Nystroem features K(x, L) K(L, L)^-1/2 go to
-a linear SVM, and its decision is folded back into one weight per subsequence.
+the surest of them are the landmarks, Nystroem features K(x, L) K(L, L)^-1/2 go to
+a linear SVM that is fitted anew with the clean words nearest to its border,
+and its decision is folded back into one weight per subsequence.
 
-A document's score is a logistic function of the highest decision among its
-words. Defined results: null, empty and wordless texts get the score of the
+A document's score is a rising function of the highest decision among its
+words, fitted to the sample. Defined results: null, empty and wordless texts get the score of the
 lowest decision; without labels, or without words that tell the classes apart,
 every score is the share of toxic documents (zero without labels); each row is
 scored alone, so repeated rows score alike; further columns are ignored.
@@ -36,7 +37,7 @@ from gleaner.llm.common import Stages, pieces, table
 
 LETTERS, LENGTH, SPAN, DECAY = 32, 4, 7, 0.7
 LONG_WORD, LONG_STEP = 24, 12
-FLOOR = -3.0
+FLOOR, CEILING = -3.0, 1.0
 GAPS = [(0, *rest) for rest in itertools.combinations(range(1, SPAN), LENGTH - 1)]
 #: Letters told apart by a space, dot or dash each.
 SPELT_OUT = r"(?:\b\pL\b[ .\-_*]){3,}\pL\b"
@@ -75,13 +76,13 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, f
 
 
 def decisions(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
-    """The SVM's decision on each word, at least FLOOR."""
+    """The SVM's decision on each word, from FLOOR to CEILING: beyond its margin a word is no more toxic."""
     word, found, norm = subsequences(words)
     total = np.zeros(len(word), np.float32)
     for code, weight in found:
         total += weights[code] * np.float32(weight)
     total = np.bincount(word, total, len(words))
-    return np.maximum(np.divide(total, norm, out=np.zeros(len(words)), where=norm > 0) + bias, FLOOR)
+    return np.clip(np.divide(total, norm, out=np.zeros(len(words)), where=norm > 0) + bias, FLOOR, CEILING)
 
 
 def feature_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +106,7 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 30) -> np.ndarray:
+def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5, steps: int = 30) -> np.ndarray:
     """Squared hinge loss by Newton steps; the last component is the bias. y: -1 or 1."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -127,26 +128,31 @@ def with_insertions(word: str) -> list[str]:
     return [word[:i] + x + word[i:] for i in middle for x in ("*", "q")] + [".".join(word)]
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    a, b = 1.0, 0.0
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        s = p * (1 - p) + 1e-9
-        g = np.array([((p - y) * x).sum() + 1e-2 * a, (p - y).sum()])
-        h = np.array([[(s * x * x).sum() + 1e-2, (s * x).sum()], [(s * x).sum(), s.sum()]])
-        a, b = np.array([a, b]) - np.linalg.solve(h + 1e-9 * np.eye(2), g)
-    return float(a), float(b)
+def rising_fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the rising curve nearest to y over x (pooled adjacent violators), each pool's share smoothed towards a half.
+
+    Toxic documents whose words tell nothing lower the curve's low end only.
+    """
+    values, where = np.unique(np.round(x, 3), return_inverse=True)
+    kept: list[tuple[float, float, float, float]] = []  # least and greatest x, rows, toxic rows
+    for v, n, k in zip(values.tolist(), np.bincount(where).tolist(), np.bincount(where, y).tolist()):
+        kept.append((v, v, n, k))
+        while len(kept) > 1 and kept[-2][3] / kept[-2][2] >= kept[-1][3] / kept[-1][2]:
+            (lo, _, n1, k1), (_, hi, n2, k2) = kept[-2:]
+            kept[-2:] = [(lo, hi, n1 + n2, k1 + k2)]
+    share = [(k + 0.5) / (n + 1) for _, _, n, k in kept]
+    return np.array([x for p in kept for x in p[:2]]), np.maximum.accumulate(np.repeat(share, 2))
 
 
 @dataclass
 class Model:
-    """Decision of a word: the sum of its subsequences' weights, scaled, plus bias. Score: logistic of slope and offset."""
+    """Decision of a word: the sum of its subsequences' weights, scaled, plus bias. Score: a rising curve through knots, and a little of the decision itself."""
 
     landmarks: list[str] = field(default_factory=list)
     alpha: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = FLOOR
-    slope: float = 0.0
-    offset: float = -30.0
+    knots: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    shares: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
     def weights(self) -> np.ndarray:
         dense = np.zeros(LETTERS**LENGTH, np.float32)
@@ -156,11 +162,12 @@ class Model:
         return dense
 
     def score(self, decision: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.offset, -30, 30)))
+        own = (decision - FLOOR) / (CEILING - FLOOR)
+        return 0.99 * np.interp(decision, self.knots, self.shares) + 0.01 * own
 
 
-def fit_words(counts, landmarks: int, alarm: float) -> Model | None:
-    """counts: pandas columns word, pos, neg (sentences of either class that hold the word)."""
+def fit_words(counts, landmarks: int, alarm: float, hard: list[str]) -> Model | None:
+    """counts: pandas columns word, pos, neg (sentences of either class that hold the word). hard: further clean words."""
     pos, neg = counts["pos"].to_numpy(float), counts["neg"].to_numpy(float)
     share = pos.sum() / max(pos.sum() + neg.sum(), 1)
     n = pos + neg
@@ -174,16 +181,16 @@ def fit_words(counts, landmarks: int, alarm: float) -> Model | None:
         return None
     toxic = [str(w) for w in words[bad][np.argsort(-gain[bad], kind="stable")]]
     clean = [str(w) for w in words[long_enough & (pos <= neg)]]
-    clean = clean[:20_000]
-    marks = list(dict.fromkeys(toxic[:landmarks] + clean[: max(4, landmarks // 4)]))
+    marks = toxic[:landmarks]  # clean words share nothing that a landmark would have to stand for
     k = kernel(marks, marks)
     values, vectors = np.linalg.eigh((k + k.T) / 2)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
+    clean = list(dict.fromkeys(hard + clean))
     dodged = [v for w in toxic[:landmarks] for v in with_insertions(w)]
     units = toxic + dodged + clean
     y = np.concatenate([np.ones(len(toxic) + len(dodged)), -np.ones(len(clean))])
-    weight = np.where(y > 0, 0.5 * len(y) / (y > 0).sum(), 0.5 * len(y) / max((y < 0).sum(), 1)) / len(y)
+    weight = np.full(len(y), 1 / (y > 0).sum())
     w = linear_svm(kernel(units, marks) @ root, y, weight)
     return Model(marks, root @ w[:-1], float(w[-1]))
 
@@ -216,10 +223,11 @@ def highest(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
     return out
 
 
-def decide(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
-    """Columns `keep` and decision, of every whole text."""
+def decide(docs: DataFrame, model: Model, keep: tuple[str, ...], as_score: bool = False) -> DataFrame:
+    """Columns `keep` and decision (or score), of every whole text."""
+    name = "score" if as_score else "decision"
     source = docs.select(*keep, *[c for c in ("text",) if c not in keep])
-    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + ", decision double"
+    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + f", {name} double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model.weights()
@@ -227,13 +235,26 @@ def decide(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
             for batch in pieces(whole, "text", 1 << 21):
                 found = highest(batch.column(batch.schema.get_field_index("text")), weights, model.bias)
                 rows = [batch.column(batch.schema.get_field_index(k)) for k in keep]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(found, pa.float64())], names=[*keep, "decision"])
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(model.score(found) if as_score else found, pa.float64())], names=[*keep, name])
 
     return source.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, stages: Stages, sample: int = 8000, landmarks: int = 96, alarm: float = 7.0) -> Model:
-    """Learn from (doc_id, toxic) rows; at most `sample` documents, those of the lowest hash of doc_id, are read for it."""
+def nearest(counts: DataFrame, model: Model, n: int) -> list[str]:
+    """The n words of highest decision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = model.weights()
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decisions(words, weights, model.bias) if words else [], pa.float64())], names=["word", "decision"])
+
+    ranked = counts.select("word").mapInArrow(run, "word string, decision double").orderBy(F.desc("decision"), "word").limit(n)
+    return [r.word for r in ranked.collect()]
+
+
+def train(docs: DataFrame, labels: DataFrame, stages: Stages, sample: int = 8000, landmarks: int = 96, alarm: float = 6.0) -> Model:
+    """Learn from (doc_id, toxic) rows; at most `sample` documents, those of the lowest hash of doc_id, are read for it. alarm: the evidence that a toxic word needs, above the log of the words tried."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = stages.put(docs.select("doc_id", "text").join(chosen.hint("shuffle_hash"), "doc_id").where("text is not null"), "sample")
@@ -243,25 +264,30 @@ def train(docs: DataFrame, labels: DataFrame, stages: Stages, sample: int = 8000
     words = lines.select("toxic", F.explode(F.array_distinct(F.split("line", r"\s+"))).alias("word")).select("toxic", word.alias("word")).where("length(word) between 4 and 24")
     counts = words.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("neg"))
     counts = stages.put(counts, "words")
-    total = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
+    total = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count_if(F.col("pos") >= 3).alias("tried")).first()
+    alarm += float(np.log(max(total.tried, 1)))  # the more words are tried, the more evidence one needs
     toxic = counts.where("pos >= 3 and pos >= 3 * neg").orderBy(F.desc(F.col("pos") - 3 * F.col("neg")), "word").limit(2000)
     clean = counts.where("neg >= pos").orderBy(F.xxhash64("word"), "word").limit(8000)
     bounded = toxic.unionByName(clean).toPandas()
     rest = {"word": "", "pos": max(0, (total.pos or 0) - bounded["pos"].sum()), "neg": max(0, (total.neg or 0) - bounded["neg"].sum())}
     bounded.loc[len(bounded)] = rest
     share = chosen.agg(F.avg("toxic")).first()[0]
-    model = fit_words(bounded, landmarks, alarm)
+    model = fit_words(bounded, landmarks, alarm, [])
+    hard: list[str] = []
+    for _ in range(2):  # the clean words nearest to the toxic side join the training set
+        if model is not None:
+            hard += nearest(counts.where("neg >= pos and neg > 0"), model, 4000)
+            model = fit_words(bounded, landmarks, alarm, hard)
     if model is None:
-        return Model(offset=float(np.log(max(share or 0, 1e-9) / max(1 - (share or 0), 1e-9))))
+        return Model(shares=np.array([float(share or 0)]))
     seen = decide(texts, model, ("toxic",)).toPandas()
-    model.slope, model.offset = logistic_fit(seen["decision"].to_numpy(float), seen["toxic"].to_numpy(float))
+    model.knots, model.shares = rising_fit(seen["decision"].to_numpy(float), seen["toxic"].to_numpy(float))
     return model
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` and score, of every whole text."""
-    z = F.col("decision") * F.lit(model.slope) + F.lit(model.offset)
-    return decide(docs, model, keep).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).drop("decision")
+    return decide(docs, model, keep, as_score=True)
 
 
 def third(column: str = "doc_id"):
