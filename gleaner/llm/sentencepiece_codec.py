@@ -19,6 +19,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -70,8 +71,8 @@ class Codec:
         #: Normalisation other than the marker may join or drop spaces, so texts are then encoded whole.
         self.plain_text = not steps
         self.normalizer = normalizers.Sequence(steps) if steps else None
-        self.whole = Tokenizer(build())
-        self.split = Tokenizer(build())
+        self.build = lambda: Tokenizer(build())
+        self.split = self.build()
         self.split.pre_tokenizer = pre_tokenizers.Metaspace(replacement=MARK, prepend_scheme="never", split=True)
         inner = re.compile(f"[^{MARK}]{MARK}")
         self.by_chunk = self.plain_text and spec.escape_whitespaces and self.prefix and not any(inner.search(p.piece) for p in pieces_)
@@ -82,6 +83,11 @@ class Codec:
         self.raw_len = np.array([len(x) for x in raw], np.int64)
         self.raw_at = np.concatenate([[0], np.cumsum(self.raw_len)[:-1]])
 
+    @cached_property
+    def whole(self):
+        """For texts that aren't cut into chunks by the library; most batches have none."""
+        return self.build()
+
     def marked(self, text: str) -> str:
         if self.normalizer is not None:
             text = self.normalizer.normalize_str(text)
@@ -99,6 +105,8 @@ class Codec:
         """A text whose spaces come in runs, or that holds a marker."""
         marked = self.marked(text)
         parts = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked) if self.by_chunk else [marked] if marked else []
+        if not parts:
+            return np.empty(0, np.int32)
         ids = [np.asarray(e.ids, np.int32) for e in self.whole.encode_batch_fast(parts, add_special_tokens=False)]
         return np.concatenate(ids) if ids else np.empty(0, np.int32)
 

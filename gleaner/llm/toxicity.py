@@ -53,44 +53,50 @@ def letter_codes(text: str) -> np.ndarray:
     return np.where(points < 128, ascii_[np.minimum(points, 127)], 27 + (points % 5).astype(np.int32))
 
 
-def subsequences(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, float]], np.ndarray]:
-    """Of the words' letters end to end: the word of each letter, for each gap pattern the subsequence that starts there (0: none) with its weight, and each word's length in feature space."""
-    codes = letter_codes("\n".join(words) + "\n")
-    ends = np.flatnonzero(codes < 0)
-    word = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))
-    left = ends[word] - np.arange(len(codes))
-    codes = np.maximum(codes, 0)
-    at = np.flatnonzero(codes > 0)
-    word, left = word[at], left[at]
-    padded = np.concatenate([codes, np.zeros(SPAN, np.int32)])
-    shifted = [np.where(d < left, padded[at + d], 0) for d in range(SPAN)]
-    found = []
-    norm = np.zeros(len(at), np.float32)
-    for gaps in GAPS:
-        a, b, c, d = (shifted[g] for g in gaps)
-        code = np.where((b > 0) & (c > 0) & (d > 0), ((a * LETTERS + b) * LETTERS + c) * LETTERS + d, 0)
-        weight = DECAY ** (gaps[-1] + 1)
-        norm += (code > 0) * np.float32(weight * weight)
-        found.append((code, weight))
-    return word, found, np.sqrt(np.bincount(word, norm, len(words)))
+class Letters:
+    """The letters of words end to end: word of each letter, and the subsequences of LENGTH letters that start at each."""
+
+    def __init__(self, words: list[str]):
+        codes = letter_codes("\n".join(words) + "\n")
+        ends = np.flatnonzero(codes < 0)
+        word = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=-1))
+        left = (ends[word] - np.arange(len(codes))).astype(np.int32)
+        codes = np.maximum(codes, 0).astype(np.int32)
+        at = np.flatnonzero(codes > 0)
+        self.n = len(words)
+        self.word, left = word[at], left[at]
+        padded = np.concatenate([codes, np.zeros(SPAN, np.int32)])
+        self.shifted = [np.where(d < left, padded[at + d], np.int32(0)) for d in range(SPAN)]
+
+    def by_gaps(self) -> Iterator[tuple[np.ndarray, np.float32]]:
+        """For each pattern of gaps the subsequence at each letter (0: none), and its weight."""
+        for gaps in GAPS:
+            a, b, c, d = (self.shifted[g] for g in gaps)
+            yield np.where((b > 0) & (c > 0) & (d > 0), ((a * LETTERS + b) * LETTERS + c) * LETTERS + d, 0), np.float32(DECAY ** (gaps[-1] + 1))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, values, self.n)
 
 
 def decisions(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
     """The SVM's decision on each word, from FLOOR to CEILING: beyond its margin a word is no more toxic."""
-    word, found, norm = subsequences(words)
-    total = np.zeros(len(word), np.float32)
-    for code, weight in found:
-        total += weights[code] * np.float32(weight)
-    total = np.bincount(word, total, len(words))
-    return np.clip(np.divide(total, norm, out=np.zeros(len(words)), where=norm > 0) + bias, FLOOR, CEILING)
+    letters = Letters(words)
+    total, norm = np.zeros(len(letters.word), np.float32), np.zeros(len(letters.word), np.float32)
+    for code, weight in letters.by_gaps():
+        total += weights[code] * weight
+        norm += (code > 0) * (weight * weight)
+    norm = np.sqrt(letters.sums(norm))
+    return np.clip(np.divide(letters.sums(total), norm, out=np.zeros(len(words)), where=norm > 0) + bias, FLOOR, CEILING)
 
 
 def feature_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The scaled feature vectors as (word, subsequence, value)."""
-    word, found, norm = subsequences(words)
-    rows = np.concatenate([word] * len(found))
+    letters = Letters(words)
+    found = list(letters.by_gaps())
+    norm = np.sqrt(letters.sums(sum((code > 0) * (weight * weight) for code, weight in found)))
+    rows = np.concatenate([letters.word] * len(found))
     codes = np.concatenate([c for c, _ in found])
-    values = np.concatenate([np.full(len(word), w) for _, w in found]) / np.maximum(norm[rows], 1e-9)
+    values = np.concatenate([np.full(len(letters.word), w) for _, w in found]) / np.maximum(norm[rows], 1e-9)
     keep = codes > 0
     return rows[keep], codes[keep], values[keep]
 
@@ -232,7 +238,7 @@ def decide(docs: DataFrame, model: Model, keep: tuple[str, ...], as_score: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model.weights()
         for whole in batches:
-            for batch in pieces(whole, "text", 1 << 21):
+            for batch in pieces(whole, "text", 1 << 20):
                 found = highest(batch.column(batch.schema.get_field_index("text")), weights, model.bias)
                 rows = [batch.column(batch.schema.get_field_index(k)) for k in keep]
                 yield pa.RecordBatch.from_arrays([*rows, pa.array(model.score(found) if as_score else found, pa.float64())], names=[*keep, name])
