@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import trimmed
+
 
 def dealt(rows: DataFrame, keys: list[str], row_id: str, block: int) -> DataFrame:
     """Rows of buckets with two rows or more, with bi <= bj (the group's blocks) and own (the row's block)."""
@@ -77,7 +79,7 @@ def each_group(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], dict
         if found:
             yield _batch(found, arrow)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(run), schema)
 
 
 def _batch(found: list[dict[str, np.ndarray]], arrow: pa.Schema) -> pa.RecordBatch:

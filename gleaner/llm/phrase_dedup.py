@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Stages, table
+from gleaner.llm.common import Stages, table, trimmed
 from gleaner.llm.repeats import Block, Units, earlier, merged, repeated_spans, rows_of, with_spans
 from gleaner.llm.words import mixed, prefix_hash, span_hash
 
@@ -113,7 +113,7 @@ def deduplicated(docs: DataFrame, spans: DataFrame, keep: tuple[str, ...] = ("do
             made = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(rows + made, names=[*kept, "n_words", "n_removed", "kept_sha256", "text"])
 
-    return with_spans(source, spans).mapInArrow(run, schema)
+    return with_spans(source, spans).mapInArrow(trimmed(run), schema)
 
 
 def op6_phrase_dedup(spark, sf_dir) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Stages, pieces, table, utf8
+from gleaner.llm.common import Stages, pieces, table, trimmed, utf8
 from gleaner.llm.words import word_hashes, word_spans
 
 FEATURES = (
@@ -84,7 +84,7 @@ def feature_table(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(FEATURES)), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(k)) for k in keep], lists], names=[*keep, "features"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 @dataclass
@@ -212,7 +212,7 @@ def score(rows: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             x = batch.column(batch.schema.get_field_index("features")).flatten().to_numpy().reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(k)) for k in keep], pa.array(model.score(x))], names=[*keep, "score"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def fifth(column: str = "doc_id"):

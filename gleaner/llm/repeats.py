@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Stages, pieces, utf8
+from gleaner.llm.common import Stages, pieces, trimmed, utf8
 from gleaner.llm.words import BYTE_VALUES, mixed, prefix_hash, span_hash, word_hashes, word_spans
 
 PLACE_BITS = 20
@@ -119,7 +119,7 @@ def anchors(docs: DataFrame, units: Units, places: bool) -> DataFrame:
                     ids = batch.column(0).to_numpy()[row]
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(start * 256 + n)], names=["h", "doc_id", "run"])
 
-    return docs.mapInArrow(run, "h long, doc_id long, run long" if places else "h long")
+    return docs.mapInArrow(trimmed(run), "h long, doc_id long, run long" if places else "h long")
 
 
 @dataclass
@@ -216,7 +216,7 @@ def repeated_spans(docs: DataFrame, units: Units, matcher: Matcher, stages: Stag
 
     lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("h", "run")).alias("runs"))
     cuts = docs.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "runs")
-    passages = stages.put(cuts.mapInArrow(cut, "h long, sk long, doc_id long, start long, n long, passage binary"), "passages")
+    passages = stages.put(cuts.mapInArrow(trimmed(cut), "h long, sk long, doc_id long, start long, n long, passage binary"), "passages")
     stages.drop("found")
 
     # equal passages: all but the first occurrence repeat
@@ -239,7 +239,7 @@ def repeated_spans(docs: DataFrame, units: Units, matcher: Matcher, stages: Stag
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in spans_of(passage, offset, b, window)], names=["doc_id", "start", "end"])
 
     cold = differing.where(F.col("kinds") <= hot).select("h", "doc_id", "start", "passage").repartition("h").sortWithinPartitions("h", "doc_id", "start")
-    shared = cold.mapInArrow(match, "doc_id long, start long, end long")
+    shared = cold.mapInArrow(trimmed(match), "doc_id long, start long, end long")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,7 +251,7 @@ def repeated_spans(docs: DataFrame, units: Units, matcher: Matcher, stages: Stag
                 starts += range(start, start + len(made))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64())], names=["key", "doc_id", "start"])
 
-    dealt = differing.where(F.col("kinds") > hot).select("doc_id", "start", "passage").mapInArrow(windows, "key binary, doc_id long, start long")
+    dealt = differing.where(F.col("kinds") > hot).select("doc_id", "start", "passage").mapInArrow(trimmed(windows), "key binary, doc_id long, start long")
     first = dealt.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
     frequent = dealt.join(first.hint("merge"), "key").where(late).select("doc_id", "start", (F.col("start") + window).alias("end"))
     spans = stages.put(whole.unionByName(shared).unionByName(frequent), "spans")

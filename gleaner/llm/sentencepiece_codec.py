@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import pieces, table, utf8
+from gleaner.llm.common import pieces, table, trimmed, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -223,7 +223,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, keep_ids: bool = True, keep
                 names = [*keep, "n_tokens", "n_bytes_fallback", "ids_sha256", "parity", "round_trip", *["ids"] * keep_ids]
                 yield pa.RecordBatch.from_arrays(rows, names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def decode(tokens: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -241,7 +241,7 @@ def decode(tokens: DataFrame, model_path: str = MODEL) -> DataFrame:
             texts = [out[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(trimmed(run), "doc_id long, text string")
 
 
 def op8_sentencepiece(spark, sf_dir) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Stages, pieces, table
+from gleaner.llm.common import Stages, pieces, table, trimmed
 
 LETTERS, LENGTH, SPAN, DECAY = 32, 4, 7, 0.7
 LONG_WORD, LONG_STEP = 24, 12
@@ -243,7 +243,7 @@ def decide(docs: DataFrame, model: Model, keep: tuple[str, ...], as_score: bool
                 rows = [batch.column(batch.schema.get_field_index(k)) for k in keep]
                 yield pa.RecordBatch.from_arrays([*rows, pa.array(model.score(found) if as_score else found, pa.float64())], names=[*keep, name])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def nearest(counts: DataFrame, model: Model, n: int) -> list[str]:
@@ -255,7 +255,7 @@ def nearest(counts: DataFrame, model: Model, n: int) -> list[str]:
             words = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decisions(words, weights, model.bias) if words else [], pa.float64())], names=["word", "decision"])
 
-    ranked = counts.select("word").mapInArrow(run, "word string, decision double").orderBy(F.desc("decision"), "word").limit(n)
+    ranked = counts.select("word").mapInArrow(trimmed(run), "word string, decision double").orderBy(F.desc("decision"), "word").limit(n)
     return [r.word for r in ranked.collect()]
 
 
