@@ -2,14 +2,15 @@
 
 A spaced seed is a fixed mask over consecutive tokens: the tokens under its
 ones are hashed, those under its zeros are ignored, so a hit survives
-substitutions there. Seeds of documents and of benchmark items join on their
+substitutions there. The masks for each width of a window are lossless: however
+a fifth of its tokens is substituted, one of them hits. Seeds of documents and of benchmark items join on their
 hash; each hit fixes an alignment, and the alignment is verified: some window
 of `window` aligned tokens (the whole item if it is shorter) must agree in at
 least `similarity` of its places.
 
 Tokens are the lower-cased runs of letters and digits. Defined results: null
-and empty texts have no tokens and are clean; an item with fewer tokens than
-the mask is too short to tell a leak from chance and is ignored; repeated rows
+and empty texts have no tokens and are clean; an item with fewer than
+ten tokens is too short to tell a leak from chance and is ignored; repeated rows
 of a document give one row per item; rows without doc_id or item_id are
 ignored; empty tables give no rows; further columns are ignored.
 """
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import Stages, table
 
-#: Two masks of span ten and weight six.
-MASKS = ("1101100101", "1011001011")
+#: Masks of weight five for each width of a window. Every substitution of floor(width / 5) tokens leaves a hit (the tests try all).
+MASKS = {10: ("111011", "1101011", "1110011")} | {width: ("111101", "110010011") for width in range(11, 21)}
 
 
 def tokens(text: Column) -> Column:
@@ -37,26 +38,35 @@ def hashed_tokens(rows: DataFrame, row_id: str) -> DataFrame:
 def seeds(h: Column, masks: tuple[str, ...]) -> Column:
     """Array of (seed, at): the hash under each mask at each place; at counts from 1."""
 
-    def under(k: int, mask: str) -> Column:
+    def under(mask: str) -> Column:
         ones = [i for i, x in enumerate(mask) if x == "1"]
         last = F.size(h) - len(mask) + 1
         places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.expr("cast(array() as array<int>)"))
-        return F.transform(places, lambda p: F.struct(F.xxhash64(*[F.get(h, p - 1 + i) for i in ones], F.lit(k)).alias("seed"), p.alias("at")))
+        return F.transform(places, lambda p: F.struct(F.xxhash64(*[F.get(h, p - 1 + i) for i in ones], F.lit(int(mask, 2))).alias("seed"), p.alias("at")))
 
-    return F.concat(*[under(k, m) for k, m in enumerate(masks)])
+    return F.concat(*[under(m) for m in masks])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 20, similarity: float = 0.8) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, masks: dict[int, tuple[str, ...]] = MASKS, window: int = 20, similarity: float = 0.8) -> DataFrame:
     """(doc_id, item_id, matched, window): the best verified window of each document and item.
 
+    An item is looked for with the masks of its width, min(window, tokens);
+    documents get the masks of the widths that the benchmark has.
     The benchmark's seeds are a written table, so Spark broadcasts them only
     where their real size is below its threshold and shuffles both sides
     otherwise; the same holds for the documents with hits.
     """
+    if window not in masks or similarity < 0.8:
+        raise ValueError("the masks find every leak only for windows that they list and a similarity of 0.8 or more")
     stages = Stages(docs.sparkSession, "decontamination")
     items = stages.put(hashed_tokens(benchmark, "item_id"), "items")
-    wanted = stages.put(items.select("item_id", F.explode(seeds(F.col("h"), masks)).alias("s")).select("item_id", "s.seed", F.col("s.at").alias("item_at")).distinct(), "seeds")
-    found = hashed_tokens(docs, "doc_id").select("doc_id", F.explode(seeds(F.col("h"), masks)).alias("s")).select("doc_id", "s.seed", "s.at")
+    width = F.least(F.lit(window), F.size("h"))
+    present = sorted(r.width for r in items.select(width.alias("width")).distinct().collect() if r.width in masks)
+    used = tuple(sorted({m for w in present for m in masks[w]})) or masks[window]
+    none = F.expr("cast(array() as array<struct<seed: bigint, at: int>>)")
+    by_width = F.coalesce(*[F.when(width == w, seeds(F.col("h"), masks[w])) for w in present], none)
+    wanted = stages.put(items.select("item_id", F.explode(by_width).alias("s")).select("item_id", "s.seed", F.col("s.at").alias("item_at")).distinct(), "seeds")
+    found = hashed_tokens(docs, "doc_id").select("doc_id", F.explode(seeds(F.col("h"), used)).alias("s")).select("doc_id", "s.seed", "s.at")
     hits = found.join(wanted, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = stages.put(hits, "hits")
     lined = hits.join(items, "item_id")
@@ -64,7 +74,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     pairs = lined.join(hashed_tokens(whole, "doc_id").withColumnRenamed("h", "d"), "doc_id")
     places = F.sequence(F.lit(1), F.size("h"))
     agree = F.filter(places, lambda p: F.get(F.col("d"), p + F.col("shift") - 1) == F.get(F.col("h"), p - 1))
-    width = F.least(F.lit(window), F.size("h"))
     best = F.array_max(F.transform(F.col("agree"), lambda a: F.size(F.filter(F.col("agree"), lambda b: (b >= a) & (b < a + F.col("width"))))))
     scored = pairs.select("doc_id", "item_id", agree.alias("agree"), width.alias("width")).select("doc_id", "item_id", best.alias("matched"), F.col("width").alias("window"))
     passed = scored.where(F.col("matched") >= F.ceil(F.lit(similarity) * F.col("window")))

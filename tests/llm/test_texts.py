@@ -218,3 +218,32 @@ def test_leaks_are_found_with_substitutions(spark):
     assert got == brute_leaks([r for r in docs if r[0] is not None], items)
     assert decontamination.contaminated(frame.limit(0), bench).collect() == []
     assert decontamination.contaminated(frame, bench.limit(0)).collect() == []
+
+
+def test_masks_miss_no_substitutions():
+    for width, masks in decontamination.MASKS.items():
+        ones = [sum(1 << (at + i) for i, x in enumerate(m) if x == "1") for m in masks for at in range(width - len(m) + 1)]
+        for places in itertools.combinations(range(width), width // 5):
+            changed = sum(1 << p for p in places)
+            assert any(not changed & o for o in ones), (width, places)
+
+
+def test_leaks_are_found_with_every_fifth_word_replaced(spark):
+    rnd = random.Random(9)
+    items = [(n, " ".join("t%d" % rnd.randrange(3000) for _ in range(n))) for n in (*range(10, 21), 25, 40)]
+    docs = []
+    for n, s in items:
+        for first in range(5):
+            part = s.split()
+            part[first::5] = ["changed"] * len(part[first::5])
+            docs.append((10 * n + first, " ".join(part)))
+        for k in range(5, 10):
+            part = s.split()
+            for p in rnd.sample(range(n), n // 5):
+                part[p] = "changed"
+            docs.append((10 * n + k, "before it. " + " ".join(part) + ", after it"))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame, bench).collect()}
+    assert got == brute_leaks(docs, items) and len(got) > 100
+    with pytest.raises(ValueError):
+        decontamination.contaminated(frame, bench, similarity=0.7)
