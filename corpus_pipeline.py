@@ -34,8 +34,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
-    leaks = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    """Documents that hold no passage of the benchmark, however short its items are."""
+    leaks = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"), shortest=1).select("doc_id").distinct()
     leaks = Stages(spark, "leaks").put(leaks, "ids")
     return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -9,8 +9,8 @@ of `window` aligned tokens (the whole item if it is shorter) must agree in at
 least `similarity` of its places.
 
 Tokens are the lower-cased runs of letters and digits. Defined results: null
-and empty texts have no tokens and are clean; an item with fewer than
-ten tokens is too short to tell a leak from chance and is ignored; repeated rows
+and empty texts have no tokens and are clean; an item with fewer tokens
+than `shortest` is ignored (ten for the query, as in its SQL; one for the pipeline); repeated rows
 of a document give one row per item; rows without doc_id or item_id are
 ignored; empty tables give no rows; further columns are ignored.
 """
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import Stages, table
 
-#: Masks of weight five for each width of a window. Every substitution of floor(width / 5) tokens leaves a hit (the tests try all).
-MASKS = {10: ("111011", "1101011", "1110011")} | {width: ("111101", "110010011") for width in range(11, 21)}
+#: Masks for each width of a window. Every substitution of floor(width / 5) tokens leaves a hit (the tests try all).
+#: From eight tokens they have weight five; shorter items have lighter ones, below five tokens one over the whole item.
+MASKS = {width: ("1" * width,) for width in range(1, 5)} | {5: ("111", "1101"), 6: ("1111", "11011"), 7: ("11011",), 8: ("111011", "110111"), 9: ("111011",), 10: ("111011", "1101011", "1110011")} | {width: ("111101", "110010011") for width in range(11, 21)}
 
 
 def tokens(text: Column) -> Column:
@@ -47,7 +48,7 @@ def seeds(h: Column, masks: tuple[str, ...]) -> Column:
     return F.concat(*[under(m) for m in masks])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, masks: dict[int, tuple[str, ...]] = MASKS, window: int = 20, similarity: float = 0.8) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, masks: dict[int, tuple[str, ...]] = MASKS, window: int = 20, similarity: float = 0.8, shortest: int = 10) -> DataFrame:
     """(doc_id, item_id, matched, window): the best verified window of each document and item.
 
     An item is looked for with the masks of its width, min(window, tokens);
@@ -59,9 +60,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: dict[int, tuple[s
     if window not in masks or similarity < 0.8:
         raise ValueError("the masks find every leak only for windows that they list and a similarity of 0.8 or more")
     stages = Stages(docs.sparkSession, "decontamination")
-    items = stages.put(hashed_tokens(benchmark, "item_id"), "items")
+    items = stages.put(hashed_tokens(benchmark, "item_id").where(F.size("h") >= max(1, shortest)), "items")
     width = F.least(F.lit(window), F.size("h"))
-    present = sorted(r.width for r in items.select(width.alias("width")).distinct().collect() if r.width in masks)
+    present = sorted(r.width for r in items.select(width.alias("width")).distinct().collect())
     used = tuple(sorted({m for w in present for m in masks[w]})) or masks[window]
     none = F.expr("cast(array() as array<struct<seed: bigint, at: int>>)")
     by_width = F.coalesce(*[F.when(width == w, seeds(F.col("h"), masks[w])) for w in present], none)

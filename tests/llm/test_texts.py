@@ -247,3 +247,23 @@ def test_leaks_are_found_with_every_fifth_word_replaced(spark):
     assert got == brute_leaks(docs, items) and len(got) > 100
     with pytest.raises(ValueError):
         decontamination.contaminated(frame, bench, similarity=0.7)
+
+
+def test_short_items_are_found_where_asked_for(spark):
+    items = [(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in range(1, 10)]
+    docs = [(10 * n, "before it, " + s + ", after it") for n, s in items]
+    for n, s in items[4:]:
+        docs += [(10 * n + 1 + p, " ".join([*s.split()[:p], "changed", *s.split()[p + 1 :]])) for p in range(n)]
+    docs += [(200, items[3][1].replace("w4x1", "changed")), (201, items[8][1].replace("w9x1", "changed").replace("w9x5", "changed")), (202, "")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame, bench, shortest=1).collect()}
+    # of nine tokens eight must agree, of five four, below five all
+    assert got == {(d, d // 10) for d, _ in docs if d < 200}
+    assert decontamination.contaminated(frame, bench).collect() == []
+
+
+def test_the_pipeline_drops_copies_of_short_items(spark, tmp_path):
+    pipeline = __import__("corpus_pipeline")
+    spark.createDataFrame([(1, "what is osmosis")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, "Tell me: what is osmosis?", "en", "s", 25), (2, "what is rain", "en", "s", 12)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in pipeline.without_benchmark(spark, docs, str(tmp_path)).collect()] == [2]
