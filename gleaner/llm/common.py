@@ -12,6 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: A head with or without its end tag: it ends before the first text or element that can't be in it. For re.S and re.I.
+HEAD = (
+    r"""<head(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*+>"""
+    r"""(?:\s|<!--.*?(?:-->|\Z)|<(?P<kept>title|script|style)\b[^>]*>.*?(?:</(?P=kept)\s*>|\Z)"""
+    r"""|<(?P<inner>noscript|template)\b[^>]*>(?:(?!</?(?:head|body)\b).)*?</(?P=inner)\s*>"""
+    r"""|<(?:meta|link|base)\b(?:[^>"']|"[^"]*"|'[^']*')*+>|<[!?][^>]*>|</(?!(?:head|body|html|br)\b)[a-z][^>]*>)*+(?:</head\s*>)?"""
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

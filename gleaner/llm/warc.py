@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import table
+from gleaner.llm.common import HEAD, table
 
 VERSION = b"WARC/1.1"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:gleaner:warc")
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|aside|main|blockquote|pre|form|td|th|hr)\b[^>]*>", re.I)
-MARKUP = re.compile(r"<[^>]*>")
+HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|" + HEAD + r"|<(?P<raw>script|style|noscript|template)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)", re.S | re.I)
+BREAKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table article section nav header footer aside main blockquote pre form td th hr".split())
+MARKUP = re.compile(r"</?([a-zA-Z][^\s/>]*)[^>]*>|<[/!?][^>]*>")
 TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
 LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 LINK = re.compile(r"<(a|area|link|img|script|iframe)\b[^>]*?\b(?:href|src)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -101,7 +101,7 @@ def http_parts(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
 
 def plain_text(page: str) -> str:
     """Visible text, one line for each block, white space within lines collapsed."""
-    text = MARKUP.sub("", BREAK.sub("\n", HIDDEN.sub(" ", page)))
+    text = MARKUP.sub(lambda m: "\n" if m[1] and m[1].lower() in BREAKS else "", HIDDEN.sub(" ", page))
     lines = (" ".join(html.unescape(line).split()) for line in text.split("\n"))
     return "\n".join(x for x in lines if x)
 

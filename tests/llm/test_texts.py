@@ -267,3 +267,12 @@ def test_the_pipeline_drops_copies_of_short_items(spark, tmp_path):
     spark.createDataFrame([(1, "what is osmosis")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.createDataFrame([(1, "Tell me: what is osmosis?", "en", "s", 25), (2, "what is rain", "en", "s", 12)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in pipeline.without_benchmark(spark, docs, str(tmp_path)).collect()] == [2]
+
+
+def test_warc_keeps_text_with_bare_signs_and_pages_with_an_open_head():
+    assert warc.plain_text("<p>5 < 6 holds here.</p><p>Second paragraph.</p><p>Third <b>bold</b> end.</p>") == "5 < 6 holds here.\nSecond paragraph.\nThird bold end."
+    for close in ("<body>", "", "</head><body>"):
+        page = f"<html><head lang=x><meta content='a > b'><title>T</title><style>p {{}}</style><script>'</head>'</script>{close}<p>Text <a href=/x>of</a> it.</p><header>Top</header></html>"
+        assert warc.plain_text(page) == "Text of it.\nTop"
+        fields = warc.derivatives({"warc-type": "response", "warc-target-uri": "http://a.example/", "warc-block-digest": "x"}, page.encode())[0][2].decode()
+        assert "outlink: http://a.example/x a" in fields
