@@ -27,11 +27,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gleaner.llm.common import pieces, table
+from gleaner.llm.common import HEAD, pieces, table
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)
-    |<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|head)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)
+    |(?P<head>""" + HEAD + r""")
+    |<(?P<raw>script|style|iframe|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)
     |<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
     |<[!?/][^>]*>
     |<[a-zA-Z][^>]*>""",
@@ -46,6 +47,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("html body article main section div table ul ol dl blockquote form nav aside header footer".split())
 ENDS_PARAGRAPH = SCOPE | frozenset("p h1 h2 h3 h4 h5 h6 pre hr address fieldset figure figcaption".split())
+# Elements whose content is no text; one without an end tag ends with its parent. The first two don't end a block.
+DROPPED = frozenset("svg select noscript template".split())
+BARRIER = SCOPE | frozenset("noscript template foreignobject".split())
 
 #: The classifier: what an enclosing element, or a word of its class, id or role, adds to the score of the blocks inside.
 ELEMENT_WEIGHTS = {
@@ -88,7 +92,7 @@ def blocks(page: str) -> list[Block]:
     """The page's text blocks with text, in page order."""
     found: list[Block] = []
     stack: list[tuple[str, float, int]] = [("", 0.0, 0)]  # name, score of what encloses, id of the nearest block element
-    serial, links = 0, 0
+    serial, links, dropped = 0, 0, 0
     block: Block | None = None
     at = 0
 
@@ -102,6 +106,8 @@ def blocks(page: str) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal block
+        if dropped:
+            return
         if block is None:
             if not text.strip():
                 return
@@ -112,11 +118,12 @@ def blocks(page: str) -> list[Block]:
             block.linked += len(text)
 
     def pop_to(k: int) -> None:
-        nonlocal links
+        nonlocal links, dropped
         while len(stack) > k:
             name = stack.pop()[0]
             links -= name == "a"
-            if name not in INLINE:
+            dropped -= name in DROPPED
+            if not dropped and name not in INLINE and name not in ("svg", "select"):
                 flush()
 
     for m in TAG.finditer(page):
@@ -125,7 +132,7 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         name = m["name"]
         if name is None:
-            if m["raw"] and m["raw"].lower() not in ("svg", "select"):
+            if (m["raw"] or m["head"]) and not dropped:
                 flush()
             continue
         name = name.lower()
@@ -140,20 +147,25 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             if name in ("br", "img", "wbr"):
                 add(" ") if block is not None else None
-            elif name == "hr":
+            elif name == "hr" and not dropped:
                 flush()
             continue
+        if name == "svg" and m["attrs"].endswith("/"):
+            continue
+        if name == "body":
+            pop_to(2 if stack[1:] and stack[1][0] == "html" else 1)
         closes = CLOSES.get(name, set()) | ({"p"} if name in ENDS_PARAGRAPH else set())
         if closes:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in closes:
                     pop_to(k)
                     break
-                if stack[k][0] in SCOPE:
+                if stack[k][0] in BARRIER:
                     break
-        if name not in INLINE:
+        if not dropped and name not in INLINE and name not in ("svg", "select"):
             flush()
             serial += 1
+        dropped += name in DROPPED
         links += name == "a"
         own = ELEMENT_WEIGHTS.get(name, 0.0)
         if m["attrs"] and "=" in m["attrs"] or "hidden" in m["attrs"]:

@@ -276,3 +276,10 @@ def test_warc_keeps_text_with_bare_signs_and_pages_with_an_open_head():
         assert warc.plain_text(page) == "Text of it.\nTop"
         fields = warc.derivatives({"warc-type": "response", "warc-target-uri": "http://a.example/", "warc-block-digest": "x"}, page.encode())[0][2].decode()
         assert "outlink: http://a.example/x a" in fields
+
+
+@pytest.mark.parametrize("start", ["<head><title>T</title><body>", "<head><title>T</title>", "<head><meta content='>'><noscript><img></head><body>", "<head></head><body><div><svg><path d=1></div>", "<body><div><select><option>Any</div>", "<body><div><noscript>Turn it on</div>", "<body><div><template><p>No</p></div>", "<body><svg class=x /><p><template><p>No</p></template></p>"])
+def test_elements_without_end_tag_end_with_their_parent(start):
+    article = "<article><h1>A title</h1><p>The first paragraph of it, <svg><title>No</title><a><path d=1></a></svg>which is whole.<p>The second paragraph of it.</article>"
+    want = "A title\nThe first paragraph of it, which is whole.\nThe second paragraph of it."
+    assert html_extraction.main_text(f"<html>{start}{article}</html>") == want
