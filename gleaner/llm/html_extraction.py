@@ -38,8 +38,10 @@ TAG = re.compile(
     |<[a-zA-Z][^>]*>""",
     re.S | re.I | re.X,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 WORD = re.compile(r"[a-z]+")
+# Elements that hold the page or its article: words of their attributes speak of what else is in them.
+HOLDERS = frozenset("html body main article".split())
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,7 +53,8 @@ ENDS_PARAGRAPH = SCOPE | frozenset("p h1 h2 h3 h4 h5 h6 pre hr address fieldset
 DROPPED = frozenset("svg select noscript template".split())
 BARRIER = SCOPE | frozenset("noscript template foreignobject".split())
 
-#: The classifier: what an enclosing element, or a word of its class, id or role, adds to the score of the blocks inside.
+#: The classifier: what an enclosing element, or a name in its class, id or role, adds to the score of the blocks inside.
+#: A name counts against them only if all its words are listed (cookie-notice, not has-sidebar).
 ELEMENT_WEIGHTS = {
     "article": 4.0, "main": 2.5, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "button": -9.0, "dialog": -9.0,
     "header": -5.5, "figcaption": -0.5, "select": -9.0,
@@ -75,23 +78,28 @@ class Block:
         self.text = ""
 
 
-def attribute_weight(attrs: str) -> float:
+def attribute_weight(attrs: str) -> tuple[float, bool]:
+    """What class, id and role add, and whether the element is hidden."""
     weight = 0.0
     for name, value in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return -9.0
+            return -9.0, True
         if name in ("class", "id", "role"):
-            found = [WORD_WEIGHTS.get(w, 0.0) for w in WORD.findall(value)]
-            if found:
-                weight = min(weight, *found) if min(found) < 0 else max(weight, *found)
-    return weight
+            for token in value.split():
+                found = [WORD_WEIGHTS.get(w, 0.0) for w in WORD.findall(token)]
+                if found and min(found) < 0 and all(found):
+                    weight = min(weight, *found)
+                elif found and weight >= 0:
+                    weight = max(weight, *found)
+    return weight, False
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks with text, in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]  # name, score of what encloses, id of the nearest block element
+    # name, score of what encloses, id of the nearest block element, whether only names of attributes speak against it
+    stack: list[tuple[str, float, int, bool]] = [("", 0.0, 0, True)]
     serial, links, dropped = 0, 0, 0
     block: Block | None = None
     at = 0
@@ -167,12 +175,19 @@ def blocks(page: str) -> list[Block]:
             serial += 1
         dropped += name in DROPPED
         links += name == "a"
-        own = ELEMENT_WEIGHTS.get(name, 0.0)
+        own = kind = ELEMENT_WEIGHTS.get(name, 0.0)
+        by_attribute, hidden = 0.0, False
         if m["attrs"] and "=" in m["attrs"] or "hidden" in m["attrs"]:
-            by_attribute = attribute_weight(m["attrs"])
-            own = min(own, by_attribute) if by_attribute < 0 else own + by_attribute
-        inherited = stack[-1][1]
-        stack.append((name, min(inherited, own) if own < 0 else inherited + own if inherited >= 0 else inherited, serial))
+            by_attribute, hidden = attribute_weight(m["attrs"])
+            if hidden or name not in HOLDERS:
+                own = min(own, by_attribute) if by_attribute < 0 else own + by_attribute
+            else:
+                own += max(0.0, by_attribute)
+        inherited, by_name = stack[-1][1], stack[-1][3]
+        if name in ("article", "main") and by_name and by_attribute >= 0:
+            inherited = max(0.0, inherited)
+        score = min(inherited, own) if own < 0 else inherited + own if inherited >= 0 else inherited
+        stack.append((name, score, serial, by_name and kind >= 0 and not hidden))
     if at < len(page):
         add(page[at:])
     pop_to(1)

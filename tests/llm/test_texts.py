@@ -283,3 +283,19 @@ def test_elements_without_end_tag_end_with_their_parent(start):
     article = "<article><h1>A title</h1><p>The first paragraph of it, <svg><title>No</title><a><path d=1></a></svg>which is whole.<p>The second paragraph of it.</article>"
     want = "A title\nThe first paragraph of it, which is whole.\nThe second paragraph of it."
     assert html_extraction.main_text(f"<html>{start}{article}</html>") == want
+
+
+@pytest.mark.parametrize(
+    "before,after",
+    [
+        ('<body class="single-post has-sidebar comments-open"><div>', "</div></body>"),
+        ('<body class="sidebar" id=search><main id="search-results" role=main>', "</main></body>"),
+        ('<body><div class="search-page with-comments" data-id="comments" title="a hidden class = comments">', "</div></body>"),
+        ('<body><div class="sidebar">', "</div></body>"),
+    ],
+)
+def test_names_on_what_holds_the_article_do_not_empty_the_page(before, after):
+    rest = '<div class="comments"><p>A reader says that this was fine, and says so at length.</p><article class="comment-body"><p>Another reader says the same at length.</p></article></div>'
+    hidden = '<aside><article><p>A teaser of some other article, at length.</p></article></aside><div hidden><article><p>Never seen by any reader of the page.</p></article></div>'
+    page = f"<html>{before}<article class='post comments-open'><h1>A title</h1><p>The first paragraph of it, at some length.</p></article>{rest}{hidden}{after}</html>"
+    assert html_extraction.main_text(page) == "A title\nThe first paragraph of it, at some length."
