@@ -21,7 +21,7 @@ from gleaner.functions.records import CARD_FLAGS, PASSAGE, SELF_CHECK_FLAGS, STA
 from gleaner.functions.responses import json_object, token_usage, usable
 from gleaner.functions.strict import violations
 from gleaner.functions.text import strip
-from gleaner.operators import checks, export, preparation, requests
+from gleaner.operators import checks, export, intake, preparation, requests
 from gleaner.operators.requests import ModelOptions
 from gleaner.sources.readers import prompt_table, stored
 from gleaner.sources.writers import append_table, write_bank, write_jsonl, write_table
@@ -61,9 +61,41 @@ def supplied(limits: preparation.Limits) -> Preparer:
     return lambda seeds: preparation.selection(preparation.scored(preparation.supplied_candidates(seeds)), limits)
 
 
-def same_article(corpus: DataFrame, prefix: str, limits: preparation.Limits) -> Preparer:
+@dataclass(frozen=True)
+class same_article:
     """Preparation with further passages of the seeds' articles."""
-    return lambda seeds: preparation.selection(preparation.scored(preparation.article_candidates(seeds, corpus, prefix, limits.candidates)), limits)
+
+    corpus: DataFrame
+    prefix: str
+    limits: preparation.Limits
+
+    def __call__(self, seeds: DataFrame) -> DataFrame:
+        return preparation.selection(preparation.scored(preparation.article_candidates(seeds, self.corpus, self.prefix, self.limits.candidates)), self.limits)
+
+    def seed_errors(self, seeds: DataFrame) -> DataFrame:
+        """(group_id, error) of groups with a seed that is not in the corpus as given; the first such seed's."""
+        wrong = preparation.seed_errors(seeds, self.corpus, self.prefix).where("error is not null")
+        return wrong.groupBy("group_id").agg(F.min_by(F.concat_ws(": ", "error", "passage_id"), "pos").alias("error"))
+
+
+def candidate_errors(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(group_id, error) of groups that lost a seed or hold a candidate more than once."""
+    lost = preparation.missing_seeds(seeds, candidates).select("group_id", F.concat(F.lit("seed is not among the candidates: "), "passage_id").alias("error"))
+    twice = preparation.repeated_candidates(candidates).select("group_id", F.concat(F.lit("repeated candidate: "), "passage_id").alias("error"))
+    return lost.unionByName(twice).groupBy("group_id").agg(F.min("error").alias("error"))
+
+
+def sound(groups: DataFrame) -> DataFrame:
+    """The groups, if there are any and nothing in them multiplies rows of later joins or contradicts itself.
+
+    Passages that are too long or blank stop nothing: preparation filters them.
+    """
+    rows = intake.require_groups(groups).withColumn("group_row", F.monotonically_increasing_id())
+    passages = rows.select("group_id", "group_row", F.posexplode("passages").alias("pos", "p")).select("group_id", "group_row", "pos", "p.*")
+    wrong = intake.group_violations(passages).where(F.col("violation").isin("duplicate group_id", "duplicate passage in group", "conflicting texts")).head(5)
+    if wrong:
+        raise ValueError("passage groups break the rules: " + "; ".join(f"{r.violation} ({r.key})" for r in wrong))
+    return groups
 
 
 def citations_of(stage: str, v: Column) -> Column:
@@ -192,13 +224,21 @@ class Build:
 
     def run(self, groups: DataFrame) -> DataFrame:
         """Run all stages and write every output; gives the outcomes (group_id, status, rejection_stage, error)."""
-        self.check_identity(groups)
+        self.check_identity(sound(groups))
         write_table(groups, self.path("passage_groups"))
         empty = self.spark.createDataFrame([(False,)], "complete boolean")
         write_table(empty, self.path("summary"))
         seeds = groups.select("group_id", F.posexplode("passages").alias("pos", "p")).select("group_id", "pos", "p.*")
-        audit = write_table(self.preparer(seeds), self.path("candidate_audit"))
-        ready = preparation.prepared_groups(audit).join(groups.drop("passages"), "group_id")
+        if isinstance(self.preparer, same_article):
+            astray = write_table(self.preparer.seed_errors(seeds), self.path("seed_errors"))
+            seeds = seeds.join(astray, "group_id", "left_anti")
+            audit = write_table(self.preparer(seeds), self.path("candidate_audit"))
+            faults = astray.unionByName(candidate_errors(seeds, audit))
+        else:
+            audit = write_table(self.preparer(seeds), self.path("candidate_audit"))
+            faults = candidate_errors(seeds, audit)
+        faults = write_table(faults.withColumn("error", F.concat(F.lit("source_preparation: "), "error")), self.path("preparation_errors"))
+        ready = preparation.prepared_groups(audit).join(groups.drop("passages"), "group_id").join(faults, "group_id", "left_anti")
         blank = {"candidates": F.lit(0), "review": F.lit(None).cast("string")}
         state = write_table(ready.withColumns(blank), self.path("prepared_passage_groups"))
 
@@ -248,12 +288,13 @@ class Build:
         c = F.col("grounded.card")
         clean = F.struct(strip(c["concept_name"]).alias("concept_name"), strip(c["definition"]).alias("definition"), *[F.transform(c[x], strip).alias(x) for x in ("trigger", "decision", "pitfall")])
         accepted = write_table(passed.select("group_order", "card_index", "group_id", "subject", clean.alias("card"), origin.alias("origin")), self.path("accepted_cards"))
-        outcomes = self.outcomes(groups, state, payloads, accepted)
+        outcomes = self.outcomes(groups, faults, state, payloads, accepted)
         self.write_outputs(outcomes, audit, payloads, accepted)
         return outcomes
 
-    def outcomes(self, groups: DataFrame, state: DataFrame, payloads: dict[str, DataFrame], accepted: DataFrame) -> DataFrame:
+    def outcomes(self, groups: DataFrame, faults: DataFrame, state: DataFrame, payloads: dict[str, DataFrame], accepted: DataFrame) -> DataFrame:
         out = groups.select("group_id", "group_order", "subject").join(state.select("group_id", F.lit(True).alias("prepared")), "group_id", "left")
+        out = out.join(faults.withColumnRenamed("error", "preparation_error"), "group_id", "left")
         for stage, found in payloads.items():
             out = out.join(found.select("group_id", F.col("payload").alias(stage), F.col("error").alias(f"{stage}_error")), "group_id", "left")
         out = out.join(accepted.select("group_id").distinct().withColumn("accepted", F.lit(True)), "group_id", "left")
@@ -261,10 +302,11 @@ class Build:
         repairs = F.from_json("card_repair", STAGE_TYPES["card_repair"])["repairs"]
         n = F.size(F.from_json("extraction", STAGE_TYPES["extraction"])["cards"])
         dropped = F.size(F.filter(repairs, lambda r: r["replacement"].isNull()))
+        errors = ["preparation_error", *[f"{s}_error" for s in payloads]]
         o = export.outcome(
-            F.col("prepared"), checks.gate([check[f] for f in SELF_CHECK_FLAGS], check["issues"]), n, n - dropped, F.col("accepted"), F.col("card_repair").isNotNull(), F.coalesce(*[f"{s}_error" for s in payloads])
+            F.col("prepared"), checks.gate([check[f] for f in SELF_CHECK_FLAGS], check["issues"]), n, n - dropped, F.col("accepted"), F.col("card_repair").isNotNull(), F.coalesce(*errors)
         )
-        out = out.withColumns({"o": o, "error": F.coalesce(*[f"{s}_error" for s in payloads])})
+        out = out.withColumns({"o": o, "error": F.coalesce(*errors)})
         return write_table(out.select("group_id", "group_order", "subject", "o.status", "o.rejection_stage", "error", *payloads), self.path("outcomes"), "status")
 
     def write_outputs(self, outcomes: DataFrame, audit: DataFrame, payloads: dict[str, DataFrame], accepted: DataFrame) -> None:

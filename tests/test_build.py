@@ -150,3 +150,27 @@ def test_arriving_groups(spark, groups, tmp_path):
     query = build_arrivals(stream, lambda batch, i: Kept(), str(tmp_path / "check")).trigger(availableNow=True).start()
     query.awaitTermination(300)
     assert sorted(seen) == ["g0", "g1"]
+
+
+def test_groups_with_broken_seeds_are_errors_and_call_nothing(spark, tmp_path):
+    from gleaner.operators.preparation import Limits
+    from gleaner.plans.build import same_article
+
+    texts = {f"{i}#{k}": TEXT.format(f"{i} {k}") for i in range(4) for k in range(2)}
+    corpus = spark.createDataFrame([(p.split("#")[0], p, "T", t) for p, t in texts.items()], "article_id string, passage_id string, title string, text string")
+    seeds = {"good": ("s:0#0", "0#0", "T", texts["0#0"]), "edited": ("s:1#0", "1#0", "T", texts["1#0"] + " Edited."), "absent": ("s:9#0", "9#0", "T", TEXT.format(9)), "prefix": ("x:2#0", "2#0", "T", texts["2#0"])}
+    groups = spark.createDataFrame([(g, i, "physics", "documents", "en", [p]) for i, (g, p) in enumerate(seeds.items())], group_schema())
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    preparer = same_article(corpus, "s:", Limits())
+    out = {r.group_id: r for r in Build(spark, str(tmp_path / "r"), counting(str(calls)), Options(model=ModelOptions(concurrency=2)), preparer).run(groups).collect()}
+    assert out["good"].status != "error" and out["good"].application is not None
+    for g, words in (("edited", "differs from the corpus: 1#0"), ("absent", "not found in the corpus: 9#0"), ("prefix", "does not match the corpus prefix: 2#0")):
+        assert out[g].status == "error" and out[g].error.startswith("source_preparation: ") and words in out[g].error and out[g].application is None
+    assert {r.group_id for r in spark.read.parquet(str(tmp_path / "r" / "requests" / "application")).collect()} == {"good"}
+
+
+def test_groups_that_break_the_rules_stop_the_run(spark, groups, tmp_path):
+    for i, (rows, words) in enumerate(((groups.limit(0), "at least one"), (groups.where("group_order < 2").unionByName(groups.where("group_order < 1")), "duplicate group_id"))):
+        with pytest.raises(ValueError, match=words):
+            Build(spark, str(tmp_path / str(i)), scripted_model, Options()).run(rows)
