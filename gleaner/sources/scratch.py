@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; where that is unset, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gleaner-")
+    """A new folder under spark.checkpoint.dir, which all executors share; where that is unset, and driver and executors are one process, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="gleaner-")
     return f"{root.rstrip('/')}/gleaner/{name}-{uuid.uuid4().hex}"
