@@ -26,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset, and driver and executors are one process, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("gleaner.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gleaner-")
         spark.conf.set("gleaner.shared.dir", found)
     return found.rstrip("/")
@@ -50,8 +52,11 @@ class Stages:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
 
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
+        path = self.path(name)
         before = self.spark.conf.get(self.CLEANUP, None)
         self.spark.conf.set(self.CLEANUP, "true")
         try:
@@ -65,7 +70,7 @@ class Stages:
 
     def drop(self, name: str) -> None:
         """Remove a staged table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -96,16 +101,30 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = 1 << 22):
         start = stop
 
 
+#: mallopt's numbers (fixed values): one arena, and blocks from 256 KB up, or a megabyte at the heap's end, go back to the system.
+ARENA_MAX, MMAP_THRESHOLD, TRIM_THRESHOLD = (-8, 1), (-3, 1 << 18), (-1, 1 << 20)
+
+
+def lean() -> None:
+    """Make this Python worker give memory back: Spark keeps it for later tasks, and idle memory counts against the executor."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    if sys.platform.startswith("linux"):
+        c = ctypes.CDLL(None)
+        if hasattr(c, "mallopt"):
+            for option in (ARENA_MAX, MMAP_THRESHOLD, TRIM_THRESHOLD):
+                c.mallopt(*option)
+
+
 def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same work on a partition; afterwards the worker, which Spark keeps for later tasks, gives freed memory back."""
+    """The same work on a partition, in a worker that gives freed memory back during the partition and at its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         yield from work(batches)
         pa.default_memory_pool().release_unused()
         if sys.platform.startswith("linux"):
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except AttributeError:  # a C library without it
-                pass
+            c = ctypes.CDLL(None)
+            if hasattr(c, "malloc_trim"):
+                c.malloc_trim(0)
 
     return run

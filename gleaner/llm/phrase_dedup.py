@@ -1,17 +1,20 @@
 """Substring dedup by repeated-phrase automata.
 
 Passages that may recur (see repeats.py) are grouped by the phrase that
-anchors them. In each block of groups the windows that stand in two passages
-are confirmed as recurring phrases, compiled into one Aho-Corasick automaton
-over word numbers, and every passage of the block is streamed through it to
-locate all occurrences; blocks are the automaton's shards, so its size is
-bounded. A word goes when a located window that covers it also starts in a
-document of smaller doc_id.
+anchors them, which routes every passage of every document to the shard that
+can know it. In each shard the recurring phrases are confirmed, compiled into
+one Aho-Corasick automaton over word numbers, and every passage is streamed
+through it to locate all occurrences. A phrase is a window that stands in two
+passages, or a run of windows of a passage that recurs as a whole. What the
+automaton locates alone decides: a word goes when a located window that covers
+it also starts in a document of smaller doc_id.
 
 Defined results: a null text has no words; texts with fewer words than the
-window lose nothing; rows without doc_id take no part and keep everything;
-rows that share a doc_id must share their text and then get equal results; an
-empty table gives no rows; further columns are ignored.
+window lose nothing; rows without doc_id take no part and keep everything (with
+`unnamed` they come after all others); rows that share a doc_id and differ in
+text are documents of their own, in the order of a hash of their texts, and
+rows equal in both get equal results; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import Stages, table, trimmed
-from gleaner.llm.repeats import Block, Units, earlier, merged, repeated_spans, rows_of, with_spans
+from gleaner.llm.repeats import Block, Units, earliest, merged, repeated_spans, rows_of, with_spans
+from gleaner.llm.suffix_dedup import window_runs
 from gleaner.llm.words import mixed, prefix_hash, span_hash
 
 UNITS = Units(words=True, window=50, anchor=10, within=False)
@@ -41,51 +45,44 @@ def numbered(passages: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def located_windows(window: int):
-    """The matcher of repeats.py that compiles a block's recurring phrases and streams its passages through them."""
+    """The matcher of repeats.py that compiles a shard's recurring phrases and streams its passages through them."""
 
-    def match(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    def match(block: Block) -> tuple[np.ndarray, ...]:
         flat, at = numbered(block.passages)
-        n = np.diff(at) - window + 1
+        n = np.maximum(np.diff(at) - window + 1, 0)
         passage = np.repeat(np.arange(len(n)), n)
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         start = at[passage] + offset
         prefix = prefix_hash(mixed(flat.astype(np.uint64)))
-        _, kind, first, count = unique_windows(span_hash(prefix, start, start + window))
-        likely = first[count > 1]
-        nothing = np.empty(0, np.int64), np.empty(0, np.int64)
-        if not len(likely):
-            return nothing
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        run, first, size, alike = window_runs(span_hash(prefix, start, start + window), passage, offset, block.copies)
+        if not len(run):
+            return (np.empty(0, np.int64),) * 5
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         phrases = 0
-        for i in likely.tolist():
-            key = tuple(flat[start[i] : start[i] + window].tolist())
-            if key not in automaton:
-                automaton.add_word(key, phrases)
-                phrases += 1
+        for p, o, k, a in zip((at[run] + first).tolist(), first.tolist(), size.tolist(), alike.tolist()):
+            # windows that other passages may hold are phrases of their own; other runs recur as one
+            for i, k in [(p + j, 1) for j in range(k)] if a else [(p, k)]:
+                key = tuple(flat[i : i + k + window - 1].tolist())
+                if key not in automaton:
+                    automaton.add_word(key, (phrases, k))
+                    phrases += 1
         automaton.make_automaton()
-        found: list[tuple[int, int, int]] = []
-        # only passages with a likely window can hold a phrase: equal windows have equal hashes
-        for p in np.unique(passage[count[kind] > 1]).tolist():
-            found += [(phrase, p, end - window + 1) for end, phrase in automaton.iter(tuple(flat[at[p] : at[p + 1]].tolist()))]
-        if not found:
-            return nothing
-        phrase, where, place = np.array(found, np.int64).T
-        late = earlier(phrase, block.docs[where], block.starts[where] + place, False)
-        return where[late], place[late]
+        found: list[tuple[int, int, int, int]] = []
+        for p in np.unique(run).tolist():  # the others hold no phrase: equal windows have equal hashes
+            found += [(phrase, p, end - window - k + 2, k) for end, (phrase, k) in automaton.iter(tuple(flat[at[p] : at[p + 1]].tolist()))]
+        phrase, where, place, k = np.array(found, np.int64).reshape(-1, 4).T
+        places = block.places[where]
+        places[:, 2] += place
+        lead = earliest(phrase, places)
+        return where, place, k, where[lead], place[lead]
 
     return match
 
 
-def unique_windows(hashes: np.ndarray):
-    """np.unique with, for each kind, the first place and the count."""
-    values, first, kind, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-    return values, kind, first, count
-
-
-def removal_spans(docs: DataFrame, units: Units = UNITS) -> DataFrame:
-    """(doc_id, start, end): runs of words to remove; runs of a document may overlap."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return repeated_spans(keyed, units, located_windows(units.window), Stages(docs.sparkSession, "phrase"), block=2_000)
+def removal_spans(docs: DataFrame, units: Units = UNITS, unnamed: bool = False) -> DataFrame:
+    """(doc, tie, start, end): runs of words to remove (see repeats.py); runs of a document may overlap. unnamed: rows without doc_id take part."""
+    rows = docs.select("doc_id", "text") if unnamed else docs.select("doc_id", "text").where("doc_id is not null")
+    return repeated_spans(rows, units, located_windows(units.window), Stages(docs.sparkSession, "phrase"), block=1_000)
 
 
 def deduplicated(docs: DataFrame, spans: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -113,7 +110,7 @@ def deduplicated(docs: DataFrame, spans: DataFrame, keep: tuple[str, ...] = ("do
             made = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(rows + made, names=[*kept, "n_words", "n_removed", "kept_sha256", "text"])
 
-    return with_spans(source, spans).mapInArrow(trimmed(run), schema)
+    return with_spans(source, spans, Stages(docs.sparkSession, "phrase")).mapInArrow(trimmed(run), schema)
 
 
 def op6_phrase_dedup(spark, sf_dir) -> DataFrame:

@@ -7,31 +7,44 @@ twice need a closer look. Neighbouring windows with one anchor form a passage
 of window + n - 1 units, which travels as one row instead of n.
 
 1. Anchors are counted; those that occur once are dropped.
-2. Passages around the rest are cut from the texts and compared whole: all but
-   the first occurrence of equal passages are repeats.
-3. Passages that share an anchor and differ go, grouped by anchor, to an exact
-   matcher, which finds the windows that they share. Anchors with more
-   different passages than `hot` are dealt out by window instead, keyed by a
-   128-bit digest, so one frequent phrase never lands in one task.
-
-Each step is a written table. What grows with the input is shuffled by hash,
-never broadcast, and joins on frequent anchors can be split by AQE.
+2. Passages around the rest are cut from the texts. Equal ones (by a 128-bit
+   cryptographic digest) are merged into one with its first place and the
+   number of its places; a passage that has one place and its anchor to itself
+   can't repeat and is dropped.
+3. The merged passages go, grouped by anchor, to an exact matcher. It decides
+   about every window of every passage: where in the collection that window
+   stands first. Without its word nothing is removed.
+4. All places of a passage take what the matcher said of it: a window that
+   stands after its first place is a repeat.
+
+An anchor with more than `hot` different passages is dealt out by window: its
+passages are cut into single windows, merged and matched in the same way, so
+one frequent phrase never lands in one task.
+
+Documents stand in the order of doc_id. Rows that share a doc_id and differ in
+text are documents of their own, in the order of a hash of their texts; rows
+equal in both are one document, and come out alike.
+
+Each step is a written table. What grows with the input is shuffled by hash
+and sorted, never broadcast, and joins on frequent keys can be split by AQE.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import Stages, pieces, trimmed, utf8
 from gleaner.llm.words import BYTE_VALUES, mixed, prefix_hash, span_hash, word_hashes, word_spans
 
+#: The place of documents without doc_id.
+LAST = (1 << 63) - 1
 PLACE_BITS = 20
 STRIDE = 1 << 19
 
@@ -61,12 +74,6 @@ class Units:
         part = units[start : start + n + self.window - 1]
         return b" ".join(part) if self.words else part
 
-    def window_keys(self, passage: bytes) -> list[bytes]:
-        """A 128-bit digest of each window of a passage."""
-        parts = passage.split(b" ") if self.words else passage
-        join = b" ".join if self.words else bytes
-        return [xxhash.xxh3_128_digest(join(parts[i : i + self.window])) for i in range(len(parts) - self.window + 1)]
-
 
 def anchored_runs(values: np.ndarray, at: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: row, first window's start in the row, number of windows, hash of the anchor."""
@@ -105,164 +112,204 @@ def anchored_runs(values: np.ndarray, at: np.ndarray, window: int, anchor: int)
     return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, starts, counts, hashes))
 
 
+def keyed(docs: DataFrame, stages: Stages) -> DataFrame:
+    """docs with doc and tie, which tell documents apart and put them in order: doc_id (those without come last), and a hash of the text where doc_id doesn't tell."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    rows = docs.withColumn("doc", doc)
+    again = stages.put(rows.groupBy("doc").agg(F.count("*").alias("n")).where(f"n > 1 or doc = {LAST}").select("doc", F.lit(True).alias("again")), "repeated_ids")
+    if again.isEmpty():
+        return rows.withColumn("tie", F.lit(0).cast("long"))
+    # a written table: Spark broadcasts it only where its real size is below the threshold
+    return rows.join(again, "doc", "left").withColumn("tie", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("again")
+
+
 def anchors(docs: DataFrame, units: Units, places: bool) -> DataFrame:
-    """(h), or with places (h, doc_id, run), of every run of windows; run packs its start and number of windows."""
+    """(h), or with places (h, doc, tie, run), of every run of windows; run packs its start and number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text", 1 << 20):
-                values, at = units.values(batch.column(1))
+                values, at = units.values(batch.column(2))
                 row, start, n, h = anchored_runs(values, at, units.window, units.anchor)
                 if not places:
                     yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
                 else:
-                    ids = batch.column(0).to_numpy()[row]
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(start * 256 + n)], names=["h", "doc_id", "run"])
+                    doc, tie = (batch.column(i).to_numpy()[row] for i in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, doc, tie, start * 256 + n)], names=["h", "doc", "tie", "run"])
+
+    return docs.mapInArrow(trimmed(run), "h long, doc long, tie long, run long" if places else "h long")
+
+
+def digest(passage: bytes) -> bytes:
+    return hashlib.blake2b(passage, digest_size=16).digest()
+
+
+def cut(docs: DataFrame, runs: DataFrame, units: Units, how: str) -> DataFrame:
+    """The passages of runs(doc, tie, h, run, copies).
+
+    how: "digests" gives (h, sk, doc, tie, start, n); "windows" the same for
+    every window of them alone; "passages" gives (h, sk, doc, tie, start,
+    copies, passage).
+    """
+    lists = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("h", "run", "copies")).alias("runs"))
+    source = docs.join(lists.hint("merge"), ["doc", "tie"]).select("doc", "tie", "text", "runs")
+    whole = how == "passages"
+    names = ["h", "sk", "doc", "tie", "start", "copies", "passage"] if whole else ["h", "sk", "doc", "tie", "start", "n"]
+    kinds = {"sk": pa.binary(), "passage": pa.binary()}
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kinds.get(name, pa.int64())) for name, x in zip(names, zip(*out))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            size = 0
+            for doc, tie, text, runs in zip(*batch.columns):
+                parts = units.cut(text.as_py())
+                doc, tie, runs = doc.as_py(), tie.as_py(), runs.values
+                for h, packed, copies in zip(*[runs.field(i).to_pylist() for i in range(3)]):
+                    start, n = packed >> 8, packed & 255
+                    passage = units.passage(parts, start, n)
+                    if whole:
+                        out.append((h, digest(passage), doc, tie, start, copies, passage))
+                        size += len(passage) + 50
+                    elif how == "digests":
+                        out.append((h, digest(passage), doc, tie, start, n))
+                        size += 60
+                    else:
+                        inside = units.cut(passage.decode("utf-8", "surrogatepass")) if units.words else passage
+                        for i in range(n):
+                            out.append((h, digest(units.passage(inside, i, 1)), doc, tie, start + i, 1))
+                        size += 60 * n
+                    if size > 1 << 22:
+                        yield batch_of(out)
+                        out, size = [], 0
+            if out:
+                yield batch_of(out)
 
-    return docs.mapInArrow(trimmed(run), "h long, doc_id long, run long" if places else "h long")
+    schema = ", ".join(f"{x} {'binary' if x in kinds else 'long'}" for x in names)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 @dataclass
 class Block:
-    """Different passages, grouped by anchor: their bytes, documents and starts."""
+    """Different passages, grouped by anchor: their bytes, how often each stands in the collection, and its first place (doc, tie, start)."""
 
     passages: list[bytes]
-    docs: np.ndarray
-    starts: np.ndarray
+    copies: np.ndarray
+    places: np.ndarray
 
 
-#: Gives the windows of a block that also start at an earlier place in it, as passage and offset in units.
-Matcher = Callable[[Block], tuple[np.ndarray, np.ndarray]]
+#: Tells of runs of windows where each of them stands first: passage, offset in units, number of windows, and passage and
+#: offset of the run's first place. Windows of a passage with one place may be left out where they stand there first.
+Matcher = Callable[[Block], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def earlier(group: np.ndarray, docs: np.ndarray, places: np.ndarray, within: bool) -> np.ndarray:
-    """Which of the windows, equal when their groups are, is not the earliest of its group (without `within`: not of the earliest document)."""
-    order = np.lexsort((places, docs, group))
-    g, d, p = group[order], docs[order], places[order]
-    first = np.ones(len(g), bool)
-    first[1:] = g[1:] != g[:-1]
-    lead = np.maximum.accumulate(np.where(first, np.arange(len(g)), 0))
-    late = (d != d[lead]) | (p != p[lead]) if within else d != d[lead]
-    out = np.zeros(len(g), bool)
-    out[order] = late
+def earliest(group: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each row the row of its group with the least place."""
+    order = np.lexsort((places[:, 2], places[:, 1], places[:, 0], group))
+    g = group[order]
+    new = np.ones(len(g), bool)
+    new[1:] = g[1:] != g[:-1]
+    out = np.empty(len(g), np.int64)
+    out[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))]
     return out
 
 
-def spans_of(passage: np.ndarray, offset: np.ndarray, block: Block, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_id, start and end of the runs that windows cover."""
+def joined_runs(passage: np.ndarray, offset: np.ndarray, n: np.ndarray, first_passage: np.ndarray, first_offset: np.ndarray) -> list[np.ndarray]:
+    """Runs that continue one another, here and at their first places, as one."""
     order = np.lexsort((offset, passage))
-    i, r = passage[order], offset[order]
-    new = np.ones(len(i), bool)
-    new[1:] = (i[1:] != i[:-1]) | (r[1:] != r[:-1] + 1)
-    first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(i)))
-    start = block.starts[i[first]] + r[first]
-    return block.docs[i[first]], start, start + n - 1 + window
+    p, o, n, fp, fo = (x[order] for x in (passage, offset, n, first_passage, first_offset))
+    new = np.ones(len(p), bool)
+    new[1:] = (p[1:] != p[:-1]) | (o[1:] != o[:-1] + n[:-1]) | (fp[1:] != fp[:-1]) | (fo[1:] != fo[:-1] + n[:-1])
+    at = np.flatnonzero(new)
+    return [p[at], o[at], np.add.reduceat(n, at) if len(at) else n, fp[at], fo[at]]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Block]:
-    """Blocks of about `size` passages from rows sorted by anchor; an anchor's passages stay together."""
+def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Tables of about `size` passages from rows sorted by h; the passages of one h stay together."""
     held: list[pa.RecordBatch] = []
     n = 0
-
-    def made(table: pa.Table) -> Block:
-        return Block(table.column("passage").to_pylist(), table.column("doc_id").to_numpy(), table.column("start").to_numpy())
-
     for batch in batches:
         held.append(batch)
         n += batch.num_rows
         if n >= size:
             table = pa.Table.from_batches(held)
             h = table.column("h").to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))
-            if cut:
-                yield made(table.slice(0, cut))
-                held = table.slice(cut).combine_chunks().to_batches()
-                n = len(h) - cut
+            edges = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+            done = 0
+            while n - done >= size and (later := edges[(edges >= done + size) & (edges < len(h))]).size:
+                yield table.slice(done, int(later[0]) - done)
+                done = int(later[0])
+            held = table.slice(done).combine_chunks().to_batches()
+            n -= done
     if n:
-        yield made(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
 
 
-def repeated_spans(docs: DataFrame, units: Units, matcher: Matcher, stages: Stages, hot: int = 32_000, block: int = 6_000) -> DataFrame:
-    """(doc_id, start, end), in units, of runs of windows that also start earlier in the collection; runs of a document may overlap.
+def repeated_spans(docs: DataFrame, units: Units, matcher: Matcher, stages: Stages, hot: int = 8_000, block: int = 2_000) -> DataFrame:
+    """(doc, tie, start, end), in units, of runs of windows that also start earlier in the collection; runs of a document may overlap.
 
-    docs: (doc_id long without nulls, text). Rows that share a doc_id must
-    share their text; they then count as one document.
+    docs: (doc_id, text). A null text has no windows.
     """
     window = units.window
+    docs = _without_equal_rows(keyed(docs.select("doc_id", "text"), stages).where("text is not null").select("doc", "tie", "text"), stages)
     common = stages.put(anchors(docs, units, False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "common")
-    found = anchors(docs, units, True).join(common.hint("shuffle_hash"), "h", "left_semi")
-    found = stages.put(found, "found")
+    found = stages.put(anchors(docs, units, True).join(common.hint("merge"), "h", "left_semi").withColumn("copies", F.lit(1).cast("long")), "found")
     stages.drop("common")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            size = 0
-            for doc, text, runs in zip(*batch.columns):
-                parts = units.cut(text.as_py())
-                doc = doc.as_py()
-                runs = runs.values
-                for h, run in zip(runs.field("h").to_pylist(), runs.field("run").to_pylist()):
-                    passage = units.passage(parts, run >> 8, run & 255)
-                    size += len(passage)
-                    for column, value in zip(out, (h, xxhash.xxh3_64_intdigest(passage) - (1 << 63), doc, run >> 8, run & 255, passage)):
-                        column.append(value)
-                    if size > 1 << 22:
-                        yield _passages(out)
-                        out, size = [[], [], [], [], [], []], 0
-            if out[0]:
-                yield _passages(out)
-
-    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("h", "run")).alias("runs"))
-    cuts = docs.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "runs")
-    passages = stages.put(cuts.mapInArrow(trimmed(cut), "h long, sk long, doc_id long, start long, n long, passage binary"), "passages")
-    stages.drop("found")
-
-    # equal passages: all but the first occurrence repeat
-    firsts = stages.put(passages.groupBy("h", "sk").agg(F.min(F.struct("doc_id", "start")).alias("first")), "firsts")
-    light = passages.select("h", "sk", "doc_id", "start", "n").join(firsts.hint("merge"), ["h", "sk"])
-    late = F.struct("doc_id", "start") > F.col("first") if units.within else F.col("doc_id") > F.col("first.doc_id")
-    whole = light.where(late).select("doc_id", "start", (F.col("start") + F.col("n") - 1 + window).alias("end"))
-
-    # different passages with one anchor
-    several = stages.put(firsts.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
-    chosen = firsts.join(several.hint("shuffle_hash"), "h").select("h", "sk", "first", "kinds")
-    own = (F.struct("doc_id", "start") == F.col("first")) if units.within else (F.col("doc_id") == F.col("first.doc_id"))
-    differing = passages.join(chosen.hint("merge"), ["h", "sk"]).where(own).select("h", "sk", "doc_id", "start", "kinds", "passage").dropDuplicates(["h", "sk", "doc_id", "start"])
-    differing = stages.put(differing, "differing")
+    places = stages.put(cut(docs, found, units, "digests"), "places")
+
+    def merged_passages(rows: DataFrame) -> DataFrame:
+        first = F.min(F.struct("doc", "tie", "start")).alias("first")
+        return rows.groupBy("sk").agg(first, F.count("*").alias("copies"), F.first("h").alias("h"), F.first("n").alias("n"))
+
+    kinds = stages.put(merged_passages(places), "kinds")
+    several = stages.put(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
+    frequent = stages.put(several.where(F.col("kinds") > hot).select("h"), "frequent")
+    chosen = kinds.join(several.hint("merge"), "h", "left").where((F.col("copies") > 1) | F.col("kinds").isNotNull()).where(F.coalesce("kinds", F.lit(0)) <= hot)
+    runs = chosen.select("first.*", "h", "n", "copies")
+    if not frequent.isEmpty():
+        again = found.join(frequent, "h", "left_semi")
+        single = stages.put(cut(docs, again, units, "windows"), "single")
+        places = places.unionByName(single)
+        # windows that occur twice; each is matched alone, so they spread by their own digest
+        runs = runs.unionByName(merged_passages(single).where("copies > 1").select("first.*", F.xxhash64("sk").alias("h"), "n", "copies"))
+    runs = runs.select("doc", "tie", "h", (F.col("start") * 256 + F.col("n")).alias("run"), "copies")
+    passages = cut(docs, runs, units, "passages").repartition("h").sortWithinPartitions("h", "doc", "tie", "start")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, block):
-            passage, offset = matcher(b)
-            if len(passage):
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in spans_of(passage, offset, b, window)], names=["doc_id", "start", "end"])
-
-    cold = differing.where(F.col("kinds") <= hot).select("h", "doc_id", "start", "passage").repartition("h").sortWithinPartitions("h", "doc_id", "start")
-    shared = cold.mapInArrow(trimmed(match), "doc_id long, start long, end long")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, ids, starts = [], [], []
-            for doc, start, passage in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                made = units.window_keys(passage)
-                keys += made
-                ids += [doc] * len(made)
-                starts += range(start, start + len(made))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64())], names=["key", "doc_id", "start"])
-
-    dealt = differing.where(F.col("kinds") > hot).select("doc_id", "start", "passage").mapInArrow(trimmed(windows), "key binary, doc_id long, start long")
-    first = dealt.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    frequent = dealt.join(first.hint("merge"), "key").where(late).select("doc_id", "start", (F.col("start") + window).alias("end"))
-    spans = stages.put(whole.unionByName(shared).unionByName(frequent), "spans")
-    for name in ("passages", "firsts", "several", "differing"):
+        for table in blocks(batches, block):
+            place = np.stack([table.column(c).to_numpy() for c in ("doc", "tie", "start")], axis=1)
+            copies = table.column("copies").to_numpy()
+            p, o, n, fp, fo = matcher(Block(table.column("passage").to_pylist(), copies, place))
+            use = np.flatnonzero((copies[p] > 1) | (fp != p) | (fo != o))
+            if not len(use):
+                continue
+            p, o, n, fp, fo = joined_runs(*(x[use] for x in (p, o, n, fp, fo)))
+            sk = table.column("sk").combine_chunks().take(pa.array(p))
+            rows = [pa.array(x.astype(np.int64)) for x in (o, n, place[fp, 0], place[fp, 1], place[fp, 2] + fo)]
+            yield pa.RecordBatch.from_arrays([sk, *rows], names=["sk", "offset", "windows", "first_doc", "first_tie", "first_start"])
+
+    said = stages.put(passages.mapInArrow(trimmed(match), "sk binary, offset long, windows long, first_doc long, first_tie long, first_start long"), "said")
+    start = F.col("start") + F.col("offset")
+    here, first = [F.col("doc"), F.col("tie")], [F.col("first_doc"), F.col("first_tie")]
+    if units.within:
+        here, first = [*here, start.alias("start")], [*first, F.col("first_start").alias("start")]
+    late = F.struct(*[x.alias(f"x{i}") for i, x in enumerate(first)]) < F.struct(*[x.alias(f"x{i}") for i, x in enumerate(here)])
+    spans = places.select("sk", "doc", "tie", "start").join(said.hint("merge"), "sk").where(late).select("doc", "tie", start.alias("start"), (start + F.col("windows") - 1 + window).alias("end"))
+    spans = stages.put(spans, "spans")
+    for name in ("repeated_ids", "found", "places", "kinds", "several", "frequent", "single", "said"):
         stages.drop(name)
     return spans
 
 
-def _passages(out: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["h", "sk", "doc_id", "start", "n", "passage"])
+def _without_equal_rows(docs: DataFrame, stages: Stages) -> DataFrame:
+    """docs(doc, tie, text) with each (doc, tie) once; only rows of repeated ids, whose tie is a hash, are compared."""
+    again = stages.spark.read.parquet(stages.path("repeated_ids"))
+    if again.isEmpty():
+        return docs
+    rest = docs.join(again, "doc", "left_anti")
+    return stages.put(rest.unionByName(docs.join(again, "doc", "left_semi").dropDuplicates(["doc", "tie"])), "distinct_rows")
 
 
 def merged(spans: np.ndarray, length: int) -> np.ndarray:
@@ -279,10 +326,10 @@ def merged(spans: np.ndarray, length: int) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]], axis=1)
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def with_spans(docs: DataFrame, spans: DataFrame, stages: Stages) -> DataFrame:
     """docs with spans array<struct<start, end>>, null where a document has none."""
-    lists = spans.groupBy(F.col("doc_id").alias("span_doc")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return docs.join(lists.hint("shuffle_hash"), docs.doc_id == lists.span_doc, "left").drop("span_doc")
+    lists = spans.groupBy("doc", "tie").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return keyed(docs, stages).join(lists.hint("merge"), ["doc", "tie"], "left").drop("doc", "tie")
 
 
 def rows_of(batch: pa.RecordBatch, column: str = "spans") -> Iterator[np.ndarray]:

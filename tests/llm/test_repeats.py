@@ -9,7 +9,7 @@ import pytest
 
 from gleaner.llm import phrase_dedup, suffix_dedup
 from gleaner.llm.common import Stages
-from gleaner.llm.repeats import Units, merged, repeated_spans
+from gleaner.llm.repeats import Block, Units, merged, repeated_spans
 
 BYTES = Units(words=False, window=20, anchor=6, within=True)
 WORDS = Units(words=True, window=8, anchor=3, within=False)
@@ -118,6 +118,70 @@ def test_repeated_rows_of_a_document(spark):
     assert sorted((r.doc_id, r.n_removed) for r in out) == [(1, 0), (1, 0), (2, 300)]
 
 
+@pytest.mark.parametrize("units,module", [(BYTES, suffix_dedup), (WORDS, phrase_dedup)])
+def test_rows_that_share_a_doc_id_and_differ(spark, units, module):
+    """They are documents of their own: short ones lose nothing, copies among other ids go whole, and nothing crashes."""
+    rnd = random.Random(7)
+    a, b = (" ".join("".join(rnd.choice("abcdef") for _ in range(5)) for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (1, "short text"), (1, "tiny"), (1, ""), (1, None), (2, a), (2, b), (2, "tiny"), (3, b + " " + a), (3, b)]
+    out = module.deduplicated(frame(spark, rows), module.removal_spans(frame(spark, rows), units), ("doc_id", "text")).collect()
+    assert len(out) == len(rows)
+    total = "n_bytes" if units is BYTES else "n_words"
+    got = {}
+    for r in out:
+        got.setdefault(r.doc_id, []).append((r[total], r.n_removed))
+    size = len(a) if units is BYTES else 60
+    assert sorted(got[1]) == sorted([(size, 0), (10 if units is BYTES else 2, 0), (4 if units is BYTES else 1, 0), (0, 0), (0, 0)])
+    assert sorted(got[2]) == sorted([(size, size), (size, 0), (4 if units is BYTES else 1, 0)])
+    (n1, r1), (n2, r2) = sorted(got[3])
+    assert (n1, r1) == (size, size) and n2 - r2 <= 1
+
+
+@pytest.mark.parametrize("units,module", [(BYTES, suffix_dedup), (WORDS, phrase_dedup)])
+def test_the_matcher_alone_decides(spark, units, module):
+    """With a matcher that finds nothing, nothing is removed, copies of whole documents included."""
+    docs = frame(spark, corpus(8))
+    none = lambda block: (np.empty(0, np.int64),) * 5
+    spans = repeated_spans(docs.select("doc_id", "text").where("doc_id is not null"), units, none, Stages(spark, "test"))
+    assert spans.count() == 0
+    assert {r.n_removed for r in module.deduplicated(docs, spans).collect()} == {0}
+
+
+@pytest.mark.parametrize("units,module", [(BYTES, suffix_dedup), (WORDS, phrase_dedup)])
+def test_rows_without_doc_id_come_last_where_they_take_part(spark, units, module):
+    rnd = random.Random(9)
+    a = " ".join("".join(rnd.choice("abcdef") for _ in range(5)) for _ in range(60))
+    docs = frame(spark, [(5, a), (None, a), (None, "other")])
+    out = module.deduplicated(docs, module.removal_spans(docs, units, unnamed=True)).collect()
+    assert sorted((r.doc_id or 0, r.n_removed > 0) for r in out) == [(0, False), (0, True), (5, False)]
+
+
+@pytest.mark.parametrize("width", [1, 2, 4])
+def test_shared_windows_of_a_block(width):
+    """The first place of every window of a block, against a plain search."""
+    rnd = random.Random(width)
+    window = 8 if width > 1 else 7
+    texts = list(dict.fromkeys("".join(rnd.choice("ab") for _ in range(rnd.randint(window, 30))).encode() for _ in range(60)))
+    places = np.array([(rnd.randint(0, 9), 0, 100 * i) for i in range(len(texts))])
+    copies = np.array([rnd.randint(1, 2) for _ in texts])
+    first = {}
+    for i in np.lexsort((places[:, 2], places[:, 0])).tolist():
+        for o in range(len(texts[i]) - window + 1):
+            first.setdefault(texts[i][o : o + window], (i, o))
+    p, o, n, fp, fo = suffix_dedup.shared_windows(window)(Block(texts, copies, places))
+    seen = {}
+    for row in zip(p.tolist(), o.tolist(), n.tolist(), fp.tolist(), fo.tolist()):
+        for k in range(row[2]):
+            seen[row[0], row[1] + k] = (row[3], row[4] + k)
+    for i, text in enumerate(texts):
+        for k in range(len(text) - window + 1):
+            want = first[text[k : k + window]]
+            if (i, k) in seen:
+                assert seen[i, k] == want
+            else:
+                assert want == (i, k) and copies[i] == 1
+
+
 def test_empty_table(spark):
     docs = frame(spark, [])
     assert suffix_dedup.deduplicated(docs, suffix_dedup.removal_spans(docs)).collect() == []
