@@ -45,6 +45,8 @@ from gleaner.llm.words import BYTE_VALUES, mixed, prefix_hash, span_hash, word_h
 
 #: The place of documents without doc_id.
 LAST = (1 << 63) - 1
+#: Where the numbers of rows begin that doc_id doesn't tell apart.
+OTHER_IDS = 1 << 61
 PLACE_BITS = 20
 STRIDE = 1 << 19
 
@@ -113,14 +115,35 @@ def anchored_runs(values: np.ndarray, at: np.ndarray, window: int, anchor: int)
 
 
 def keyed(docs: DataFrame, stages: Stages) -> DataFrame:
-    """docs with doc and tie, which tell documents apart and put them in order: doc_id (those without come last), and a hash of the text where doc_id doesn't tell."""
+    """docs with doc, tie and again.
+
+    doc and tie tell documents apart and put them in order: doc_id (those
+    without come last), and a hash of the text where doc_id has several texts
+    or is missing. again: other rows may have the same doc and tie.
+    """
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     rows = docs.withColumn("doc", doc)
-    again = stages.put(rows.groupBy("doc").agg(F.count("*").alias("n")).where(f"n > 1 or doc = {LAST}").select("doc", F.lit(True).alias("again")), "repeated_ids")
-    if again.isEmpty():
-        return rows.withColumn("tie", F.lit(0).cast("long"))
-    # a written table: Spark broadcasts it only where its real size is below the threshold
-    return rows.join(again, "doc", "left").withColumn("tie", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("again")
+    ids = stages.put(rows.groupBy("doc").agg(F.count("*").alias("n")).where(f"n > 1 or doc = {LAST}").select("doc"), "repeated_ids")
+    if ids.isEmpty():
+        return rows.withColumns({"tie": F.lit(0).cast("long"), "again": F.lit(False)})
+    # written tables: Spark broadcasts them only where their real size is below the threshold
+    texts = rows.select("doc", F.xxhash64("text").alias("x")).join(ids, "doc", "left_semi").distinct().groupBy("doc").agg(F.count("*").alias("texts"))
+    texts = stages.put(texts, "texts_of_ids")
+    told = (F.col("texts") > 1) | ((F.col("doc") == LAST) & F.col("texts").isNotNull())
+    return rows.join(texts, "doc", "left").withColumns({"tie": F.when(told, F.xxhash64("text")).otherwise(F.lit(0).cast("long")), "again": F.col("texts").isNotNull()}).drop("texts")
+
+
+def without_equal_rows(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows of keyed, each key once; only rows that may have others like them are compared."""
+    return rows.where(~F.col("again")).unionByName(rows.where("again").dropDuplicates(list(key)))
+
+
+def row_ids(docs: DataFrame, stages: Stages) -> DataFrame:
+    """docs with row_id and again: doc_id where it has one text, else a number of 2**61 or more (2**62 without doc_id) from doc_id and text. Only equal rows share one."""
+    rows = keyed(docs, stages)
+    low = F.when(F.col("doc") == LAST, F.lit(2 * OTHER_IDS)).otherwise(F.lit(OTHER_IDS))
+    other = low + F.pmod(F.xxhash64("doc", "tie"), low)
+    return rows.withColumn("row_id", F.when(F.col("tie") == 0, F.col("doc")).otherwise(other)).drop("doc", "tie")
 
 
 def anchors(docs: DataFrame, units: Units, places: bool) -> DataFrame:
@@ -253,7 +276,7 @@ def repeated_spans(docs: DataFrame, units: Units, matcher: Matcher, stages: Stag
     docs: (doc_id, text). A null text has no windows.
     """
     window = units.window
-    docs = _without_equal_rows(keyed(docs.select("doc_id", "text"), stages).where("text is not null").select("doc", "tie", "text"), stages)
+    docs = without_equal_rows(keyed(docs.select("doc_id", "text"), stages).where("text is not null"), "doc", "tie").select("doc", "tie", "text")
     common = stages.put(anchors(docs, units, False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "common")
     found = stages.put(anchors(docs, units, True).join(common.hint("merge"), "h", "left_semi").withColumn("copies", F.lit(1).cast("long")), "found")
     stages.drop("common")
@@ -298,20 +321,11 @@ def repeated_spans(docs: DataFrame, units: Units, matcher: Matcher, stages: Stag
     late = F.struct(*[x.alias(f"x{i}") for i, x in enumerate(first)]) < F.struct(*[x.alias(f"x{i}") for i, x in enumerate(here)])
     spans = places.select("sk", "doc", "tie", "start").join(said.hint("merge"), "sk").where(late).select("doc", "tie", start.alias("start"), (start + F.col("windows") - 1 + window).alias("end"))
     spans = stages.put(spans, "spans")
-    for name in ("repeated_ids", "found", "places", "kinds", "several", "frequent", "single", "said"):
+    for name in ("found", "places", "kinds", "several", "frequent", "single", "said"):
         stages.drop(name)
     return spans
 
 
-def _without_equal_rows(docs: DataFrame, stages: Stages) -> DataFrame:
-    """docs(doc, tie, text) with each (doc, tie) once; only rows of repeated ids, whose tie is a hash, are compared."""
-    again = stages.spark.read.parquet(stages.path("repeated_ids"))
-    if again.isEmpty():
-        return docs
-    rest = docs.join(again, "doc", "left_anti")
-    return stages.put(rest.unionByName(docs.join(again, "doc", "left_semi").dropDuplicates(["doc", "tie"])), "distinct_rows")
-
-
 def merged(spans: np.ndarray, length: int) -> np.ndarray:
     """Maximal runs, as rows of start and end, of spans clipped to length."""
     spans = np.clip(spans.reshape(-1, 2), 0, length)
@@ -329,7 +343,7 @@ def merged(spans: np.ndarray, length: int) -> np.ndarray:
 def with_spans(docs: DataFrame, spans: DataFrame, stages: Stages) -> DataFrame:
     """docs with spans array<struct<start, end>>, null where a document has none."""
     lists = spans.groupBy("doc", "tie").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return keyed(docs, stages).join(lists.hint("merge"), ["doc", "tie"], "left").drop("doc", "tie")
+    return keyed(docs, stages).join(lists.hint("merge"), ["doc", "tie"], "left").drop("doc", "tie", "again")
 
 
 def rows_of(batch: pa.RecordBatch, column: str = "spans") -> Iterator[np.ndarray]:

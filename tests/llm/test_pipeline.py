@@ -71,3 +71,34 @@ def test_tokens_are_of_the_kept_texts(kept):
 def test_run_gives_the_last_stage(spark, kept):
     out = pipeline.run(spark, DATA).select("doc_id", "ids_sha256").collect()
     assert {(r.doc_id, r.ids_sha256) for r in out} == {(r.doc_id, r.ids_sha256) for r in kept["sentencepiece"]}
+
+
+def written(spark, folder, docs, labels, items):
+    clash = "h long, sk long, doc long, tie long, row_id long, score double, fp long, seed long, runs string, spans string"
+    extra = (1, 2, 3, 4, 5, 0.5, 6, 7, "x", "y")
+    spark.createDataFrame([(*d, "en", "web", 3, *extra) for d in docs], "doc_id long, text string, lang string, source string, n_chars long, " + clash).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, rows without doc_id and clashing columns."""
+    import random
+
+    rnd = random.Random(5)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7))) for _ in range(n))
+    a, b, c, d, item, other = text(80), text(80), text(80), text(80), text(30), text(30)
+    docs = [(1, a), (1, a), (2, a), (3, None), (4, ""), (5, b), (5, c), (None, b), (None, d), (None, d), (6, f"{text(9)} {item} {text(9)}"), (None, f"{text(9)} {other}"), (7, d[:200] + " " + text(60))]
+    folder = written(spark, tmp_path / "odd", docs, [(1, 1, 0), (99, 0, 1), (None, 1, 1)], [(1, item), (8, other), (2, None), (3, ""), (None, "x")])
+    out = pipeline.run(spark, folder).collect()
+    left = sorted(((r.doc_id or 0), (r.text or "")[:20]) for r in out)
+    assert left == sorted([(1, a[:20]), (3, ""), (5, b[:20]), (5, c[:20]), (7, d[:20]), (0, next(r.text for r in out if r.doc_id is None)[:20])])
+    rest = next(r.text for r in out if r.doc_id is None)
+    assert rest and rest in d and len(rest) <= len(d) - 200 + 8  # what row 7 holds of it is gone
+    assert all(r.parity and len(r.ids) == r.n_tokens for r in out)
+
+
+def test_empty_tables(spark, tmp_path):
+    out = pipeline.run(spark, written(spark, tmp_path / "none", [], [], []))
+    assert out.collect() == [] and "ids" in out.columns
