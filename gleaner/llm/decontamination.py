@@ -10,8 +10,8 @@ least `similarity` of its places.
 
 Tokens are the lower-cased runs of letters and digits. Defined results: null
 and empty texts have no tokens and are clean; an item with fewer tokens
-than `shortest` is ignored (ten for the query, as in its SQL; one for the pipeline); repeated rows
-of a document give one row per item; rows without doc_id or item_id are
+than `shortest` is ignored (one: none is but those without tokens); an item of
+fewer than five tokens must stand there whole; repeated rows of a document give one row per item; rows without doc_id or item_id are
 ignored; empty tables give no rows; further columns are ignored.
 """
 
@@ -48,14 +48,15 @@ def seeds(h: Column, masks: tuple[str, ...]) -> Column:
     return F.concat(*[under(m) for m in masks])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, masks: dict[int, tuple[str, ...]] = MASKS, window: int = 20, similarity: float = 0.8, shortest: int = 10) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, masks: dict[int, tuple[str, ...]] = MASKS, window: int = 20, similarity: float = 0.8, shortest: int = 1, few: int = 500_000) -> DataFrame:
     """(doc_id, item_id, matched, window): the best verified window of each document and item.
 
     An item is looked for with the masks of its width, min(window, tokens);
     documents get the masks of the widths that the benchmark has.
-    The benchmark's seeds are a written table, so Spark broadcasts them only
-    where their real size is below its threshold and shuffles both sides
-    otherwise; the same holds for the documents with hits.
+    The benchmark's seeds are a written table; they are counted, broadcast up
+    to `few` of them and joined by sorting beyond. The ids of documents with
+    hits are a written table too, which Spark broadcasts only where its real
+    size is below the threshold.
     """
     if window not in masks or similarity < 0.8:
         raise ValueError("the masks find every leak only for windows that they list and a similarity of 0.8 or more")
@@ -68,14 +69,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: dict[int, tuple[s
     by_width = F.coalesce(*[F.when(width == w, seeds(F.col("h"), masks[w])) for w in present], none)
     wanted = stages.put(items.select("item_id", F.explode(by_width).alias("s")).select("item_id", "s.seed", F.col("s.at").alias("item_at")).distinct(), "seeds")
     found = hashed_tokens(docs, "doc_id").select("doc_id", F.explode(seeds(F.col("h"), used)).alias("s")).select("doc_id", "s.seed", "s.at")
-    hits = found.join(wanted, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    hits = found.join(F.broadcast(wanted) if wanted.count() <= few else wanted.hint("merge"), "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = stages.put(hits, "hits")
     lined = hits.join(items, "item_id")
     whole = docs.select("doc_id", "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    pairs = lined.join(hashed_tokens(whole, "doc_id").withColumnRenamed("h", "d"), "doc_id")
+    pairs = lined.join(hashed_tokens(whole, "doc_id").withColumnRenamed("h", "d").hint("merge"), "doc_id")
     places = F.sequence(F.lit(1), F.size("h"))
     agree = F.filter(places, lambda p: F.get(F.col("d"), p + F.col("shift") - 1) == F.get(F.col("h"), p - 1))
-    best = F.array_max(F.transform(F.col("agree"), lambda a: F.size(F.filter(F.col("agree"), lambda b: (b >= a) & (b < a + F.col("width"))))))
+    # a window holds at most `window` of the sorted agreeing places, so each place looks no further than that
+    held = F.transform(F.col("agree"), lambda a, i: F.size(F.filter(F.slice(F.col("agree"), i + 1, window), lambda b: b < a + F.col("width"))))
+    best = F.array_max(held)
     scored = pairs.select("doc_id", "item_id", agree.alias("agree"), width.alias("width")).select("doc_id", "item_id", best.alias("matched"), F.col("width").alias("window"))
     passed = scored.where(F.col("matched") >= F.ceil(F.lit(similarity) * F.col("window")))
     return passed.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("window").cast("long").alias("window"))
@@ -89,7 +92,7 @@ OP9_SQL = r"""
 with tok as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from documents),
 d as (select doc_id, unnest(range(1, len(w) + 1)) as at, unnest(w) as word from tok),
 itok as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from benchmark),
-i as (select item_id, least(20, len(w)) as width, unnest(range(1, len(w) + 1)) as at, unnest(w) as word from itok where len(w) >= 10),
+i as (select item_id, least(20, len(w)) as width, unnest(range(1, len(w) + 1)) as at, unnest(w) as word from itok),
 hit as (select distinct doc_id, item_id, width, d.at - i.at as shift, i.at from d join i using (word)),
 likely as (select doc_id, item_id, shift from hit group by all having count(*) >= 0.8 * min(width)),
 fit as (select a.doc_id, a.item_id, a.width, a.shift, a.at, count(*) as m from hit a join hit b on a.doc_id = b.doc_id and a.item_id = b.item_id and a.shift = b.shift and b.at >= a.at and b.at < a.at + a.width
