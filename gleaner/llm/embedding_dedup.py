@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.buckets import column_values, dealt, each_group, local_components
-from gleaner.llm.common import Stages, table
+from gleaner.llm.common import Stages, table, trimmed
 from gleaner.llm.components import components
 
 
@@ -99,7 +99,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, tables: int = 10, fun
                     rest = part.slice(k, len(c))
                     yield pa.RecordBatch.from_arrays([rest.column(i) for i in range(4)] + [lists], names=["rep", "copies", "embedding", "kind", "codes"])
 
-    coded = stages.put(reps.select("rep", "copies", "embedding", "kind").mapInArrow(code_rows, "rep long, copies long, embedding array<double>, kind long, codes array<long>"), "coded")
+    coded = stages.put(reps.select("rep", "copies", "embedding", "kind").mapInArrow(trimmed(code_rows), "rep long, copies long, embedding array<double>, kind long, codes array<long>"), "coded")
     # buckets first by ids alone; vectors join only those that share one
     placed = coded.select("rep", "kind", F.explode("codes").alias("code"))
     spread = stages.put(dealt(placed, ["kind", "code"], "rep", block), "spread")

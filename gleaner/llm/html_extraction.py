@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gleaner.llm.common import HEAD, pieces, table
+from gleaner.llm.common import HEAD, pieces, table, trimmed
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -292,7 +292,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> Dat
                 rows = [batch.column(batch.schema.get_field_index(k)) for k in keep]
                 yield pa.RecordBatch.from_arrays([*rows, pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def op4_html_extraction(spark, sf_dir) -> DataFrame:

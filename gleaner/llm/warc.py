@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import HEAD, table
+from gleaner.llm.common import HEAD, table, trimmed
 
 VERSION = b"WARC/1.1"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:gleaner:warc")
@@ -167,7 +167,7 @@ def derive(responses: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
-    return responses.select("key", "warc").mapInArrow(run, SCHEMA)
+    return responses.select("key", "warc").mapInArrow(trimmed(run), SCHEMA)
 
 
 ARROW = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in SCHEMA.split(", "))])
@@ -181,7 +181,7 @@ def responses_of(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFr
             made = [response(k.as_py() or "", u.as_py() or "", (h.as_py() or "").encode("utf-8", "surrogatepass"), date) for k, u, h in zip(*batch.columns)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["key", "warc"])
 
-    return pages.select(F.col("page_id").cast("string").alias("key"), "url", "html").mapInArrow(run, "key string, warc binary")
+    return pages.select(F.col("page_id").cast("string").alias("key"), "url", "html").mapInArrow(trimmed(run), "key string, warc binary")
 
 
 def read_warc(spark, path: str) -> DataFrame:
@@ -191,7 +191,7 @@ def read_warc(spark, path: str) -> DataFrame:
 
 def write_warc(derived: DataFrame, folder: str) -> DataFrame:
     """Write each partition's records as gzip members; gives (part, records), the table that was written: folder holds Parquet of member bytes."""
-    members = derived.select("kind", "key", "record_id", "record").mapInArrow(_gzip, "kind string, key string, record_id string, member binary")
+    members = derived.select("kind", "key", "record_id", "record").mapInArrow(trimmed(_gzip), "kind string, key string, record_id string, member binary")
     members.write.partitionBy("kind").parquet(folder)
     return derived.sparkSession.read.parquet(folder)
 
