@@ -101,30 +101,30 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = 1 << 22):
         start = stop
 
 
-#: mallopt's numbers (fixed values): one arena, and blocks from 256 KB up, or a megabyte at the heap's end, go back to the system.
-ARENA_MAX, MMAP_THRESHOLD, TRIM_THRESHOLD = (-8, 1), (-3, 1 << 18), (-1, 1 << 20)
-
-
-def lean() -> None:
-    """Make this Python worker give memory back: Spark keeps it for later tasks, and idle memory counts against the executor."""
-    pa.set_memory_pool(pa.system_memory_pool())
-    if sys.platform.startswith("linux"):
-        c = ctypes.CDLL(None)
-        if hasattr(c, "mallopt"):
-            for option in (ARENA_MAX, MMAP_THRESHOLD, TRIM_THRESHOLD):
-                c.mallopt(*option)
+#: mallopt's number for the most arenas (fixed value). The thresholds stay as they are: setting them would end their adjustment.
+ARENA_MAX = -8
 
 
 def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same work on a partition, in a worker that gives freed memory back during the partition and at its end."""
+    """The same work on a partition, in a worker that gives freed memory back: Spark keeps it for later tasks, and what it holds counts against the executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
-        yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        if sys.platform.startswith("linux"):
-            c = ctypes.CDLL(None)
+        pa.set_memory_pool(pa.system_memory_pool())
+        c = ctypes.CDLL(None) if sys.platform.startswith("linux") else None
+        if hasattr(c, "mallopt"):
+            c.mallopt(ARENA_MAX, 1)
+
+        def give_back() -> None:
             if hasattr(c, "malloc_trim"):
                 c.malloc_trim(0)
 
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                give_back()
+
+        yield from work(each())
+        give_back()
+
     return run

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from gleaner.llm.decontamination import OP9_SQL, op9_decontamination
 from gleaner.llm.embedding_dedup import OP2_SQL, op2_embedding_dedup
-from gleaner.llm.html_extraction import op4_html_extraction
+from gleaner.llm.html_extraction import OP4_SQL, op4_html_extraction
 from gleaner.llm.phrase_dedup import op6_phrase_dedup
 from gleaner.llm.quality_gam import op7_quality
 from gleaner.llm.sentencepiece_codec import op8_sentencepiece
@@ -28,5 +28,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_embedding_dedup": OP2_SQL,
+    "op4_html_extraction": OP4_SQL,
     "op9_decontamination": OP9_SQL,
 }
