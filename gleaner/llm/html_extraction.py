@@ -68,7 +68,7 @@ BARRIER = SCOPE | frozenset("noscript template foreignobject".split())
 #: Stated values of the classifier's weights. First what a block is: log of its characters, share of linked characters,
 #: an ending of a sentence, a heading. Then what it stands in: elements, and names in the class, id or role of an element.
 #: A name counts only if all its words are listed (cookie-notice, not has-sidebar).
-PLAIN = {"": -1.8, "length": 0.35, "links": -3.0, "sentence": 0.6, "heading": 0.3}
+PLAIN = {"": -1.8, "length": 0.5, "links": -3.0, "sentence": 0.6, "heading": 0.3}
 ELEMENTS = dict.fromkeys("nav footer aside form menu button dialog select".split(), -6.0) | {"header": -4.0, "figcaption": -0.5}
 NAMES = dict.fromkeys(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice "
