@@ -196,7 +196,7 @@ def train(rows: DataFrame, labels: DataFrame, sample: int = 12_000) -> Model:
     """rows: (doc_id, features); labels: (doc_id, quality). At most `sample` labelled rows, those of the lowest hash of doc_id, are fitted."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    found = rows.join(chosen.hint("shuffle_hash"), "doc_id").select("doc_id", "features", "quality").toPandas().sort_values("doc_id", kind="stable")
+    found = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "features", "quality").toPandas().sort_values("doc_id", kind="stable")
     if not len(found):
         return Model()
     return fit(np.stack(found["features"].to_numpy()), found["quality"].to_numpy(float))

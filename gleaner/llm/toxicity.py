@@ -1,29 +1,35 @@
 """Toxicity by a subsequence string-kernel SVM with Nystroem landmarks.
 
-Kernel: two words are alike by the subsequences of four letters that they
-share, each weighted by decay to the length that it spans; characters that are
-no letters may stand between, so i-d-i-o-t and idxiot stay near idiot. Spans
-end at `SPAN` characters. A word's vector is scaled by its own length.
+Kernel: two words are alike by the subsequences of four symbols that they
+share, each weighted by decay to the length that it spans. Symbols are letters
+and the word's edges (two in front, one behind), so a word of one or two
+letters has a vector too; other characters may stand between, so i-d-i-o-t and
+idxiot stay near idiot. Spans end at `SPAN` characters. A word's vector is
+scaled by its own length.
 
 Training takes labelled sentences: distinct sentences of a bounded sample of
 documents, toxic only if no other document says the same. Which word of a
 toxic sentence makes it so is not labelled, so the words are chosen that stand
-in toxic sentences far more often than their share (multiple-instance SVM);
+in toxic sentences, counted once a document, far more often than their share
+(multiple-instance SVM);
 the surest of them are the landmarks, Nystroem features K(x, L) K(L, L)^-1/2 go to
 a linear SVM that is fitted anew with the clean words nearest to its border,
 and its decision is folded back into one weight per subsequence.
 
 A document's score is a rising function of the highest decision among its
-words, fitted to the sample. Defined results: null, empty and wordless texts get the score of the
-lowest decision; without labels, or without words that tell the classes apart,
-every score is the share of toxic documents (zero without labels); each row is
-scored alone, so repeated rows score alike; further columns are ignored.
+words, fitted to the sample; words of more than `LONG_WORD` characters, such as
+those of scripts without spaces, are read in overlapping windows. Defined
+results: null, empty and wordless texts get the score of the lowest decision;
+without labels, or without words that tell the classes apart, every score is
+the share of toxic documents (zero without labels); each row is scored alone,
+so repeated rows score alike; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,8 +42,11 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import Stages, pieces, table, trimmed
 
 LETTERS, LENGTH, SPAN, DECAY = 32, 4, 7, 0.7
+EDGES = "\x02\x03"
 LONG_WORD, LONG_STEP = 24, 12
-FLOOR, CEILING = -3.0, 1.0
+#: Signs and digits that don't count where a word begins or ends.
+BESIDE = string.punctuation + string.digits + "«»„“”‘’‚‹›…¿¡–—·•"
+FLOOR, CEILING = -3.0, 0.85
 GAPS = [(0, *rest) for rest in itertools.combinations(range(1, SPAN), LENGTH - 1)]
 #: Letters told apart by a space, dot or dash each.
 SPELT_OUT = r"(?:\b\pL\b[ .\-_*]){3,}\pL\b"
@@ -45,19 +54,20 @@ _spelt = re.compile(r"(?:\b[^\W\d_]\b[ .\-_*]){3,}[^\W\d_]\b")
 
 
 def letter_codes(text: str) -> np.ndarray:
-    """0 for what is no letter, 1-26 for a-z, 27-31 for others; -1 for the line break between words."""
+    """0 for what is no letter, 1-26 for a-z, 27-29 for others, 30 and 31 for a word's edges; -1 for the line break between words."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     ascii_ = np.zeros(128, np.int32)
     ascii_[ord("a") : ord("z") + 1] = np.arange(1, 27)
+    ascii_[[ord(x) for x in EDGES]] = LETTERS - 2, LETTERS - 1
     ascii_[10] = -1
-    return np.where(points < 128, ascii_[np.minimum(points, 127)], 27 + (points % 5).astype(np.int32))
+    return np.where(points < 128, ascii_[np.minimum(points, 127)], 27 + (points % 3).astype(np.int32))
 
 
 class Letters:
-    """The letters of words end to end: word of each letter, and the subsequences of LENGTH letters that start at each."""
+    """The symbols of words end to end: word of each symbol, and the subsequences of LENGTH symbols that start at each."""
 
     def __init__(self, words: list[str]):
-        codes = letter_codes("\n".join(words) + "\n")
+        codes = letter_codes("".join([f"{EDGES}{w}{EDGES[1]}\n" for w in words]))
         ends = np.flatnonzero(codes < 0)
         word = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=-1))
         left = (ends[word] - np.arange(len(codes))).astype(np.int32)
@@ -69,10 +79,16 @@ class Letters:
         self.shifted = [np.where(d < left, padded[at + d], np.int32(0)) for d in range(SPAN)]
 
     def by_gaps(self) -> Iterator[tuple[np.ndarray, np.float32]]:
-        """For each pattern of gaps the subsequence at each letter (0: none), and its weight."""
+        """For each pattern of gaps the subsequence at each symbol (0: none), and its weight."""
+        edge = LETTERS - len(EDGES)
         for gaps in GAPS:
             a, b, c, d = (self.shifted[g] for g in gaps)
-            yield np.where((b > 0) & (c > 0) & (d > 0), ((a * LETTERS + b) * LETTERS + c) * LETTERS + d, 0), np.float32(DECAY ** (gaps[-1] + 1))
+            fits = (b > 0) & (c > 0) & (d > 0)
+            # a front edge counts only next to the symbol behind it, the last edge only without gaps
+            for x, near in ((a, gaps[1] == 1), (b, gaps[2] == gaps[1] + 1), (d, gaps[-1] == LENGTH - 1)):
+                if not near:
+                    fits &= x < edge
+            yield np.where(fits, ((a * LETTERS + b) * LETTERS + c) * LETTERS + d, 0), np.float32(DECAY ** (gaps[-1] + 1))
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.word, values, self.n)
@@ -173,7 +189,7 @@ class Model:
 
 
 def fit_words(counts, landmarks: int, alarm: float, hard: list[str]) -> Model | None:
-    """counts: pandas columns word, pos, neg (sentences of either class that hold the word). hard: further clean words."""
+    """counts: pandas columns word, pos, neg (documents with a sentence of either class that holds the word); the row of the empty word stands for words left out. hard: further clean words."""
     pos, neg = counts["pos"].to_numpy(float), counts["neg"].to_numpy(float)
     share = pos.sum() / max(pos.sum() + neg.sum(), 1)
     n = pos + neg
@@ -181,13 +197,13 @@ def fit_words(counts, landmarks: int, alarm: float, hard: list[str]) -> Model |
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where(rate > share, pos * np.log(rate / share) + np.where(neg > 0, neg * np.log((1 - rate) / (1 - share)), 0), 0)
     words = counts["word"].to_numpy(object)
-    long_enough = np.array([sum(x.isalpha() for x in w) >= LENGTH for w in words], bool)
-    bad = long_enough & (gain > alarm) & (rate >= 0.75)
+    named = np.array([any(x.isalpha() for x in w) for w in words], bool)
+    bad = named & (gain > alarm) & (rate >= 0.75)
     if not bad.any() or bad.all():
         return None
     toxic = [str(w) for w in words[bad][np.argsort(-gain[bad], kind="stable")]]
-    clean = [str(w) for w in words[long_enough & (pos <= neg)]]
-    marks = toxic[:landmarks]  # clean words share nothing that a landmark would have to stand for
+    clean = [str(w) for w in words[named & (pos <= neg)]]
+    marks = toxic[:landmarks] + [w for w in hard[:landmarks] if w not in set(toxic[:landmarks])]  # the clean words nearest to the toxic ones tell what sets them apart
     k = kernel(marks, marks)
     values, vectors = np.linalg.eigh((k + k.T) / 2)
     keep = values > 1e-6 * values.max()
@@ -206,7 +222,7 @@ def highest(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
     texts = pc.utf8_lower(texts.fill_null("") if texts.null_count else texts)
     lists = pc.utf8_split_whitespace(texts)
     coded = lists.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
+    words = pc.utf8_trim(coded.dictionary, BESIDE).to_pylist()
     long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
     units = words + [w[k : k + LONG_WORD] for i in long for w in (words[i],) for k in range(0, len(w) - LONG_STEP, LONG_STEP)]
     value = decisions(units, weights, bias) if units else np.empty(0)
@@ -259,21 +275,41 @@ def nearest(counts: DataFrame, model: Model, n: int) -> list[str]:
     return [r.word for r in ranked.collect()]
 
 
-def train(docs: DataFrame, labels: DataFrame, stages: Stages, sample: int = 8000, landmarks: int = 96, alarm: float = 6.0) -> Model:
-    """Learn from (doc_id, toxic) rows; at most `sample` documents, those of the lowest hash of doc_id, are read for it. alarm: the evidence that a toxic word needs, above the log of the words tried."""
+@dataclass(frozen=True)
+class Bounds:
+    """How much of the labelled sample a model is fitted on, so that a fit takes the same memory at every size of the corpus.
+
+    sample: labelled documents, those of the lowest hash of doc_id. toxic: words
+    with the most evidence, each in toxic sentences of at least `seen` documents.
+    clean: words in no more toxic sentences than others, of the lowest hash. hard:
+    clean words nearest to the border, in each of two rounds.
+    """
+
+    sample: int = 8_000
+    toxic: int = 2_000
+    seen: int = 3
+    clean: int = 8_000
+    hard: int = 4_000
+
+
+def train(docs: DataFrame, labels: DataFrame, stages: Stages, bounds: Bounds = Bounds(), landmarks: int = 96, alarm: float = 6.0) -> Model:
+    """Learn from (doc_id, toxic) rows. alarm: the evidence that a toxic word needs, above the log of the words tried."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = stages.put(docs.select("doc_id", "text").join(chosen.hint("shuffle_hash"), "doc_id").where("text is not null"), "sample")
-    lines = texts.select("toxic", F.explode(F.split(F.lower("text"), r"[.!?\n]+")).alias("line"))
-    lines = lines.groupBy("line").agg(F.min("toxic").alias("toxic"))
+    chosen = stages.put(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bounds.sample), "chosen")
+    # at most bounds.sample rows, so the texts need not be shuffled for them
+    texts = stages.put(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null"), "sample")
+    lines = texts.select("doc_id", "toxic", F.explode(F.split(F.lower("text"), r"[.!?\n]+")).alias("line"))
+    lines = lines.groupBy("line").agg(F.min("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
     word = F.regexp_replace("word", r"^[^\p{L}]+|[^\p{L}]+$", "")
-    words = lines.select("toxic", F.explode(F.array_distinct(F.split("line", r"\s+"))).alias("word")).select("toxic", word.alias("word")).where("length(word) between 4 and 24")
+    words = lines.select("doc_id", "toxic", F.explode(F.array_distinct(F.split("line", r"\s+"))).alias("word")).select("doc_id", "toxic", word.alias("word")).where(f"length(word) between 1 and {LONG_WORD}")
+    words = words.distinct()  # many sentences of one document are one piece of evidence
     counts = words.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("neg"))
     counts = stages.put(counts, "words")
-    total = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count_if(F.col("pos") >= 3).alias("tried")).first()
+    seen = F.col("pos") >= bounds.seen
+    total = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count_if(seen).alias("tried")).first()
     alarm += float(np.log(max(total.tried, 1)))  # the more words are tried, the more evidence one needs
-    toxic = counts.where("pos >= 3 and pos >= 3 * neg").orderBy(F.desc(F.col("pos") - 3 * F.col("neg")), "word").limit(2000)
-    clean = counts.where("neg >= pos").orderBy(F.xxhash64("word"), "word").limit(8000)
+    toxic = counts.where(seen & (F.col("pos") >= 3 * F.col("neg"))).orderBy(F.desc(F.col("pos") - 3 * F.col("neg")), "word").limit(bounds.toxic)
+    clean = counts.where("neg >= pos").orderBy(F.xxhash64("word"), "word").limit(bounds.clean)
     bounded = toxic.unionByName(clean).toPandas()
     rest = {"word": "", "pos": max(0, (total.pos or 0) - bounded["pos"].sum()), "neg": max(0, (total.neg or 0) - bounded["neg"].sum())}
     bounded.loc[len(bounded)] = rest
@@ -282,7 +318,7 @@ def train(docs: DataFrame, labels: DataFrame, stages: Stages, sample: int = 8000
     hard: list[str] = []
     for _ in range(2):  # the clean words nearest to the toxic side join the training set
         if model is not None:
-            hard += nearest(counts.where("neg >= pos and neg > 0"), model, 4000)
+            hard += nearest(counts.where("neg >= pos and neg > 0"), model, bounds.hard)
             model = fit_words(bounded, landmarks, alarm, hard)
     if model is None:
         return Model(shares=np.array([float(share or 0)]))
