@@ -162,6 +162,23 @@ def test_toxicity_on_held_out_documents(spark):
     assert all(got[i] < 0.7 for i in range(len(dodged), len(got))), got
 
 
+def test_insults_of_few_letters(spark):
+    """Words of two and three letters are learnt, found in other documents, spelt apart too, and don't spread to their neighbours."""
+    rnd = random.Random(3)
+    plain = ["".join(rnd.choice("abcdefghimnoprstu") for _ in range(rnd.randint(1, 8))) for _ in range(400)]
+    insults = ["zyx", "jw", "kéß", "vqzw"]
+
+    def text(*extra):
+        return ". ".join(" ".join([*(rnd.choice(plain) for _ in range(8)), *([x] if x else []), *(rnd.choice(plain) for _ in range(4))]) for x in (None, *extra, None))
+
+    rows = [(i, text(insults[i % 4]), 1) for i in range(160)] + [(1000 + i, text(), 0) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"), toxicity.Stages(spark, "t"))
+    new = [*insults, "ZYX!", "zy.x", "(jw)"] + ["xyz", "w", "zone", "j", "none", "kind"]
+    rows = spark.createDataFrame([(i, text(x)) for i, x in enumerate(new)], "doc_id long, text string")
+    assert [new[r.doc_id] for r in toxicity.score(rows, model).orderBy("doc_id").collect() if r.score >= 0.7] == new[:7]
+
+
 def test_toxicity_without_evidence(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     docs = spark.createDataFrame([(1, "some text", "a"), (2, None, "b")], "doc_id long, text string, score string")
