@@ -6,24 +6,29 @@ headers; the conversion record (text/plain) holds the page's visible text.
 Both name the response in WARC-Refers-To and keep its target URI, date and
 payload digest; their own block digests and lengths are computed.
 
-Defined results: a null url or payload counts as empty; a record that is no
-response, or that is cut off, gives no derivative; record ids are name-based
-(UUID 5), so repeated rows give the same records; further columns are ignored.
+Files are read and written as WARC, plain or gzipped; a reading task holds one
+record at a time, and plain files are split between tasks.
+
+Defined results: a null url or payload counts as empty, and so does a null
+page_id in a record's id; a record that is no response, or that is cut off,
+gives no derivative, and so does what follows damage within a gzip member;
+record ids are name-based (UUID 5), so repeated rows give the same records;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import HEAD, table, trimmed
@@ -32,7 +37,7 @@ VERSION = b"WARC/1.1"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:gleaner:warc")
 HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|" + HEAD + r"|<(?P<raw>script|style|noscript|template)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)", re.S | re.I)
 BREAKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table article section nav header footer aside main blockquote pre form td th hr".split())
-MARKUP = re.compile(r"</?([a-zA-Z][^\s/>]*)[^>]*>|<[/!?][^>]*>")
+MARKUP = re.compile(r"""</?([a-zA-Z][^\s/>]*)(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)|<[/!?][^>]*>""")
 TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
 LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 LINK = re.compile(r"<(a|area|link|img|script|iframe)\b[^>]*?\b(?:href|src)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -62,10 +67,24 @@ def response(page_id: str, url: str, payload: bytes, date: str) -> bytes:
     return record(headers, block)
 
 
+def unpacked(data: bytes) -> bytes:
+    """Plain bytes of gzip members, as far as they are whole; what is no gzip is returned as it is."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        if not member.eof:
+            break
+        data = member.unused_data.lstrip(b"\0")
+    return b"".join(out) if out or data[:2] == b"\x1f\x8b" else data
+
+
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each whole record, from plain bytes or gzip members."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+    data = unpacked(data)
     at = 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
@@ -101,8 +120,9 @@ def http_parts(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
 
 def plain_text(page: str) -> str:
     """Visible text, one line for each block, white space within lines collapsed."""
-    text = MARKUP.sub(lambda m: "\n" if m[1] and m[1].lower() in BREAKS else "", HIDDEN.sub(" ", page))
-    lines = (" ".join(html.unescape(line).split()) for line in text.split("\n"))
+    # only elements break lines: a line break of the source is white space like any other
+    text = MARKUP.sub(lambda m: "\0" if m[1] and m[1].lower() in BREAKS else "", HIDDEN.sub(" ", page.replace("\0", " ")))
+    lines = (" ".join(html.unescape(line).split()) for line in text.split("\0"))
     return "\n".join(x for x in lines if x)
 
 
@@ -184,24 +204,47 @@ def responses_of(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFr
     return pages.select(F.col("page_id").cast("string").alias("key"), "url", "html").mapInArrow(trimmed(run), "key string, warc binary")
 
 
-def read_warc(spark, path: str) -> DataFrame:
-    """(key, warc) of WARC files, plain or gzipped, one row each; key is the file's path."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("key"), F.col("content").alias("warc"))
-
+BETWEEN = "\r\n\r\n"
 
-def write_warc(derived: DataFrame, folder: str) -> DataFrame:
-    """Write each partition's records as gzip members; gives (part, records), the table that was written: folder holds Parquet of member bytes."""
-    members = derived.select("kind", "key", "record_id", "record").mapInArrow(trimmed(_gzip), "kind string, key string, record_id string, member binary")
-    members.write.partitionBy("kind").parquet(folder)
-    return derived.sparkSession.read.parquet(folder)
 
-
-def _gzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = [gzip.compress(x.as_py(), mtime=0) for x in batch.column(3)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], names=["kind", "key", "record_id", "member"])
+def read_warc(spark, path: str) -> DataFrame:
+    """(key, warc) of WARC files, plain or gzipped, a row for each record; key is the file's path.
+
+    Records are cut where the version line of the next one follows an empty
+    line; a record whose own block holds such a place counts as cut off.
+    Damage within a file ends that file, not the job.
+    """
+    version = VERSION[:7].decode()
+    lines = spark.read.option("lineSep", BETWEEN + version).option("ignoreCorruptFiles", "true").text(path)
+    whole = F.when(F.col("value").startswith(version), F.col("value")).otherwise(F.concat(F.lit(version), F.col("value")))
+    # the reader keeps bytes as they are, so a cast gives back what is no UTF-8
+    raw = whole.cast("binary")
+    head = F.substring_index(whole, BETWEEN, 1)
+    size = F.octet_length(head) + len(BETWEEN) + F.regexp_extract(head, r"(?i)\r\ncontent-length:\s*(\d+)", 1).try_cast("int")
+    # the last record of a file still ends with its own two line breaks
+    exact = F.when(F.octet_length(raw) >= size, F.concat(raw.substr(F.lit(1), size), F.lit(BETWEEN).cast("binary"))).otherwise(raw)
+    return lines.select(F.col("_metadata.file_path").alias("key"), exact.alias("warc"))
+
+
+def write_warc(derived: DataFrame, folder: str) -> None:
+    """Write derived records (columns kind, record) as folder/kind=.../*.warc.gz."""
+    spark = derived.sparkSession
+    # each record ends with two line breaks, which stand as the separator here
+    text = F.col("record").substr(F.lit(1), F.length("record") - len(BETWEEN)).cast("string")
+    derived.select("kind", text.alias("value")).write.partitionBy("kind").option("lineSep", BETWEEN).option("compression", "gzip").text(folder)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "kind=*/part-*.txt.gz")) or []:
+        files.rename(part.getPath(), part.getPath().suffix("").getParent().suffix("/" + part.getPath().getName().replace(".txt.gz", ".warc.gz")))
+
+
+def content_of(record: str) -> Column:
+    """The block of a record as text: what stands after its first empty line and before its last two line breaks."""
+    head = F.substring_index(F.col(record).cast("string"), BETWEEN, 1)
+    at = F.octet_length(head) + len(BETWEEN)
+    return F.col(record).substr(at + 1, F.length(record) - at - len(BETWEEN)).cast("string")
 
 
 def op3_warc_derivatives(spark, sf_dir) -> DataFrame:
     out = derive(responses_of(table(spark, sf_dir, "pages")))
-    return out.select(F.col("key").cast("long").alias("page_id"), "kind", "record_id", "refers_to", "target_uri", "date", "payload_digest", "block_digest", "content_length")
+    return out.select(F.col("key").cast("long").alias("page_id"), "kind", "record_id", "refers_to", "target_uri", "date", "payload_digest", "block_digest", "content_length", content_of("record").alias("content"))

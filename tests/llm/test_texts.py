@@ -136,12 +136,108 @@ def test_warc_reading(spark, tmp_path):
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(two) + gzip.compress(one))
     out = warc.derive(warc.read_warc(spark, str(tmp_path / "*.warc*")))
     assert out.count() == 2 + 4  # the cut-off record and the request give nothing
-    written = warc.write_warc(out, str(tmp_path / "out"))
-    members = [gzip.decompress(bytes(r.member)) for r in written.collect()]
-    assert len(members) == 6 and all(len(list(warc.records(m))) == 1 for m in members)
+    warc.write_warc(out, str(tmp_path / "out"))
+    files = sorted((tmp_path / "out").glob("kind=*/*.warc.gz"))
+    assert {f.parent.name for f in files} == {"kind=metadata", "kind=conversion"}
+    back = [r for f in files for r in warc.records(f.read_bytes())]
+    assert sorted(h["warc-record-id"] for h, _ in back) == sorted(r.record_id for r in out.collect())
+    again = warc.read_warc(spark, str(tmp_path / "out" / "*" / "*.warc.gz")).collect()
+    assert sorted(bytes(r.warc) for r in again) == sorted(bytes(r.record) for r in out.collect())
     assert warc.derive(spark.createDataFrame([], "key string, warc binary")).collect() == []
 
 
+def test_damaged_and_large_warc_files(spark, tmp_path):
+    """Cut-off gzip members, bytes that are no UTF-8, empty records, and a file of many records, which is read record by record."""
+    body = bytes(range(256)) * 40 + b"<p>end</p>"
+    one, two = warc.response("1", "http://a/", body, "2024-01-01T00:00:00Z"), warc.response("2", "http://b/", b"", "2024-01-01T00:00:00Z")
+    packed = gzip.compress(one)
+    for cut in (1, 9, len(packed) // 2):
+        assert [h["warc-target-uri"] for h, _ in warc.records(gzip.compress(two) + packed[:cut])] == ["http://b/"]
+    assert list(warc.records(packed[:20])) == [] == list(warc.records(b"\x1f\x8bno gzip")) == list(warc.records(b""))
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(two) + packed[: len(packed) // 2])
+    (tmp_path / "many.warc").write_bytes((one + two) * 200)
+    rows = warc.read_warc(spark, str(tmp_path / "*")).collect()
+    many = [bytes(r.warc) for r in rows if r.key.endswith("many.warc")]
+    assert len(many) == 400 and set(many) == {one, two}
+    assert warc.derive(spark.createDataFrame([r for r in rows if r.key.endswith(".gz")] or [("", b"")], "key string, warc binary")).count() <= 2
+
+
+def test_warc_of_odd_pages(spark):
+    """Null and repeated page_id, null and empty pages, and a long one."""
+    long = "<p>" + "word " * 400_000 + "</p>"
+    rows = [(None, "http://a/", "<p>a</p>"), (None, "http://a/", "<p>a</p>"), (1, None, None), (1, "http://b/", ""), (2, "http://c/", long)]
+    out = warc.derive(warc.responses_of(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert len(out) == 10 and len({r.record_id for r in out}) == 8
+    assert max(r.content_length for r in out) == 400_000 * 5 - 1
+
+
+def plain_page(page):
+    """Title, language, links and visible lines of a page, by the standard library's parser."""
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.lines, self.links, self.title, self.lang, self.hidden = [""], [], None, None, 0
+
+        def handle_starttag(self, tag, attrs):
+            attrs = dict(attrs)
+            if tag in ("head", "script", "style", "noscript", "template"):
+                self.hidden += 1
+            if tag == "html":
+                self.lang = attrs.get("lang")
+            if tag == "title":
+                self.title = ""
+            if tag in warc.BREAKS:
+                self.lines.append("")
+            for name in ("href", "src"):
+                if tag in ("a", "area", "link", "img", "script", "iframe") and name in attrs and not self.hidden:
+                    self.links.append((attrs[name], tag))
+
+        def handle_endtag(self, tag):
+            if tag in ("head", "script", "style", "noscript", "template"):
+                self.hidden -= 1
+            if tag in warc.BREAKS:
+                self.lines.append("")
+
+        def handle_data(self, data):
+            if self.title == "":
+                self.title = " ".join(data.split())
+            if not self.hidden:
+                self.lines[-1] += data
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return reader, "\n".join(x for x in (" ".join(line.split()) for line in reader.lines) if x), urljoin
+
+
+def test_the_warc_query_against_another_parser(spark):
+    """op3_warc_derivatives on all pages of the smallest tables: text, fields, digests and references."""
+    import base64
+    import hashlib
+
+    pages = {r.page_id: r for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    rows = warc.op3_warc_derivatives(spark, DATA).collect()
+    assert len(rows) == 2 * len(pages)
+    sha = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    refers = {}
+    for r in rows:
+        page = pages[r.page_id]
+        reader, text, urljoin = plain_page(page.html)
+        raw = r.content.encode()
+        assert (r.target_uri, r.payload_digest, r.block_digest, r.content_length) == (page.url, sha(page.html.encode()), sha(raw), len(raw))
+        assert refers.setdefault(r.page_id, r.refers_to) == r.refers_to != r.record_id
+        if r.kind == "conversion":
+            assert r.content == text
+        else:
+            fields = [line.partition(": ")[::2] for line in r.content.split("\r\n") if line]
+            assert [v for k, v in fields if k == "title"] == [reader.title] and [v for k, v in fields if k == "languages"] == [reader.lang]
+            assert [v for k, v in fields if k == "outlink"] == [f"{urljoin(page.url, x)} {tag}" for x, tag in reader.links]
+            assert ("http-header-content-length", str(len(page.html.encode()))) in fields
+
+
 def learned(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     return docs, labels
@@ -343,6 +439,8 @@ def test_the_pipeline_drops_copies_of_short_items(spark, tmp_path):
 
 
 def test_warc_keeps_text_with_bare_signs_and_pages_with_an_open_head():
+    assert warc.plain_text('<p>if a < b and c > d then <b title="x>y">stop</b></p>') == "if a < b and c > d then stop"
+    assert warc.plain_text('<p>An <a title="open>end</a> of it</p>') == "An end of it"
     assert warc.plain_text("<p>5 < 6 holds here.</p><p>Second paragraph.</p><p>Third <b>bold</b> end.</p>") == "5 < 6 holds here.\nSecond paragraph.\nThird bold end."
     for close in ("<body>", "", "</head><body>"):
         page = f"<html><head lang=x><meta content='a > b'><title>T</title><style>p {{}}</style><script>'</head>'</script>{close}<p>Text <a href=/x>of</a> it.</p><header>Top</header></html>"
