@@ -22,7 +22,7 @@ def dealt(rows: DataFrame, keys: list[str], row_id: str, block: int) -> DataFram
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1")
     n = F.ceil(F.col("size") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64(F.col(row_id), F.lit(7)), n).cast("int")
-    spread = rows.join(sizes.hint("shuffle_hash"), keys).withColumn("n", n).withColumn("own", own)
+    spread = rows.join(sizes.hint("merge"), keys).withColumn("n", n).withColumn("own", own)
     return (
         spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         .withColumn("bi", F.least("own", "other"))

@@ -118,13 +118,12 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, tables: int = 10, fun
             return None
         a, b = np.nonzero(link)
         label = local_components(len(rep), at[a], to[b])
-        lower = codes < code
-        ids, where = np.unique(codes[lower], return_inverse=True)
-        if len(ids):
-            holds = np.zeros((len(rep), len(ids)), np.float32)
-            holds[np.nonzero(lower)[0], where] = 1
-            holds = holds[:, holds.sum(0) > 1]
-            link &= holds[at] @ holds[to].T < 0.5
+        # a pair counts in the lowest bucket that both share: codes of one table stand together
+        first, second = at[a], to[b]
+        for k in range(0, len(a), 8192):
+            x, y = (codes[side[k : k + 8192]].reshape(-1, tables, 1 + functions) for side in (first, second))
+            shared = ((x[:, :, :, None] == y[:, :, None, :]) & (x[:, :, :, None] < code)).any((1, 2, 3))
+            link[a[k : k + 8192][shared], b[k : k + 8192][shared]] = False
         links = np.zeros(len(rep), np.int64)
         links[at] += link @ copies[to]
         if bi != bj:
@@ -135,7 +134,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, tables: int = 10, fun
     joined = components(found.where("low <> rep").select(F.col("rep").alias("a"), F.col("low").alias("b")), stages)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = (
-        reps.select("rep", "copies").join(links.hint("shuffle_hash"), "rep", "left").join(joined.withColumnRenamed("node", "rep").hint("shuffle_hash"), "rep", "left")
+        reps.select("rep", "copies").join(links.hint("merge"), "rep", "left").join(joined.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
         .select("rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
     members = reps.select("rep", "embedding", "kind").join(classes.hint("merge"), "rep").select(F.xxhash64("kind", "embedding").alias("digest"), "kind", "embedding", "n_links", "component_id")

@@ -4,8 +4,10 @@ Fingerprints are sums over the XXH64 hashes of word shingles. Two documents
 link when their fingerprints differ in at most `distance` bits. By the
 pigeonring principle some segment of the ring starts a chain in which the
 first l segments differ in at most l * distance / segments bits, for every l;
-with more segments than allowed differences that first segment is equal, so
-equal segments give the buckets and the chain prunes pairs within them.
+with more segments than allowed differences the first segment is equal and the
+first two together differ in few bits, with five segments and four differences
+in one at most. So a bucket is a segment and the next one with one bit left
+out, for each such bit; the rest of the chain prunes pairs within buckets.
 
 Defined results: a null, empty or blank text has fingerprint zero and links
 like any other; repeated rows and exact copies share one fingerprint; a row
@@ -29,6 +31,8 @@ from gleaner.llm.components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
+#: A bucket's number is its first segment times this, plus the number of its mask.
+STEP = 1000
 
 
 def fingerprint(text: str | None, shingle: int = 4, chunk: int = 1 << 15) -> int:
@@ -71,7 +75,7 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, first: int, masks: list[int], dis
     m = len(masks)
     diff = x[:, None] ^ y[None, :]
     grown = masks[first] | masks[(first + 1) % m]
-    i, j = np.nonzero(np.bitwise_count(diff & np.uint64(grown)) <= 2 * distance // m)
+    i, j = np.nonzero(np.bitwise_count(diff & np.uint64(grown)) <= 2 * distance // m)  # so far the bucket tells, but for the bit left out
     diff = diff[i, j]
     for length in range(3, m + 1):
         grown |= masks[(first + length - 1) % m]
@@ -84,10 +88,12 @@ def near_groups(fps: DataFrame, stages: Stages, distance: int = 4, segments: int
     """(fp, component_id) of every distinct fingerprint in fps (doc_id, fp)."""
     if segments <= distance:
         raise ValueError("pigeonring buckets need more segments than differing bits")
+    if 2 * distance // segments > 1:
+        raise ValueError("buckets leave one bit out: the first two segments may differ in one")
     masks = segment_masks(segments)
     reps = stages.put(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(i).alias("seg"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(signed)])
+    kept = [(i, masks[i] | masks[(i + 1) % segments] & ~(1 << p)) for i in range(segments) for p in range(64) if masks[(i + 1) % segments] >> p & 1]
+    keys = F.array(*[F.struct(F.lit(i * STEP + n).alias("seg"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("value")) for n, (i, m) in enumerate(kept)])
     rows = reps.withColumn("key", F.explode(keys)).select("rep", "fp", "key.seg", "key.value")
     spread = dealt(rows, ["seg", "value"], "rep", block)
 
@@ -98,7 +104,7 @@ def near_groups(fps: DataFrame, stages: Stages, distance: int = 4, segments: int
         at, to = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
         a, b = [], []
         for k in range(0, len(at), 256):
-            i, j = linked_pairs(fp[at[k : k + 256]], fp[to], seg, masks, distance)
+            i, j = linked_pairs(fp[at[k : k + 256]], fp[to], seg // STEP, masks, distance)
             a.append(at[k + i])
             b.append(to[j])
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
@@ -110,7 +116,7 @@ def near_groups(fps: DataFrame, stages: Stages, distance: int = 4, segments: int
 
     edges = stages.put(each_group(spread, ["seg", "value", "bi", "bj"], work, "a long, b long"), "edges")
     found = components(edges, stages)
-    return reps.join(found.hint("shuffle_hash"), reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return reps.join(found.hint("merge"), reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
 
 
 def simhash_dedup(docs: DataFrame, distance: int = 4, segments: int = 5, shingle: int = 4) -> DataFrame:
