@@ -59,6 +59,9 @@ def cue_count(text: Column, cues: list[str]) -> Column:
     return F.size(F.array_intersect(words, F.array(*[F.lit(c) for c in cues])))
 
 
+SCORES = ("issues", "usage_cues", "boundary_cues", "usable")
+
+
 def scored(candidates: DataFrame) -> DataFrame:
     """With issues, usable, usage_cues and boundary_cues."""
     return candidates.withColumns(
@@ -92,15 +95,18 @@ def seed_errors(seeds: DataFrame, corpus: DataFrame, prefix: str) -> DataFrame:
 def article_candidates(seeds: DataFrame, corpus: DataFrame, prefix: str, cap: int) -> DataFrame:
     """Seeds and the first `cap` passages, by id as a string, of every article that a group's seeds come from; each once per group.
 
-    (group_id, source_id, passage_id, title, text, is_seed). The cap is taken
-    within the corpus before the join, so groups of one article share the work.
+    (group_id, source_id, passage_id, title, text, is_seed), and what scored()
+    adds where both tables have it: then each passage is scored once, however
+    many groups it is offered to. The cap is taken within the corpus before the
+    join, so groups of one article share the work.
     """
+    more = [c for c in SCORES if c in seeds.columns and c in corpus.columns]
     order = Window.partitionBy("article_id").orderBy("passage_id")
-    first = corpus.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap).drop("n")
+    first = corpus.select("article_id", "passage_id", "title", "text", *more, F.row_number().over(order).alias("n")).where(F.col("n") <= cap).drop("n")
     wanted = seeds.select("group_id", article_of(F.col("passage_id")).alias("article_id")).distinct()
-    near = wanted.join(first, "article_id").select("group_id", F.concat(F.lit(prefix), F.col("passage_id")).alias("source_id"), "passage_id", "title", "text")
-    own = seeds.select("group_id", "source_id", "passage_id", "title", "text")
-    extra = near.join(own.select("group_id", "passage_id"), ["group_id", "passage_id"], "left_anti")
+    near = wanted.join(first.hint("merge"), "article_id").select("group_id", F.concat(F.lit(prefix), F.col("passage_id")).alias("source_id"), "passage_id", "title", "text", *more)
+    own = seeds.select("group_id", "source_id", "passage_id", "title", "text", *more)
+    extra = near.join(own.select("group_id", "passage_id").hint("merge"), ["group_id", "passage_id"], "left_anti")
     return own.withColumn("is_seed", F.lit(True)).unionByName(extra.withColumn("is_seed", F.lit(False)))
 
 
@@ -136,9 +142,10 @@ def selection(candidates: DataFrame, limits: Limits = Limits()) -> DataFrame:
     (evidence_budget) without ending the selection. A group holds at most the
     candidate cap per article, so its fold stays small.
     """
-    keys = rank_keys()
-    item = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], "text")
-    groups = candidates.where("usable").groupBy("group_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    keys = [(~F.col("usable")).cast("int"), *rank_keys()]
+    carried = [c for c in candidates.columns if c != "group_id"]
+    item = F.struct(*[k.alias(f"_k{i}") for i, k in enumerate(keys)], *carried)
+    groups = candidates.groupBy("group_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     state = F.struct(
         F.expr("cast(array() as array<string>)").alias("kept"), F.lit(0).alias("total"), F.expr("cast(array() as array<string>)").alias("notes")
     )
@@ -146,8 +153,8 @@ def selection(candidates: DataFrame, limits: Limits = Limits()) -> DataFrame:
     def step(acc: Column, x: Column) -> Column:
         again = F.array_contains(acc["kept"], x["text"])
         full = (F.size(acc["kept"]) >= limits.passages) | (acc["total"] + F.length(x["text"]) > limits.characters)
-        note = F.when(again, F.lit("duplicate_text")).when(full, F.lit("evidence_budget")).otherwise(F.lit("selected"))
-        take = ~again & ~full
+        note = F.when(~x["usable"], F.lit(None)).when(again, F.lit("duplicate_text")).when(full, F.lit("evidence_budget")).otherwise(F.lit("selected"))
+        take = x["usable"] & ~again & ~full
         return F.struct(
             F.when(take, F.array_append(acc["kept"], x["text"])).otherwise(acc["kept"]).alias("kept"),
             F.when(take, acc["total"] + F.length(x["text"])).otherwise(acc["total"]).alias("total"),
@@ -155,10 +162,11 @@ def selection(candidates: DataFrame, limits: Limits = Limits()) -> DataFrame:
         )
 
     folded = groups.withColumn("notes", F.aggregate("items", state, step, lambda acc: acc["notes"]))
-    noted = folded.select("group_id", F.explode(F.arrays_zip(F.col("items"), F.col("notes"))).alias("x"))
-    notes = noted.select("group_id", F.col("x.items.k2").alias("passage_id"), F.col("x.items.k3").alias("source_id"), F.col("x.notes").alias("picked"))
-    joined = candidates.join(notes, ["group_id", "source_id", "passage_id"], "left")
-    return joined.withColumns({"selected": F.coalesce(F.col("picked") == "selected", F.lit(False)), "note": F.when(F.col("picked") != "selected", F.col("picked"))}).drop("picked")
+    # whole candidates are folded and come out again, so they are scored once and nothing is joined back
+    rows = folded.select("group_id", F.explode(F.arrays_zip(F.col("items"), F.col("notes"))).alias("x"))
+    picked = F.col("x.notes")
+    out = rows.select("group_id", *[F.col(f"x.items.{c}").alias(c) for c in carried], F.coalesce(picked == "selected", F.lit(False)).alias("selected"), F.when(picked != "selected", picked).alias("note"))
+    return out.select(*candidates.columns, "selected", "note")
 
 
 def preparation_summary(selected: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ class same_article:
     limits: preparation.Limits
 
     def __call__(self, seeds: DataFrame) -> DataFrame:
-        return preparation.selection(preparation.scored(preparation.article_candidates(seeds, self.corpus, self.prefix, self.limits.candidates)), self.limits)
+        return preparation.selection(preparation.article_candidates(preparation.scored(seeds), preparation.scored(self.corpus), self.prefix, self.limits.candidates), self.limits)
 
     def seed_errors(self, seeds: DataFrame) -> DataFrame:
         """(group_id, error) of groups with a seed that is not in the corpus as given; the first such seed's."""

@@ -1,7 +1,7 @@
 """Views on the driver's tables that stand in for passage groups, cards and verdicts.
 
-A document plays the article, its lines the passages, its source the subject;
-defects that the tables lack are put in by modulus. The text of a view is the
+A document plays the article, its lines the passages, every five lines a group,
+its source the subject; defects that the tables lack are put in by modulus. The text of a view is the
 same in Spark and DuckDB, but for the one that splits documents into lines.
 """
 
@@ -13,34 +13,35 @@ LINES_SPARK = r"select doc_id, cast(n as bigint) as n, line, lang, source from {
 LINES_DUCKDB = "select doc_id, unnest(generate_series(0, len(string_split(text, chr(10)))-1)) as n, unnest(string_split(text, chr(10))) as line, lang, source from documents"
 
 VIEWS = {
-    "fx_passages": """select doc_id, n, concat('doc:', doc_id, '#', n) as source_id, concat(doc_id, '#', n) as passage_id, source as subject, lang,
+    "fx_passages": """select doc_id, n, cast(floor(n / 5) as bigint) as part, n - 5 * cast(floor(n / 5) as bigint) as pos, concat('g', doc_id, '_', cast(floor(n / 5) as bigint)) as group_id,
+  doc_id * 100000 + cast(floor(n / 5) as bigint) as group_order, concat('doc:', doc_id, '#', n) as source_id, concat(doc_id, '#', n) as passage_id, source as subject, lang,
   case when (doc_id*31+n)%97=3 then concat('Doc ', doc_id, ' (Disambiguation)') else concat('Doc ', doc_id) end as title,
   case (doc_id*31+n)%97
-    when 1 then concat(line, ' It has a time requirement of , using big O notation.')
+    when 1 then concat(line, ' Sorting them has a cost of , whatever their order was.')
     when 2 then concat(line, '�')
-    when 4 then concat(line, ' Use this ratio only when the elapsed time is positive; divide the total distance by that time.')
+    when 4 then concat(line, ' To compute the density when the volume is known, divide the mass by it; this requires a volume that is not zero.')
     when 5 then concat(line, repeat(' x', 6001))
-    when 6 then 'Speed is distance divided by elapsed time. Average speed uses total distance and total elapsed time.'
+    when 6 then 'Density is the mass of a body divided by its volume, and the total mass of several bodies is the sum of theirs.'
     else line end as text from fx_lines""",
-    "fx_groups": "select concat('g', doc_id) as group_id, doc_id as group_order, subject, lang, n as pos, source_id, passage_id, title, text from fx_passages where n < 2",
-    "fx_citations": """select concat('g', doc_id) as group_id, 'application' as stage, n as cite_ix, case when doc_id%11=0 then 'doc:other' else source_id end as source_id, passage_id,
-  case when doc_id%13=0 then concat(substr(text,1,40),' (invented)') else substr(text, 1+cast(doc_id%7 as int), 40) end as quote from fx_passages where n < 2""",
-    "fx_cards": """select concat('g', doc_id) as group_id, doc_id as group_order, n as card_index, lang as subject, substr(text,1,20) as concept_name, text as definition,
-  doc_id%3 as n_trigger, 1+doc_id%2 as n_decision, doc_id%2 as n_pitfall from fx_passages where n < doc_id%4""",
+    "fx_groups": "select group_id, group_order, doc_id, subject, lang, pos, source_id, passage_id, title, text from fx_passages",
+    "fx_citations": """select group_id, 'application' as stage, pos as cite_ix, case when group_order%11=0 then 'doc:other' else source_id end as source_id, passage_id,
+  case when group_order%13=0 then concat(substr(text,1,40),' (invented)') else substr(text, 1+cast(group_order%7 as int), 40) end as quote from fx_passages""",
+    "fx_cards": """select group_id, group_order, pos as card_index, lang as subject, substr(text,1,20) as concept_name, text as definition,
+  group_order%3 as n_trigger, 1+group_order%2 as n_decision, group_order%2 as n_pitfall from fx_passages where pos < group_order%4""",
     "fx_judgments": """select group_id, 'card_review' as stage, card_index, (group_order+card_index)%5<>0 as source_supported, (group_order*3+card_index)%7<>0 as reusable,
   case when (group_order+2*card_index)%9=0 then 1 else 0 end as n_issues from fx_cards where not (group_order%17=0 and card_index=0)""",
     "fx_repairs": """select c.group_id, c.card_index, case when c.group_order%2=0 then concat(c.definition,' (positive)') end as replacement_definition
   from fx_cards c join fx_judgments j on c.group_id=j.group_id and c.card_index=j.card_index where not (j.source_supported and j.reusable and j.n_issues=0)""",
-    "fx_lines_json": """select doc_id, concat('{"group_id":"g', doc_id, '"', case when doc_id%29=1 then ',"extra":1' else '' end,
-  ',"subject":', case when doc_id%29=2 then '5' when doc_id%29=3 then '"  "' else concat('"', subject, '"') end,
-  case when doc_id%29=4 then '' else concat(',"corpus":"', case when doc_id%29=5 then 'other' else 'documents' end, '"') end,
-  ',"language":', case when doc_id%29=6 then 'null' else concat('"', lang, '"') end,
-  ',"passages":', case when doc_id%29=7 then '[]' when doc_id%29=8 then '[{"source_id":"a","passage_id":"b","text":"c"},{"source_id":"a","passage_id":"d","text":7}]'
-    when doc_id%29=9 then '[{"source_id":"a","passage_id":"b","text":"c"},{"source_id":"a","passage_id":"b","text":"d"}]' else passages end,
-  case when doc_id%29=10 then '' else '}' end) as value from fx_passage_json""",
+    "fx_lines_json": """select group_id, concat('{"group_id":"', group_id, '"', case when group_order%29=1 then ',"extra":1' else '' end,
+  ',"subject":', case when group_order%29=2 then '5' when group_order%29=3 then '"  "' else concat('"', subject, '"') end,
+  case when group_order%29=4 then '' else concat(',"corpus":"', case when group_order%29=5 then 'other' else 'documents' end, '"') end,
+  ',"language":', case when group_order%29=6 then 'null' else concat('"', lang, '"') end,
+  ',"passages":', case when group_order%29=7 then '[]' when group_order%29=8 then '[{"source_id":"a","passage_id":"b","text":"c"},{"source_id":"a","passage_id":"d","text":7}]'
+    when group_order%29=9 then '[{"source_id":"a","passage_id":"b","text":"c"},{"source_id":"a","passage_id":"b","text":"d"}]' else passages end,
+  case when group_order%29=10 then '' else '}' end) as value from fx_passage_json""",
 }
-JSON_SPARK = "select doc_id, max(subject) as subject, max(lang) as lang, to_json(transform(array_sort(collect_list(struct(n, source_id, passage_id, title, text))), x -> struct(x.source_id, x.passage_id, x.title, x.text))) as passages from fx_passages where n < 2 group by doc_id"
-JSON_DUCKDB = "select doc_id, max(subject) as subject, max(lang) as lang, cast(to_json(list(struct_pack(source_id := source_id, passage_id := passage_id, title := title, text := text) order by n)) as varchar) as passages from fx_passages where n < 2 group by doc_id"
+JSON_SPARK = "select group_id, group_order, max(subject) as subject, max(lang) as lang, to_json(transform(array_sort(collect_list(struct(n, source_id, passage_id, title, text))), x -> struct(x.source_id, x.passage_id, x.title, x.text))) as passages from fx_passages group by group_id, group_order"
+JSON_DUCKDB = "select group_id, group_order, max(subject) as subject, max(lang) as lang, cast(to_json(list(struct_pack(source_id := source_id, passage_id := passage_id, title := title, text := text) order by n)) as varchar) as passages from fx_passages group by group_id, group_order"
 
 
 def with_views(spark_sql: bool) -> str:

@@ -59,7 +59,7 @@ def cue_sql(kind: str) -> str:
 
 CANDIDATES_SQL = f"""
 corpus as (select doc_id, passage_id, source_id, title, text, row_number() over (partition by doc_id order by passage_id) as n from fx_passages),
-near as (select distinct g.group_id, c.source_id, c.passage_id, c.title, c.text from (select distinct group_id, group_order from fx_groups) g join corpus c on c.doc_id = g.group_order where c.n <= 64),
+near as (select distinct g.group_id, c.source_id, c.passage_id, c.title, c.text from (select distinct group_id, doc_id from fx_groups) g join corpus c on c.doc_id = g.doc_id where c.n <= 64),
 cand as (select group_id, source_id, passage_id, title, text, true as is_seed from fx_groups union all
   select group_id, source_id, passage_id, title, text, false from near where (group_id, passage_id) not in (select (group_id, passage_id) from fx_groups)),
 scored as (select *, {ISSUES_SQL} as issues, {cue_sql('usage')} as usage_cues, {cue_sql('boundary')} as boundary_cues from cand),
@@ -87,25 +87,25 @@ def _corpus(spark, sf_dir) -> DataFrame:
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
-    return preparation.scored(preparation.article_candidates(_seeds(spark, sf_dir), _corpus(spark, sf_dir), PREFIX, 64))
+    return preparation.article_candidates(preparation.scored(_seeds(spark, sf_dir)), preparation.scored(_corpus(spark, sf_dir)), PREFIX, 64)
 
 
 def _selected(spark, sf_dir) -> DataFrame:
     return preparation.selection(_candidates(spark, sf_dir))
 
 
-@query(on_views(r"""j as (select doc_id, try_cast(value as json) as v from fx_lines_json),
-p as (select doc_id, unnest(json_extract(v, '$.passages[*]')) as p from j where v is not null),
-ptext as (select doc_id, len(list_filter(json_keys(p), lambda k: k not in ('source_id', 'passage_id', 'title', 'text'))) = 0 and json_type(p, '$.source_id') = 'VARCHAR' and json_type(p, '$.passage_id') = 'VARCHAR' and json_type(p, '$.text') = 'VARCHAR'
+@query(on_views(r"""j as (select group_id, try_cast(value as json) as v from fx_lines_json),
+p as (select group_id, unnest(json_extract(v, '$.passages[*]')) as p from j where v is not null),
+ptext as (select group_id, len(list_filter(json_keys(p), lambda k: k not in ('source_id', 'passage_id', 'title', 'text'))) = 0 and json_type(p, '$.source_id') = 'VARCHAR' and json_type(p, '$.passage_id') = 'VARCHAR' and json_type(p, '$.text') = 'VARCHAR'
    and coalesce(json_type(p, '$.title'), 'VARCHAR') = 'VARCHAR' as typed, p->>'$.source_id' as s, p->>'$.passage_id' as i, regexp_replace(regexp_replace(p->>'$.text', '^\s+', ''), '\s+$', '') as t from p),
-pa as (select doc_id, bool_and(coalesce(typed and trim(s) <> '' and trim(i) <> '' and length(t) between 1 and 12000, false)) as fine, sum(length(t)) as chars, count(*) as n, count(distinct concat(s, '|', i)) as k from ptext group by doc_id)
-select j.doc_id, coalesce(list_sort(json_keys(v)) = ['corpus', 'group_id', 'language', 'passages', 'subject'] and json_type(v, '$.group_id') = 'VARCHAR' and json_type(v, '$.subject') = 'VARCHAR' and trim(v->>'$.subject') <> ''
+pa as (select group_id, bool_and(coalesce(typed and trim(s) <> '' and trim(i) <> '' and length(t) between 1 and 12000, false)) as fine, sum(length(t)) as chars, count(*) as n, count(distinct concat(s, '|', i)) as k from ptext group by group_id)
+select j.group_id, coalesce(list_sort(json_keys(v)) = ['corpus', 'group_id', 'language', 'passages', 'subject'] and json_type(v, '$.group_id') = 'VARCHAR' and json_type(v, '$.subject') = 'VARCHAR' and trim(v->>'$.subject') <> ''
    and v->>'$.corpus' = 'documents' and json_type(v, '$.language') = 'VARCHAR' and v->>'$.language' in ('en', 'de', 'fr', 'es') and json_type(v, '$.passages') = 'ARRAY' and pa.n between 1 and 5 and pa.fine and pa.chars <= 30000 and pa.k = pa.n, false) as valid
-from j left join pa using (doc_id)"""))
+from j left join pa using (group_id)"""))
 def intake_strictness(spark, sf_dir):
     """Strict reading of group JSON with every kind of defect: which lines are valid."""
     lines = view(spark, sf_dir, "fx_lines_json")
-    return intake.parsed_groups(lines, ("documents",), ("en", "de", "fr", "es")).select("doc_id", F.col("problem").isNull().alias("valid"))
+    return intake.parsed_groups(lines, ("documents",), ("en", "de", "fr", "es")).select("group_id", F.col("problem").isNull().alias("valid"))
 
 
 @query(on_views(f"select source_id, array_to_string({ISSUES_SQL}, ',') as issues, len({ISSUES_SQL}) = 0 as usable from fx_passages"))
@@ -124,7 +124,7 @@ def passage_cue_scores(spark, sf_dir):
 
 @query(on_views(CANDIDATES_SQL + """,
 stats as (select doc_id, count(*) as available from fx_passages group by doc_id)
-select c.group_id, c.passage_id, c.is_seed, s.available, least(s.available, 64) as fetched, s.available > 64 as truncated from cand c join stats s on concat('g', s.doc_id) = c.group_id"""))
+select c.group_id, c.passage_id, c.is_seed, s.available, least(s.available, 64) as fetched, s.available > 64 as truncated from cand c join stats s on s.doc_id = cast(string_split(c.passage_id, '#')[1] as bigint)"""))
 def article_candidate_cap(spark, sf_dir):
     corpus = _corpus(spark, sf_dir)
     found = preparation.article_candidates(_seeds(spark, sf_dir), corpus, PREFIX, 64)
