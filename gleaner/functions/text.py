@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 BANK_PREFIX = "mem_"
 
@@ -23,8 +23,8 @@ def is_text(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """Runs of white space become one space; none at the ends."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    """Runs of white space become one space; none at the ends. The four information separators count as white space here."""
+    return strip(F.regexp_replace(c, r"(?U)[\s\x{1C}-\x{1F}]+", " "))
 
 
 @F.pandas_udf(StringType())
@@ -33,6 +33,12 @@ def nfc(c: pd.Series) -> pd.Series:
     return c.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfc_all(c: pd.Series) -> pd.Series:
+    """Normal form C of every text of an array."""
+    return c.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFC", x) for x in xs])
+
+
 def normal_text(c: Column) -> Column:
     """NFC with white space collapsed; ASCII text skips the Python worker's work but not its batch."""
     return collapse(nfc(c))
@@ -63,20 +69,14 @@ CARD_FIELDS = ("concept_name", "definition", "trigger", "decision", "pitfall")
 
 def content_key(subject: Column, card: Column) -> Column:
     """SHA-256 of the subject and the card with normal texts; case and item order count. card: struct of CARD_FIELDS."""
-    joined = F.array(card["concept_name"], card["definition"])
     lists = [card[x] for x in ("trigger", "decision", "pitfall")]
-    # one pass through Python for all texts of a card: unit separators never occur in normal text
-    sep = "\u001f"
-    packed = nfc(F.concat_ws("\u001e", F.array_join(joined, sep), *[F.array_join(x, sep) for x in lists]))
-    part = F.split(packed, "\u001e")
-
-    def items(i: int, source: Column) -> Column:
-        return F.when(F.size(source) > 0, F.transform(F.split(F.get(part, F.lit(i)), sep), collapse)).otherwise(F.expr("cast(array() as array<string>)"))
-
-    head = items(0, joined)
+    # one pass through Python for all texts of a card, as one array; the lists are cut out of it again by their sizes
+    texts = nfc_all(F.concat(F.array(card["concept_name"], card["definition"]), *[F.coalesce(x, F.expr("cast(array() as array<string>)")) for x in lists]))
+    size = [F.greatest(F.size(x), F.lit(0)) for x in lists]
+    start = [F.lit(3), size[0] + 3, size[0] + size[1] + 3]
+    trigger, decision, pitfall = (F.transform(F.slice(texts, a, n), collapse) for a, n in zip(start, size))
     normal = F.struct(
-        F.get(head, F.lit(0)).alias("concept_name"), items(2, lists[1]).alias("decision"), F.get(head, F.lit(1)).alias("definition"),
-        items(3, lists[2]).alias("pitfall"), items(1, lists[0]).alias("trigger"),
+        collapse(F.get(texts, F.lit(0))).alias("concept_name"), decision.alias("decision"), collapse(F.get(texts, F.lit(1))).alias("definition"), pitfall.alias("pitfall"), trigger.alias("trigger"),
     )
     return digest(F.struct(normal.alias("card"), subject.alias("subject")))
 

@@ -12,6 +12,7 @@ from gleaner.plans.build import Build, Options, same_article
 from gleaner.plans.fixtures import CARD_DUCKDB, cards, view, with_views
 from gleaner.plans.scripted import scripted_model
 from gleaner.sources.scratch import new_folder
+from gleaner.sources.writers import write_table
 
 PREFIX = "doc:"
 QUERIES: dict = {}
@@ -331,7 +332,7 @@ def json_text(x: str) -> str:
 
 
 def normal(x: str) -> str:
-    return rf"trim(regexp_replace(nfc_normalize({x}), '[\s\x{{00A0}}]+', ' ', 'g'))"
+    return rf"trim(regexp_replace(nfc_normalize({x}), '[\s\x{{00A0}}\x1c-\x1f]+', ' ', 'g'))"
 
 
 def json_list(x: str) -> str:
@@ -349,11 +350,30 @@ bank as (select concat('mem_', key) as memory_id, min(struct_pack(o := group_ord
 def bank_dedup(spark, sf_dir):
     judged = _gated(spark, sf_dir).where("accepted").select("group_id", "card_index")
     accepted = cards(spark, sf_dir).join(judged, ["group_id", "card_index"]).withColumn("origin", F.concat_ws(":", "group_id", "card_index"))
-    found = export.bank(accepted)
+    found = write_table(export.bank(accepted), f"{new_folder(spark, 'bank')}/bank")
     rows = export.dense_index(found, ["group_order", "card_index"])
     return rows.select("memory_id", "group_order", "card_index", F.size("origins").cast("bigint").alias("n_origins"), F.array_join("origins", ",").alias("origins"), F.col("index").cast("bigint").alias("index"))
 
 
+KEY_LISTS = {"joined": "[concat(concept_name, chr(31), 'y')]", "apart": "[concept_name, 'y']", "control": "[concat(concept_name, chr(7), 'y')]"}
+
+
+def key_sql(trigger: str) -> str:
+    """The content key of a card whose other lists are ['do'] and []."""
+    items = f"concat('[', array_to_string(list_transform({trigger}, lambda x: replace({json_text(normal('x'))}, chr(7), '\\u0007')), ','), ']')"
+    return f"""sha256(concat('{{"card":{{"concept_name":', {json_text(normal('concept_name'))}, ',"decision":["do"],"definition":', {json_text(normal('definition'))}, ',"pitfall":[],"trigger":', {items}, '}},"subject":"', subject, '"}}'))"""
+
+
+@query(on_views("select group_id, card_index, " + ", ".join(f"{key_sql(x)} as {n}" for n, x in KEY_LISTS.items()) + " from fx_cards"))
+def content_key_of_odd_texts(spark, sf_dir):
+    """Keys of cards whose lists differ only in where one text ends and the next begins, and of texts with control characters."""
+    name = F.col("concept_name")
+    lists = {"joined": F.array(F.concat(name, F.lit("\x1fy"))), "apart": F.array(name, F.lit("y")), "control": F.array(F.concat(name, F.lit("\x07y")))}
+    rows = view(spark, sf_dir, "fx_cards")
+    key = lambda x: content_key(F.col("subject"), F.struct("concept_name", "definition", x.alias("trigger"), F.array(F.lit("do")).alias("decision"), F.expr(checks.NONE).alias("pitfall")))
+    return rows.select("group_id", "card_index", *[key(x).alias(n) for n, x in lists.items()])
+
+
 @query(on_views("""seen as (select distinct group_id, subject, group_order from fx_groups) select group_id, sha256(concat(group_id, '|', subject)) as request_sha256, case when group_order%3=0 then 'pending' when group_order%7=0 then 'pending' else 'done' end as state from seen"""))
 def resume_pending(spark, sf_dir):
     """Two thirds of the groups have results, some of them with a wrong checksum: what has to run again."""
