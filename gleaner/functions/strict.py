@@ -111,3 +111,20 @@ def first_problem(text: Column, spec) -> Column:
     """null if the JSON text fits the spec, else the first thing that is wrong."""
     value = F.try_parse_json(text)
     return F.when(value.isNull(), F.lit("$: no JSON")).otherwise(F.get(violations(value, spec), F.lit(0)))
+
+
+def json_schema(spec) -> dict:
+    """A spec as JSON Schema, to be shown to a model."""
+    if isinstance(spec, Text):
+        return {"type": "string", **({} if spec.blank else {"minLength": 1}), **({"maxLength": spec.most} if spec.most else {})}
+    if isinstance(spec, Flag):
+        return {"type": "boolean"}
+    if isinstance(spec, Index):
+        return {"type": ["integer", "null"] if spec.null else "integer", "minimum": 0}
+    if isinstance(spec, Choice):
+        return {"type": "string", "enum": list(spec.values)}
+    if isinstance(spec, Items):
+        return {"type": "array", "items": json_schema(spec.item), "minItems": spec.least, **({} if spec.most is None else {"maxItems": spec.most})}
+    fields = {k: json_schema(v) for k, v in spec.fields.items()}
+    required = [k for k, v in spec.fields.items() if v.required]
+    return {"type": ["object", "null"] if spec.null else "object", "properties": fields, "required": required, "additionalProperties": False}

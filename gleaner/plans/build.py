@@ -10,6 +10,7 @@ Errors are values of a group; none stops the run.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -19,11 +20,12 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.records import CARD_FLAGS, PASSAGE, SELF_CHECK_FLAGS, STAGE_SPECS, STAGE_TYPES, STAGES
 from gleaner.functions.responses import json_object, token_usage, usable
-from gleaner.functions.strict import violations
+from gleaner.functions.strict import json_schema, violations
 from gleaner.functions.text import strip
 from gleaner.operators import checks, export, intake, preparation, requests
-from gleaner.operators.requests import ModelOptions
-from gleaner.sources.readers import prompt_table, stored
+from gleaner.operators.requests import RETRY, ModelOptions
+from gleaner.plans.prompts import PROMPTS
+from gleaner.sources.readers import all_prompts, stored
 from gleaner.sources.writers import append_table, write_bank, write_jsonl, write_table
 
 VERSION = "gleaner-cards-1"
@@ -34,18 +36,42 @@ Model = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 #: Groups in, scored and selected candidates out (see preparation.py).
 Preparer = Callable[[DataFrame], DataFrame]
 
+#: Adds errors array<string> to answers (group_id, stage, payload, passages, ...); an answer without any passes.
+Validator = Callable[[DataFrame], DataFrame]
+
 RESPONSE = "call_sha256 string, status_code int, raw string, latency_s double"
+AUDIT = "group_id string, source_id string, passage_id string, title string, text string, is_seed boolean, issues array<string>, usage_cues int, boundary_cues int, usable boolean, selected boolean, note string"
+LOGGED = RESPONSE + ", group_id string, stage string, attempt int, called_at timestamp"
 RESULT = "stage string, group_id string, request_sha256 string, payload string, payload_sha256 string, call_sha256 string, attempt int"
 
 
+@dataclass(frozen=True)
+class Collected:
+    """Answers that were collected elsewhere, by a batch service say, instead of a model.
+
+    answers: (group_id, stage, attempt, status_code, raw, latency_s), one row
+    for each call; a call without a row stays unanswered.
+    """
+
+    answers: DataFrame
+
+    def to(self, asked: DataFrame) -> DataFrame:
+        known = self.answers.select("group_id", "stage", "attempt", "status_code", "raw", "latency_s")
+        return asked.select("call_sha256", "group_id", "stage", "attempt").join(known.hint("merge"), ["group_id", "stage", "attempt"]).select(*[x.split()[0] for x in RESPONSE.split(", ")])
+
+
 @dataclass(frozen=True)
 class Options:
+    """prompts: a stage's system prompt where it differs from prompts.py. retry: what a model is told of a failed answer. schema_in_call: whether calls ask the service to keep to the stage's schema."""
+
     model: ModelOptions = field(default_factory=ModelOptions)
     limits: preparation.Limits = field(default_factory=preparation.Limits)
     repairs: int = 1
     prompts: dict = field(default_factory=dict, hash=False)
     prefix: str = "mem_"
     provider: str = "configured"
+    retry: str = RETRY
+    schema_in_call: bool = False
 
     def __post_init__(self):
         if self.repairs not in (0, 1):
@@ -53,7 +79,7 @@ class Options:
 
     def protocol(self) -> str:
         """What must not change between runs of one folder; concurrency may."""
-        return repr((VERSION, replace(self.model, concurrency=1), self.limits, self.repairs, sorted(self.prompts.items()), self.prefix, self.provider))
+        return repr((VERSION, replace(self.model, concurrency=1), self.limits, self.repairs, sorted(self.prompts.items()), self.prefix, self.provider, self.retry, self.schema_in_call))
 
 
 def supplied(limits: preparation.Limits) -> Preparer:
@@ -153,8 +179,8 @@ def payload_errors(stage: str, value: Column, passages: Column, candidates: Colu
 class Build:
     """A run in a folder. groups: (group_id, group_order, subject, corpus, language, passages array<struct>)."""
 
-    def __init__(self, spark: SparkSession, folder: str, model: Model, options: Options = Options(), preparer: Preparer | None = None):
-        self.spark, self.folder, self.model, self.options = spark, folder.rstrip("/"), model, options
+    def __init__(self, spark: SparkSession, folder: str, model: Model | Collected, options: Options = Options(), preparer: Preparer | None = None, validate: Validator | None = None):
+        self.spark, self.folder, self.model, self.options, self.validate = spark, folder.rstrip("/"), model, options, validate
         self.preparer = preparer or supplied(options.limits)
         spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
@@ -174,25 +200,42 @@ class Build:
         if not old:
             self.spark.createDataFrame([now], schema).write.parquet(self.path("manifest"))
 
+    def candidates(self, seeds: DataFrame) -> DataFrame:
+        """The scored and selected candidates: those of an earlier run where they are as it left them, else prepared anew."""
+        path, seal = self.path("candidate_audit"), "rows long, fingerprint decimal(38,0)"
+        kept = stored(self.spark, self.path("candidate_seal"), seal).head(1)
+        if kept:
+            found = stored(self.spark, path, AUDIT)
+            if export.table_fingerprint(found).first() == kept[0]:
+                return found
+        found = write_table(self.preparer(seeds).select(*[x.split()[0] for x in AUDIT.split(", ")]), path)
+        write_table(export.table_fingerprint(found).select("rows", F.col("fingerprint").cast("decimal(38,0)").alias("fingerprint")), self.path("candidate_seal"))
+        return found
+
     def call(self, todo: DataFrame, name: str) -> DataFrame:
         """Responses of todo(group_id, stage, call_sha256, attempt, body): stored ones that were usable, and new ones for the rest."""
-        known = usable(stored(self.spark, self.path("responses"), RESPONSE)).where("ok").dropDuplicates(["call_sha256"])
+        known = usable(stored(self.spark, self.path("responses"), LOGGED)).where("ok").dropDuplicates(["call_sha256"])
         missing = todo.join(known.select("call_sha256"), "call_sha256", "left_anti").dropDuplicates(["call_sha256"])
-        model = self.model
-        asked = missing.select("group_id", "stage", "call_sha256", "attempt", "body").repartition(self.options.model.concurrency).mapInPandas(model, RESPONSE)
+        asked = missing.select("group_id", "stage", "call_sha256", "attempt", "body")
+        if isinstance(self.model, Collected):
+            said = self.model.to(asked)
+        else:
+            said = asked.repartition(self.options.model.concurrency).mapInPandas(self.model, RESPONSE)
         # written before anything reads it: a second read would call the model again
-        fresh = write_table(asked, self.path(f"calls/{name}"))
-        append_table(fresh, self.path("responses"))
-        return known.drop("content", "ok", "error").withColumn("cached", F.lit(True)).unionByName(fresh.withColumn("cached", F.lit(False)))
+        said = write_table(said, self.path(f"calls/{name}"))
+        fresh = said.join(asked.select("call_sha256", "group_id", "stage", "attempt").hint("merge"), "call_sha256").withColumn("called_at", F.current_timestamp())
+        append_table(fresh.select(*[x.split()[0] for x in LOGGED.split(", ")]), self.path("responses"))
+        return known.select("call_sha256", "status_code", "raw", "latency_s").unionByName(said)
 
     def stage(self, stage: str, rows: DataFrame) -> DataFrame:
         """(group_id, payload, error) for rows(group_id, subject, corpus, language, passages, record, candidates, review)."""
         spark, o = self.spark, self.options
         group = F.struct("group_id", "subject", "corpus", "language", "passages")
-        prompts = prompt_table(spark, {s: o.prompts.get(s, f"stage: {s}") for s in STAGES if s != "repair_review" or s in o.prompts}).where(F.col("stage") == stage)
-        user = requests.stage_message(group, F.col("record"), F.lit(f'"{stage}"'))
-        asked = rows.crossJoin(F.broadcast(prompts)).withColumn("messages", F.array(requests.message("system", F.col("prompt")), requests.message("user", user)))
-        asked = asked.withColumn("request_sha256", requests.request_hash(o.protocol(), stage, F.col("messages"))).drop("prompt", "record")
+        schema = json.dumps(json_schema(STAGE_SPECS[stage]))
+        prompt = all_prompts({**PROMPTS, **o.prompts})[stage]
+        user = requests.stage_message(group, F.col("record"), F.lit(schema))
+        asked = rows.withColumn("stage", F.lit(stage)).withColumn("messages", F.array(requests.message("system", F.lit(prompt)), requests.message("user", user)))
+        asked = asked.withColumn("request_sha256", requests.request_hash(o.protocol(), stage, F.col("messages"))).drop("record")
         asked = write_table(asked, self.path(f"requests/{stage}"))
         results = stored(spark, self.path("stage_results"), RESULT).where(F.col("stage") == stage)
         torn = asked.join(results.where(F.sha2("payload", 256) != F.col("payload_sha256")).select("request_sha256").distinct(), "request_sha256", "left_semi")
@@ -202,25 +245,30 @@ class Build:
             todo = write_table(todo, self.path(f"rounds/{stage}-{attempt}"))
             if todo.isEmpty():
                 break
-            calls = todo.withColumns({"attempt": F.lit(attempt), "body": requests.request_body(F.col("messages"), o.model)}).withColumn("call_sha256", F.sha2(F.concat_ws("\u001f", F.lit(stage), F.col("attempt"), F.col("body")), 256))
+            calls = todo.withColumns({"attempt": F.lit(attempt), "body": requests.request_body(F.col("messages"), o.model, requests.format_of(stage, schema, o.model.endpoint) if o.schema_in_call else None)}).withColumn("call_sha256", F.sha2(F.concat_ws("\u001f", F.lit(stage), F.col("attempt"), F.col("body")), 256))
             said = usable(self.call(calls, f"{stage}-{attempt}")).select("call_sha256", "content", "ok", "error")
             got = calls.join(said, "call_sha256", "left").withColumn("parsed", json_object(F.coalesce("content", F.lit(""))))
             value = F.col("parsed.value")
             wrong = payload_errors(stage, value, F.col("passages"), F.col("candidates"), F.from_json("review", STAGE_TYPES["card_review"]))
             problem = F.when(~F.coalesce("ok", F.lit(False)), F.coalesce("error", F.lit("no response"))).when(value.isNull(), F.col("parsed.error")).otherwise(F.get(wrong, F.lit(0)))
             got = got.withColumns({"problem": problem, "payload": F.to_json(value)}).drop("parsed")
+            if self.validate is not None:
+                got = self.validate(got).withColumn("problem", F.coalesce("problem", F.get("errors", F.lit(0)))).drop("errors")
             got = write_table(got, self.path(f"checked/{stage}-{attempt}"))
             good = got.where("problem is null").select("stage", "group_id", "request_sha256", "payload", F.sha2("payload", 256).alias("payload_sha256"), "call_sha256", "attempt")
             append_table(good, self.path("stage_results"))
             again = got.where("problem is not null")
             answer = F.when(F.coalesce("ok", F.lit(False)), F.col("content"))
             first = F.slice("messages", 1, 2)
-            todo = again.withColumn("messages", requests.with_retry(first, answer, F.col("problem"))).withColumn("last_error", F.col("problem")).select(*todo.columns)
+            todo = again.withColumn("messages", requests.with_retry(first, answer, F.col("problem"), o.retry)).withColumn("last_error", F.col("problem")).select(*todo.columns)
         failed = todo.select("group_id", F.concat(F.lit(f"{stage}: "), "last_error").alias("error"))
         results = stored(spark, self.path("stage_results"), RESULT).where(F.col("stage") == stage)
         done = requests.reusable(asked.select("group_id", "request_sha256"), results).select("group_id", "payload", F.lit(None).cast("string").alias("error"))
         bad = failed.unionByName(torn).join(done.select("group_id"), "group_id", "left_anti").select("group_id", F.lit(None).cast("string").alias("payload"), "error")
-        return write_table(done.unionByName(bad), self.path(f"stages/{stage}"))
+        found = write_table(done.unionByName(bad), self.path(f"stages/{stage}"))
+        counts = found.agg(F.lit(stage).alias("stage"), F.count("*").alias("groups"), F.count("payload").alias("passed"), F.count("error").alias("failed"), F.current_timestamp().alias("at"))
+        append_table(counts, self.path("stage_progress"))
+        return found
 
     def run(self, groups: DataFrame) -> DataFrame:
         """Run all stages and write every output; gives the outcomes (group_id, status, rejection_stage, error)."""
@@ -232,10 +280,10 @@ class Build:
         if isinstance(self.preparer, same_article):
             astray = write_table(self.preparer.seed_errors(seeds), self.path("seed_errors"))
             seeds = seeds.join(astray, "group_id", "left_anti")
-            audit = write_table(self.preparer(seeds), self.path("candidate_audit"))
+            audit = self.candidates(seeds)
             faults = astray.unionByName(candidate_errors(seeds, audit))
         else:
-            audit = write_table(self.preparer(seeds), self.path("candidate_audit"))
+            audit = self.candidates(seeds)
             faults = candidate_errors(seeds, audit)
         faults = write_table(faults.withColumn("error", F.concat(F.lit("source_preparation: "), "error")), self.path("preparation_errors"))
         ready = preparation.prepared_groups(audit).join(groups.drop("passages"), "group_id").join(faults, "group_id", "left_anti")
@@ -326,7 +374,7 @@ class Build:
         totals = export.progress(outcomes).select("*", one)
         for part in (
             bank.agg(F.count("*").alias("cards")), outcomes.agg(F.count_if(F.col("card_repair").isNotNull()).alias("groups_with_repair")), rejections.agg(F.count("*").alias("rejected_card_reviews")), prep,
-            token_usage(stored(self.spark, self.path("responses"), RESPONSE).withColumn("cached", F.lit(False))), export.table_fingerprint(bank.select("memory_id", "index", "description")).select(F.col("fingerprint").alias("bank_fingerprint")),
+            token_usage(stored(self.spark, self.path("responses"), LOGGED).withColumn("cached", F.lit(False))), export.table_fingerprint(bank.select("memory_id", "index", "description")).select(F.col("fingerprint").alias("bank_fingerprint")),
         ):
             totals = totals.join(part.select("*", one), "one")
         write_table(totals.withColumn("complete", F.col("errors") == 0).drop("one"), self.path("summary"))
@@ -339,6 +387,18 @@ class Build:
         return self.spark.read.parquet(self.path("summary"))
 
 
+def validated(lines: DataFrame, corpora: tuple[str, ...], languages: tuple[str, ...] = ("en",)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Input checked without a model or a folder: valid groups, refused lines with their problem, and what groups break together.
+
+    lines: (value, ...) of JSON. Without a valid group it stops.
+    """
+    parsed = intake.parsed_groups(lines, corpora, languages)
+    groups = intake.require_groups(intake.valid_groups(parsed))
+    rows = groups.withColumn("group_row", F.monotonically_increasing_id())
+    passages = rows.select("group_id", "group_row", F.posexplode("passages").alias("pos", "p")).select("group_id", "group_row", "pos", "p.*")
+    return groups, intake.quarantine(parsed), intake.group_violations(passages)
+
+
 def group_schema() -> str:
     return f"group_id string, group_order bigint, subject string, corpus string, language string, passages array<{PASSAGE}>"
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from gleaner.functions import responses
 from gleaner.functions.text import content_key, render_card
 from gleaner.operators import checks, export, intake, preparation, requests, retrieval
-from gleaner.plans.build import Build, Options, same_article
+from gleaner.functions.records import CARD_FLAGS, SELF_CHECK_FLAGS
+from gleaner.plans.build import Build, Collected, Options, same_article
 from gleaner.plans.fixtures import CARD_DUCKDB, cards, view, with_views
-from gleaner.plans.scripted import scripted_model
 from gleaner.sources.scratch import new_folder
 from gleaner.sources.writers import write_table
 
@@ -481,16 +481,71 @@ def accuracy_rollup(spark, sf_dir):
     return retrieval.accuracy(rows.select("lang", "source", F.col("quality").alias("answer"), (F.col("toxic") + 1).alias("expected")), "lang", "source")
 
 
-@query()
+ANSWERS = """select group_id, stage, attempt, if(attempt = 1 and stage = 'solution' and k % 11 = 3, 503, 200) as status_code, 0.0D as latency_s,
+  to_json(named_struct('model', 'collected', 'choices', array(named_struct('finish_reason', 'stop', 'message', named_struct('content', if(k % 4 = 1, concat('```json\n', payload, '\n```'), payload)))),
+    'usage', named_struct('prompt_tokens', 100 + k % 10, 'completion_tokens', length(payload)))) as raw
+from (select group_id, k, stage, explode(if(stage = 'solution' and k % 11 = 3, array(1, 2), array(1))) as attempt, payload from {payloads})"""
+
+
+def collected_answers(prepared: DataFrame) -> DataFrame:
+    """Answers to every stage of prepared(group_id, group_order, passages), which follow from group_order: some groups fail, some are refused, some cards rejected, repaired or dropped."""
+    p = F.get("passages", F.lit(0))
+    rows = prepared.select("group_id", F.col("group_order").alias("k"), p["source_id"].alias("s"), p["passage_id"].alias("i"), p["text"].alias("t"))
+    k, n = F.col("k"), (F.col("k") % 4).cast("int")
+    named = lambda **f: F.struct(*[v.alias(x) for x, v in f.items()])
+    cite = lambda quote: F.array(named(source_id=F.col("s"), passage_id=F.col("i"), quote=quote))
+    proof, none, yes = cite(F.substring("t", 1, 40)), F.expr(checks.NONE), F.lit(True)
+    each = lambda count, f: F.transform(F.slice(F.array(*[F.lit(x) for x in range(3)]), F.lit(1), count), f)
+
+    def card(i, note: str):
+        places = [("concept_name", None), ("definition", None), ("trigger", 0), ("decision", 0)]
+        all_ = F.array(*[named(field=F.lit(x), item_index=F.lit(j).cast("int"), evidence=proof, support_type=F.lit("direct"), rationale=F.lit("quoted")) for x, j in places])
+        c = named(concept_name=F.concat(F.lit("case "), i.cast("string"), F.lit(" of "), F.col("i")), definition=F.concat(F.substring("t", 1, 80), F.lit(note)), trigger=F.array(F.lit("when it holds")), decision=F.array(F.lit("apply it")), pitfall=none)
+        return named(card=c, grounding=F.slice(all_, F.lit(1), F.when((k % 17 == 5) & (F.lit(note) == ""), F.lit(3)).otherwise(F.lit(4))))
+
+    def verdicts(count, m: int):
+        return each(count, lambda i: named(card_index=i, **{f: (k + i) % m != 0 if f == "source_supported" else yes for f in CARD_FLAGS}, missing_steps=none, issues=none, evidence=proof))
+
+    rejected = F.filter(each(n, lambda i: i), lambda i: (k + i) % 3 == 0)
+    kept = F.when(k % 2 == 0, n - F.size(rejected)).otherwise(n)
+    payloads = {
+        "application": named(question=F.lit("What follows in this case?"), assumptions=none, evidence=F.when(k % 7 == 1, cite(F.lit("written nowhere"))).otherwise(proof)),
+        "solution": named(answer=F.lit("This."), explanation=F.lit("As quoted."), evidence=proof),
+        "self_check": named(**{f: (k % 5 != 2) if f == "requires_application" else yes for f in SELF_CHECK_FLAGS}, issues=F.when(k % 13 == 4, F.array(F.lit("vague"))).otherwise(none), evidence=proof),
+        "extraction": named(cards=each(n, lambda i: card(i, ""))),
+        "card_review": named(cards=verdicts(n, 3)),
+        "card_repair": named(repairs=F.transform(rejected, lambda i: named(card_index=i, replacement=F.when(k % 2 != 0, card(i, " (repaired)")), reason=F.lit("review")))),
+        "repair_review": named(cards=verdicts(kept, 5)),
+    }
+    stages = F.array(*[F.struct(F.lit(x).alias("stage"), F.to_json(v, {"ignoreNullFields": "false"}).alias("payload")) for x, v in payloads.items()])
+    long = rows.select("group_id", "k", F.explode(stages).alias("x")).select("group_id", "k", "x.stage", "x.payload")
+    return prepared.sparkSession.sql(ANSWERS, payloads=long)
+
+
+@query(on_views(SELECTED_SQL + """,
+g as (select group_id, max(group_order) as k, bool_or(selected) as prepared from sel join (select distinct group_id, group_order from fx_groups) using (group_id) group by group_id),
+r as (select *, k%4 as n, list_filter(range(0, k%4), lambda i: (k + i)%3 = 0) as bad from g),
+f as (select *, case when k%2 = 0 then n - len(bad) else n end as kept from r),
+o as (select *, len(list_filter(range(0, kept), lambda j: (k + j)%5 <> 0)) as passed,
+  case when not prepared then 'source_preparation' when k%7 = 1 then 'error' when k%5 = 2 or k%13 = 4 then 'self_check' when n > 0 and k%17 = 5 then 'error' when n = 0 then 'empty_extraction' when len(bad) > 0 and kept = 0 then 'card_repair' end as stop from f)
+select group_id, case when stop = 'error' then 'error' when stop is not null or (len(bad) > 0 and passed = 0) then 'rejected' else 'accepted' end as status,
+  coalesce(case when stop = 'error' then null when stop is not null then stop when len(bad) > 0 and passed = 0 then 'repair_review' end, '') as rejection_stage,
+  cast(case when stop is not null then 0 when len(bad) = 0 then n else passed end as bigint) as n_cards, coalesce(stop = 'error', false) as failed from o"""))
 def synthesis_end_to_end(spark, sf_dir):
-    """All stages on every group, with the scripted model: the outcome of each group and its cards in the bank."""
+    """All stages on every group, with collected answers: the outcome of each group and its cards in the bank."""
+    folder = new_folder(spark, "build")
     groups = spark.sql(
         """select group_id, first(group_order) as group_order, first(subject) as subject, 'documents' as corpus, 'en' as language,
         transform(array_sort(collect_list(struct(pos, source_id, passage_id, title, text))), x -> struct(x.source_id, x.passage_id, x.title, x.text)) as passages from {g} group by group_id""",
         g=_seeds(spark, sf_dir),
     )
+    groups = write_table(groups, f"{folder}/given_groups")
+    prepared = preparation.prepared_groups(_selected(spark, sf_dir)).join(groups.select("group_id", "group_order").hint("merge"), "group_id")
+    answers = write_table(collected_answers(prepared), f"{folder}/collected_answers")
     limits = preparation.Limits()
-    build = Build(spark, new_folder(spark, "build"), scripted_model, Options(limits=limits), same_article(_corpus(spark, sf_dir), PREFIX, limits))
+    build = Build(spark, f"{folder}/run", Collected(answers), Options(limits=limits), same_article(_corpus(spark, sf_dir), PREFIX, limits))
     outcomes = build.run(groups)
     origins = build.bank().select(F.explode("origins").alias("o")).groupBy(F.col("o.group_id").alias("group_id")).agg(F.count("*").alias("n_cards"))
-    return outcomes.join(origins, "group_id", "left").select("group_id", "status", "rejection_stage", F.coalesce("n_cards", F.lit(0)).alias("n_cards"), F.col("error").isNotNull().alias("failed"))
+    return outcomes.join(origins.hint("merge"), "group_id", "left").select(
+        "group_id", "status", F.coalesce("rejection_stage", F.lit("")).alias("rejection_stage"), F.coalesce("n_cards", F.lit(0).cast("bigint")).alias("n_cards"), F.col("error").isNotNull().alias("failed")
+    )

@@ -60,7 +60,11 @@ def checked(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return results.where(right), results.where(~right)
 
 
+def all_prompts(prompts: dict[str, str]) -> dict[str, str]:
+    """The prompt of every stage; repair_review takes card_review's where it has none of its own."""
+    return {"repair_review": prompts.get("card_review", ""), **prompts}
+
+
 def prompt_table(spark: SparkSession, prompts: dict[str, str]) -> DataFrame:
-    """(stage, prompt); repair_review takes card_review's where it has none of its own."""
-    full = {"repair_review": prompts.get("card_review", ""), **prompts}
-    return spark.createDataFrame(sorted(full.items()), "stage string, prompt string")
+    """(stage, prompt) of all_prompts."""
+    return spark.createDataFrame(sorted(all_prompts(prompts).items()), "stage string, prompt string")

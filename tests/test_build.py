@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.requests import ModelOptions
 from gleaner.plans.build import Build, Options, group_schema
-from gleaner.plans.scripted import answer, scripted_model
+from tests.scripted import answer, scripted_model
 
 TEXT = "Speed is distance divided by elapsed time, and average speed uses total distance and total elapsed time, number {}."
 
