@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import responses
-from gleaner.functions.text import content_key, render_card
+from gleaner.functions.records import CARD_FLAGS, SELF_CHECK_FLAGS, STAGE_SPECS
+from gleaner.functions.strict import first_problem
+from gleaner.functions.text import content_key, render_card, safe_name
 from gleaner.operators import checks, export, intake, preparation, requests, retrieval
-from gleaner.functions.records import CARD_FLAGS, SELF_CHECK_FLAGS
 from gleaner.plans.build import Build, Collected, Options, same_article
 from gleaner.plans.fixtures import CARD_DUCKDB, cards, view, with_views
+from gleaner.sources import readers
 from gleaner.sources.scratch import new_folder
-from gleaner.sources.writers import write_table
+from gleaner.sources.writers import append_table, write_jsonl, write_table
 
 PREFIX = "doc:"
 QUERIES: dict = {}
@@ -481,6 +483,114 @@ def accuracy_rollup(spark, sf_dir):
     return retrieval.accuracy(rows.select("lang", "source", F.col("quality").alias("answer"), (F.col("toxic") + 1).alias("expected")), "lang", "source")
 
 
+CORPUS_JSON = f"""concat('{{"id":', case when k = 3 then '7' else {json_text('passage_id')} end, ',"title":', {json_text('title')}, case when k = 5 then '' else concat(',"text":', case when k = 7 then '["no text"]' else {json_text('text')} end) end, ',"section":"s"', case when k = 9 then '' else '}}' end)"""
+
+
+@query(on_views(f"""l as (select *, (doc_id * 31 + n) % 41 as k from fx_passages where not contains(text, chr(65533))), j as (select *, {CORPUS_JSON} as line from l)
+select source_id, case when k in (3, 5, 7, 9) then '' else sha256(text) end as text_sha256, case when k in (3, 5, 7, 9) then '' else sha256(concat(line, chr(10))) end as line_sha256,
+  case k when 3 then 'no id' when 5 then 'text is no string' when 7 then 'text is no string' when 9 then 'no JSON' else '' end as problem from j"""))
+def corpus_reading(spark, sf_dir):
+    """Corpus lines with defects, written as text files and read as a corpus: hashes of lines and texts, and why lines are refused."""
+    k = (F.col("doc_id") * 31 + F.col("n")) % 41
+    rows = view(spark, sf_dir, "fx_passages").where(~F.col("text").contains("\ufffd")).withColumn("k", k)
+    inner = lambda c: F.expr(f"substring(to_json(struct({c} as x)), 6, length(to_json(struct({c} as x))) - 6)")
+    line = F.concat(
+        F.lit('{"id":'), F.when(F.col("k") == 3, F.lit("7")).otherwise(inner("passage_id")), F.lit(',"title":'), inner("title"),
+        F.when(F.col("k") == 5, F.lit("")).otherwise(F.concat(F.lit(',"text":'), F.when(F.col("k") == 7, F.lit('["no text"]')).otherwise(inner("text")))), F.lit(',"section":"s"'), F.when(F.col("k") == 9, F.lit("")).otherwise(F.lit("}")),
+    )
+    folder = f"{new_folder(spark, 'corpus')}/shards"
+    rows.select(line.alias("value")).write.text(folder)
+    corpus, refused = readers.read_corpus(spark, folder)
+    fine = corpus.select(F.concat(F.lit(PREFIX), "passage_id").alias("source_id"), "text_sha256", "line_sha256", F.lit("").alias("problem"))
+    # a refused line names its passage only by what stands in it, so the lines are matched by their start
+    starts = rows.where("k in (3, 5, 7, 9)").select("source_id", F.substring(line, 1, 240).alias("start"), F.row_number().over(Window.partitionBy(F.substring(line, 1, 240)).orderBy("source_id")).alias("nth"))
+    found = refused.select("problem", "start", F.row_number().over(Window.partitionBy("start").orderBy("problem")).alias("nth")).join(starts.hint("merge"), ["start", "nth"])
+    return fine.unionByName(found.select("source_id", F.lit("").alias("text_sha256"), F.lit("").alias("line_sha256"), "problem"))
+
+
+@query(on_views("""select group_id, max(subject) as subject, count(*) as passages, cast(sum(length(text)) as bigint) as characters, sha256(string_agg(passage_id, ',' order by pos)) as ids from fx_groups group by group_id"""))
+def groups_through_files(spark, sf_dir):
+    """Groups written as JSON lines and read back."""
+    passage = "struct<pos:bigint,source_id:string,passage_id:string,title:string,text:string>"
+    groups = _seeds(spark, sf_dir).groupBy("group_id").agg(F.max("subject").alias("subject"), F.array_sort(F.collect_list(F.struct("pos", "source_id", "passage_id", "title", "text"))).alias("passages"))
+    folder = f"{new_folder(spark, 'groups')}/groups"
+    write_jsonl(groups, folder)
+    back = readers.read_jsonl(spark, folder, f"group_id string, subject string, passages array<{passage}>")
+    total = F.aggregate("passages", F.lit(0).cast("bigint"), lambda n, p: n + F.length(p["text"]))
+    return back.select("group_id", "subject", F.size("passages").cast("bigint").alias("passages"), total.alias("characters"), F.sha2(F.array_join("passages.passage_id", ","), 256).alias("ids"))
+
+
+@query(r"""with t as (select conv_id, turn, regexp_replace(concat('talk of ', role), '[^A-Za-z0-9_.-]+', '_', 'g') as ns, text, conv_id % 5 as k from conversations where conv_id is not null and turn is not null and text is not null and role is not null)
+select conv_id, turn, concat(ns, '-', substr(sha256(concat(ns, chr(31), text)), 1, 32)) as cache_key, k not in (0, 2) as hit, case k when 1 then 1 when 3 then 2 when 4 then 1 when 2 then 1 else 0 end as stored_rows from t""")
+def response_cache(spark, sf_dir):
+    """An append-only table of responses: failed ones are kept beside later ones, and only usable ones answer a request again."""
+    turns = _talk(spark, sf_dir).where("conv_id is not null and turn is not null and text is not null and role is not null").withColumn("k", F.col("conv_id") % 5)
+    ns = safe_name(F.concat(F.lit("talk of "), "role"))
+    asked = turns.select("conv_id", "turn", "k", F.concat_ws("/", "conv_id", "turn").alias("call_sha256"), requests.cache_key(ns, F.col("text")).alias("cache_key"))
+    folder = f"{new_folder(spark, 'responses')}/responses"
+    raw = F.lit('{"choices":[{"message":{"content":"said"}}]}')
+    for attempt in (1, 2):
+        some = asked.where("k in (1, 2, 3, 4)" if attempt == 1 else "k = 3")
+        status = F.when((F.col("k") == 2) | ((F.col("k") == 3) & F.lit(attempt == 1)), 503).otherwise(200)
+        append_table(some.select("call_sha256", status.alias("status_code"), raw.alias("raw"), F.lit(0.0).alias("latency_s")), folder)
+    log = readers.stored(spark, folder, "call_sha256 string, status_code int, raw string, latency_s double")
+    known = responses.usable(log).groupBy("call_sha256").agg(F.bool_or("ok").alias("hit"), F.count("*").alias("stored_rows"))
+    out = asked.join(known.hint("merge"), "call_sha256", "left")
+    return out.select("conv_id", "turn", "cache_key", F.coalesce("hit", F.lit(False)).alias("hit"), F.coalesce("stored_rows", F.lit(0).cast("bigint")).alias("stored_rows"))
+
+
+def _message(role: str, x: str) -> str:
+    return f"""concat('{{"role":"{role}","content":', {json_text(x)}, '}}')"""
+
+
+@query(rf"""with t as (select conv_id, turn, replace(text, chr(10), ' ') as said, concat('turn ', turn, ' is wrong') as error from conversations where conv_id is not null and turn is not null and text is not null),
+m as (select *, concat('[', {_message('system', "'judge'")}, ',', {_message('user', "'ask'")}, case when said <> '' then concat(',', {_message('assistant', 'said')}) else '' end, ',', {_message('user', "concat('That did not pass: ', error, '. Please send the whole JSON object again with this put right.')")}, ']') as messages from t)
+select conv_id, turn, messages, sha256(concat('p', chr(31), 'solution', chr(31), messages)) as request_sha256 from m""")
+def retry_requests(spark, sf_dir):
+    """The messages of a second attempt, which carry the answer and what was wrong with it, and the hash of the request."""
+    turns = _talk(spark, sf_dir).where("conv_id is not null and turn is not null and text is not null")
+    first = F.array(requests.message("system", F.lit("judge")), requests.message("user", F.lit("ask")))
+    error = F.concat(F.lit("turn "), F.col("turn").cast("string"), F.lit(" is wrong"))
+    rows = turns.select("conv_id", "turn", requests.with_retry(first, F.replace("text", F.lit("\n"), F.lit(" ")), error).alias("m"))
+    return rows.select("conv_id", "turn", F.to_json("m").alias("messages"), requests.request_hash("p", "solution", F.col("m")).alias("request_sha256"))
+
+
+@query(on_views("""g as (select group_id, list(text order by pos) as texts, max(title) as title from fx_groups group by group_id)
+select group_id, substr(array_to_string(list_concat([title], list_transform(texts, lambda t: substr(t, 1, 1200))), chr(10)), 1, 4000) as shown from g"""))
+def evidence_shown(spark, sf_dir):
+    """What a prompt shows of a card and its passages, within both limits."""
+    g = _seeds(spark, sf_dir).groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("texts"), F.max("title").alias("title"))
+    return g.select("group_id", retrieval.evidence_text(F.col("title"), F.col("texts")).alias("shown"))
+
+
+WORDS_SQL = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> ''))"
+
+
+@query(on_views(f"""q as (select group_id, text as query_text from fx_groups where pos = 0),
+p as (select g.group_id, q.query_text, g.passage_id, g.text, g.pos + 1 as rank from fx_groups g join q using (group_id)),
+s as (select *, len(list_intersect({WORDS_SQL.format('query_text')}, {WORDS_SQL.format('text')})) / greatest(len({WORDS_SQL.format('query_text')}), 1) as overlap from p),
+r as (select *, row_number() over (partition by group_id order by overlap desc, rank, passage_id) as new_rank from s)
+select group_id, passage_id, new_rank from r where new_rank <= 3"""))
+def lexical_rerank(spark, sf_dir):
+    """The passages of a group by the words that they share with its first one."""
+    rows = _seeds(spark, sf_dir)
+    first = rows.where("pos = 0").select(F.col("group_id").alias("query_id"), F.col("text").alias("query_text"))
+    pairs = rows.select(F.col("group_id").alias("query_id"), F.col("passage_id").alias("card_id"), F.col("text").alias("card_text"), (F.col("pos") + 1).alias("rank")).join(first.hint("merge"), "query_id")
+    return retrieval.lexical_rerank(pairs, 3).select(F.col("query_id").alias("group_id"), F.col("card_id").alias("passage_id"), F.col("new_rank").cast("bigint").alias("new_rank"))
+
+
+PAYLOAD = """concat('{"cards":[', array_join(transform(if(n > 0, sequence(1, n), cast(array() as array<int>)), i -> concat('{"card":{"concept_name":"c","definition":"', if(k = 4, ' ', 'd'), '","trigger":[', if(k = 5, '', '"t"'), '],"decision":["e"],"pitfall":[]',
+  if(k = 6, ',"more":1', ''), '},"grounding":[{"field":"', if(k = 7, 'title', 'definition'), '","item_index":', case k when 8 then '-1' when 9 then '0.5' when 10 then '"0"' else 'null' end, ',"evidence":[', if(k = 11, '', '{"source_id":"s","passage_id":"p","quote":"q"}'),
+  '],"support_type":"', if(k = 12, 'guessed', 'derived'), '"', if(k = 13, '', ',"rationale":"r"'), '}]}')), ','), ']', if(k = 14, ',"cards":7', ''), '}')"""
+
+
+@query(on_views("""g as (select distinct group_id, group_order % 15 as k, group_order % 5 as n from fx_groups) select group_id, (n <= 3 and (n = 0 or k not in (4, 5, 6, 7, 8, 9, 10, 11, 12, 13)) and k <> 14) as valid from g"""))
+def payload_schemas(spark, sf_dir):
+    """Extraction payloads with one defect each, checked against the stage's closed schema: bounds of lists, choices, indexes, blanks, unknown and missing keys."""
+    rows = _seeds(spark, sf_dir).select("group_id", (F.col("group_order") % 15).alias("k"), (F.col("group_order") % 5).cast("int").alias("n")).distinct()
+    return rows.select("group_id", first_problem(F.expr(PAYLOAD), STAGE_SPECS["extraction"]).isNull().alias("valid"))
+
+
 ANSWERS = """select group_id, stage, attempt, if(attempt = 1 and stage = 'solution' and k % 11 = 3, 503, 200) as status_code, 0.0D as latency_s,
   to_json(named_struct('model', 'collected', 'choices', array(named_struct('finish_reason', 'stop', 'message', named_struct('content', if(k % 4 = 1, concat('```json\n', payload, '\n```'), payload)))),
     'usage', named_struct('prompt_tokens', 100 + k % 10, 'completion_tokens', length(payload)))) as raw
