@@ -116,3 +116,15 @@ def deduplicated(docs: DataFrame, spans: DataFrame, keep: tuple[str, ...] = ("do
 def op6_phrase_dedup(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return deduplicated(docs, removal_spans(docs)).drop("text")
+
+
+OP6_SQL = r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i + 49], ' ') as key from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from w where len(ws) >= 50)),
+early as (select key, min(doc_id) as d from win group by key),
+late as (select win.doc_id, win.i from win join early using (key) where early.d < win.doc_id),
+gone as (select distinct doc_id, i + o as p from late, range(0, 50) t(o)),
+word as (select doc_id, unnest(ws) as x, unnest(range(1, len(ws) + 1)) as p from w),
+rest as (select doc_id, count(*) as n, string_agg(x, ' ' order by p) as kept from word anti join gone using (doc_id, p) group by doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(rest.n, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join rest using (doc_id)
+"""

@@ -5,11 +5,11 @@ from __future__ import annotations
 from gleaner.llm.decontamination import OP9_SQL, op9_decontamination
 from gleaner.llm.embedding_dedup import OP2_SQL, op2_embedding_dedup
 from gleaner.llm.html_extraction import OP4_SQL, op4_html_extraction
-from gleaner.llm.phrase_dedup import op6_phrase_dedup
+from gleaner.llm.phrase_dedup import OP6_SQL, op6_phrase_dedup
 from gleaner.llm.quality_gam import op7_quality
 from gleaner.llm.sentencepiece_codec import op8_sentencepiece
 from gleaner.llm.simhash import op10_simhash_dedup
-from gleaner.llm.suffix_dedup import op1_suffix_array_dedup
+from gleaner.llm.suffix_dedup import OP1_SQL, op1_suffix_array_dedup
 from gleaner.llm.toxicity import op5_toxicity
 from gleaner.llm.warc import op3_warc_derivatives
 
@@ -27,7 +27,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_array_dedup": OP1_SQL,
     "op2_embedding_dedup": OP2_SQL,
     "op4_html_extraction": OP4_SQL,
+    "op6_phrase_dedup": OP6_SQL,
     "op9_decontamination": OP9_SQL,
 }

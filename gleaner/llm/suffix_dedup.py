@@ -283,3 +283,18 @@ def deduplicated(docs: DataFrame, spans: DataFrame, keep: tuple[str, ...] = ("do
 def op1_suffix_array_dedup(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return deduplicated(docs, removal_spans(docs)).drop("text")
+
+
+OP1_SQL = r"""
+with b as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+win as (select doc_id, i, substr(h, 2 * i + 1, 200) as key from (select doc_id, h, unnest(range(0, length(h) // 2 - 99)) as i from b where length(h) >= 200)),
+early as (select key, min(struct_pack(d := doc_id, i := i)) as f from win group by key having count(*) > 1),
+late as (select win.doc_id, win.i from win join early using (key) where early.f <> struct_pack(d := win.doc_id, i := win.i)),
+edge as (select doc_id, i, lead(i) over (partition by doc_id order by i) as nxt, lag(i) over (partition by doc_id order by i) as prv from late),
+runs as (select doc_id, i, sum(case when prv is null or i > prv + 100 then 1 else 0 end) over (partition by doc_id order by i) as run from edge),
+span as (select doc_id, run, min(i) as s, max(i) + 100 as e from runs group by all),
+cuts as (select doc_id, list(struct_pack(s := s, e := e) order by s) as xs from span group by doc_id),
+kept as (select b.doc_id, h, coalesce(xs, []) as xs from b left join cuts using (doc_id)),
+pieces as (select doc_id, h, xs, list_transform(range(0, len(xs) + 1), lambda k: substr(h, 2 * (case when k = 0 then 0 else xs[k].e end) + 1, 2 * ((case when k = len(xs) then length(h) // 2 else xs[k + 1].s end) - (case when k = 0 then 0 else xs[k].e end)))) as ps from kept)
+select doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(list_sum(list_transform(xs, lambda x: x.e - x.s)), 0) as bigint) as n_removed, cast(len(xs) as bigint) as n_spans, sha256(unhex(array_to_string(ps, ''))) as kept_sha256 from pieces
+"""
