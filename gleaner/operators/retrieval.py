@@ -10,23 +10,24 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(queries: DataFrame, cards: DataFrame, k: int = 5, by_subject: bool = True) -> DataFrame:
+def nearest(queries: DataFrame, cards: DataFrame, k: int = 5, by_subject: bool = True, block: int = 20_000) -> DataFrame:
     """(query_id, card_id, cosine, rank): the k cards of highest cosine, of the query's subject where by_subject.
 
     queries(query_id, subject, vector) and cards(card_id, subject, vector).
     Norms are computed once per row. Queries are few against the cards: without
-    subjects they are compared with all cards in blocks of both, keyed so that
-    each block pair is one group and no cross join is planned.
+    subjects they are compared with all cards in blocks of about `block` cards,
+    each of which gets the queries once, so that no cross join is planned and
+    the groups grow in number with the cards, not in size.
     """
     q = queries.withColumn("q_norm", F.sqrt(dot(F.col("vector"), F.col("vector")))).withColumnRenamed("vector", "q_vector")
     c = cards.withColumn("c_norm", F.sqrt(dot(F.col("vector"), F.col("vector")))).withColumnRenamed("vector", "c_vector")
     if by_subject:
-        pairs = q.join(c, "subject")
+        pairs = c.join(q.hint("merge"), "subject")
     else:
-        blocks = 16
+        blocks = max(16, -(-cards.count() // block))
         q = q.drop("subject").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         c = c.drop("subject").withColumn("block", F.pmod(F.xxhash64("card_id"), F.lit(blocks)).cast("int"))
-        pairs = q.join(c, "block").drop("block")
+        pairs = c.join(q.hint("merge"), "block").drop("block")
     pairs = pairs.where((F.col("q_norm") > 0) & (F.col("c_norm") > 0)).withColumn("cosine", dot(F.col("q_vector"), F.col("c_vector")) / (F.col("q_norm") * F.col("c_norm")))
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "card_id")
     return pairs.select("query_id", "card_id", "cosine").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
