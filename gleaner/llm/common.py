@@ -43,10 +43,11 @@ class Stages:
 
     A lost executor then costs a re-read, lineage stays short, and joins get
     real sizes instead of guesses. While a table is written, Spark removes the
-    shuffle files of that write as soon as it ends.
+    shuffle files of that write as soon as it ends, and hands rows to Python in
+    smaller batches than usual: a row may be a whole document.
     """
 
-    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2500"}
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -57,15 +58,15 @@ class Stages:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        before = self.spark.conf.get(self.CLEANUP, None)
-        self.spark.conf.set(self.CLEANUP, "true")
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in self.WHILE_WRITING}
         try:
+            for k, v in self.WHILE_WRITING.items():
+                conf.set(k, v)
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            if before is None:
-                self.spark.conf.unset(self.CLEANUP)
-            else:
-                self.spark.conf.set(self.CLEANUP, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -119,10 +120,14 @@ def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
                 c.malloc_trim(0)
 
         def each() -> Iterator[pa.RecordBatch]:
+            size = 0
             for batch in batches:
+                size += batch.nbytes
                 yield batch
                 del batch
-                give_back()
+                if size > 1 << 24:
+                    give_back()
+                    size = 0
 
         yield from work(each())
         give_back()
