@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gleaner.llm.decontamination import OP9_SQL, op9_decontamination
+from gleaner.llm.divergence import OP11_SQL, op11_source_divergence
 from gleaner.llm.embedding_dedup import OP2_SQL, op2_embedding_dedup
 from gleaner.llm.html_extraction import OP4_SQL, op4_html_extraction
 from gleaner.llm.phrase_dedup import OP6_SQL, op6_phrase_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_decontamination": op9_decontamination,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -32,4 +34,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_html_extraction": OP4_SQL,
     "op6_phrase_dedup": OP6_SQL,
     "op9_decontamination": OP9_SQL,
+    "op11_source_divergence": OP11_SQL,
 }
