@@ -6,6 +6,7 @@ from gleaner.llm.decontamination import OP9_SQL, op9_decontamination
 from gleaner.llm.divergence import OP11_SQL, op11_source_divergence
 from gleaner.llm.embedding_dedup import OP2_SQL, op2_embedding_dedup
 from gleaner.llm.html_extraction import OP4_SQL, op4_html_extraction
+from gleaner.llm.packing import op13_best_fit_packing
 from gleaner.llm.phrase_dedup import OP6_SQL, op6_phrase_dedup
 from gleaner.llm.quality_gam import op7_quality
 from gleaner.llm.sentencepiece_codec import op8_sentencepiece
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_simhash_dedup": op10_simhash_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
