@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gleaner.llm.alignment import op12_tokenizer_alignment
 from gleaner.llm.decontamination import OP9_SQL, op9_decontamination
 from gleaner.llm.divergence import OP11_SQL, op11_source_divergence
 from gleaner.llm.embedding_dedup import OP2_SQL, op2_embedding_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_simhash_dedup": op10_simhash_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 
