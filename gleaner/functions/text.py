@@ -12,9 +12,13 @@ from pyspark.sql.types import ArrayType, StringType
 BANK_PREFIX = "mem_"
 
 
+#: The characters of Unicode's property White_Space (fixed values).
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end, Unicode's included."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def is_text(c: Column) -> Column:
@@ -39,11 +43,6 @@ def nfc_all(c: pd.Series) -> pd.Series:
     return c.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFC", x) for x in xs])
 
 
-def normal_text(c: Column) -> Column:
-    """NFC with white space collapsed; ASCII text skips the Python worker's work but not its batch."""
-    return collapse(nfc(c))
-
-
 def canonical_json(c: Column) -> Column:
     """Compact JSON of a struct whose fields stand in alphabetical order; nulls are kept."""
     return F.to_json(c, {"ignoreNullFields": "false"})

@@ -1,7 +1,10 @@
 """Source preparation: quality flags, cue scores, same-article evidence, priority and budgeted selection.
 
 Tables: seeds(group_id, pos, source_id, passage_id, title, text), one row per
-given passage; corpus(article_id, passage_id, title, text).
+given passage; corpus(article_id, passage_id, title, text), a DataFrame or a
+ClusteredCorpus (sources/clustered.py). Candidates carry a text's length and
+digest, not the text: a passage is offered to every group of its article, and
+most are not taken. Texts are fetched for what was selected.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.records import MAX_GROUP, MAX_PASSAGE
 from gleaner.functions.text import article_of, strip
+from gleaner.sources.clustered import ClusteredCorpus
 
 # What marks a passage whose formula was lost, and the cue words.
 LOST_FORMULA = (
@@ -43,14 +47,21 @@ class Limits:
 
 def quality_issues(text: Column, title: Column) -> Column:
     """array<string> of signs of damage; a passage over the length limit has that issue alone."""
-    checked = strip(text)
-    found = [
-        F.when(F.length(checked) < SHORT, F.lit("too_short")),
-        F.when(checked.rlike(CONTROL), F.lit("damaged_encoding")),
-        F.when(F.contains(F.lower(title), F.lit("(disambiguation)")), F.lit("disambiguation")),
-    ]
-    found += [F.when(checked.rlike(p), F.concat(F.lit("missing_formula: "), F.regexp_extract(checked, p, 0))) for p in LOST_FORMULA]
-    return F.when(F.length(text) > MAX_PASSAGE, F.array(F.lit("too_long"))).otherwise(F.array_compact(F.array(*found)))
+
+    def of(checked: Column) -> Column:
+        found = [
+            F.when(F.length(checked) < SHORT, F.lit("too_short")),
+            F.when(checked.rlike(CONTROL), F.lit("damaged_encoding")),
+            F.when(F.contains(F.lower(title), F.lit("(disambiguation)")), F.lit("disambiguation")),
+        ]
+        # most passages match no pattern, which one look at all of them tells
+        lost = [F.when(checked.rlike(p), F.concat(F.lit("missing_formula: "), F.regexp_extract(checked, p, 0))) for p in LOST_FORMULA]
+        issues = F.when(checked.rlike("|".join(LOST_FORMULA)), F.array(*found, *lost)).otherwise(F.array(*found))
+        return F.array_compact(issues)
+
+    # the stripped text is bound to a variable, so that it is worked out once
+    checked = F.get(F.transform(F.array(strip(text)), of), F.lit(0))
+    return F.when(F.length(text) > MAX_PASSAGE, F.array(F.lit("too_long"))).otherwise(checked)
 
 
 def cue_count(text: Column, cues: list[str]) -> Column:
@@ -59,65 +70,76 @@ def cue_count(text: Column, cues: list[str]) -> Column:
     return F.size(F.array_intersect(words, F.array(*[F.lit(c) for c in cues])))
 
 
-SCORES = ("issues", "usage_cues", "boundary_cues", "usable")
+SCORES = ("issues", "usage_cues", "boundary_cues", "usable", "length", "text_sha256")
 
 
-def scored(candidates: DataFrame) -> DataFrame:
-    """With issues, usable, usage_cues and boundary_cues."""
-    return candidates.withColumns(
+def scored(passages: DataFrame) -> DataFrame:
+    """With issues, usable, usage_cues, boundary_cues, length and text_sha256; where all of them are there, as they are."""
+    if set(SCORES) <= set(passages.columns):
+        return passages
+    return passages.withColumns(
         {
             "issues": quality_issues(F.col("text"), F.coalesce("title", F.lit(""))),
             "usage_cues": cue_count(F.col("text"), USAGE_CUES),
             "boundary_cues": cue_count(F.col("text"), BOUNDARY_CUES),
+            "length": F.length("text"),
+            "text_sha256": F.sha2("text", 256),
         }
     ).withColumn("usable", F.size("issues") == 0)
 
 
-def article_stats(corpus: DataFrame, cap: int) -> DataFrame:
+def _rows(corpus: DataFrame | ClusteredCorpus) -> DataFrame:
+    return corpus.by_passage() if isinstance(corpus, ClusteredCorpus) else corpus
+
+
+def article_stats(corpus: DataFrame | ClusteredCorpus, cap: int) -> DataFrame:
     """(article_id, available, fetched, truncated)."""
-    n = corpus.groupBy("article_id").agg(F.count("*").alias("available"))
+    n = corpus.sizes() if isinstance(corpus, ClusteredCorpus) else corpus.groupBy("article_id").agg(F.count("*").alias("available"))
     return n.withColumns({"fetched": F.least("available", F.lit(cap).cast("bigint")), "truncated": F.col("available") > cap})
 
 
-def seed_errors(seeds: DataFrame, corpus: DataFrame, prefix: str) -> DataFrame:
+def seed_errors(seeds: DataFrame, corpus: DataFrame | ClusteredCorpus, prefix: str) -> DataFrame:
     """seeds with error: why a seed does not stand in the corpus as given, or null."""
-    known = corpus.select("passage_id", F.col("text").alias("corpus_text"), F.col("title").alias("corpus_title"))
+    known = _rows(corpus).select("passage_id", F.sha2("text", 256).alias("corpus_text") if "text_sha256" not in _rows(corpus).columns else F.col("text_sha256").alias("corpus_text"), F.col("title").alias("corpus_title"))
     titled = F.length(F.coalesce("title", F.lit(""))) > 0
     error = (
         F.when(~F.col("passage_id").rlike("^[0-9]+#[0-9]+$"), F.lit("passage_id is not article#passage"))
         .when(F.col("source_id") != F.concat(F.lit(prefix), F.col("passage_id")), F.lit("source_id does not match the corpus prefix"))
         .when(F.col("corpus_text").isNull(), F.lit("passage not found in the corpus"))
-        .when((F.col("corpus_text") != F.col("text")) | (titled & (F.col("corpus_title") != F.col("title"))), F.lit("passage differs from the corpus"))
+        .when((F.col("corpus_text") != F.sha2("text", 256)) | (titled & (F.col("corpus_title") != F.col("title"))), F.lit("passage differs from the corpus"))
     )
-    return seeds.join(known, "passage_id", "left").withColumn("error", error).drop("corpus_text", "corpus_title")
+    return seeds.join(known.hint("merge"), "passage_id", "left").withColumn("error", error).drop("corpus_text", "corpus_title")
 
 
-def article_candidates(seeds: DataFrame, corpus: DataFrame, prefix: str, cap: int) -> DataFrame:
+def article_candidates(seeds: DataFrame, corpus: DataFrame | ClusteredCorpus, prefix: str, cap: int) -> DataFrame:
     """Seeds and the first `cap` passages, by id as a string, of every article that a group's seeds come from; each once per group.
 
-    (group_id, source_id, passage_id, title, text, is_seed), and what scored()
-    adds where both tables have it: then each passage is scored once, however
-    many groups it is offered to. The cap is taken within the corpus before the
-    join, so groups of one article share the work.
+    (group_id, source_id, passage_id, is_seed), and what scored() adds where
+    both tables have it: then each passage is scored once, however many groups
+    it is offered to. The cap is taken within the corpus before the join, so
+    groups of one article share the work; a clustered corpus has taken it.
     """
-    more = [c for c in SCORES if c in seeds.columns and c in corpus.columns]
-    order = Window.partitionBy("article_id").orderBy("passage_id")
-    first = corpus.select("article_id", "passage_id", "title", "text", *more, F.row_number().over(order).alias("n")).where(F.col("n") <= cap).drop("n")
+    if isinstance(corpus, ClusteredCorpus):
+        first = corpus.first(cap)
+    else:
+        order = Window.partitionBy("article_id").orderBy("passage_id")
+        first = corpus.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap)
+    more = [c for c in SCORES if c in seeds.columns and c in first.columns]
     wanted = seeds.select("group_id", article_of(F.col("passage_id")).alias("article_id")).distinct()
-    near = wanted.join(first.hint("merge"), "article_id").select("group_id", F.concat(F.lit(prefix), F.col("passage_id")).alias("source_id"), "passage_id", "title", "text", *more)
-    own = seeds.select("group_id", "source_id", "passage_id", "title", "text", *more)
+    near = wanted.join(first.select("article_id", "passage_id", *more).hint("merge"), "article_id").select("group_id", F.concat(F.lit(prefix), F.col("passage_id")).alias("source_id"), "passage_id", *more)
+    own = seeds.select("group_id", "source_id", "passage_id", *more)
     extra = near.join(own.select("group_id", "passage_id").hint("merge"), ["group_id", "passage_id"], "left_anti")
     return own.withColumn("is_seed", F.lit(True)).unionByName(extra.withColumn("is_seed", F.lit(False)))
 
 
 def supplied_candidates(seeds: DataFrame) -> DataFrame:
     """The mode without a corpus: the seeds alone."""
-    return seeds.select("group_id", "source_id", "passage_id", "title", "text").withColumn("is_seed", F.lit(True))
+    return seeds.select("group_id", "source_id", "passage_id", F.lit(True).alias("is_seed"), *[c for c in SCORES if c in seeds.columns])
 
 
 def missing_seeds(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
     """Seeds that are not among the candidates of their group."""
-    return seeds.join(candidates, ["group_id", "source_id", "passage_id"], "left_anti")
+    return seeds.join(candidates.hint("merge"), ["group_id", "source_id", "passage_id"], "left_anti")
 
 
 def repeated_candidates(candidates: DataFrame) -> DataFrame:
@@ -139,34 +161,31 @@ def selection(candidates: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     In rank order a text equal to a selected one is a duplicate_text; one that
     would break the budget of passages or characters is skipped
-    (evidence_budget) without ending the selection. A group holds at most the
-    candidate cap per article, so its fold stays small.
+    (evidence_budget) without ending the selection. What is folded is a rank, a
+    digest and a length; the state holds at most as many digests as passages
+    may be selected, and every note follows from it: a text that is equal to
+    one selected before it is a duplicate, and what was full stays full.
     """
     keys = [(~F.col("usable")).cast("int"), *rank_keys()]
     carried = [c for c in candidates.columns if c != "group_id"]
     item = F.struct(*[k.alias(f"_k{i}") for i, k in enumerate(keys)], *carried)
     groups = candidates.groupBy("group_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    state = F.struct(
-        F.expr("cast(array() as array<string>)").alias("kept"), F.lit(0).alias("total"), F.expr("cast(array() as array<string>)").alias("notes")
-    )
+    offered = F.filter(F.transform("items", lambda x, i: F.struct(i.alias("n"), x["text_sha256"].alias("digest"), x["length"].alias("length"), x["usable"].alias("usable"))), lambda x: x["usable"] & (x["length"] <= limits.characters))
+    state = F.struct(F.expr("cast(array() as array<struct<n:int,digest:string>>)").alias("kept"), F.lit(0).alias("total"))
 
     def step(acc: Column, x: Column) -> Column:
-        again = F.array_contains(acc["kept"], x["text"])
-        full = (F.size(acc["kept"]) >= limits.passages) | (acc["total"] + F.length(x["text"]) > limits.characters)
-        note = F.when(~x["usable"], F.lit(None)).when(again, F.lit("duplicate_text")).when(full, F.lit("evidence_budget")).otherwise(F.lit("selected"))
-        take = x["usable"] & ~again & ~full
-        return F.struct(
-            F.when(take, F.array_append(acc["kept"], x["text"])).otherwise(acc["kept"]).alias("kept"),
-            F.when(take, acc["total"] + F.length(x["text"])).otherwise(acc["total"]).alias("total"),
-            F.array_append(acc["notes"], note).alias("notes"),
-        )
-
-    folded = groups.withColumn("notes", F.aggregate("items", state, step, lambda acc: acc["notes"]))
-    # whole candidates are folded and come out again, so they are scored once and nothing is joined back
-    rows = folded.select("group_id", F.explode(F.arrays_zip(F.col("items"), F.col("notes"))).alias("x"))
-    picked = F.col("x.notes")
-    out = rows.select("group_id", *[F.col(f"x.items.{c}").alias(c) for c in carried], F.coalesce(picked == "selected", F.lit(False)).alias("selected"), F.when(picked != "selected", picked).alias("note"))
-    return out.select(*candidates.columns, "selected", "note")
+        fits = (F.size(acc["kept"]) < limits.passages) & (acc["total"] + x["length"] <= limits.characters)
+        take = fits & ~F.exists(acc["kept"], lambda k: k["digest"] == x["digest"])
+        more = F.struct(F.array_append(acc["kept"], F.struct(x["n"].alias("n"), x["digest"].alias("digest"))).alias("kept"), (acc["total"] + x["length"]).alias("total"))
+        return F.when(take, more).otherwise(acc)
+
+    folded = groups.withColumn("kept", F.aggregate(offered, state, step, lambda acc: acc["kept"]))
+    rows = folded.select("group_id", "kept", F.posexplode("items").alias("n", "x"))
+    same = F.filter("kept", lambda k: k["digest"] == F.col("x.text_sha256"))
+    first = F.get(same, F.lit(0))["n"]
+    note = F.when(~F.col("x.usable"), F.lit(None)).when(first == F.col("n"), F.lit("selected")).when(first < F.col("n"), F.lit("duplicate_text")).otherwise(F.lit("evidence_budget"))
+    out = rows.select("group_id", *[F.col(f"x.{c}").alias(c) for c in carried], note.alias("_note"))
+    return out.select(*candidates.columns, F.coalesce(F.col("_note") == "selected", F.lit(False)).alias("selected"), F.when(F.col("_note") != "selected", F.col("_note")).alias("note"))
 
 
 def preparation_summary(selected: DataFrame) -> DataFrame:
@@ -181,9 +200,18 @@ def preparation_summary(selected: DataFrame) -> DataFrame:
     )
 
 
-def prepared_groups(selected: DataFrame) -> DataFrame:
-    """(group_id, passages): the selected passages in rank order; groups without any are absent."""
-    chosen = ranked(selected).where("selected")
+def prepared_groups(selected: DataFrame, seeds: DataFrame, corpus: DataFrame | ClusteredCorpus | None = None) -> DataFrame:
+    """(group_id, passages): the selected passages in rank order, with their texts; groups without any are absent.
+
+    A seed's text is its group's own, a further passage's the corpus's.
+    """
+    chosen = ranked(selected).where("selected").select("group_id", "source_id", "passage_id", "is_seed", "text_sha256", "rank")
+    keys = ["group_id", "source_id", "passage_id"]
+    own = chosen.where("is_seed").join(seeds.select(*keys, "title", "text").hint("merge"), keys)
+    if corpus is not None:
+        known = _rows(corpus).select("passage_id", F.col("title"), F.col("text"))
+        own = own.unionByName(chosen.where("not is_seed").join(known.hint("merge"), "passage_id"))
     passage = F.struct("source_id", "passage_id", F.coalesce("title", F.lit("")).alias("title"), strip(F.col("text")).alias("text"))
-    rows = chosen.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("rank", passage.alias("p")))).alias("x"))
+    # at most as many passages as a selection may have
+    rows = own.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("rank", passage.alias("p")))).alias("x"))
     return rows.select("group_id", F.transform("x", lambda x: x["p"]).alias("passages"))

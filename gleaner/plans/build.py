@@ -11,12 +11,15 @@ Errors are values of a group; none stops the run.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gleaner.functions.records import CARD_FLAGS, PASSAGE, SELF_CHECK_FLAGS, STAGE_SPECS, STAGE_TYPES, STAGES
 from gleaner.functions.responses import json_object, token_usage, usable
@@ -25,23 +28,28 @@ from gleaner.functions.text import strip
 from gleaner.operators import checks, export, intake, preparation, requests
 from gleaner.operators.requests import RETRY, ModelOptions
 from gleaner.plans.prompts import PROMPTS
+from gleaner.sources.clustered import ClusteredCorpus
 from gleaner.sources.readers import all_prompts, stored
-from gleaner.sources.writers import append_table, write_bank, write_jsonl, write_table
+from gleaner.sources.writers import append_by_task, append_table, bank_exports, fingerprint, observed, write_jsonl, write_table
 
 VERSION = "gleaner-cards-1"
 NONE = "cast(array() as array<string>)"
 
 #: Called with batches of (group_id, stage, call_sha256, attempt, body); gives (call_sha256, status_code, raw, latency_s).
 Model = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
-#: Groups in, scored and selected candidates out (see preparation.py).
+#: Seeds in, scored and selected candidates out (see preparation.py). One that brings further passages has their table as `corpus`.
 Preparer = Callable[[DataFrame], DataFrame]
 
 #: Adds errors array<string> to answers (group_id, stage, payload, passages, ...); an answer without any passes.
 Validator = Callable[[DataFrame], DataFrame]
 
 RESPONSE = "call_sha256 string, status_code int, raw string, latency_s double"
-AUDIT = "group_id string, source_id string, passage_id string, title string, text string, is_seed boolean, issues array<string>, usage_cues int, boundary_cues int, usable boolean, selected boolean, note string"
-LOGGED = RESPONSE + ", group_id string, stage string, attempt int, called_at timestamp"
+AUDIT = "group_id string, source_id string, passage_id string, is_seed boolean, issues array<string>, usage_cues int, boundary_cues int, usable boolean, length int, text_sha256 string, selected boolean, note string"
+AUDIT_COLUMNS = [x.split()[0] for x in AUDIT.split(", ")]
+#: One preparation of one group: the digest of what was asked, and the run that answered it.
+PREPARED = ["group_id", "request_sha256", "batch"]
+SEALED = "group_id string, request_sha256 string, batch string, rows long, fingerprint decimal(38,0)"
+LOGGED = RESPONSE + ", group_id string, stage string, attempt int, called_at timestamp, run string"
 RESULT = "stage string, group_id string, request_sha256 string, payload string, payload_sha256 string, call_sha256 string, attempt int"
 
 
@@ -62,7 +70,7 @@ class Collected:
 
 @dataclass(frozen=True)
 class Options:
-    """prompts: a stage's system prompt where it differs from prompts.py. retry: what a model is told of a failed answer. schema_in_call: whether calls ask the service to keep to the stage's schema."""
+    """prompts: a stage's system prompt where it differs from prompts.py. retry: what a model is told of a failed answer. schema_in_call: whether calls ask the service to keep to the stage's schema. calls_kept_together: a task asks so many calls and then keeps their answers for good."""
 
     model: ModelOptions = field(default_factory=ModelOptions)
     limits: preparation.Limits = field(default_factory=preparation.Limits)
@@ -72,10 +80,11 @@ class Options:
     provider: str = "configured"
     retry: str = RETRY
     schema_in_call: bool = False
+    calls_kept_together: int = 16
 
     def __post_init__(self):
-        if self.repairs not in (0, 1):
-            raise ValueError("repairs must be 0 or 1")
+        if self.repairs not in (0, 1) or self.calls_kept_together < 1:
+            raise ValueError("repairs must be 0 or 1, calls_kept_together positive")
 
     def protocol(self) -> str:
         """What must not change between runs of one folder; concurrency may."""
@@ -84,19 +93,20 @@ class Options:
 
 def supplied(limits: preparation.Limits) -> Preparer:
     """Preparation from the given passages alone."""
-    return lambda seeds: preparation.selection(preparation.scored(preparation.supplied_candidates(seeds)), limits)
+    return lambda seeds: preparation.selection(preparation.supplied_candidates(preparation.scored(seeds)), limits)
 
 
 @dataclass(frozen=True)
 class same_article:
-    """Preparation with further passages of the seeds' articles."""
+    """Preparation with further passages of the seeds' articles. A clustered corpus is neither shuffled nor scored again."""
 
-    corpus: DataFrame
+    corpus: DataFrame | ClusteredCorpus
     prefix: str
     limits: preparation.Limits
 
     def __call__(self, seeds: DataFrame) -> DataFrame:
-        return preparation.selection(preparation.article_candidates(preparation.scored(seeds), preparation.scored(self.corpus), self.prefix, self.limits.candidates), self.limits)
+        corpus = self.corpus if isinstance(self.corpus, ClusteredCorpus) else preparation.scored(self.corpus)
+        return preparation.selection(preparation.article_candidates(preparation.scored(seeds), corpus, self.prefix, self.limits.candidates), self.limits)
 
     def seed_errors(self, seeds: DataFrame) -> DataFrame:
         """(group_id, error) of groups with a seed that is not in the corpus as given; the first such seed's."""
@@ -176,12 +186,32 @@ def payload_errors(stage: str, value: Column, passages: Column, candidates: Colu
     return F.when(F.size(shape) > 0, shape).otherwise(F.concat(*parts))
 
 
+def answering(model: Model, run: str) -> Model:
+    """The model's answers with what they answer: rows for the table of responses. Answers to what was not asked are left out."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked: dict[str, tuple] = {}  # of one task: as many calls as are kept together
+
+        def noted() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                asked.update(zip(batch["call_sha256"], zip(batch["group_id"], batch["stage"], batch["attempt"])))
+                yield batch
+
+        for said in model(noted()):
+            said = said[said["call_sha256"].isin(asked)]
+            of = [asked[c] for c in said["call_sha256"]]
+            yield said.assign(group_id=[x[0] for x in of], stage=[x[1] for x in of], attempt=[x[2] for x in of], called_at=pd.Timestamp.now(tz="UTC"), run=run)[[x.split()[0] for x in LOGGED.split(", ")]]
+
+    return work
+
+
 class Build:
     """A run in a folder. groups: (group_id, group_order, subject, corpus, language, passages array<struct>)."""
 
     def __init__(self, spark: SparkSession, folder: str, model: Model | Collected, options: Options = Options(), preparer: Preparer | None = None, validate: Validator | None = None):
         self.spark, self.folder, self.model, self.options, self.validate = spark, folder.rstrip("/"), model, options, validate
         self.preparer = preparer or supplied(options.limits)
+        self.run_id, self.seals = uuid.uuid4().hex, []
         spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
     def path(self, name: str) -> str:
@@ -200,32 +230,86 @@ class Build:
         if not old:
             self.spark.createDataFrame([now], schema).write.parquet(self.path("manifest"))
 
-    def candidates(self, seeds: DataFrame) -> DataFrame:
-        """The scored and selected candidates: those of an earlier run where they are as it left them, else prepared anew."""
-        path, seal = self.path("candidate_audit"), "rows long, fingerprint decimal(38,0)"
-        kept = stored(self.spark, self.path("candidate_seal"), seal).head(1)
-        if kept:
-            found = stored(self.spark, path, AUDIT)
-            if export.table_fingerprint(found).first() == kept[0]:
-                return found
-        found = write_table(self.preparer(seeds).select(*[x.split()[0] for x in AUDIT.split(", ")]), path)
-        write_table(export.table_fingerprint(found).select("rows", F.col("fingerprint").cast("decimal(38,0)").alias("fingerprint")), self.path("candidate_seal"))
-        return found
+    def put(self, rows: DataFrame, name: str, *by: str, as_json: bool = False) -> DataFrame | None:
+        """Write an output and note its seal: how many rows, and the sum of their hashes, observed while they are written."""
+        write = (lambda x: write_jsonl(x, self.path(name))) if as_json else (lambda x: write_table(x, self.path(name), *by))
+        out, seen = observed(rows, write, *fingerprint(rows.columns))
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        self.seals.append((name, as_json, ddl, seen.get("rows", 0), seen.get("fingerprint", Decimal(0))))
+        return out
+
+    def broken(self) -> list[str]:
+        """Outputs of the finished run that are not as it sealed them."""
+        out = []
+        for r in self.spark.read.parquet(self.path("seals")).collect():  # a row an output
+            rows = self.spark.read.schema(r.ddl)
+            found = export.table_fingerprint((rows.json if r.as_json else rows.parquet)(self.path(r.output)).select(*[f"`{c}`" for c in self.columns(r.ddl)])).first()
+            if (found.rows, found.fingerprint) != (r.rows, r.fingerprint):
+                out.append(r.output)
+        return sorted(out)
+
+    def columns(self, ddl: str) -> list[str]:
+        return StructType.fromDDL(ddl).fieldNames()
 
-    def call(self, todo: DataFrame, name: str) -> DataFrame:
-        """Responses of todo(group_id, stage, call_sha256, attempt, body): stored ones that were usable, and new ones for the rest."""
-        known = usable(stored(self.spark, self.path("responses"), LOGGED)).where("ok").dropDuplicates(["call_sha256"])
-        missing = todo.join(known.select("call_sha256"), "call_sha256", "left_anti").dropDuplicates(["call_sha256"])
+    def candidates(self, seeds: DataFrame) -> DataFrame:
+        """The scored and selected candidates. Groups whose candidates an earlier run left, for the same seeds and whole, keep them; the others are prepared.
+
+        A group's candidates are named by the digest of its seeds and limits,
+        and sealed by their number and hashes once they are written. Rows
+        without a seal that fits (an interrupted run, a damaged file) are
+        nobody's; their groups are prepared again.
+        """
+        spark, audit, seals = self.spark, self.path("candidate_audit"), self.path("candidate_seals")
+        schema = AUDIT + ", request_sha256 string, batch string"
+        # at most five seeds a group
+        given = F.to_json(F.array_sort(F.collect_list(F.struct("pos", "source_id", "passage_id", "title", "text"))))
+        asked = write_table(seeds.groupBy("group_id").agg(F.sha2(F.concat_ws("\u001f", F.lit(repr((VERSION, self.options.limits))), given), 256).alias("request_sha256")), self.path("candidate_requests"))
+
+        def whole() -> DataFrame:
+            found = stored(spark, audit, schema).groupBy(*PREPARED).agg(*fingerprint(AUDIT_COLUMNS))
+            fits = found.join(stored(spark, seals, SEALED).hint("merge"), [*PREPARED, "rows", "fingerprint"])
+            return fits.join(asked.hint("merge"), ["group_id", "request_sha256"]).groupBy("group_id", "request_sha256").agg(F.min("batch").alias("batch"))
+
+        missing = write_table(asked.join(whole().select("group_id").hint("merge"), "group_id", "left_anti"), self.path("candidates_missing"))
+        if not missing.isEmpty():
+            batch = F.lit(self.run_id)
+            rows = self.preparer(seeds.join(missing.select("group_id").hint("merge"), "group_id", "left_semi")).select(*AUDIT_COLUMNS)
+            append_table(rows.join(missing.hint("merge"), "group_id").withColumn("batch", batch).select(*AUDIT_COLUMNS, "request_sha256", "batch"), audit)
+            mine = stored(spark, audit, schema).where(F.col("batch") == batch)
+            append_table(mine.groupBy(*PREPARED).agg(*fingerprint(AUDIT_COLUMNS)), seals)
+        kept = write_table(whole(), self.path("candidates_kept"))
+        return stored(spark, audit, schema).join(kept.hint("merge"), PREPARED, "left_semi").select(*AUDIT_COLUMNS)
+
+    def ask(self, asked: DataFrame, stage: str, attempt: int) -> None:
+        """Ask the model, and keep its answers as they come.
+
+        Calls are dealt to waves of `concurrency` tasks; a task asks
+        `calls_kept_together` calls and its answers are in the table of
+        responses when it ends. What stops a run costs the calls of the tasks
+        that were running, no others.
+        """
+        o, name = self.options, f"{stage}-{attempt}"
+        waves = max(1, -(-asked.count() // (o.model.concurrency * o.calls_kept_together)))
+        dealt = write_table(asked.withColumn("wave", F.pmod(F.xxhash64("call_sha256"), F.lit(waves)).cast("int")), self.path(f"calls/{name}"), "wave")
+        for wave in range(waves):
+            calls = dealt.where(F.col("wave") == wave).drop("wave").repartition(o.model.concurrency)
+            said = calls.mapInPandas(answering(self.model, self.run_id), LOGGED)
+            _, seen = observed(said, lambda x: append_by_task(x, self.path("responses")), F.count("*").alias("answered"), F.count_if(F.col("status_code") == 200).alias("fine"))
+            done = [(self.run_id, stage, attempt, wave + 1, waves, seen.get("answered", 0), seen.get("fine", 0))]
+            append_table(self.spark.createDataFrame(done, "run string, stage string, attempt int, wave int, waves int, answered long, fine long").withColumn("at", F.current_timestamp()), self.path("call_progress"))
+
+    def call(self, todo: DataFrame, stage: str, attempt: int) -> DataFrame:
+        """One response for each of todo(group_id, stage, call_sha256, attempt, body) that has any: a stored one that is usable, or else the newest, after asking for what had none."""
+        log = lambda: usable(stored(self.spark, self.path("responses"), LOGGED).join(todo.select("call_sha256").hint("merge"), "call_sha256", "left_semi"))
+        missing = todo.join(log().where("ok").select("call_sha256").hint("merge"), "call_sha256", "left_anti").dropDuplicates(["call_sha256"])
         asked = missing.select("group_id", "stage", "call_sha256", "attempt", "body")
         if isinstance(self.model, Collected):
-            said = self.model.to(asked)
+            fresh = self.model.to(asked).join(asked.drop("body").hint("merge"), "call_sha256").withColumns({"called_at": F.current_timestamp(), "run": F.lit(self.run_id)})
+            append_table(fresh.select(*[x.split()[0] for x in LOGGED.split(", ")]), self.path("responses"))
         else:
-            said = asked.repartition(self.options.model.concurrency).mapInPandas(self.model, RESPONSE)
-        # written before anything reads it: a second read would call the model again
-        said = write_table(said, self.path(f"calls/{name}"))
-        fresh = said.join(asked.select("call_sha256", "group_id", "stage", "attempt").hint("merge"), "call_sha256").withColumn("called_at", F.current_timestamp())
-        append_table(fresh.select(*[x.split()[0] for x in LOGGED.split(", ")]), self.path("responses"))
-        return known.select("call_sha256", "status_code", "raw", "latency_s").unionByName(said)
+            self.ask(asked, stage, attempt)
+        best = F.max_by(F.struct("status_code", "raw", "latency_s"), F.struct("ok", "called_at"))
+        return log().groupBy("call_sha256").agg(best.alias("r")).select("call_sha256", "r.*")
 
     def stage(self, stage: str, rows: DataFrame) -> DataFrame:
         """(group_id, payload, error) for rows(group_id, subject, corpus, language, passages, record, candidates, review)."""
@@ -246,7 +330,7 @@ class Build:
             if todo.isEmpty():
                 break
             calls = todo.withColumns({"attempt": F.lit(attempt), "body": requests.request_body(F.col("messages"), o.model, requests.format_of(stage, schema, o.model.endpoint) if o.schema_in_call else None)}).withColumn("call_sha256", F.sha2(F.concat_ws("\u001f", F.lit(stage), F.col("attempt"), F.col("body")), 256))
-            said = usable(self.call(calls, f"{stage}-{attempt}")).select("call_sha256", "content", "ok", "error")
+            said = usable(self.call(calls, stage, attempt)).select("call_sha256", "content", "ok", "error")
             got = calls.join(said, "call_sha256", "left").withColumn("parsed", json_object(F.coalesce("content", F.lit(""))))
             value = F.col("parsed.value")
             wrong = payload_errors(stage, value, F.col("passages"), F.col("candidates"), F.from_json("review", STAGE_TYPES["card_review"]))
@@ -272,6 +356,7 @@ class Build:
 
     def run(self, groups: DataFrame) -> DataFrame:
         """Run all stages and write every output; gives the outcomes (group_id, status, rejection_stage, error)."""
+        self.run_id, self.seals = uuid.uuid4().hex, []
         self.check_identity(sound(groups))
         write_table(groups, self.path("passage_groups"))
         empty = self.spark.createDataFrame([(False,)], "complete boolean")
@@ -286,7 +371,7 @@ class Build:
             audit = self.candidates(seeds)
             faults = candidate_errors(seeds, audit)
         faults = write_table(faults.withColumn("error", F.concat(F.lit("source_preparation: "), "error")), self.path("preparation_errors"))
-        ready = preparation.prepared_groups(audit).join(groups.drop("passages"), "group_id").join(faults, "group_id", "left_anti")
+        ready = preparation.prepared_groups(audit, seeds, getattr(self.preparer, "corpus", None)).join(groups.drop("passages").hint("merge"), "group_id").join(faults.hint("merge"), "group_id", "left_anti")
         blank = {"candidates": F.lit(0), "review": F.lit(None).cast("string")}
         state = write_table(ready.withColumns(blank), self.path("prepared_passage_groups"))
 
@@ -335,7 +420,7 @@ class Build:
         )
         c = F.col("grounded.card")
         clean = F.struct(strip(c["concept_name"]).alias("concept_name"), strip(c["definition"]).alias("definition"), *[F.transform(c[x], strip).alias(x) for x in ("trigger", "decision", "pitfall")])
-        accepted = write_table(passed.select("group_order", "card_index", "group_id", "subject", clean.alias("card"), origin.alias("origin")), self.path("accepted_cards"))
+        accepted = write_table(export.keyed(passed.select("group_order", "card_index", "group_id", "subject", clean.alias("card"), origin.alias("origin"))), self.path("accepted_cards"))
         outcomes = self.outcomes(groups, faults, state, payloads, accepted)
         self.write_outputs(outcomes, audit, payloads, accepted)
         return outcomes
@@ -359,30 +444,37 @@ class Build:
 
     def write_outputs(self, outcomes: DataFrame, audit: DataFrame, payloads: dict[str, DataFrame], accepted: DataFrame) -> None:
         records = ["group_id", "group_order", "subject", "status", "rejection_stage", "error", *payloads]
-        write_jsonl(outcomes.select(*records), self.path("synthesis_records"))
-        write_jsonl(outcomes.where("status = 'rejected'").select(*records), self.path("rejected_records"))
-        write_jsonl(outcomes.where("status = 'error'").select(*records), self.path("errors"))
+        for status, name in ((None, "synthesis_records"), ("rejected", "rejected_records"), ("error", "errors")):
+            self.put((outcomes if status is None else outcomes.where(F.col("status") == status)).select(*records), name, as_json=True)
         verdicts = [
             payloads[s].where("payload is not null").select("group_id", F.lit(s).alias("stage"), F.explode(F.from_json("payload", STAGE_TYPES["card_review"])["cards"]).alias("judgment")) for s in ("card_review", "repair_review")
         ]
-        rejections = write_table(verdicts[0].unionByName(verdicts[1]).where(~judged(F.col("judgment"))), self.path("card_rejections"))
-        found = write_table(export.bank(accepted, self.options.prefix), self.path("bank_unordered"))
-        bank = write_table(export.dense_index(found, ["group_order", "card_index"]), self.path("bank_table"))
-        write_bank(bank, self.path("export"))
+        rejections = self.put(verdicts[0].unionByName(verdicts[1]).where(~judged(F.col("judgment"))), "card_rejections")
+        bank = self.put(export.dense_index(export.bank(accepted, self.options.prefix), ["group_order", "card_index"]), "bank_table")
+        origins = self.put(export.lineage(accepted, self.options.prefix), "bank_origins")
+        for name, rows in bank_exports(bank, origins).items():
+            self.put(rows, f"export/{name}", as_json=True)
         prep = preparation.preparation_summary(audit).agg(F.coalesce(F.sum("filtered_seeds"), F.lit(0)).alias("filtered_seed_passages"), F.coalesce(F.sum("supplementary_passages"), F.lit(0)).alias("supplementary_passages"))
         one = F.lit(1).alias("one")
         totals = export.progress(outcomes).select("*", one)
         for part in (
             bank.agg(F.count("*").alias("cards")), outcomes.agg(F.count_if(F.col("card_repair").isNotNull()).alias("groups_with_repair")), rejections.agg(F.count("*").alias("rejected_card_reviews")), prep,
-            token_usage(stored(self.spark, self.path("responses"), LOGGED).withColumn("cached", F.lit(False))), export.table_fingerprint(bank.select("memory_id", "index", "description")).select(F.col("fingerprint").alias("bank_fingerprint")),
+            token_usage(stored(self.spark, self.path("responses"), LOGGED).withColumn("cached", F.col("run") != self.run_id)),
         ):
             totals = totals.join(part.select("*", one), "one")
-        write_table(totals.withColumn("complete", F.col("errors") == 0).drop("one"), self.path("summary"))
+        sealed = {name: seal for name, _, _, _, seal in self.seals}
+        totals = totals.withColumns({"bank_fingerprint": F.lit(sealed["bank_table"]), "complete": F.col("errors") == 0})
+        write_table(self.spark.createDataFrame(self.seals, "output string, as_json boolean, ddl string, rows long, fingerprint decimal(38,0)"), self.path("seals"))
+        write_table(totals.drop("one"), self.path("summary"))
         write_table(export.progress(outcomes), self.path("progress"))
 
     def bank(self) -> DataFrame:
         return self.spark.read.parquet(self.path("bank_table"))
 
+    def origins(self) -> DataFrame:
+        """(content_key, memory_id, origin_no, group_order, card_index, origin): which accepted cards each card of the bank stands for."""
+        return self.spark.read.parquet(self.path("bank_origins"))
+
     def summary(self) -> DataFrame:
         return self.spark.read.parquet(self.path("summary"))
 

@@ -11,8 +11,9 @@ from gleaner.functions.strict import first_problem
 from gleaner.functions.text import content_key, render_card, safe_name
 from gleaner.operators import checks, export, intake, preparation, requests, retrieval
 from gleaner.plans.build import Build, Collected, Options, same_article
-from gleaner.plans.fixtures import CARD_DUCKDB, cards, view, with_views
+from gleaner.plans.fixtures import CARD_DUCKDB, cards, collected_answers, view, with_views
 from gleaner.sources import readers
+from gleaner.sources.clustered import ClusteredCorpus
 from gleaner.sources.scratch import new_folder
 from gleaner.sources.writers import append_table, write_jsonl, write_table
 
@@ -132,7 +133,7 @@ def article_candidate_cap(spark, sf_dir):
     corpus = _corpus(spark, sf_dir)
     found = preparation.article_candidates(_seeds(spark, sf_dir), corpus, PREFIX, 64)
     stats = preparation.article_stats(corpus, 64)
-    return found.withColumn("article_id", F.split("passage_id", "#")[0]).join(stats, "article_id").select("group_id", "passage_id", "is_seed", "available", "fetched", "truncated")
+    return found.withColumn("article_id", F.split("passage_id", "#")[0]).join(stats.hint("merge"), "article_id").select("group_id", "passage_id", "is_seed", "available", "fetched", "truncated")
 
 
 BROKEN_SEEDS = """select group_id, group_order, pos, case when group_order%23=0 then concat('doc:', passage_id, 'x') else source_id end as source_id,
@@ -153,6 +154,19 @@ def seed_corpus_check(spark, sf_dir):
     return preparation.seed_errors(seeds, _corpus(spark, sf_dir), PREFIX).select("group_id", "pos", F.coalesce("error", F.lit("ok")).alias("result"))
 
 
+@query(on_views(CANDIDATES_SQL + """,
+stats as (select doc_id, count(*) as available from fx_passages group by doc_id)
+select c.group_id, c.passage_id, c.is_seed, len(c.issues) = 0 as usable, cast(c.usage_cues as bigint) as usage_cues, cast(length(c.text) as bigint) as length, s.available, s.available > 64 as truncated
+from scored c join stats s on s.doc_id = cast(string_split(c.passage_id, '#')[1] as bigint)"""))
+def clustered_candidates(spark, sf_dir):
+    """The corpus laid out once in buckets, then candidates, scores and article sizes read from it without a shuffle of the corpus."""
+    corpus = ClusteredCorpus.write(_corpus(spark, sf_dir), f"{new_folder(spark, 'clustered')}/corpus", 8)
+    found = preparation.article_candidates(preparation.scored(_seeds(spark, sf_dir)), corpus, PREFIX, 64)
+    stats = preparation.article_stats(corpus, 64)
+    rows = found.withColumn("article_id", F.split("passage_id", "#")[0]).join(stats.hint("merge"), "article_id")
+    return rows.select("group_id", "passage_id", "is_seed", "usable", F.col("usage_cues").cast("bigint").alias("usage_cues"), F.col("length").cast("bigint").alias("length"), "available", "truncated")
+
+
 @query(on_views(CANDIDATES_SQL + " select group_id, passage_id, rank from ranked"))
 def candidate_priority(spark, sf_dir):
     return preparation.ranked(_candidates(spark, sf_dir)).select("group_id", "passage_id", F.col("rank").cast("bigint").alias("rank"))
@@ -351,10 +365,21 @@ bank as (select concat('mem_', key) as memory_id, min(struct_pack(o := group_ord
 @query(on_views(BANK_SQL + " select memory_id, first.o as group_order, first.i as card_index, n as n_origins, origins, row_number() over (order by first.o, first.i) - 1 as \"index\" from bank"))
 def bank_dedup(spark, sf_dir):
     judged = _gated(spark, sf_dir).where("accepted").select("group_id", "card_index")
-    accepted = cards(spark, sf_dir).join(judged, ["group_id", "card_index"]).withColumn("origin", F.concat_ws(":", "group_id", "card_index"))
-    found = write_table(export.bank(accepted), f"{new_folder(spark, 'bank')}/bank")
-    rows = export.dense_index(found, ["group_order", "card_index"])
-    return rows.select("memory_id", "group_order", "card_index", F.size("origins").cast("bigint").alias("n_origins"), F.array_join("origins", ",").alias("origins"), F.col("index").cast("bigint").alias("index"))
+    accepted = cards(spark, sf_dir).join(judged.hint("merge"), ["group_id", "card_index"]).withColumn("origin", F.concat_ws(":", "group_id", "card_index"))
+    accepted = write_table(export.keyed(accepted), f"{new_folder(spark, 'bank')}/accepted")
+    rows = export.dense_index(export.bank(accepted), ["group_order", "card_index"])
+    origins = export.lineage(accepted).groupBy("content_key").agg(F.array_sort(F.collect_list(F.struct("origin_no", "origin"))).alias("x"))
+    rows = rows.join(origins.hint("merge"), "content_key").withColumn("origins", F.array_join(F.transform("x", lambda x: x["origin"]), ","))
+    return rows.select("memory_id", "group_order", "card_index", "n_origins", "origins", F.col("index").cast("bigint").alias("index"))
+
+
+@query(on_views(BANK_SQL + " select concat('mem_', key) as memory_id, row_number() over (partition by key order by group_order, card_index) as origin_no, group_id, card_index from keyed"))
+def bank_lineage(spark, sf_dir):
+    """Which accepted cards each card of the bank stands for: a row an origin, however many a card has."""
+    judged = _gated(spark, sf_dir).where("accepted").select("group_id", "card_index")
+    accepted = cards(spark, sf_dir).join(judged.hint("merge"), ["group_id", "card_index"]).withColumn("origin", F.col("group_id"))
+    accepted = write_table(export.keyed(accepted), f"{new_folder(spark, 'lineage')}/accepted")
+    return export.lineage(accepted).select("memory_id", F.col("origin_no").cast("bigint").alias("origin_no"), F.col("origin").alias("group_id"), "card_index")
 
 
 KEY_LISTS = {"joined": "[concat(concept_name, chr(31), 'y')]", "apart": "[concept_name, 'y']", "control": "[concat(concept_name, chr(7), 'y')]"}
@@ -591,47 +616,6 @@ def payload_schemas(spark, sf_dir):
     return rows.select("group_id", first_problem(F.expr(PAYLOAD), STAGE_SPECS["extraction"]).isNull().alias("valid"))
 
 
-ANSWERS = """select group_id, stage, attempt, if(attempt = 1 and stage = 'solution' and k % 11 = 3, 503, 200) as status_code, 0.0D as latency_s,
-  to_json(named_struct('model', 'collected', 'choices', array(named_struct('finish_reason', 'stop', 'message', named_struct('content', if(k % 4 = 1, concat('```json\n', payload, '\n```'), payload)))),
-    'usage', named_struct('prompt_tokens', 100 + k % 10, 'completion_tokens', length(payload)))) as raw
-from (select group_id, k, stage, explode(if(stage = 'solution' and k % 11 = 3, array(1, 2), array(1))) as attempt, payload from {payloads})"""
-
-
-def collected_answers(prepared: DataFrame) -> DataFrame:
-    """Answers to every stage of prepared(group_id, group_order, passages), which follow from group_order: some groups fail, some are refused, some cards rejected, repaired or dropped."""
-    p = F.get("passages", F.lit(0))
-    rows = prepared.select("group_id", F.col("group_order").alias("k"), p["source_id"].alias("s"), p["passage_id"].alias("i"), p["text"].alias("t"))
-    k, n = F.col("k"), (F.col("k") % 4).cast("int")
-    named = lambda **f: F.struct(*[v.alias(x) for x, v in f.items()])
-    cite = lambda quote: F.array(named(source_id=F.col("s"), passage_id=F.col("i"), quote=quote))
-    proof, none, yes = cite(F.substring("t", 1, 40)), F.expr(checks.NONE), F.lit(True)
-    each = lambda count, f: F.transform(F.slice(F.array(*[F.lit(x) for x in range(3)]), F.lit(1), count), f)
-
-    def card(i, note: str):
-        places = [("concept_name", None), ("definition", None), ("trigger", 0), ("decision", 0)]
-        all_ = F.array(*[named(field=F.lit(x), item_index=F.lit(j).cast("int"), evidence=proof, support_type=F.lit("direct"), rationale=F.lit("quoted")) for x, j in places])
-        c = named(concept_name=F.concat(F.lit("case "), i.cast("string"), F.lit(" of "), F.col("i")), definition=F.concat(F.substring("t", 1, 80), F.lit(note)), trigger=F.array(F.lit("when it holds")), decision=F.array(F.lit("apply it")), pitfall=none)
-        return named(card=c, grounding=F.slice(all_, F.lit(1), F.when((k % 17 == 5) & (F.lit(note) == ""), F.lit(3)).otherwise(F.lit(4))))
-
-    def verdicts(count, m: int):
-        return each(count, lambda i: named(card_index=i, **{f: (k + i) % m != 0 if f == "source_supported" else yes for f in CARD_FLAGS}, missing_steps=none, issues=none, evidence=proof))
-
-    rejected = F.filter(each(n, lambda i: i), lambda i: (k + i) % 3 == 0)
-    kept = F.when(k % 2 == 0, n - F.size(rejected)).otherwise(n)
-    payloads = {
-        "application": named(question=F.lit("What follows in this case?"), assumptions=none, evidence=F.when(k % 7 == 1, cite(F.lit("written nowhere"))).otherwise(proof)),
-        "solution": named(answer=F.lit("This."), explanation=F.lit("As quoted."), evidence=proof),
-        "self_check": named(**{f: (k % 5 != 2) if f == "requires_application" else yes for f in SELF_CHECK_FLAGS}, issues=F.when(k % 13 == 4, F.array(F.lit("vague"))).otherwise(none), evidence=proof),
-        "extraction": named(cards=each(n, lambda i: card(i, ""))),
-        "card_review": named(cards=verdicts(n, 3)),
-        "card_repair": named(repairs=F.transform(rejected, lambda i: named(card_index=i, replacement=F.when(k % 2 != 0, card(i, " (repaired)")), reason=F.lit("review")))),
-        "repair_review": named(cards=verdicts(kept, 5)),
-    }
-    stages = F.array(*[F.struct(F.lit(x).alias("stage"), F.to_json(v, {"ignoreNullFields": "false"}).alias("payload")) for x, v in payloads.items()])
-    long = rows.select("group_id", "k", F.explode(stages).alias("x")).select("group_id", "k", "x.stage", "x.payload")
-    return prepared.sparkSession.sql(ANSWERS, payloads=long)
-
-
 @query(on_views(SELECTED_SQL + """,
 g as (select group_id, max(group_order) as k, bool_or(selected) as prepared from sel join (select distinct group_id, group_order from fx_groups) using (group_id) group by group_id),
 r as (select *, k%4 as n, list_filter(range(0, k%4), lambda i: (k + i)%3 = 0) as bad from g),
@@ -650,12 +634,12 @@ def synthesis_end_to_end(spark, sf_dir):
         g=_seeds(spark, sf_dir),
     )
     groups = write_table(groups, f"{folder}/given_groups")
-    prepared = preparation.prepared_groups(_selected(spark, sf_dir)).join(groups.select("group_id", "group_order").hint("merge"), "group_id")
+    prepared = preparation.prepared_groups(_selected(spark, sf_dir), _seeds(spark, sf_dir), _corpus(spark, sf_dir)).join(groups.select("group_id", "group_order").hint("merge"), "group_id")
     answers = write_table(collected_answers(prepared), f"{folder}/collected_answers")
     limits = preparation.Limits()
     build = Build(spark, f"{folder}/run", Collected(answers), Options(limits=limits), same_article(_corpus(spark, sf_dir), PREFIX, limits))
     outcomes = build.run(groups)
-    origins = build.bank().select(F.explode("origins").alias("o")).groupBy(F.col("o.group_id").alias("group_id")).agg(F.count("*").alias("n_cards"))
+    origins = build.origins().groupBy(F.col("origin.group_id").alias("group_id")).agg(F.count("*").alias("n_cards"))
     return outcomes.join(origins.hint("merge"), "group_id", "left").select(
         "group_id", "status", F.coalesce("rejection_stage", F.lit("")).alias("rejection_stage"), F.coalesce("n_cards", F.lit(0).cast("bigint")).alias("n_cards"), F.col("error").isNotNull().alias("failed")
     )

@@ -10,7 +10,7 @@ from gleaner.operators.requests import ModelOptions
 from gleaner.plans.build import Build, Options, group_schema
 from tests.scripted import answer, scripted_model
 
-TEXT = "Speed is distance divided by elapsed time, and average speed uses total distance and total elapsed time, number {}."
+TEXT = "A lever lifts a heavy load with a small push, if the long arm is on the side of the hand that pushes it, as in case {}."
 
 
 @pytest.fixture(scope="module")
@@ -61,13 +61,16 @@ def test_bank_and_summary(spark, built):
     bank, summary = build.bank().orderBy("index").collect(), build.summary().first()
     assert [r["index"] for r in bank] == list(range(len(bank))) and summary.cards == len(bank) > 0
     accepted = {r.group_id for r in outcomes if r.status == "accepted"}
-    assert {o.group_id for r in bank for o in r.origins} == accepted
+    origins = build.origins().collect()
+    assert {o.origin.group_id for o in origins} == accepted and len(origins) == sum(r.n_origins for r in bank)
     assert summary.accepted == len(accepted) and summary.groups == 31 and summary.complete and summary.calls > 0 and summary.prompt_tokens > 0
     assert summary.groups_with_repair == sum(r.card_repair is not None for r in outcomes)
     for r in bank:
         assert set(r.card.asDict()) == {"concept_name", "definition", "trigger", "decision", "pitfall"} and r.memory_id == "mem_" + r.content_key
-        for o in r.origins:
-            assert len(o.grounding) == 2 + len(r.card.trigger) + len(r.card.decision) + len(r.card.pitfall)
+        mine = sorted((o for o in origins if o.content_key == r.content_key), key=lambda o: o.origin_no)
+        assert [o.origin_no for o in mine] == list(range(1, r.n_origins + 1)) and (mine[0].group_order, mine[0].card_index) == (r.group_order, r.card_index)
+        for o in mine:
+            assert len(o.origin.grounding) == 2 + len(r.card.trigger) + len(r.card.decision) + len(r.card.pitfall)
     cards = spark.read.json(f"{folder}/export/cards")
     assert cards.count() == len(bank) == spark.read.json(f"{folder}/export/bank").count()
     assert spark.read.parquet(f"{folder}/card_rejections").count() == summary.rejected_card_reviews
@@ -78,6 +81,8 @@ def test_resume_calls_nothing(spark, groups, built):
     before = {p.name: p.stat().st_mtime_ns for p in calls.iterdir()}
     again = Build(spark, folder, counting(str(calls)), Options(model=ModelOptions(concurrency=2))).run(groups).collect()
     assert sorted(map(str, again)) == sorted(map(str, outcomes))
+    # this run asked nothing, so it used nothing
+    assert build.summary().first().asDict()["calls"] == build.summary().first().asDict()["total_tokens"] == 0
     # failed first attempts are no results: what was valid in the end is found without asking
     assert {p.name: p.stat().st_mtime_ns for p in calls.iterdir()} == before
 
@@ -174,3 +179,73 @@ def test_groups_that_break_the_rules_stop_the_run(spark, groups, tmp_path):
     for i, (rows, words) in enumerate(((groups.limit(0), "at least one"), (groups.where("group_order < 2").unionByName(groups.where("group_order < 1")), "duplicate group_id"))):
         with pytest.raises(ValueError, match=words):
             Build(spark, str(tmp_path / str(i)), scripted_model, Options()).run(rows)
+
+
+def test_outputs_are_sealed_while_they_are_written(spark, built, tmp_path):
+    folder = str(tmp_path / "r")
+    shutil.copytree(built[3], folder)
+    copy = Build(spark, folder, scripted_model)
+    sealed = {r.output: r.rows for r in spark.read.parquet(f"{folder}/seals").collect()}
+    assert set(sealed) == {"synthesis_records", "rejected_records", "errors", "card_rejections", "bank_table", "bank_origins", *(f"export/{x}" for x in ("cards", "bank", "bank_origins", "bank_metadata"))}
+    assert sealed["synthesis_records"] == 31 and sealed["bank_table"] == sealed["export/cards"] == spark.read.json(f"{folder}/export/cards").count()
+    assert copy.broken() == []
+    rows = spark.read.json(f"{folder}/export/bank").collect()
+    spark.createDataFrame(rows[1:] + [rows[1]]).write.mode("overwrite").json(f"{folder}/export/bank")
+    assert copy.broken() == ["export/bank"]
+
+
+def test_a_round_that_is_killed_half_way_keeps_its_answers(spark, groups, tmp_path):
+    calls, folder = tmp_path / "calls", str(tmp_path / "r")
+    calls.mkdir()
+    counted = counting(str(calls))
+
+    def dies(batches):
+        for batch in batches:
+            if "g17" in set(batch["group_id"]):
+                raise RuntimeError("the service is gone")
+            yield from counted(iter([batch]))
+
+    options = Options(model=ModelOptions(concurrency=2), calls_kept_together=2)
+    with pytest.raises(Exception, match="the service is gone"):
+        Build(spark, folder, dies, options).run(groups)
+    kept = spark.read.parquet(f"{folder}/responses")
+    known = {r.call_sha256 for r in kept.collect()}
+    before = {p.name: p.stat().st_mtime_ns for p in calls.iterdir()}
+    assert {r.stage for r in kept.collect()} == {"application"} and known <= set(before) and 0 < len(known) < 30
+    waves = spark.read.parquet(f"{folder}/call_progress").orderBy("wave").collect()
+    assert [w.wave for w in waves] == list(range(1, len(waves) + 1)) and {w.waves for w in waves} == {8} and sum(w.answered for w in waves) <= len(known)
+    out = Build(spark, folder, counted, options).run(groups).collect()
+    after = {p.name: p.stat().st_mtime_ns for p in calls.iterdir()}
+    # whatever was kept is not asked again; the rest is
+    assert {c: after[c] for c in known} == {c: before[c] for c in known}
+    asked = spark.read.parquet(f"{folder}/responses").where("stage = 'application' and attempt = 1").groupBy("run").count().collect()
+    assert sorted(r["count"] for r in asked) == sorted([len(known), 30 - len(known)])
+    assert all(r.status != "error" for r in out)
+
+
+def test_only_damaged_candidates_are_prepared_again(spark, groups, tmp_path):
+    from gleaner.operators.preparation import Limits
+    from gleaner.plans.build import supplied
+
+    asked = []
+
+    def preparer(seeds):
+        asked.append({r.group_id for r in seeds.select("group_id").distinct().collect()})
+        return supplied(Limits())(seeds)
+
+    folder = str(tmp_path / "r")
+    seeds = groups.select("group_id", F.posexplode("passages").alias("pos", "p")).select("group_id", "pos", "p.*")
+    first = Build(spark, folder, scripted_model, preparer=preparer).candidates(seeds).collect()
+    assert asked == [{r.group_id for r in groups.collect()}]
+    again = Build(spark, folder, scripted_model, preparer=preparer).candidates(seeds).collect()
+    assert sorted(map(str, again)) == sorted(map(str, first)) and len(asked) == 1
+    # one row is damaged, one group has another seed
+    rows = spark.read.parquet(f"{folder}/candidate_audit")
+    rows = spark.createDataFrame(rows.withColumn("usage_cues", F.when((F.col("group_id") == "g3") & (F.col("passage_id") == "3#0"), F.lit(9)).otherwise(F.col("usage_cues"))).collect(), rows.schema)
+    rows.write.mode("overwrite").parquet(f"{folder}/candidate_audit")
+    changed = seeds.withColumn("text", F.when(F.col("passage_id") == "5#1", F.concat("text", F.lit(" More."))).otherwise(F.col("text")))
+    third = Build(spark, folder, scripted_model, preparer=preparer).candidates(changed)
+    assert asked[1:] == [{"g3", "g5"}]
+    plain = lambda x: sorted(str(r) for r in x if r.group_id != "g5")
+    assert plain(third.collect()) == plain(first)
+    assert sum(r.group_id == "g5" for r in third.collect()) == 2

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import checks, export, preparation, requests, retrieval
 from gleaner.sources import readers, writers
+from gleaner.sources.clustered import ClusteredCorpus
 
 
 def passages(spark, rows):
@@ -15,7 +16,7 @@ def test_quality_issues(spark):
     long = "This sentence is long enough to be kept, because it has more than eighty characters in it, and then some. "
     cases = [
         (long, "T", []), ("short", "T", ["too_short"]), (long + "�", "T", ["damaged_encoding"]), (long + "\x0bx", "T", ["damaged_encoding"]), (long + "\x0b", "T", []), (long + "\n\r\tx", "T", []), (long, "A (Disambiguation)", ["disambiguation"]),
-        (long + "It has a time requirement of , using", "T", ["missing_formula: requirement of ,"]), (long + "where d = vt and ASCII ( ), a code", "T", []), ("x" * 12001, "A (disambiguation)", ["too_long"]), (" " * 90 + "a", None, ["too_short"]),
+        (long + "Sorting it comes at a cost of ; whatever is sorted", "T", ["missing_formula: cost of ;"]), (long + "here E = mc and the set ( ), which is empty", "T", []), ("x" * 12001, "A (disambiguation)", ["too_long"]), (" " * 90 + "a", None, ["too_short"]),
         (long + "the complexity , and if is positive", None, ["missing_formula: complexity ,", "missing_formula: if is positive"]),
     ]
     frame = spark.createDataFrame([(i, t, n) for i, (t, n, _) in enumerate(cases)], "i int, text string, title string")
@@ -43,7 +44,7 @@ def test_greedy_selection(spark):
     assert [got["k", str(i)] for i in range(1, 6)] == [(True, None), (True, None), (False, "evidence_budget"), (False, "evidence_budget"), (True, None)]
     summary = {r.group_id: r for r in preparation.preparation_summary(picked).collect()}
     assert (summary["h"].candidates, summary["h"].filtered_candidates, summary["h"].selected_passages, summary["h"].supplementary_passages) == (8, 1, 5, 5)
-    assert [p.passage_id for p in {r.group_id: r.passages for r in preparation.prepared_groups(picked).collect()}["g"]] == ["0", "1", "3"]
+    assert [p.passage_id for p in {r.group_id: r.passages for r in preparation.prepared_groups(picked, passages(spark, rows)).collect()}["g"]] == ["0", "1", "3"]
 
 
 def test_priority(spark):
@@ -108,8 +109,71 @@ def test_bank_keeps_the_first_and_all_origins(spark):
     card = {"concept_name": "c", "definition": "d", "trigger": ["t"], "decision": ["e"], "pitfall": []}
     rows = [(2, 0, "s", card, "b"), (1, 1, "s", {**card, "definition": " d "}, "a"), (1, 0, "s", {**card, "trigger": ["u"]}, "c"), (3, 0, "other", card, "d")]
     cards = spark.createDataFrame(rows, "group_order bigint, card_index int, subject string, card struct<concept_name:string,definition:string,trigger:array<string>,decision:array<string>,pitfall:array<string>>, origin string")
+    cards = export.keyed(cards)
     got = export.dense_index(export.bank(cards), ["group_order", "card_index"]).orderBy("index").collect()
-    assert [(r["index"], r.origins, r.card.definition, r.subject) for r in got] == [(0, ["c"], "d", "s"), (1, ["a", "b"], " d ", "s"), (2, ["d"], "d", "other")]
+    assert [(r["index"], r.n_origins, r.card.definition, r.subject) for r in got] == [(0, 1, "d", "s"), (1, 2, " d ", "s"), (2, 1, "d", "other")]
+    key = {r.content_key: r["index"] for r in got}
+    assert sorted((key[r.content_key], r.origin_no, r.origin) for r in export.lineage(cards).collect()) == [(0, 1, "c"), (1, 1, "a"), (1, 2, "b"), (2, 1, "d")]
+
+
+def test_a_card_with_very_many_origins_is_no_single_task(spark):
+    n = 200_000
+    rows = spark.range(n).select(F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(-1).cast("string").alias("content_key"), F.col("id").alias("group_order"), F.lit(0).alias("card_index"), F.col("id").alias("origin"))
+    rows = rows.withColumn("subject", F.lit("s")).withColumn("card", F.struct(F.lit("c").alias("concept_name"), F.lit("d").alias("definition"), *[F.array(F.lit("x")).alias(x) for x in ("trigger", "decision", "pitfall")]))
+    # the frequent card, nearly all rows, lies in several partitions of what is numbered
+    held = [r["count"] for r in rows.repartitionByRange(4, "content_key", "group_order", "card_index").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(held) < n / 2
+    hot = export.lineage(rows).where("content_key = '-1'")
+    assert hot.agg(F.min("origin_no"), F.max("origin_no"), F.count_distinct("origin_no")).first() == (1, n - n // 50, n - n // 50)
+    assert hot.orderBy("origin_no").select("origin").limit(3).collect() == [(1,), (2,), (3,)]
+    assert export.bank(rows).where("content_key = '-1'").first().n_origins == n - n // 50
+
+
+def plan_of(frame):
+    """The plan before anything ran."""
+    return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+
+
+def test_a_clustered_corpus_is_not_shuffled(spark, tmp_path):
+    words = ["using", "therefore", "unless", "ratio", "plain"]
+    text = "This passage is long enough to be offered as evidence, since it goes on for some eighty letters, {} {}."
+    corpus = spark.createDataFrame([(str(a), f"{a}#{k}", f"T{a}", text.format(words[(a + k) % 5], k) if k % 9 else "short") for a in range(30) for k in range(1 + 300 * (a == 7) + a % 6)], "article_id string, passage_id string, title string, text string")
+    seeds = spark.createDataFrame([(f"g{i}", 0, f"c:{i % 30}#0", f"{i % 30}#0", "", "short") for i in range(60)] + [("odd", 0, "c:99#0", "99#0", "", "short"), ("edited", 0, "c:1#0", "1#0", "", "other")], "group_id string, pos int, source_id string, passage_id string, title string, text string")
+    made = ClusteredCorpus.write(corpus, f"{tmp_path}/c", 4)
+    for name in ("passages", "first", "articles"):
+        spark.sql(f"drop table {made.name(name)}")
+    clustered = ClusteredCorpus.open(spark, f"{tmp_path}/c/")
+    limits = preparation.Limits()
+    seeds = preparation.scored(seeds)
+    with_plain, with_clustered = (preparation.article_candidates(seeds, c, "c:", 64) for c in (preparation.scored(corpus), clustered))
+    assert sorted(map(str, with_clustered.collect())) == sorted(map(str, with_plain.select(*with_clustered.columns).collect()))
+    errors = [preparation.seed_errors(seeds, c, "c:") for c in (corpus, clustered)]
+    assert sorted(map(str, errors[0].collect())) == sorted(map(str, errors[1].collect())) and errors[1].where("error is not null").count() == 2
+    assert sorted(preparation.article_stats(clustered, 64).collect()) == sorted(preparation.article_stats(corpus, 64).collect())
+    chosen = [preparation.prepared_groups(preparation.selection(x, limits), seeds, c) for x, c in ((with_plain, corpus), (with_clustered, clustered))]
+    assert sorted(map(str, chosen[0].collect())) == sorted(map(str, chosen[1].collect())) and chosen[1].count() > 20
+    # no exchange stands over a scan of the corpus
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for frame in (preparation.seed_errors(seeds, clustered, "c:"), preparation.article_candidates(seeds, clustered, "c:", 64).where("not is_seed"), preparation.article_stats(clustered, 64)):
+            lines = plan_of(frame).splitlines()
+            for i, line in enumerate(lines):
+                if clustered.name("")[:-1] in line and "Scan parquet" in line:
+                    depth = len(line) - len(line.lstrip(" :+-"))
+                    above = []
+                    for other in reversed(lines[:i]):
+                        if (d := len(other) - len(other.lstrip(" :+-"))) < depth:
+                            above.append(other.strip(" :+-"))
+                            depth = d
+                    # from the scan up to the first join nothing is moved
+                    first_join = next((k for k, x in enumerate(above) if "Join" in x), len(above))
+                    assert not any("Exchange" in x for x in above[:first_join]), above
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    with pytest.raises(ValueError):
+        clustered.first(257)
+    with pytest.raises(Exception):
+        ClusteredCorpus.write(corpus, f"{tmp_path}/c", 4)
 
 
 def test_dense_index_over_many_partitions(spark):
