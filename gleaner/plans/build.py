@@ -29,7 +29,7 @@ from gleaner.operators import checks, export, intake, preparation, requests
 from gleaner.operators.requests import RETRY, ModelOptions
 from gleaner.plans.prompts import PROMPTS
 from gleaner.sources.clustered import ClusteredCorpus
-from gleaner.sources.readers import all_prompts, stored
+from gleaner.sources.readers import all_prompts, line_numbers, stored
 from gleaner.sources.writers import append_by_task, append_table, bank_exports, fingerprint, observed, write_jsonl, write_table
 
 VERSION = "gleaner-cards-1"
@@ -482,13 +482,16 @@ class Build:
 def validated(lines: DataFrame, corpora: tuple[str, ...], languages: tuple[str, ...] = ("en",)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Input checked without a model or a folder: valid groups, refused lines with their problem, and what groups break together.
 
-    lines: (value, ...) of JSON. Without a valid group it stops.
+    lines: (value, ...) of JSON; of read_lines()'s rows the refused ones have their line number too. Without a valid group it stops.
     """
     parsed = intake.parsed_groups(lines, corpora, languages)
     groups = intake.require_groups(intake.valid_groups(parsed))
     rows = groups.withColumn("group_row", F.monotonically_increasing_id())
     passages = rows.select("group_id", "group_row", F.posexplode("passages").alias("pos", "p")).select("group_id", "group_row", "pos", "p.*")
-    return groups, intake.quarantine(parsed), intake.group_violations(passages)
+    refused = intake.quarantine(parsed)
+    if {"file", "block", "place"} <= set(lines.columns):
+        refused = line_numbers(lines, refused)
+    return groups, refused, intake.group_violations(passages)
 
 
 def group_schema() -> str:

@@ -112,6 +112,23 @@ def intake_strictness(spark, sf_dir):
     return intake.parsed_groups(lines, ("documents",), ("en", "de", "fr", "es")).select("group_id", F.col("problem").isNull().alias("valid"))
 
 
+@query(f"""with checked as ({ORACLE_SQL['intake_strictness']}),
+given as (select distinct group_id, group_order, doc_id from ({on_views('select group_id, group_order, doc_id from fx_groups')})),
+all_lines as (select doc_id % 7 as shard, group_order * 2 as place, group_id from given union all select doc_id % 7, group_order * 2 + 1, null from given where group_order % 5 = 0),
+numbered as (select shard, group_id, row_number() over (partition by shard order by place) as line from all_lines)
+select shard, line from numbered join checked using (group_id) where not valid""")
+def refused_line_numbers(spark, sf_dir):
+    """Group lines written as text files with blank lines between them, read back and checked: file and number of each refused line."""
+    given = _seeds(spark, sf_dir).select("group_id", "group_order", (F.col("doc_id") % 7).alias("shard")).distinct()
+    lines = view(spark, sf_dir, "fx_lines_json").join(given.hint("merge"), "group_id").select("shard", (F.col("group_order") * 2).alias("place"), "value")
+    blank = given.where("group_order % 5 = 0").select("shard", (F.col("group_order") * 2 + 1).alias("place"), F.lit("").alias("value"))
+    folder = f"{new_folder(spark, 'lines')}/groups"
+    lines.unionByName(blank).repartition("shard").sortWithinPartitions("shard", "place").select("shard", "value").write.partitionBy("shard").text(folder)
+    read = readers.read_lines(spark, folder)
+    refused = intake.quarantine(intake.parsed_groups(read, ("documents",), ("en", "de", "fr", "es")))
+    return readers.line_numbers(read, refused).select(F.regexp_extract("file", "shard=([0-9]+)", 1).cast("bigint").alias("shard"), F.col("line").cast("bigint").alias("line"))
+
+
 @query(on_views(f"select source_id, array_to_string({ISSUES_SQL}, ',') as issues, len({ISSUES_SQL}) = 0 as usable from fx_passages"))
 def passage_quality_flags(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_passages").withColumn("issues", preparation.quality_issues(F.col("text"), F.col("title")))
@@ -500,6 +517,27 @@ def global_topk(spark, sf_dir):
     return retrieval.nearest(asked, cards_.withColumn("subject", F.lit(None).cast("int")), 10, by_subject=False).select("query_id", "card_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+def _sixty_bits(x: str) -> str:
+    return f"cast(concat('0x', substr(sha256({x}), 1, 15)) as bigint)"
+
+
+@query(f"""with topk as ({ORACLE_SQL['subject_topk']}),
+cards as (select label as subject, vec_id as card_id, row_number() over (partition by label order by vec_id) - 1 as number, count(*) over (partition by label) as size from embeddings where label is not null and embedding is not null and vec_id is not null),
+found as (select t.*, c.subject, c.size, cast(ceil(0.6 * max(t.rank) over (partition by query_id)) as bigint) as swaps from topk t join cards c on c.card_id = t.query_id),
+walks as (select query_id, subject, size, max(swaps) as swaps, list(card_id) as held, {_sixty_bits("concat('7|', query_id)")} % size as start, [{', '.join(map(str, retrieval.STRIDES))}][{_sixty_bits("concat('7|', query_id, '|stride')")} % {len(retrieval.STRIDES)} + 1] % size as stride from found group by query_id, subject, size),
+steps as (select *, unnest(range(0, least(size, swaps + len(held)))) as step from walks),
+met as (select s.query_id, s.step, s.swaps, c.card_id from steps s join cards c on c.subject = s.subject and c.number = (s.start + s.step * s.stride) % s.size where not list_contains(s.held, c.card_id)),
+drawn as (select query_id, card_id, rank from (select *, row_number() over (partition by query_id order by step) as rank from met) where rank <= swaps)
+select f.query_id, f.rank, coalesce(d.card_id, f.card_id) as card_id, d.card_id is not null as replaced from found f left join drawn d on d.query_id = f.query_id and d.rank = f.rank""")
+def random_replacement(spark, sf_dir):
+    """The nearest cards of the stated queries, three of five replaced by other cards of their subject, drawn without repetition."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label is not null and embedding is not null")
+    cards_ = rows.select(F.col("vec_id").alias("card_id"), F.col("label").alias("subject"))
+    subjects = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("subject"))
+    found = write_table(subject_topk(spark, sf_dir).join(subjects.hint("merge"), "query_id"), f"{new_folder(spark, 'found')}/found")
+    return retrieval.replaced_at_random(found, cards_.where("card_id is not null"), 0.6, 7).select("query_id", F.col("rank").cast("bigint").alias("rank"), "card_id", "replaced")
+
+
 @query("""select lang, source, count(*) as items, cast(sum(case when quality = toxic + 1 then 1 else 0 end) as bigint) as correct, sum(case when quality = toxic + 1 then 1 else 0 end) / count(*) as accuracy, cast(grouping(lang, source) as bigint) as grouping
 from documents join labels using (doc_id) group by cube (lang, source)""")
 def accuracy_rollup(spark, sf_dir):

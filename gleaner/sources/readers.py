@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import article_of
@@ -11,8 +11,27 @@ RECORD_LIMIT = 1 << 20
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, file) of text files; U+2028 and U+0085 stay within a line."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    """(value, file, block, place) of text files; U+2028 and U+0085 stay within a line.
+
+    block and place say where a line stands, for line_numbers: the byte at which
+    Spark split the file, and the line's place among all lines of its task.
+    """
+    lines = spark.read.text(path)
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+
+
+def line_numbers(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(file, block, place, ...), some of read_lines()'s rows, with line: their number in their file, from 1, blank lines counted.
+
+    A block is read by one task in one go, so a line's number in it is how far
+    its place is from the block's first; the lines of the blocks before come on
+    top. The lines are counted where they are read, and only a row a block and
+    the wanted rows are moved.
+    """
+    blocks = lines.groupBy("file", "block").agg(F.min("place").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return wanted.join(blocks.hint("merge"), ["file", "block"]).withColumn("line", F.col("place") - F.col("_first") + F.col("_before") + 1).drop("_first", "_before")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -54,17 +73,6 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         raise
 
 
-def checked(results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored payloads whose hash is right, and those whose hash is not."""
-    right = F.sha2("payload", 256) == F.col("payload_sha256")
-    return results.where(right), results.where(~right)
-
-
 def all_prompts(prompts: dict[str, str]) -> dict[str, str]:
     """The prompt of every stage; repair_review takes card_review's where it has none of its own."""
     return {"repair_review": prompts.get("card_review", ""), **prompts}
-
-
-def prompt_table(spark: SparkSession, prompts: dict[str, str]) -> DataFrame:
-    """(stage, prompt) of all_prompts."""
-    return spark.createDataFrame(sorted(all_prompts(prompts).items()), "stage string, prompt string")

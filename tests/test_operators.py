@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +211,63 @@ def test_retrieval(spark):
     assert got[None, None] == (3, 1) and got["m", None] == (2, 1) and got["m", "b"] == (1, 0)
 
 
+def plain_nearest(asked, cards, k, by_subject):
+    """All pairs, sums from left to right."""
+    dot = lambda a, b: sum((x * y for x, y in zip(a, b)), 0.0)
+    fine = lambda v: v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)
+    out = []
+    for q, s, v in asked:
+        near = [(-dot(v, w) / (dot(v, v) ** 0.5 * dot(w, w) ** 0.5), c) for c, t, w in cards if c is not None and fine(v) and fine(w) and len(v) == len(w) and (not by_subject or (s is not None and s == t))]
+        out += [(q, c, i) for i, (_, c) in enumerate(sorted(near)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("by_subject", [True, False])
+def test_nearest_of_odd_vectors_ties_and_many_tasks(spark, by_subject):
+    rng = np.random.default_rng(4)
+    few = rng.integers(-2, 3, (40, 6)).astype(float).tolist()
+    cards = [(i, "hot" if i % 3 else f"s{i % 5}", few[int(rng.integers(40))]) for i in range(900)] + [(900, "hot", None), (901, "hot", [0.0] * 6), (902, "hot", [1.0, None, 1.0, 1.0, 1.0, 1.0]), (903, "hot", [float("nan")] * 6), (904, None, few[0]), (905, "hot", [1.0, 2.0]), (None, "hot", few[0])]
+    asked = [(f"q{i}", s, v) for i, (s, v) in enumerate([("hot", few[0]), ("hot", few[1]), ("s0", few[2]), (None, few[3]), ("hot", None), ("hot", [2.0, 1.0]), ("none", few[4])])]
+    q, c = spark.createDataFrame(asked, "query_id string, subject string, vector array<double>"), spark.createDataFrame(cards, "card_id bigint, subject string, vector array<double>")
+    wanted = plain_nearest(asked, cards, 4, by_subject)
+    for at_once in (1 << 20, 100):  # one pass, several passes
+        got = retrieval.nearest(q, c.repartition(7), 4, by_subject, at_once)
+        assert sorted((r.query_id, r.card_id, r["rank"]) for r in got.collect()) == wanted
+    assert retrieval.nearest(q.limit(0), c, 4, by_subject).count() == retrieval.nearest(q, c.limit(0), 4, by_subject).count() == 0
+
+
+def test_draws_repeat_nothing(spark):
+    cards = spark.createDataFrame([(i, "big") for i in range(500)] + [(1000 + i, "small") for i in range(4)] + [(2000, "one")], "card_id bigint, subject string")
+    rows = [(q, "big", r, (37 * q + r) % 500) for q in range(40) for r in range(1, 11)] + [(100, "small", r, 999 + r) for r in range(1, 4)] + [(101, "one", 1, 2000)]
+    found = spark.createDataFrame(rows, "query_id bigint, subject string, rank int, card_id bigint")
+    out = retrieval.replaced_at_random(found, cards, 1.0, 5).collect()
+    before = {(q, r): c for q, _, r, c in rows}
+    assert len(out) == len(rows) and {r.query_id: r.replaced for r in out if r.query_id == 101} == {101: False}
+    for q in range(40):
+        mine = [r for r in out if r.query_id == q]
+        assert all(r.replaced for r in mine) and len({r.card_id for r in mine}) == 10 and not {r.card_id for r in mine} & {before[q, r] for r in range(1, 11)}
+    small = sorted((r["rank"], r.card_id, r.replaced) for r in out if r.query_id == 100)
+    assert small == [(1, 1003, True), (2, 1001, False), (3, 1002, False)]
+    assert len({tuple(r.card_id for r in out if r.query_id == q) for q in range(40)}) == 40
+    half = retrieval.replaced_at_random(found, cards, 0.5, 5).collect()
+    assert {(r.query_id, r["rank"]): r.replaced for r in half if r.query_id < 40} == {(q, r): r <= 5 for q in range(40) for r in range(1, 11)}
+
+
+def test_line_numbers_over_split_files(spark, tmp_path):
+    """Files that are read in many pieces, of odd line lengths, with blank and refused lines."""
+    for name, n in (("a", 3000), ("b", 7), ("c", 0)):
+        (tmp_path / name).write_text("".join(("bad " if i % 13 == 0 else "" if i % 5 == 0 else "x" * (i % 97) + "\u2028") + f" {name}{i}" * (i % 5 > 0 or i % 13 == 0) + "\n" for i in range(1, n + 1)), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        lines = readers.read_lines(spark, str(tmp_path))
+        assert lines.select("block").distinct().count() > 20
+        found = readers.line_numbers(lines, lines.where("value like 'bad %'")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.value.split()[1][0], r.line) for r in found) == [("a", i) for i in range(13, 3001, 13)]
+    assert all(r.value == f"bad  {r.file[-1]}{r.line}" for r in found)
+
+
 def test_corpus_reading(spark, tmp_path):
     good = json.dumps({"id": "1#2", "text": "a b", "title": "T", "section": "S"}, ensure_ascii=False)
     lines = [good, json.dumps({"id": "1#3", "text": 5}), json.dumps({"text": "x"}), "{", json.dumps({"id": "1#4", "text": "x" * (1 << 20)})]
@@ -227,5 +285,4 @@ def test_json_lines_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(1, "ü "), (2, None)], "a int, b string")
     writers.write_jsonl(rows, str(tmp_path / "x"))
     assert sorted(readers.read_jsonl(spark, str(tmp_path / "x"), "a int, b string").collect()) == sorted(rows.collect())
-    prompts = {r.stage: r.prompt for r in readers.prompt_table(spark, {"card_review": "judge"}).collect()}
-    assert prompts == {"card_review": "judge", "repair_review": "judge"}
+    assert readers.all_prompts({"card_review": "judge"}) == {"card_review": "judge", "repair_review": "judge"}
