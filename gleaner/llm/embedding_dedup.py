@@ -12,9 +12,10 @@ Equal vectors of a label are one representative with a count, so copies make
 no pairs. A pair is counted in the lowest bucket that both share, so links are
 exact sums; large buckets are compared in blocks (see buckets.py). Defined
 results: rows whose label or vector is null, or whose vector is empty, zero or
-holds nulls or non-finite values, link with nothing; repeated rows of one
-vec_id count as that many vectors; an empty table gives no rows; further
-columns are ignored.
+holds nulls or non-finite values, link with nothing; rows that share a vec_id
+are that many vectors, equal or not; a vector without vec_id links like any
+other, and its component goes by the smallest vec_id there is in it, or null;
+an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,8 +84,9 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, tables: int = 10, fun
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     good = F.coalesce(usable(), F.lit(False))
     vectors = stages.put(rows.select("*", F.when(good, F.xxhash64("label", "embedding")).alias("digest"), good.alias("good")), "vectors")
-    reps = vectors.where("good").groupBy("digest", "label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    reps = stages.put(reps.select("rep", "copies", "embedding", F.xxhash64("label", F.size("embedding")).alias("kind")), "reps")
+    reps = vectors.where("good").groupBy("digest", "label", "embedding").agg(F.min("vec_id").alias("lowest"), F.count("*").alias("copies"))
+    # a distinct vector goes by a number of its own: several may share a vec_id, or have none
+    reps = stages.put(reps.select(F.monotonically_increasing_id().alias("rep"), "lowest", "copies", "embedding", F.xxhash64("label", F.size("embedding")).alias("kind")), "reps")
 
     def code_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,14 +135,17 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, tables: int = 10, fun
     found = stages.put(each_group(full, ["kind", "code", "bi", "bj"], work, "rep long, links long, low long"), "links")
     joined = components(found.where("low <> rep").select(F.col("rep").alias("a"), F.col("low").alias("b")), stages)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    in_components = stages.put(reps.select("rep", "lowest", "copies").join(joined.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed")
+    names = in_components.groupBy("component").agg(F.min("lowest").alias("component_id"))
     classes = (
-        reps.select("rep", "copies").join(links.hint("merge"), "rep", "left").join(joined.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
-        .select("rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        in_components.join(links.hint("merge"), "rep", "left").join(names.hint("merge"), "component")
+        .select("rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     )
     members = reps.select("rep", "embedding", "kind").join(classes.hint("merge"), "rep").select(F.xxhash64("kind", "embedding").alias("digest"), "kind", "embedding", "n_links", "component_id")
     keyed = vectors.select("vec_id", "embedding", F.when(F.col("good"), F.xxhash64("label", F.size("embedding"))).alias("kind"))
     keyed = keyed.withColumn("digest", F.when(F.col("kind").isNotNull(), F.xxhash64("kind", "embedding")))
     out = keyed.join(members.hint("merge"), ["digest", "kind", "embedding"], "left")
+    # a vector that links with nothing is its own component; one whose component has no vec_id at all has none either
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
 
 

@@ -10,7 +10,9 @@ in one at most. So a bucket is a segment and the next one with one bit left
 out, for each such bit; the rest of the chain prunes pairs within buckets.
 
 Defined results: a null, empty or blank text has fingerprint zero and links
-like any other; repeated rows and exact copies share one fingerprint; a row
+like any other; repeated rows and exact copies share one fingerprint; rows that
+share a doc_id and differ are documents of their own, and may be in different
+components, each of which goes by its smallest doc_id; a row
 without doc_id founds no group and takes the component of its fingerprint, or
 null; an empty table gives no rows; further columns of `docs` are ignored.
 """
@@ -85,7 +87,7 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, first: int, masks: list[int], dis
 
 
 def near_groups(fps: DataFrame, stages: Stages, distance: int = 4, segments: int = 5, block: int = 2048) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint in fps (doc_id, fp)."""
+    """(fp, component_id) of every distinct fingerprint in fps (doc_id, fp). Fingerprints are the nodes; a component goes by its smallest doc_id."""
     if segments <= distance:
         raise ValueError("pigeonring buckets need more segments than differing bits")
     if 2 * distance // segments > 1:
@@ -94,12 +96,12 @@ def near_groups(fps: DataFrame, stages: Stages, distance: int = 4, segments: int
     reps = stages.put(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
     kept = [(i, masks[i] | masks[(i + 1) % segments] & ~(1 << p)) for i in range(segments) for p in range(64) if masks[(i + 1) % segments] >> p & 1]
     keys = F.array(*[F.struct(F.lit(i * STEP + n).alias("seg"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("value")) for n, (i, m) in enumerate(kept)])
-    rows = reps.withColumn("key", F.explode(keys)).select("rep", "fp", "key.seg", "key.value")
-    spread = dealt(rows, ["seg", "value"], "rep", block)
+    rows = reps.withColumn("key", F.explode(keys)).select("fp", "key.seg", "key.value")
+    spread = dealt(rows, ["seg", "value"], "fp", block)
 
     def work(group: pa.Table) -> dict[str, np.ndarray] | None:
-        rep, fp, own = (column_values(group.column(c).chunk(0)) for c in ("rep", "fp", "own"))
-        fp = fp.astype(np.int64).view(np.uint64)
+        node, own = (column_values(group.column(c).chunk(0)) for c in ("fp", "own"))
+        fp = node.astype(np.int64).view(np.uint64)
         bi, bj, seg = (group.column(c)[0].as_py() for c in ("bi", "bj", "seg"))
         at, to = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
         a, b = [], []
@@ -110,13 +112,15 @@ def near_groups(fps: DataFrame, stages: Stages, distance: int = 4, segments: int
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
         if not (a != b).any():
             return None
-        label = local_components(len(rep), a, b)
-        moved = np.flatnonzero(label != np.arange(len(rep)))
-        return {"a": rep[moved], "b": rep[label[moved]]}
+        label = local_components(len(node), a, b)
+        moved = np.flatnonzero(label != np.arange(len(node)))
+        return {"a": node[moved], "b": node[label[moved]]}
 
     edges = stages.put(each_group(spread, ["seg", "value", "bi", "bj"], work, "a long, b long"), "edges")
     found = components(edges, stages)
-    return reps.join(found.hint("merge"), reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    placed = stages.put(reps.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "placed")
+    names = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return placed.join(names.hint("merge"), "component").select("fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, distance: int = 4, segments: int = 5, shingle: int = 4) -> DataFrame:

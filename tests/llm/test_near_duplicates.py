@@ -65,6 +65,15 @@ def test_simhash_edge_cases(spark):
     assert sorted(((r.doc_id, r.component_id) for r in rows), key=str) == sorted([(None, 4), (4, 4), (4, 4), (None, None), (9, 9)], key=str)
 
 
+def test_documents_that_share_an_id_and_differ(spark):
+    a, b = "one two three four five six seven eight", "neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn"
+    rows = simhash.simhash_dedup(spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (0, "quite another text that stands alone here")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1)]
+    assert len({r.fp for r in rows if r.doc_id in (1, 2)}) == 2
+    rows = simhash.simhash_dedup(spark.createDataFrame([(5, a), (5, b), (2, a), (9, b)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(2, 2), (5, 2), (5, 5), (9, 5)]
+
+
 def test_blocks_of_a_hot_bucket_lose_no_pair(spark):
     """Random fingerprints around few centres, with blocks of eight."""
     rnd = random.Random(5)
@@ -129,6 +138,19 @@ def test_embedding_links_and_components(spark):
     assert len(exact) >= 0.95 * len(want)
 
 
+def test_vectors_that_share_an_id_or_have_none(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+
+    def found(rows):
+        frame = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in rows], schema)
+        return sorted(((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_vectors(frame).collect()), key=str)
+
+    assert found([(1, (1, 0, 0)), (1, (0, 1, 0)), (2, (1, 0.01, 0)), (3, (0.01, 1, 0))]) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    assert found([(5, (1, 0, 0)), (5, (1, 0, 0)), (5, (0, 1, 0)), (2, (1, 0.01, 0))]) == [(2, 2, 2), (5, 0, 5), (5, 2, 2), (5, 2, 2)]
+    assert found([(None, (1, 0, 0)), (2, (1, 0.01, 0)), (3, (1, 0.02, 0))]) == [(2, 2, 2), (3, 2, 2), (None, 2, 2)]
+    assert found([(None, (1, 0, 0)), (None, (1, 0.01, 0)), (None, (0, 0, 0))]) == [(None, 0, None), (None, 1, None), (None, 1, None)]
+
+
 def test_embedding_empty_table(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
