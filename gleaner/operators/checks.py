@@ -11,7 +11,7 @@ NONE = "cast(array() as array<string>)"
 def citation_check(citations: DataFrame, passages: DataFrame) -> DataFrame:
     """citations(group_id, source_id, passage_id, quote, ...) with ok and error: the quote must stand in that passage of its own group."""
     known = passages.select("group_id", "source_id", "passage_id", F.col("text").alias("passage_text"))
-    joined = citations.join(known, ["group_id", "source_id", "passage_id"], "left")
+    joined = citations.join(known.hint("merge"), ["group_id", "source_id", "passage_id"], "left")
     ok = F.coalesce(F.contains("passage_text", "quote"), F.lit(False))
     return joined.withColumn("ok", ok).withColumn("error", F.when(~F.col("ok"), citation_error(F.col("source_id"), F.col("passage_id"), F.col("quote")))).drop("passage_text")
 
@@ -58,7 +58,7 @@ def review_coverage(candidates: DataFrame, judgments: DataFrame) -> DataFrame:
     """(group_id, candidates, judged, covered) of every group with a candidate or a judgment."""
     n = candidates.groupBy("group_id").agg(F.count("*").alias("candidates"))
     seen = judgments.groupBy("group_id").agg(F.collect_list("card_index").alias("indexes"))
-    both = n.join(seen, "group_id", "full").withColumns({"candidates": F.coalesce("candidates", F.lit(0).cast("bigint")), "indexes": F.coalesce("indexes", F.expr("cast(array() as array<bigint>)"))})
+    both = n.join(seen.hint("merge"), "group_id", "full").withColumns({"candidates": F.coalesce("candidates", F.lit(0).cast("bigint")), "indexes": F.coalesce("indexes", F.expr("cast(array() as array<bigint>)"))})
     return both.select("group_id", "candidates", F.size("indexes").cast("bigint").alias("judged"), covers(F.col("indexes"), F.col("candidates")).alias("covered"))
 
 
@@ -79,7 +79,7 @@ def repaired(candidates: DataFrame, repairs: DataFrame, replacement: str) -> Dat
     card_index, <replacement>). Gives original_index and the new card_index.
     """
     fixes = repairs.select("group_id", "card_index", F.col(replacement).alias("_new"), F.lit(True).alias("_named"))
-    merged = candidates.join(fixes, ["group_id", "card_index"], "left").withColumn(replacement, F.when(F.col("_named"), F.col("_new")).otherwise(F.col(replacement)))
+    merged = candidates.join(fixes.hint("merge"), ["group_id", "card_index"], "left").withColumn(replacement, F.when(F.col("_named"), F.col("_new")).otherwise(F.col(replacement)))
     kept = merged.where(F.col(replacement).isNotNull()).drop("_new", "_named").withColumnRenamed("card_index", "original_index")
     return kept.withColumn("card_index", F.row_number().over(Window.partitionBy("group_id").orderBy("original_index")) - 1)
 
@@ -88,6 +88,6 @@ def repair_mismatch(rejected: DataFrame, repairs: DataFrame) -> DataFrame:
     """(group_id, card_index, problem) where the repairs are not exactly the rejected candidates."""
     a = rejected.select("group_id", "card_index", F.lit(1).alias("was_rejected"))
     b = repairs.groupBy("group_id", "card_index").agg(F.count("*").alias("n"))
-    both = a.join(b, ["group_id", "card_index"], "full")
+    both = a.join(b.hint("merge"), ["group_id", "card_index"], "full")
     problem = F.when(F.col("n").isNull(), F.lit("no repair")).when(F.col("was_rejected").isNull(), F.lit("not rejected")).when(F.col("n") > 1, F.lit("repaired twice"))
     return both.withColumn("problem", problem).where("problem is not null").select("group_id", "card_index", "problem")

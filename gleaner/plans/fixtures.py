@@ -34,7 +34,7 @@ VIEWS = {
   group_order%3 as n_trigger, 1+group_order%2 as n_decision, group_order%2 as n_pitfall from fx_passages where pos < (doc_id + part) % 6""",
     "fx_judgments": """select group_id, 'card_review' as stage, card_index, (group_order+card_index)%5<>0 as source_supported, (group_order*3+card_index)%7<>0 as reusable,
   case when (group_order+2*card_index)%9=0 then 1 else 0 end as n_issues from fx_cards where not (group_order%17=0 and card_index=0)""",
-    "fx_repairs": """select c.group_id, c.card_index, case when c.group_order%2=0 then concat(c.definition,' (positive)') end as replacement_definition
+    "fx_repairs": """select /*+ merge(j) */ c.group_id, c.card_index, case when c.group_order%2=0 then concat(c.definition,' (positive)') end as replacement_definition
   from fx_cards c join fx_judgments j on c.group_id=j.group_id and c.card_index=j.card_index where not (j.source_supported and j.reusable and j.n_issues=0)""",
     "fx_lines_json": """select group_id, concat('{"group_id":"', group_id, '"', case when group_order%29=1 then ',"extra":1' else '' end,
   ',"subject":', case when group_order%29=2 then '5' when group_order%29=3 then '"  "' else concat('"', subject, '"') end,
@@ -63,6 +63,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(with_views(True) + f"select * from {name}", documents=documents)
 
 
+def view_on(passages: DataFrame, name: str) -> DataFrame:
+    """A view over a table of fx_passages' rows, so that documents are split once for all views."""
+    parts = [(n, sql.replace("{", "{{").replace("}", "}}").replace("fx_passages", "{fx_passages}")) for n, sql in VIEWS.items() if n not in ("fx_passages", "fx_lines_json")]
+    return passages.sparkSession.sql("with " + ",\n".join(f"{n} as ({sql})" for n, sql in parts) + f"\nselect * from {name}", fx_passages=passages)
+
+
 #: Arrays of a card, from the counts in fx_cards (DuckDB).
 CARD_DUCKDB = """select *, list_transform(range(0, n_trigger), lambda i: concat('when ', i, ' ', concept_name)) as trigger,
   list_transform(range(0, n_decision), lambda i: concat('do ', i)) as decision, list_transform(range(0, n_pitfall), lambda i: concat('not ', i)) as pitfall from fx_cards"""

@@ -11,7 +11,7 @@ from gleaner.functions.strict import first_problem
 from gleaner.functions.text import content_key, render_card, safe_name
 from gleaner.operators import checks, export, intake, preparation, requests, retrieval
 from gleaner.plans.build import Build, Collected, Options, same_article
-from gleaner.plans.fixtures import CARD_DUCKDB, cards, collected_answers, view, with_views
+from gleaner.plans.fixtures import CARD_DUCKDB, cards, collected_answers, view, view_on, with_views
 from gleaner.sources import readers
 from gleaner.sources.clustered import ClusteredCorpus
 from gleaner.sources.scratch import new_folder
@@ -90,12 +90,17 @@ def _corpus(spark, sf_dir) -> DataFrame:
     return view(spark, sf_dir, "fx_passages").withColumn("article_id", F.col("doc_id").cast("string"))
 
 
-def _candidates(spark, sf_dir) -> DataFrame:
-    return preparation.article_candidates(preparation.scored(_seeds(spark, sf_dir)), preparation.scored(_corpus(spark, sf_dir)), PREFIX, 64)
+def _passages(spark, sf_dir) -> DataFrame:
+    """fx_passages with their scores, written once and dealt evenly: seeds, corpus and the other views come from one table."""
+    return write_table(preparation.scored(view(spark, sf_dir, "fx_passages").hint("rebalance")), f"{new_folder(spark, 'passages')}/passages")
 
 
-def _selected(spark, sf_dir) -> DataFrame:
-    return preparation.selection(_candidates(spark, sf_dir))
+def _candidates(passages: DataFrame) -> DataFrame:
+    return preparation.article_candidates(passages, passages.withColumn("article_id", F.col("doc_id").cast("string")), PREFIX, 64)
+
+
+def _selected(passages: DataFrame) -> DataFrame:
+    return preparation.selection(_candidates(passages))
 
 
 @query(on_views(r"""j as (select group_id, try_cast(value as json) as v from fx_lines_json),
@@ -186,18 +191,18 @@ def clustered_candidates(spark, sf_dir):
 
 @query(on_views(CANDIDATES_SQL + " select group_id, passage_id, rank from ranked"))
 def candidate_priority(spark, sf_dir):
-    return preparation.ranked(_candidates(spark, sf_dir)).select("group_id", "passage_id", F.col("rank").cast("bigint").alias("rank"))
+    return preparation.ranked(_candidates(_passages(spark, sf_dir))).select("group_id", "passage_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(on_views(SELECTED_SQL + " select group_id, passage_id, is_seed, selected, coalesce(note, '') as note from sel"))
 def evidence_selection(spark, sf_dir):
-    return _selected(spark, sf_dir).select("group_id", "passage_id", "is_seed", "selected", F.coalesce("note", F.lit("")).alias("note"))
+    return _selected(_passages(spark, sf_dir)).select("group_id", "passage_id", "is_seed", "selected", F.coalesce("note", F.lit("")).alias("note"))
 
 
 @query(on_views(SELECTED_SQL + """ select group_id, count(*) as candidates, count(*) filter (is_seed and len(issues) > 0) as filtered_seeds, count(*) filter (len(issues) > 0) as filtered_candidates,
   count(*) filter (selected) as selected_passages, count(*) filter (selected and not is_seed) as supplementary_passages from sel group by group_id"""))
 def preparation_summary(spark, sf_dir):
-    return preparation.preparation_summary(_selected(spark, sf_dir))
+    return preparation.preparation_summary(_selected(_passages(spark, sf_dir)))
 
 
 VIOLATING = """select group_id, 0 as group_row, pos, source_id, passage_id, text from fx_groups
@@ -259,9 +264,9 @@ def review_coverage(spark, sf_dir):
     return checks.review_coverage(view(spark, sf_dir, "fx_cards"), view(spark, sf_dir, "fx_judgments"))
 
 
-def _gated(spark, sf_dir) -> DataFrame:
+def _gated(judgments: DataFrame) -> DataFrame:
     issues = F.when(F.col("n_issues") > 0, F.array(F.lit("issue"))).otherwise(F.expr(checks.NONE))
-    return view(spark, sf_dir, "fx_judgments").withColumn("accepted", checks.gate([F.col("source_supported"), F.col("reusable")], issues))
+    return judgments.withColumn("accepted", checks.gate([F.col("source_supported"), F.col("reusable")], issues))
 
 
 ACCEPTED = "(source_supported and reusable and n_issues = 0)"
@@ -269,7 +274,7 @@ ACCEPTED = "(source_supported and reusable and n_issues = 0)"
 
 @query(on_views(f"select group_id, count(*) as judged, count(*) filter {ACCEPTED.replace('(', '(where ', 1)} as passed, bool_or{ACCEPTED} as accepted from fx_judgments group by group_id"))
 def card_gate(spark, sf_dir):
-    return _gated(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("judged"), F.count_if("accepted").alias("passed"), F.bool_or("accepted").alias("accepted"))
+    return _gated(view(spark, sf_dir, "fx_judgments")).groupBy("group_id").agg(F.count("*").alias("judged"), F.count_if("accepted").alias("passed"), F.bool_or("accepted").alias("accepted"))
 
 
 @query(on_views("""select distinct group_id, group_order%6<>0 and group_order%10<>0 and group_order%4<>0 as accepted from fx_groups"""))
@@ -284,14 +289,13 @@ revised as (select group_id, group_order, card_index as original_index, case whe
 kept as (select group_id, group_order, original_index, definition, row_number() over (partition by group_id order by original_index) - 1 as card_index from revised where definition is not null)"""
 
 
-def _repaired(spark, sf_dir) -> DataFrame:
-    fixes = view(spark, sf_dir, "fx_repairs").withColumnRenamed("replacement_definition", "definition")
-    return checks.repaired(view(spark, sf_dir, "fx_cards"), fixes, "definition")
+def _repaired(cards_: DataFrame, repairs: DataFrame) -> DataFrame:
+    return checks.repaired(cards_, repairs.withColumnRenamed("replacement_definition", "definition"), "definition")
 
 
 @query(on_views(REPAIRED_SQL + " select group_id, original_index, card_index, definition from kept"))
 def repair_merge(spark, sf_dir):
-    return _repaired(spark, sf_dir).select("group_id", "original_index", F.col("card_index").cast("bigint").alias("card_index"), "definition")
+    return _repaired(view(spark, sf_dir, "fx_cards"), view(spark, sf_dir, "fx_repairs")).select("group_id", "original_index", F.col("card_index").cast("bigint").alias("card_index"), "definition")
 
 
 @query(on_views(f"""bad as (select group_id, card_index from fx_judgments where not {ACCEPTED}), fix as (select group_id, card_index + case when hash_row then 1 else 0 end as card_index from (select *, substr(group_id, length(group_id)) = '7' as hash_row from fx_repairs)),
@@ -299,13 +303,13 @@ f as (select group_id, card_index, count(*) as n from fix group by all)
 select group_id, card_index, case when f.n is null then 'no repair' when b.x is null then 'not rejected' else 'repaired twice' end as problem from (select *, 1 as x from bad) b full join f using (group_id, card_index) where f.n is null or b.x is null or f.n > 1"""))
 def repair_cover(spark, sf_dir):
     shifted = view(spark, sf_dir, "fx_repairs").withColumn("card_index", F.col("card_index") + F.col("group_id").endswith("7").cast("bigint"))
-    return checks.repair_mismatch(_gated(spark, sf_dir).where("not accepted"), shifted)
+    return checks.repair_mismatch(_gated(view(spark, sf_dir, "fx_judgments")).where("not accepted"), shifted)
 
 
 @query(on_views(f"""select group_id, stage, card_index from fx_judgments where not {ACCEPTED}
 union all select group_id, 'repair_review', card_index from fx_judgments where not {ACCEPTED} and card_index%2=0"""))
 def card_rejections(spark, sf_dir):
-    first = _gated(spark, sf_dir).where("not accepted").select("group_id", "stage", "card_index")
+    first = _gated(view(spark, sf_dir, "fx_judgments")).where("not accepted").select("group_id", "stage", "card_index")
     again = first.where("card_index % 2 = 0").withColumn("stage", F.lit("repair_review"))
     return first.unionByName(again)
 
@@ -323,22 +327,23 @@ select chk.group_id, case when not cites.ok then 'error' when not coalesce(prep.
    when rep.r is not null and coalesce(k.k, 0) = 0 then 'card_repair' when coalesce(fin.ok, false) then null when rep.r is not null then 'repair_review' else 'card_review' end, '') as rejection_stage
 from chk left join cites using (group_id) left join prep using (group_id) left join n using (group_id) left join k using (group_id) left join rep using (group_id) left join fin using (group_id)"""))
 def group_outcomes(spark, sf_dir):
-    return _outcomes(spark, sf_dir).select("group_id", "status", F.coalesce("rejection_stage", F.lit("")).alias("rejection_stage"))
+    passages = _passages(spark, sf_dir)
+    return _outcomes(passages, _selected(passages)).select("group_id", "status", F.coalesce("rejection_stage", F.lit("")).alias("rejection_stage"))
 
 
-def _outcomes(spark, sf_dir) -> DataFrame:
+def _outcomes(passages: DataFrame, selected: DataFrame) -> DataFrame:
     """Every group with its status, from what each stage left behind."""
-    seeds = _seeds(spark, sf_dir)
     order = F.col("group_order")
-    base = seeds.select("group_id", ((order % 6 != 0) & (order % 10 != 0) & (order % 4 != 0)).alias("checked")).distinct()
-    prep = _selected(spark, sf_dir).groupBy("group_id").agg(F.bool_or("selected").alias("prepared"))
-    n = view(spark, sf_dir, "fx_cards").groupBy("group_id").agg(F.count("*").alias("n_cards"))
-    kept = _repaired(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("n_revised"), F.bool_or((order + F.col("original_index")) % 3 != 0).alias("final"))
-    rep = view(spark, sf_dir, "fx_repairs").groupBy("group_id").agg(F.lit(True).alias("with_repair"))
-    bad = checks.citation_check(view(spark, sf_dir, "fx_citations"), seeds).groupBy("group_id").agg(F.min("error").alias("error"))
+    base = passages.select("group_id", ((order % 6 != 0) & (order % 10 != 0) & (order % 4 != 0)).alias("checked")).distinct()
+    prep = selected.groupBy("group_id").agg(F.bool_or("selected").alias("prepared"))
+    cards_, repairs = (view_on(passages, x) for x in ("fx_cards", "fx_repairs"))
+    n = cards_.groupBy("group_id").agg(F.count("*").alias("n_cards"))
+    kept = _repaired(cards_, repairs).groupBy("group_id").agg(F.count("*").alias("n_revised"), F.bool_or((order + F.col("original_index")) % 3 != 0).alias("final"))
+    rep = repairs.groupBy("group_id").agg(F.lit(True).alias("with_repair"))
+    bad = checks.citation_check(view_on(passages, "fx_citations"), passages).groupBy("group_id").agg(F.min("error").alias("error"))
     rows = base
     for part in (prep, n, kept, rep, bad):
-        rows = rows.join(part, "group_id", "left")
+        rows = rows.join(part.hint("merge"), "group_id", "left")
     found = export.outcome(F.col("prepared"), F.col("checked"), F.col("n_cards"), F.col("n_revised"), F.col("final"), F.coalesce("with_repair", F.lit(False)), F.col("error"))
     return rows.withColumn("o", found).select("group_id", "o.status", "o.rejection_stage", F.coalesce("with_repair", F.lit(False)).alias("with_repair"))
 
@@ -381,7 +386,7 @@ bank as (select concat('mem_', key) as memory_id, min(struct_pack(o := group_ord
 
 @query(on_views(BANK_SQL + " select memory_id, first.o as group_order, first.i as card_index, n as n_origins, origins, row_number() over (order by first.o, first.i) - 1 as \"index\" from bank"))
 def bank_dedup(spark, sf_dir):
-    judged = _gated(spark, sf_dir).where("accepted").select("group_id", "card_index")
+    judged = _gated(view(spark, sf_dir, "fx_judgments")).where("accepted").select("group_id", "card_index")
     accepted = cards(spark, sf_dir).join(judged.hint("merge"), ["group_id", "card_index"]).withColumn("origin", F.concat_ws(":", "group_id", "card_index"))
     accepted = write_table(export.keyed(accepted), f"{new_folder(spark, 'bank')}/accepted")
     rows = export.dense_index(export.bank(accepted), ["group_order", "card_index"])
@@ -393,7 +398,7 @@ def bank_dedup(spark, sf_dir):
 @query(on_views(BANK_SQL + " select concat('mem_', key) as memory_id, row_number() over (partition by key order by group_order, card_index) as origin_no, group_id, card_index from keyed"))
 def bank_lineage(spark, sf_dir):
     """Which accepted cards each card of the bank stands for: a row an origin, however many a card has."""
-    judged = _gated(spark, sf_dir).where("accepted").select("group_id", "card_index")
+    judged = _gated(view(spark, sf_dir, "fx_judgments")).where("accepted").select("group_id", "card_index")
     accepted = cards(spark, sf_dir).join(judged.hint("merge"), ["group_id", "card_index"]).withColumn("origin", F.col("group_id"))
     accepted = write_table(export.keyed(accepted), f"{new_folder(spark, 'lineage')}/accepted")
     return export.lineage(accepted).select("memory_id", F.col("origin_no").cast("bigint").alias("origin_no"), F.col("origin").alias("group_id"), "card_index")
@@ -483,11 +488,13 @@ select count(*) as groups, count(*) filter (status = 'accepted') as accepted_gro
   (select count(distinct group_id) from fx_repairs) as groups_with_repair, (select count(*) from fx_judgments where not {ACCEPTED}) as rejected_card_reviews,
   cast((select coalesce(count(*) filter (is_seed and len(issues) > 0), 0) from sel) as bigint) as filtered_seed_passages, (select count(*) filter (selected and not is_seed) from sel) as supplementary_passages, count(*) filter (status = 'error') = 0 as complete from o""")
 def run_summary(spark, sf_dir):
-    o = _outcomes(spark, sf_dir)
+    passages = _passages(spark, sf_dir)
+    selected = write_table(_selected(passages), f"{new_folder(spark, 'selected')}/selected")
+    o = _outcomes(passages, selected)
     totals = export.progress(o).select("groups", F.col("accepted").alias("accepted_groups"), F.col("rejected").alias("rejected_groups"), F.col("errors").alias("error_groups"))
-    repairs = view(spark, sf_dir, "fx_repairs").agg(F.countDistinct("group_id").alias("groups_with_repair"))
-    reviews = _gated(spark, sf_dir).agg(F.count_if(~F.col("accepted")).alias("rejected_card_reviews"))
-    prep = preparation.preparation_summary(_selected(spark, sf_dir)).agg(F.coalesce(F.sum("filtered_seeds"), F.lit(0)).alias("filtered_seed_passages"), F.coalesce(F.sum("supplementary_passages"), F.lit(0)).alias("supplementary_passages"))
+    repairs = view_on(passages, "fx_repairs").agg(F.countDistinct("group_id").alias("groups_with_repair"))
+    reviews = _gated(view_on(passages, "fx_judgments")).agg(F.count_if(~F.col("accepted")).alias("rejected_card_reviews"))
+    prep = preparation.preparation_summary(selected).agg(F.coalesce(F.sum("filtered_seeds"), F.lit(0)).alias("filtered_seed_passages"), F.coalesce(F.sum("supplementary_passages"), F.lit(0)).alias("supplementary_passages"))
     one = F.lit(1).alias("one")
     out = totals.select("*", one)
     for part in (repairs, reviews, prep):
@@ -549,13 +556,13 @@ def accuracy_rollup(spark, sf_dir):
 CORPUS_JSON = f"""concat('{{"id":', case when k = 3 then '7' else {json_text('passage_id')} end, ',"title":', {json_text('title')}, case when k = 5 then '' else concat(',"text":', case when k = 7 then '["no text"]' else {json_text('text')} end) end, ',"section":"s"', case when k = 9 then '' else '}}' end)"""
 
 
-@query(on_views(f"""l as (select *, (doc_id * 31 + n) % 41 as k from fx_passages where not contains(text, chr(65533))), j as (select *, {CORPUS_JSON} as line from l)
+@query(on_views(f"""l as (select *, (doc_id * 31 + n) % 41 as k from fx_passages), j as (select *, {CORPUS_JSON} as line from l)
 select source_id, case when k in (3, 5, 7, 9) then '' else sha256(text) end as text_sha256, case when k in (3, 5, 7, 9) then '' else sha256(concat(line, chr(10))) end as line_sha256,
   case k when 3 then 'no id' when 5 then 'text is no string' when 7 then 'text is no string' when 9 then 'no JSON' else '' end as problem from j"""))
 def corpus_reading(spark, sf_dir):
     """Corpus lines with defects, written as text files and read as a corpus: hashes of lines and texts, and why lines are refused."""
     k = (F.col("doc_id") * 31 + F.col("n")) % 41
-    rows = view(spark, sf_dir, "fx_passages").where(~F.col("text").contains("\ufffd")).withColumn("k", k)
+    rows = view(spark, sf_dir, "fx_passages").withColumn("k", k)
     inner = lambda c: F.expr(f"substring(to_json(struct({c} as x)), 6, length(to_json(struct({c} as x))) - 6)")
     line = F.concat(
         F.lit('{"id":'), F.when(F.col("k") == 3, F.lit("7")).otherwise(inner("passage_id")), F.lit(',"title":'), inner("title"),
@@ -665,17 +672,17 @@ select group_id, case when stop = 'error' then 'error' when stop is not null or
   cast(case when stop is not null then 0 when len(bad) = 0 then n else passed end as bigint) as n_cards, coalesce(stop = 'error', false) as failed from o"""))
 def synthesis_end_to_end(spark, sf_dir):
     """All stages on every group, with collected answers: the outcome of each group and its cards in the bank."""
-    folder = new_folder(spark, "build")
+    folder, passages = new_folder(spark, "build"), _passages(spark, sf_dir)
     groups = spark.sql(
         """select group_id, first(group_order) as group_order, first(subject) as subject, 'documents' as corpus, 'en' as language,
         transform(array_sort(collect_list(struct(pos, source_id, passage_id, title, text))), x -> struct(x.source_id, x.passage_id, x.title, x.text)) as passages from {g} group by group_id""",
-        g=_seeds(spark, sf_dir),
+        g=passages,
     )
     groups = write_table(groups, f"{folder}/given_groups")
-    prepared = preparation.prepared_groups(_selected(spark, sf_dir), _seeds(spark, sf_dir), _corpus(spark, sf_dir)).join(groups.select("group_id", "group_order").hint("merge"), "group_id")
+    prepared = preparation.prepared_groups(_selected(passages), passages, passages).join(groups.select("group_id", "group_order").hint("merge"), "group_id")
     answers = write_table(collected_answers(prepared), f"{folder}/collected_answers")
     limits = preparation.Limits()
-    build = Build(spark, f"{folder}/run", Collected(answers), Options(limits=limits), same_article(_corpus(spark, sf_dir), PREFIX, limits))
+    build = Build(spark, f"{folder}/run", Collected(answers), Options(limits=limits), same_article(passages.withColumn("article_id", F.col("doc_id").cast("string")), PREFIX, limits))
     outcomes = build.run(groups)
     origins = build.origins().groupBy(F.col("origin.group_id").alias("group_id")).agg(F.count("*").alias("n_cards"))
     return outcomes.join(origins.hint("merge"), "group_id", "left").select(
