@@ -17,6 +17,7 @@ from dataclasses import dataclass, field, replace
 from decimal import Decimal
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -224,11 +225,15 @@ class Build:
         seal = rows.agg(F.count("*").alias("n"), F.sum(F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(38,0)")).alias("a"), F.sum(F.conv(F.substring("h", 16, 15), 16, 10).cast("decimal(38,0)")).alias("b")).first()
         now = (VERSION, self.options.protocol(), f"{seal.n}:{seal.a}:{seal.b}")
         schema = "version string, protocol string, input_digest string"
-        old = stored(self.spark, self.path("manifest"), schema).head(1)
-        if old and tuple(old[0]) != now:
-            raise ValueError("input, model, prompts or limits changed: use a new run folder")
-        if not old:
-            self.spark.createDataFrame([now], schema).write.parquet(self.path("manifest"))
+        try:
+            # before anything else is written: of two runs of one folder, the second finds the first one's row
+            self.spark.createDataFrame([now], schema).coalesce(1).write.mode("error").parquet(self.path("manifest"))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            old = stored(self.spark, self.path("manifest"), schema).head(1)
+            if not old or tuple(old[0]) != now:
+                raise ValueError("input, model, prompts or limits changed, or another run is starting: use a new run folder") from None
 
     def put(self, rows: DataFrame, name: str, *by: str, as_json: bool = False) -> DataFrame | None:
         """Write an output and note its seal: how many rows, and the sum of their hashes, observed while they are written."""
@@ -289,7 +294,10 @@ class Build:
         that were running, no others.
         """
         o, name = self.options, f"{stage}-{attempt}"
-        waves = max(1, -(-asked.count() // (o.model.concurrency * o.calls_kept_together)))
+        n = asked.count()
+        waves = -(-n // (o.model.concurrency * o.calls_kept_together))
+        if not n:
+            return
         dealt = write_table(asked.withColumn("wave", F.pmod(F.xxhash64("call_sha256"), F.lit(waves)).cast("int")), self.path(f"calls/{name}"), "wave")
         for wave in range(waves):
             calls = dealt.where(F.col("wave") == wave).drop("wave").repartition(o.model.concurrency)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import responses
 from gleaner.functions.records import CARD_FLAGS, SELF_CHECK_FLAGS, STAGE_SPECS
-from gleaner.functions.strict import first_problem
+from gleaner.functions.strict import first_problem, json_schema
 from gleaner.functions.text import content_key, render_card, safe_name
 from gleaner.operators import checks, export, intake, preparation, requests, retrieval
-from gleaner.plans.build import Build, Collected, Options, same_article
+from gleaner.plans.build import Build, Collected, Options, candidate_errors, same_article, supplied
 from gleaner.plans.fixtures import CARD_DUCKDB, cards, collected_answers, view, view_on, with_views
 from gleaner.sources import readers
 from gleaner.sources.clustered import ClusteredCorpus
@@ -205,6 +207,23 @@ def preparation_summary(spark, sf_dir):
     return preparation.preparation_summary(_selected(_passages(spark, sf_dir)))
 
 
+@query(on_views(SELECTED_SQL.replace("where c.n <= 64", "where false") + " select group_id, passage_id, selected, coalesce(note, '') as note from sel"))
+def supplied_selection(spark, sf_dir):
+    """The mode without a corpus: the given passages alone are scored and selected."""
+    seeds = _seeds(spark, sf_dir).select("group_id", "pos", "source_id", "passage_id", "title", "text")
+    return supplied(preparation.Limits())(seeds).select("group_id", "passage_id", "selected", F.coalesce("note", F.lit("")).alias("note"))
+
+
+@query(on_views("""faults as (select group_id, concat('seed is not among the candidates: ', passage_id) as error from fx_groups where group_order % 13 = 0 and pos = 0
+  union all select group_id, concat('repeated candidate: ', passage_id) from fx_groups where group_order % 11 = 0 and pos = 1)
+select group_id, min(error) as error from faults group by group_id"""))
+def candidate_faults(spark, sf_dir):
+    """Groups whose candidates lack a seed or hold one twice."""
+    seeds = _seeds(spark, sf_dir)
+    found = preparation.supplied_candidates(seeds.where("not (group_order % 13 = 0 and pos = 0)")).unionByName(preparation.supplied_candidates(seeds.where("group_order % 11 = 0 and pos = 1")))
+    return candidate_errors(seeds, found)
+
+
 VIOLATING = """select group_id, 0 as group_row, pos, source_id, passage_id, text from fx_groups
   union all select group_id, 0, pos + 10, source_id, passage_id, text from fx_groups where group_order%37=0
   union all select group_id, 1, pos, source_id, passage_id, text from fx_groups where group_order%43=0
@@ -284,6 +303,20 @@ def self_check_gate(spark, sf_dir):
     return _seeds(spark, sf_dir).select("group_id", checks.gate([order % 6 != 0, order % 10 != 0], issues).alias("accepted")).distinct()
 
 
+FLAGGED = ", ".join(f"case when k % 17 = {i} then null else (k // {2**i + 1}) % 9 <> 0 end as f{i}" for i in range(6))
+
+
+@query(on_views(f"""n as (select group_id, card_index, (group_order * 7 + card_index * 13) % 2310 as k from fx_cards), f as (select *, {FLAGGED} from n)
+select group_id, card_index, coalesce(f0 and f1 and f2 and f3 and f4 and f5, false) and k % 11 <> 0 and k % 7 <> 0 as card_accepted, coalesce(f0 and f1 and f2 and f3 and f4, false) and k % 7 <> 0 as check_passed from f"""))
+def gates_of_all_flags(spark, sf_dir):
+    """Verdicts on cards with every flag true, false or absent, missing steps and issues; and self checks alike."""
+    k = F.col("k")
+    rows = view(spark, sf_dir, "fx_cards").withColumn("k", (F.col("group_order") * 7 + F.col("card_index") * 13) % 2310)
+    flags = [F.when(k % 17 == i, F.lit(None)).otherwise(F.call_function("div", k, F.lit(2**i + 1)) % 9 != 0) for i in range(6)]
+    some = lambda n: F.when(k % n == 0, F.array(F.lit("one"))).otherwise(F.expr(checks.NONE))
+    return rows.select("group_id", "card_index", checks.gate(flags[: len(CARD_FLAGS)], some(7), some(11)).alias("card_accepted"), checks.gate(flags[: len(SELF_CHECK_FLAGS)], some(7)).alias("check_passed"))
+
+
 REPAIRED_SQL = """fixed as (select c.*, r.group_id is not null as named, r.replacement_definition from fx_cards c left join fx_repairs r on r.group_id = c.group_id and r.card_index = c.card_index),
 revised as (select group_id, group_order, card_index as original_index, case when named then replacement_definition else definition end as definition from fixed),
 kept as (select group_id, group_order, original_index, definition, row_number() over (partition by group_id order by original_index) - 1 as card_index from revised where definition is not null)"""
@@ -451,6 +484,20 @@ def request_build(spark, sf_dir):
     )
 
 
+@query(r"""select conv_id, turn, 'm' as model, text as content, role, 900 as max_tokens, 'low' as effort, false as store, 'json_schema' as format, 'solution' as format_name, 'object' as schema_type from conversations where text is not null and role is not null""")
+def typed_request_build(spark, sf_dir):
+    """Bodies of the other protocol, with a format that the service is asked to keep to, read back field by field."""
+    turns = _talk(spark, sf_dir).where("text is not null and role is not null")
+    options = requests.ModelOptions(name="m", endpoint="responses", reasoning_effort="low", max_tokens=900)
+    schema = json.dumps(json_schema(STAGE_SPECS["solution"]))
+    body = F.parse_json(requests.request_body(F.array(F.struct("role", F.col("text").alias("content"))), options, requests.format_of("solution", schema, options.endpoint)))
+    get = lambda path, kind: F.try_variant_get(body, path, kind)
+    return turns.select(
+        "conv_id", "turn", get("$.model", "string").alias("model"), get("$.input[0].content", "string").alias("content"), get("$.input[0].role", "string").alias("role"), get("$.max_output_tokens", "int").alias("max_tokens"),
+        get("$.reasoning.effort", "string").alias("effort"), get("$.store", "boolean").alias("store"), get("$.text.format.type", "string").alias("format"), get("$.text.format.name", "string").alias("format_name"), get("$.text.format.schema.type", "string").alias("schema_type"),
+    )
+
+
 RAW = """concat('{"model":"m",', case when (conv_id+turn)%11=0 then concat('"status":"incomplete","output_text":"cut"') when (conv_id+turn)%7=0 then concat('"output":[{"type":"message","content":[{"type":"output_text","text":"{\\"a\\":', turn, '}"}]}]')
   when (conv_id+turn)%5=0 then '"error":{"type":"busy"}' else concat('"choices":[{"finish_reason":', case when (conv_id+turn)%13=0 then '"length"' when (conv_id+turn)%3=0 then 'null' else '"stop"' end,
   ',"message":{"content":"', case (conv_id+turn)%4 when 0 then '<think>open' when 1 then '<think>x</think> ' when 2 then '```json ' else 'so: ' end, '{\\"a\\":', turn, '}', case (conv_id+turn)%4 when 2 then ' ```' when 3 then ' done' else '' end, '"}}]') end,
