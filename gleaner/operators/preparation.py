@@ -10,6 +10,8 @@ most are not taken. Texts are fetched for what was selected.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ LOST_FORMULA = (
     r"\bfor\s+and\s+(?:real|complex)",
     r"\b(?:defined|given|expressed) as:\s*\n\s*(?:This|The|In|For)\b",
 )
+#: Of each pattern, what any match of it must hold: one of each group. Looking for these first is far cheaper than a pattern.
+LOST_FORMULA_HOLDS = ((("requirement", "complexity", "cost"),), ((" number",),), (("if",), ("is",)), (("for",), ("and",)), ((" as:",),))
 USAGE_CUES = "calculate calculated divide multiply sum total ratio procedure steps compute if when using therefore implies example".split()
 BOUNDARY_CUES = "unless except exception only not cannot however limitation assumption instead requires unlike".split()
 SHORT = 80
@@ -54,10 +58,10 @@ def quality_issues(text: Column, title: Column) -> Column:
             F.when(checked.rlike(CONTROL), F.lit("damaged_encoding")),
             F.when(F.contains(F.lower(title), F.lit("(disambiguation)")), F.lit("disambiguation")),
         ]
-        # most passages match no pattern, which one look at all of them tells
-        lost = [F.when(checked.rlike(p), F.concat(F.lit("missing_formula: "), F.regexp_extract(checked, p, 0))) for p in LOST_FORMULA]
-        issues = F.when(checked.rlike("|".join(LOST_FORMULA)), F.array(*found, *lost)).otherwise(F.array(*found))
-        return F.array_compact(issues)
+        for pattern, groups in zip(LOST_FORMULA, LOST_FORMULA_HOLDS):
+            may = reduce(and_, [reduce(or_, [F.contains(checked, F.lit(w)) for w in words]) for words in groups])
+            found.append(F.when(may & checked.rlike(pattern), F.concat(F.lit("missing_formula: "), F.regexp_extract(checked, pattern, 0))))
+        return F.array_compact(F.array(*found))
 
     # the stripped text is bound to a variable, so that it is worked out once
     checked = F.get(F.transform(F.array(strip(text)), of), F.lit(0))
