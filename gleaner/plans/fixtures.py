@@ -7,6 +7,11 @@ same in Spark and DuckDB, but for the one that splits documents into lines.
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +74,14 @@ def view_on(passages: DataFrame, name: str) -> DataFrame:
     return passages.sparkSession.sql("with " + ",\n".join(f"{n} as ({sql})" for n, sql in parts) + f"\nselect * from {name}", fx_passages=passages)
 
 
+def echo(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stands in for a model: the digest of what it is asked; every seventh call by its digest finds the service busy."""
+    for batch in batches:
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in batch["body"]]
+        raw = [json.dumps({"choices": [{"finish_reason": "stop", "message": {"content": d}}]}) for d in digests]
+        yield pd.DataFrame({"call_sha256": batch["call_sha256"], "status_code": [503 if int(c[:8], 16) % 7 == 0 else 200 for c in batch["call_sha256"]], "raw": raw, "latency_s": 0.0})
+
+
 #: Arrays of a card, from the counts in fx_cards (DuckDB).
 CARD_DUCKDB = """select *, list_transform(range(0, n_trigger), lambda i: concat('when ', i, ' ', concept_name)) as trigger,
   list_transform(range(0, n_decision), lambda i: concat('do ', i)) as decision, list_transform(range(0, n_pitfall), lambda i: concat('not ', i)) as pitfall from fx_cards"""

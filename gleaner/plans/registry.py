@@ -13,7 +13,7 @@ from gleaner.functions.strict import first_problem, json_schema
 from gleaner.functions.text import content_key, render_card, safe_name
 from gleaner.operators import checks, export, intake, preparation, requests, retrieval
 from gleaner.plans.build import Build, Collected, Options, candidate_errors, same_article, supplied
-from gleaner.plans.fixtures import CARD_DUCKDB, cards, collected_answers, view, view_on, with_views
+from gleaner.plans.fixtures import CARD_DUCKDB, cards, collected_answers, echo, view, view_on, with_views
 from gleaner.sources import readers
 from gleaner.sources.clustered import ClusteredCorpus
 from gleaner.sources.scratch import new_folder
@@ -656,6 +656,22 @@ def response_cache(spark, sf_dir):
     return out.select("conv_id", "turn", "cache_key", F.coalesce("hit", F.lit(False)).alias("hit"), F.coalesce("stored_rows", F.lit(0).cast("bigint")).alias("stored_rows"))
 
 
+@query(r"""with t as (select conv_id, turn, sha256(text) as said, sha256(concat(conv_id, '/', turn, '/', text)) as call_sha256 from conversations where conv_id is not null and turn is not null and text is not null),
+b as (select *, cast(concat('0x', substr(call_sha256, 1, 8)) as bigint) % 7 = 0 as busy from t)
+select conv_id, turn, said as content, not busy as ok, case when busy then 2 else 1 end as answers from b""")
+def answers_kept(spark, sf_dir):
+    """Turns asked through a model in waves, twice: the second round asks only what found the service busy, and each turn has one response."""
+    turns = _talk(spark, sf_dir).where("conv_id is not null and turn is not null and text is not null")
+    todo = turns.select("conv_id", "turn", F.concat_ws("/", "conv_id", "turn").alias("group_id"), F.lit("echo").alias("stage"), F.lit(1).alias("attempt"), F.col("text").alias("body"))
+    todo = write_table(todo.withColumn("call_sha256", F.sha2(F.concat_ws("/", "conv_id", "turn", "body"), 256)), f"{new_folder(spark, 'asked')}/calls")
+    folder, options = f"{new_folder(spark, 'answers')}/run", Options(model=requests.ModelOptions(concurrency=8), calls_kept_together=64)
+    for _ in range(2):
+        said = Build(spark, folder, echo, options).call(todo.drop("conv_id", "turn"), "echo", 1)
+    kept = spark.read.parquet(f"{folder}/responses").groupBy("call_sha256").agg(F.count("*").alias("answers"))
+    out = responses.usable(said).join(kept.hint("merge"), "call_sha256").join(todo.select("conv_id", "turn", "call_sha256").hint("merge"), "call_sha256")
+    return out.select("conv_id", "turn", "content", "ok", "answers")
+
+
 def _message(role: str, x: str) -> str:
     return f"""concat('{{"role":"{role}","content":', {json_text(x)}, '}}')"""
 
