@@ -196,6 +196,7 @@ def divergence(docs: DataFrame, top: int = 200, least_docs: int = LEAST_DOCS) ->
     of_term = Window.partitionBy("lang", "term")
     kept = counts.withColumns({"docs": F.sum("docs").over(of_term), "n_lang": F.sum("n").over(of_term), "nth": F.row_number().over(of_term.orderBy("source"))})
     kept = stages.put(kept.where(F.col("docs") >= least_docs).drop("docs"), "kept")
+    stages.drop("counts")
     groups = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count_if(F.col("nth") == 1).alias("firsts"))
     of_lang = Window.partitionBy("lang")
@@ -210,7 +211,9 @@ def divergence(docs: DataFrame, top: int = 200, least_docs: int = LEAST_DOCS) ->
     leaves = kept.join(known, ["lang", "source"]).select("lang", F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("block"), stripes.alias("stripe"), "source", "term", "n", "total", "terms")
     named = totals.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     named = named.select("lang", "block", stripes.alias("stripe"), "source", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), "total", "terms")
-    walked = leaves.unionByName(named).groupBy("lang", "block", "stripe").applyInArrow(_walked, "lang string, source string, item string, value long")
+    # few bytes and much work: as many tasks as there may be, not as few as the bytes need
+    dealt = leaves.unionByName(named).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "lang", "block", "stripe")
+    walked = dealt.groupBy("lang", "block", "stripe").applyInArrow(_walked, "lang string, source string, item string, value long")
     pairs = walked.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
     over = kept.join(known, ["lang", "source"]).withColumns({"p": share(F.col("n"), F.col("total"), F.col("terms")), "q": share(F.col("n_lang"), F.col("total_lang"), F.col("terms"))})
