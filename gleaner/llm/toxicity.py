@@ -9,16 +9,23 @@ scaled by its own length.
 
 Training takes labelled sentences: distinct sentences of a bounded sample of
 documents, toxic only if no other document says the same. Which word of a
-toxic sentence makes it so is not labelled, so the words are chosen that stand
-in toxic sentences, counted once a document, far more often than their share
-(multiple-instance SVM);
-the surest of them are the landmarks, Nystroem features K(x, L) K(L, L)^-1/2 go to
-a linear SVM that is fitted anew with the clean words nearest to its border,
-and its decision is folded back into one weight per subsequence.
-
-A document's score is a rising function of the highest decision among its
-words, fitted to the sample; words of more than `LONG_WORD` characters, such as
-those of scripts without spaces, are read in overlapping windows. Defined
+toxic sentence makes it so is not labelled, so words are chosen that, with the
+words near them in the kernel (at either of two radii), stand in toxic
+sentences of far more documents than their share (multiple-instance SVM). An
+insult that varies from document to document is so found by its stem. Words
+far from one another among the surest are the landmarks; Nystroem features
+K(x, L) K(L, L)^-1/2 go to a linear SVM in which a word counts for either class
+by the share of its neighbourhood. It is fitted anew with the clean words
+nearest to its border, and its decision is folded back into one weight per
+subsequence.
+
+A document's evidence is its highest decision, and the noisy or of its
+`TELLING` highest decisions above zero, of different words: one sure insult is
+enough, and so are several words of which one alone tells little. Its score is
+the higher of two rising functions of them, fitted to the sample. Words of more than
+`LONG_WORD` characters are read in overlapping windows. Letters without case
+(scripts that may leave out spaces) are read, in training and in scoring, as
+every run of two to four of them besides the word itself, each as two symbols. Defined
 results: null, empty and wordless texts get the score of the lowest decision;
 without labels, or without words that tell the classes apart, every score is
 the share of toxic documents (zero without labels); each row is scored alone,
@@ -30,10 +37,12 @@ from __future__ import annotations
 import itertools
 import re
 import string
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -46,10 +55,21 @@ EDGES = "\x02\x03"
 LONG_WORD, LONG_STEP = 24, 12
 #: Signs and digits that don't count where a word begins or ends.
 BESIDE = string.punctuation + string.digits + "«»„“”‘’‚‹›…¿¡–—·•"
-FLOOR, CEILING = -3.0, 0.85
+FLOOR, CEILING = -3.0, 0.95
+#: Words of a text whose decisions add up, and the most that they can reach.
+TELLING = 4
+MOST = -TELLING * float(np.log1p(-(CEILING**2)))
+#: Kernel values from which words are neighbours, and the least share of toxic documents of a neighbourhood.
+RADII, NEAR_SHARE = (0.65, 0.8), 0.5
+#: Documents' worth of a wider neighbourhood in the share of a narrower one.
+DRAWN = 10
+#: Lengths of the runs of letters without case.
+RUNS = (2, 3, 4)
 GAPS = [(0, *rest) for rest in itertools.combinations(range(1, SPAN), LENGTH - 1)]
 #: Letters told apart by a space, dot or dash each.
 SPELT_OUT = r"(?:\b\pL\b[ .\-_*]){3,}\pL\b"
+#: Java's class of letters without case.
+CASELESS, CASELESS_SQL = r"\p{Lo}", r"\\p{Lo}"
 _spelt = re.compile(r"(?:\b[^\W\d_]\b[ .\-_*]){3,}[^\W\d_]\b")
 
 
@@ -63,11 +83,29 @@ def letter_codes(text: str) -> np.ndarray:
     return np.where(points < 128, ascii_[np.minimum(points, 127)], 27 + (points % 3).astype(np.int32))
 
 
+def caseless(x: str) -> bool:
+    return unicodedata.category(x) == "Lo"
+
+
+def spelt(word: str) -> str:
+    """The word with two Latin letters for each letter without case."""
+    if word.isascii() or not any(map(caseless, word)):
+        return word
+    return "".join([chr(97 + ord(x) // 26 % 26) + chr(97 + ord(x) % 26) if caseless(x) else x for x in word])
+
+
+def runs(word: str) -> list[str]:
+    """Every run of `RUNS` letters of a word with letters without case; the word itself is none of them."""
+    if word.isascii() or not any(map(caseless, word)):
+        return []
+    return [word[k : k + n] for n in RUNS if n < len(word) for k in range(len(word) - n + 1) if all(map(caseless, word[k : k + n]))]
+
+
 class Letters:
     """The symbols of words end to end: word of each symbol, and the subsequences of LENGTH symbols that start at each."""
 
     def __init__(self, words: list[str]):
-        codes = letter_codes("".join([f"{EDGES}{w}{EDGES[1]}\n" for w in words]))
+        codes = letter_codes("".join([f"{EDGES}{spelt(w)}{EDGES[1]}\n" for w in words]))
         ends = np.flatnonzero(codes < 0)
         word = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=-1))
         left = (ends[word] - np.arange(len(codes))).astype(np.int32)
@@ -168,13 +206,13 @@ def rising_fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Decision of a word: the sum of its subsequences' weights, scaled, plus bias. Score: a rising curve through knots, and a little of the decision itself."""
+    """Decision of a word: the sum of its subsequences' weights, scaled, plus bias. Score: the higher of two rising curves through knots, and a little of the decision itself."""
 
     landmarks: list[str] = field(default_factory=list)
     alpha: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = FLOOR
-    knots: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    shares: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    base: float = 0.0
+    curves: tuple[tuple[np.ndarray, np.ndarray], ...] = ()
 
     def weights(self) -> np.ndarray:
         dense = np.zeros(LETTERS**LENGTH, np.float32)
@@ -183,81 +221,157 @@ class Model:
             np.add.at(dense, c, (v * self.alpha[r]).astype(np.float32))
         return dense
 
-    def score(self, decision: np.ndarray) -> np.ndarray:
-        own = (decision - FLOOR) / (CEILING - FLOOR)
-        return 0.99 * np.interp(decision, self.knots, self.shares) + 0.01 * own
+    def score(self, most: np.ndarray, total: np.ndarray) -> np.ndarray:
+        own = ((most - FLOOR) / (CEILING - FLOOR) + total / MOST) / 2
+        shares = [np.interp(x, *curve) for x, curve in zip((most, total), self.curves)] or [np.full(len(own), self.base)]
+        return 0.99 * np.maximum.reduce(shares) + 0.01 * own
 
 
-def fit_words(counts, landmarks: int, alarm: float, hard: list[str]) -> Model | None:
-    """counts: pandas columns word, pos, neg (documents with a sentence of either class that holds the word); the row of the empty word stands for words left out. hard: further clean words."""
-    pos, neg = counts["pos"].to_numpy(float), counts["neg"].to_numpy(float)
-    share = pos.sum() / max(pos.sum() + neg.sum(), 1)
-    n = pos + neg
-    rate = pos / np.maximum(n, 1)
+def gain(pos: np.ndarray, neg: np.ndarray, share: float) -> np.ndarray:
+    """Log likelihood that a word's documents are toxic more often than `share`; 0 if they aren't."""
+    rate = pos / np.maximum(pos + neg, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(rate > share, pos * np.log(rate / share) + np.where(neg > 0, neg * np.log((1 - rate) / (1 - share)), 0), 0)
-    words = counts["word"].to_numpy(object)
-    named = np.array([any(x.isalpha() for x in w) for w in words], bool)
-    bad = named & (gain > alarm) & (rate >= 0.75)
-    if not bad.any() or bad.all():
-        return None
-    toxic = [str(w) for w in words[bad][np.argsort(-gain[bad], kind="stable")]]
-    clean = [str(w) for w in words[named & (pos <= neg)]]
-    marks = toxic[:landmarks] + [w for w in hard[:landmarks] if w not in set(toxic[:landmarks])]  # the clean words nearest to the toxic ones tell what sets them apart
+        return np.where(rate > share, pos * np.log(rate / share) + np.where(neg > 0, neg * np.log((1 - rate) / (1 - share)), 0), 0)
+
+
+def shares_near(words: pd.DataFrame, pooled: pd.DataFrame) -> np.ndarray:
+    """Share of toxic documents of each word, drawn to that of its neighbourhood, and this to that of the wider one."""
+    rate = np.full(len(words), NEAR_SHARE)
+    levels = [pooled[pooled["radius"] == r].set_index("centre").reindex(range(len(words))).fillna(0) for r in np.argsort(RADII)]
+    for level in (*levels, words):
+        pos, neg = level["pos"].to_numpy(float), level["neg"].to_numpy(float)
+        rate = (pos + DRAWN * rate) / (pos + neg + DRAWN)
+    return rate
+
+
+def neighbours(counts: DataFrame, centres: list[str]) -> DataFrame:
+    """(word, centre, radius): the words of `counts` near each centre, by number, at each radius that they are within."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, code, value = feature_rows(centres)
+        order = np.argsort(code, kind="stable")
+        centre, code, value = centre[order].astype(np.int64), code[order], value[order]
+        known, first = np.unique(code, return_index=True)
+        size = np.diff(first, append=len(code))
+        for whole in batches:
+            for batch in pieces(whole, "word", 1 << 12):
+                words = batch.column(0).to_pylist()
+                row, found, v = feature_rows(words)
+                at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                hit = known[at] == found
+                row, at, v = row[hit], at[hit], v[hit]
+                n = size[at]
+                of = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                near = np.bincount(np.repeat(row, n) * np.int64(len(centres)) + centre[of], np.repeat(v, n) * value[of], len(words) * len(centres))
+                for radius, least in enumerate(RADII):
+                    pair = np.flatnonzero(near >= least)
+                    columns = [pa.array([words[i] for i in pair // len(centres)], pa.string()), pa.array(pair % len(centres), pa.int32()), pa.array(np.full(len(pair), radius), pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["word", "centre", "radius"])
+
+    return counts.select("word").mapInArrow(trimmed(run), "word string, centre int, radius int")
+
+
+def spread(words: list[str], n: int) -> list[str]:
+    """n of the words, surest first: those far from all taken before them, then the rest."""
+    words = words[: 4 * n]
+    k = kernel(words, words)
+    far: list[int] = []
+    for i in range(len(words)):
+        if all(k[i, j] < RADII[-1] for j in far):
+            far.append(i)
+    rest = [i for i in range(len(words)) if i not in set(far)]
+    return [words[i] for i in (far + rest)[:n]]
+
+
+def fit_words(toxic: list[str], rate: np.ndarray, clean: list[str], landmarks: int, hard: list[str]) -> Model:
+    """toxic: the words chosen, surest first, and the share of toxic documents of each. hard: clean words near the border."""
+    first = spread(toxic, landmarks)
+    marks = first + [w for w in hard[:landmarks] if w not in set(first)]  # the clean words nearest to the toxic ones tell what sets them apart
     k = kernel(marks, marks)
     values, vectors = np.linalg.eigh((k + k.T) / 2)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    clean = list(dict.fromkeys(hard + clean))
-    dodged = [v for w in toxic[:landmarks] for v in with_insertions(w)]
-    units = toxic + dodged + clean
-    y = np.concatenate([np.ones(len(toxic) + len(dodged)), -np.ones(len(clean))])
-    weight = np.full(len(y), 1 / (y > 0).sum())
-    w = linear_svm(kernel(units, marks) @ root, y, weight)
+    chosen = set(toxic)
+    clean = [w for w in dict.fromkeys(hard + clean) if w not in chosen]
+    share = dict(zip(toxic, rate.tolist()))
+    dodged = [(v, share[w]) for w in first for v in with_insertions(w)]
+    units = toxic + [v for v, _ in dodged] + clean
+    share_of = np.concatenate([rate, [r for _, r in dodged], np.zeros(len(clean))])
+    x = kernel(units, marks) @ root
+    each = 1 / (len(toxic) + len(dodged))
+    # a unit stands on both sides, with the weight of its share
+    weight = np.concatenate([each * share_of, each * (1 - share_of)])
+    on = weight > 0
+    w = linear_svm(np.vstack([x, x])[on], np.repeat([1.0, -1.0], len(units))[on], weight[on])
     return Model(marks, root @ w[:-1], float(w[-1]))
 
 
-def highest(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
-    """The highest decision among the words of each text."""
+def noisy_or(decision: np.ndarray) -> np.ndarray:
+    """What a decision above zero adds to a text's evidence; near the border next to nothing."""
+    return -np.log1p(-(np.clip(decision, 0, CEILING) ** 2))
+
+
+def evidence(texts: pa.Array, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
+    """The highest decision of each text, and the noisy or of its highest ones above zero of different words."""
     texts = pc.utf8_lower(texts.fill_null("") if texts.null_count else texts)
     lists = pc.utf8_split_whitespace(texts)
     coded = lists.flatten().dictionary_encode()
     words = pc.utf8_trim(coded.dictionary, BESIDE).to_pylist()
-    long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
-    units = words + [w[k : k + LONG_WORD] for i in long for w in (words[i],) for k in range(0, len(w) - LONG_STEP, LONG_STEP)]
-    value = decisions(units, weights, bias) if units else np.empty(0)
-    done = len(words)
-    for i in long:
-        n = len(range(0, len(words[i]) - LONG_STEP, LONG_STEP))
-        value[i] = max(value[i], value[done : done + n].max())
-        done += n
+    # each word with what it is read as: itself, windows of long ones, runs of letters without case
+    extra = [(i, u) for i, w in enumerate(words) if len(w) > LONG_WORD for u in (w[k : k + LONG_WORD] for k in range(0, len(w) - LONG_STEP, LONG_STEP))]
+    extra += [(i, u) for i, w in enumerate(words) for u in set(runs(w))]
+    units, number = [], {}
+    for u in itertools.chain(words, (u for _, u in extra)):
+        if u not in number:
+            number[u] = len(units)
+            units.append(u)
+    value = np.concatenate([decisions(units[k : k + 50_000], weights, bias) for k in range(0, len(units), 50_000)] or [np.empty(0)])
+    if "" in number:
+        value[number[""]] = FLOOR
+    unit = np.array([number[w] for w in words], np.int64)
+    if extra:  # a long word is told by the surest of what it is read as
+        at, reads = np.array([i for i, _ in extra]), np.array([number[u] for _, u in extra])
+        order = np.lexsort((value[reads], at))
+        last = order[np.append(np.diff(at[order]) > 0, True)]
+        better = value[reads[last]] > value[unit[at[last]]]
+        unit[at[last][better]] = reads[last][better]
     out = np.full(len(texts), FLOOR)
     n = np.diff(lists.offsets.to_numpy())
     full = np.flatnonzero(n > 0)
+    told = unit[coded.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
     if len(full):
         starts = np.concatenate([[0], np.cumsum(n)[:-1]])[full]
-        out[full] = np.maximum.reduceat(value[coded.indices.to_numpy()], starts)
+        out[full] = np.maximum.reduceat(value[told], starts)
     apart = pc.match_substring_regex(texts, SPELT_OUT).to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(texts)), n)
+    above = np.flatnonzero(value[told] > 0)
+    pairs = np.unique(np.stack([doc[above], told[above]]), axis=1) if len(above) else np.empty((2, 0), np.int64)
+    order = np.lexsort((-value[pairs[1]], pairs[0]))
+    of, adds = pairs[0][order], noisy_or(value[pairs[1][order]])
+    rank = np.arange(len(of)) - np.searchsorted(of, of)
+    total = np.bincount(of[rank < TELLING], adds[rank < TELLING], len(texts))
     for i in np.flatnonzero(apart):
-        runs = [re.sub(r"\W|_", "", m) for m in _spelt.findall(texts[int(i)].as_py())]
-        if runs:
-            out[i] = max(out[i], decisions(runs, weights, bias).max())
-    return out
+        letters = [re.sub(r"\W|_", "", m) for m in _spelt.findall(texts[int(i)].as_py())]
+        if letters:
+            most = decisions(letters, weights, bias).max()
+            out[i], total[i] = max(out[i], most), max(total[i], noisy_or(most))
+    return out, total
 
 
 def decide(docs: DataFrame, model: Model, keep: tuple[str, ...], as_score: bool = False) -> DataFrame:
-    """Columns `keep` and decision (or score), of every whole text."""
-    name = "score" if as_score else "decision"
+    """Columns `keep` and the evidence, `decision` and `total` (or score), of every whole text."""
+    names = ["score"] if as_score else ["decision", "total"]
     source = docs.select(*keep, *[c for c in ("text",) if c not in keep])
-    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + f", {name} double"
+    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + "".join([f", {name} double" for name in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model.weights()
         for whole in batches:
             for batch in pieces(whole, "text", 1 << 20):
-                found = highest(batch.column(batch.schema.get_field_index("text")), weights, model.bias)
+                found = evidence(batch.column(batch.schema.get_field_index("text")), weights, model.bias)
                 rows = [batch.column(batch.schema.get_field_index(k)) for k in keep]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(model.score(found) if as_score else found, pa.float64())], names=[*keep, name])
+                given = (model.score(*found),) if as_score else found
+                yield pa.RecordBatch.from_arrays([*rows, *[pa.array(x, pa.float64()) for x in given]], names=[*keep, *names])
 
     return source.mapInArrow(trimmed(run), schema)
 
@@ -298,32 +412,50 @@ def train(docs: DataFrame, labels: DataFrame, stages: Stages, bounds: Bounds = B
     chosen = stages.put(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bounds.sample), "chosen")
     # at most bounds.sample rows, so the texts need not be shuffled for them
     texts = stages.put(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null"), "sample")
-    lines = texts.select("doc_id", "toxic", F.explode(F.split(F.lower("text"), r"[.!?\n]+")).alias("line"))
+    lines = texts.select("doc_id", "toxic", F.explode(F.split(F.lower("text"), r"[.!?\n。！？]+")).alias("line"))
     lines = lines.groupBy("line").agg(F.min("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
     word = F.regexp_replace("word", r"^[^\p{L}]+|[^\p{L}]+$", "")
-    words = lines.select("doc_id", "toxic", F.explode(F.array_distinct(F.split("line", r"\s+"))).alias("word")).select("doc_id", "toxic", word.alias("word")).where(f"length(word) between 1 and {LONG_WORD}")
-    words = words.distinct()  # many sentences of one document are one piece of evidence
-    counts = words.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("neg"))
+    words = lines.select("doc_id", "toxic", F.explode(F.array_distinct(F.split("line", r"\s+"))).alias("word")).select("doc_id", "toxic", word.alias("word")).where("word <> ''")
+    windows = F.expr(f"transform(sequence(0, length(word) - {LONG_STEP} - 1, {LONG_STEP}), k -> substring(word, k + 1, {LONG_WORD}))")
+    short = [F.expr(f"regexp_extract_all(word, '(?=({CASELESS_SQL}{{{n}}}))', 1)") for n in RUNS]
+    units = F.concat(
+        F.when(F.length("word") > LONG_WORD, windows).otherwise(F.array("word")),
+        F.when(F.col("word").rlike(CASELESS + "{3}"), F.concat(*short)).otherwise(F.array().cast("array<string>")),
+    )
+    # many sentences of one document are one piece of evidence
+    held = stages.put(words.select("doc_id", "toxic", F.explode(F.array_distinct(units)).alias("word")).distinct(), "held")
+    counts = held.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("neg"))
     counts = stages.put(counts, "words")
     seen = F.col("pos") >= bounds.seen
     total = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count_if(seen).alias("tried")).first()
-    alarm += float(np.log(max(total.tried, 1)))  # the more words are tried, the more evidence one needs
-    toxic = counts.where(seen & (F.col("pos") >= 3 * F.col("neg"))).orderBy(F.desc(F.col("pos") - 3 * F.col("neg")), "word").limit(bounds.toxic)
-    clean = counts.where("neg >= pos").orderBy(F.xxhash64("word"), "word").limit(bounds.clean)
-    bounded = toxic.unionByName(clean).toPandas()
-    rest = {"word": "", "pos": max(0, (total.pos or 0) - bounded["pos"].sum()), "neg": max(0, (total.neg or 0) - bounded["neg"].sum())}
-    bounded.loc[len(bounded)] = rest
+    toxic = counts.where(seen & (F.col("pos") >= 3 * F.col("neg"))).orderBy(F.desc(F.col("pos") - 3 * F.col("neg")), "word").limit(bounds.toxic).toPandas()
+    clean = [r.word for r in counts.where("neg >= pos").orderBy(F.xxhash64("word"), "word").limit(bounds.clean).collect()]
     share = chosen.agg(F.avg("toxic")).first()[0]
-    model = fit_words(bounded, landmarks, alarm, [])
-    hard: list[str] = []
-    for _ in range(2):  # the clean words nearest to the toxic side join the training set
-        if model is not None:
-            hard += nearest(counts.where("neg >= pos and neg > 0"), model, bounds.hard)
-            model = fit_words(bounded, landmarks, alarm, hard)
+    model = None
+    if len(toxic):
+        near = stages.put(neighbours(counts, toxic["word"].tolist()), "near")
+        pooled = near.join(held.hint("merge"), "word").groupBy("centre", "radius", "doc_id").agg(F.max("toxic").alias("toxic"))
+        pooled = pooled.groupBy("centre", "radius").agg(F.count_if(F.col("toxic") == 1).alias("pos"), F.count_if(F.col("toxic") == 0).alias("neg")).toPandas()
+        base = total.pos / max(total.pos + total.neg, 1)
+        # the more words and radii are tried, the more evidence one needs
+        alarm += float(np.log(max(total.tried, 1) * (1 + len(RADII))))
+        own = toxic.assign(centre=range(len(toxic)))[["centre", "pos", "neg"]]
+        tried = pd.concat([own, pooled[["centre", "pos", "neg"]]], ignore_index=True).astype({"pos": float, "neg": float})
+        tried["gain"] = gain(tried["pos"].to_numpy(), tried["neg"].to_numpy(), base)
+        tried["rate"] = tried["pos"] / (tried["pos"] + tried["neg"])
+        told = tried[(tried["gain"] > alarm) & (tried["rate"] >= NEAR_SHARE)].sort_values(["gain", "centre"], ascending=[False, True], kind="stable").drop_duplicates("centre")
+        told = told.assign(rate=shares_near(toxic, pooled)[told["centre"]])
+        if len(told) and clean:
+            bad, rate = toxic["word"].to_numpy(object)[told["centre"]].tolist(), told["rate"].to_numpy()
+            model = fit_words(bad, rate, clean, landmarks, [])
+            hard: list[str] = []
+            for _ in range(2):  # the clean words nearest to the toxic side join the training set
+                hard += nearest(counts.where("neg >= pos and neg > 0"), model, bounds.hard)
+                model = fit_words(bad, rate, clean, landmarks, hard)
     if model is None:
-        return Model(shares=np.array([float(share or 0)]))
-    seen = decide(texts, model, ("toxic",)).toPandas()
-    model.knots, model.shares = rising_fit(seen["decision"].to_numpy(float), seen["toxic"].to_numpy(float))
+        return Model(base=float(share or 0))
+    found = decide(texts, model, ("toxic",)).toPandas()
+    model.curves = tuple(rising_fit(found[x].to_numpy(float), found["toxic"].to_numpy(float)) for x in ("decision", "total"))
     return model
 
 

@@ -1,5 +1,6 @@
 """Operators 3, 4, 5, 7, 8 and 9."""
 
+import collections
 import gzip
 import itertools
 import random
@@ -275,6 +276,77 @@ def test_insults_of_few_letters(spark):
     assert [new[r.doc_id] for r in toxicity.score(rows, model).orderBy("doc_id").collect() if r.score >= 0.7] == new[:7]
 
 
+def test_insults_that_share_a_stem(spark):
+    """No form of the insult is frequent; documents hold several, clean ones now and then one by chance."""
+    rnd = random.Random(5)
+    plain = ["".join(rnd.choice("abcdefghilmnoprstu") for _ in range(rnd.randint(3, 8))) for _ in range(400)]
+    ends = [a + b for a in ("a", "e", "io", "u") for b in ("ra", "ñe", "ci", "to", "l", "ja")]
+
+    def text(n):
+        words = [rnd.choice(plain) for _ in range(30)] + ["zuvake" + rnd.choice(ends) for _ in range(n)]
+        rnd.shuffle(words)
+        return " ".join(words)
+
+    rows = [(i, text(4), 1) for i in range(60)] + [(1000 + i, text(int(i % 20 == 0)), 0) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"), toxicity.Stages(spark, "t"))
+    new = spark.createDataFrame([(i, text(4 if i < 40 else 0)) for i in range(200)], "doc_id long, text string")
+    found = {r.doc_id for r in toxicity.score(new, model).collect() if r.score >= 0.7}
+    assert len(found & set(range(40))) >= 36 and len(found - set(range(40))) <= 3
+
+
+def test_insults_in_texts_without_spaces(spark):
+    """Texts of signs without spaces: the insult is three of them."""
+    rnd = random.Random(6)
+    signs, insult = [chr(0x4E00 + 7 * k) for k in range(300)], "\u5e9f\u7269\u72d7"
+
+    def text(bad):
+        x = [rnd.choice(signs) for _ in range(200)]
+        return "".join(x[:100]) + insult * bad + "".join(x[100:])
+
+    rows = [(i, text(i % 8 == 0), int(i % 8 == 0)) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"), toxicity.Stages(spark, "t"))
+    new = spark.createDataFrame([(i, text(i < 30)) for i in range(200)], "doc_id long, text string")
+    found = {r.doc_id for r in toxicity.score(new, model).collect() if r.score >= 0.7}
+    assert len(found & set(range(30))) >= 28 and len(found - set(range(30))) <= 3
+
+
+def plain_vector(word):
+    """The kernel's features by going through all places of four symbols, and the length that scales them."""
+    symbols, out, size = "<|" + word + "|", collections.Counter(), 0.0
+    for at in itertools.combinations(range(len(symbols)), 4):
+        x = "".join(symbols[k] for k in at)
+        if at[3] - at[0] >= toxicity.SPAN or not all(c in "<|" or "a" <= c <= "z" for c in x):
+            continue
+        # a front edge counts only next to the symbol behind it, the last edge only without gaps
+        if any(x[k] in "<|" and at[k + 1] != at[k] + 1 for k in (0, 1)) or (x[3] == "|" and at[3] - at[0] > 3):
+            continue
+        weight = toxicity.DECAY ** (at[3] - at[0] + 1)
+        out[x] += weight
+        size += weight**2
+    return out, max(size**0.5, 1e-9)
+
+
+def test_scores_like_brute_force(spark):
+    """Kernel, decision and evidence against a plain version, for words of Latin letters."""
+    words = ["idiot", "idxiot", "i*diot", "trash", "thrash", "nation", "ab", "a"]
+    plain = {w: plain_vector(w) for w in words}
+
+    def k(a, b):
+        return sum(v * plain[b][0][x] for x, v in plain[a][0].items()) / (plain[a][1] * plain[b][1])
+
+    assert np.allclose(toxicity.kernel(words, words), [[k(a, b) for b in words] for a in words], atol=1e-5)
+    model = toxicity.Model(["idiot", "trash", "nation"], np.array([0.9, 0.8, -0.7]), -0.1, 0.1, ((np.array([-1.0, 1.0]), np.array([0.0, 0.9])), (np.array([0.0, 2.0]), np.array([0.0, 1.0]))))
+    decided = {w: float(np.clip(sum(a * k(w, m) for a, m in zip(model.alpha, model.landmarks)) + model.bias, toxicity.FLOOR, toxicity.CEILING)) for w in words}
+    texts = ["idiot", "nation a ab", "thrash idxiot idiot idiot", "trash thrash idiot idxiot i*diot", ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.decide(frame, model, ("doc_id",)).collect():
+        values = sorted({w: decided[w] for w in texts[r.doc_id].split()}.values(), reverse=True)
+        total = sum(-np.log(1 - max(0, v) ** 2) for v in values[: toxicity.TELLING])
+        assert r.decision == pytest.approx(max(values, default=toxicity.FLOOR), abs=1e-4) and r.total == pytest.approx(total, abs=1e-3)
+
+
 def test_toxicity_without_evidence(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     docs = spark.createDataFrame([(1, "some text", "a"), (2, None, "b")], "doc_id long, text string, score string")
